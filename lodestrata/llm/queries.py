@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm.decontaminate import op2_decontaminate
+from lodestrata.llm.near_dup import op4_simhash
 from lodestrata.llm.quality import op1_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
