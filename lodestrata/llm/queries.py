@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import mixing
+from lodestrata.llm.chat import op10_chat
 from lodestrata.llm.decontaminate import op2_decontaminate
 from lodestrata.llm.language import op6_language
 from lodestrata.llm.mixing import op7_mixing
 from lodestrata.llm.near_dup import op4_simhash
+from lodestrata.llm.pii import op9_pii
 from lodestrata.llm.quality import op1_quality
 from lodestrata.llm.token_counts import op8_token_counts
 from lodestrata.llm.token_records import op3_token_records
@@ -18,7 +20,7 @@ from lodestrata.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_decontaminate, op3_token_records, op4_simhash, op5_toxicity, op6_language, op7_mixing, op8_token_counts)
+    found = (op1_quality, op2_decontaminate, op3_token_records, op4_simhash, op5_toxicity, op6_language, op7_mixing, op8_token_counts, op9_pii, op10_chat)
     return {f.__name__: f for f in found}
 
 
