@@ -1,7 +1,7 @@
 """Token counts of whole texts for a sentencepiece or tokenizers model, without keeping ids.
 
 A text is split where no piece of the model can reach across: before runs of spaces and at line feeds. The
-pieces of each distinct pre-token are counted once in a task (the counts are remembered up to ``MEMO``
+pieces of each distinct pre-token are counted once in a worker (the counts are remembered up to ``MEMO``
 pre-tokens), joined to the document's pre-token frequencies, and summed. The join stays inside the task:
 as most distinct pre-tokens of a corpus occur in few documents, a table of all of them would be larger
 to shuffle than the texts.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,15 @@ class PieceCounter:
         return [sum(n * memo[w] for w, n in f.items()) for f in frequencies]
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> PieceCounter:
+    """One counter for all tasks of a worker."""
+    return PieceCounter(path)
+
+
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)

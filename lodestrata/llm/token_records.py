@@ -17,10 +17,12 @@ table gives no shard and an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from lodestrata.llm.storage import join_checked, new_path, plain, table
 END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
-#: Pre-tokens whose ids a task remembers; beyond that it starts anew.
-MEMO = 500_000
+#: Pre-tokens whose ids a worker remembers; beyond that it starts anew.
+MEMO = 600_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
@@ -52,44 +54,55 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         pre = kind["pre_tokenizer"] or {}
-        self.by_pre_token = kind["normalizer"] is None and kind["truncation"] is None and kind["padding"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.by_pre_token = kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and kind["normalizer"] is None and kind["truncation"] is None and kind["padding"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.special = [x["content"] for x in kind["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of pieces that begin with a space
+        self.opens[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode pre-tokens: those of a space and letters in long runs, which split where they were joined."""
-        joinable = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        runs = [joinable[k : k + 2000] for k in range(0, len(joinable), 2000)]
-        for run, found in zip(runs, self.tokenizer.encode_batch(["".join(x) for x in runs], add_special_tokens=False)):
-            ids, at = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(at, np.arange(len(run) + 1)).tolist()
-            assert at[-1] == len(run) - 1
-            for k, w in enumerate(run):
-                self.memo[w] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        """Encode pre-tokens; those of a space and letters in long runs, where each begins with a piece that has the space."""
+        runnable = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        runs = [runnable[k : k + 2000] for k in range(0, len(runnable), 2000)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(["".join(x) for x in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize
+            data, cuts = ids.tobytes(), cuts.tolist()
+            assert len(cuts) == len(run) + 1
+            self.memo.update((w, data[low:high]) for w, low, high in zip(run, cuts, cuts[1:]))
         rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for w, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.memo[w] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(s in x for s in self.special) else None for x in texts]
-        new = {w for words in split if words for w in words} - self.memo.keys()
+        split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) else None for x in texts]
+        words = set().union(*filter(None, split))
+        new = words - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = {w for words in split if words for w in words}
+            new = words
         self._learn(list(new))
         get = self.memo.__getitem__
         return [self._whole(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
+
+
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + _MASK_DELTA) & 0xFFFFFFFF
@@ -119,7 +132,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([END_ID], encoder.dtype).tobytes()
         held: list[bytes] = []
         size = 0
