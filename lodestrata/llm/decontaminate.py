@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
-from lodestrata.llm.storage import new_path, plain, table
+from lodestrata.llm.storage import new_path, plain, stored, table
 
 WINDOW = 10
 SEGMENT_BYTES = 4_000_000
@@ -221,5 +221,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those whose doc_id has a contaminated row (null ids count as one id)."""
+    found = stored(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
