@@ -58,11 +58,11 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """event_id, day, score, label: observations with a score and a day as their partition."""
     e = table(spark, d, "events")
-    score = F.round((derived_seed(9, F.col("event_id")) % 1000).cast("double") / 2000 + F.when(F.col("event_type") == "error", 0.3).otherwise(0.0), 3)
+    score = ((derived_seed(9, F.col("event_id")) % 1000).cast("int") + F.when(F.col("event_type") == "error", 600).otherwise(0)) / 2000
     return e.select("event_id", F.dayofmonth("ts").cast("int").alias("day"), score.alias("score"), (F.col("event_type") == "error").cast("int").alias("label"), "user_id")
 
 
 SCORED = """
 s AS (SELECT event_id, dayofmonth(ts)::INTEGER AS day, user_id, (event_type = 'error')::INTEGER AS label,
-        round((('0x' || substr(sha256('9:' || event_id), 1, 16))::UBIGINT % 1000)::DOUBLE / 2000 + CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.0 END::DOUBLE, 3) AS score FROM events)
+        ((('0x' || substr(sha256('9:' || event_id), 1, 16))::UBIGINT % 1000)::INTEGER + CASE WHEN event_type = 'error' THEN 600 ELSE 0 END) / 2000.0::DOUBLE AS score FROM events)
 """

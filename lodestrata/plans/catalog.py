@@ -1,11 +1,14 @@
-"""Registry of queries over the supplied tables."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
+from lodestrata.plans import evaluations, records, samples, supply  # noqa: F401  each registers its queries
+from lodestrata.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)

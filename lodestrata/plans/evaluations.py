@@ -31,7 +31,7 @@ def confusion_matrix(spark, d):
 r AS (SELECT *, {_RATES} FROM m),
 f AS (SELECT *, list_sort(list_filter([CASE WHEN NOT n >= 200 THEN 'n' END, CASE WHEN NOT precision >= 0.9 THEN 'precision' END, CASE WHEN NOT recall >= 0.95 THEN 'recall' END,
  CASE WHEN NOT false_positive_rate <= 0.05 THEN 'false_positive_rate' END, CASE WHEN NOT abstention_rate <= 0.05 THEN 'abstention_rate' END, CASE WHEN NOT parse_rate >= 0.99 THEN 'parse_rate' END,
- CASE WHEN NOT schema_rate >= 0.99 THEN 'schema_rate' END], x -> x IS NOT NULL)) AS failed FROM r)
+ CASE WHEN NOT schema_rate >= 0.99 THEN 'schema_rate' END], lambda x: x IS NOT NULL)) AS failed FROM r)
 SELECT * EXCLUDE (failed), len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed_checks FROM f"""
 )
 def absolute_gate(spark, d):
@@ -182,10 +182,10 @@ def output_discipline(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s]+'), x -> x != '') AS t FROM documents),
-e AS (SELECT doc_id, array_to_string(list_transform(range(1, len(t) - 7), i -> CASE WHEN t[i] = t[i + 8] THEN '1' ELSE '0' END), '') AS s8,
- array_to_string(list_transform(range(1, len(t) - 15), i -> CASE WHEN t[i] = t[i + 16] THEN '1' ELSE '0' END), '') AS s16,
- array_to_string(list_transform(range(1, len(t) - 31), i -> CASE WHEN t[i] = t[i + 32] THEN '1' ELSE '0' END), '') AS s32 FROM t)
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x != '') AS t FROM documents),
+e AS (SELECT doc_id, array_to_string(list_transform(range(1, len(t) - 7), lambda i: CASE WHEN t[i] = t[i + 8] THEN '1' ELSE '0' END), '') AS s8,
+ array_to_string(list_transform(range(1, len(t) - 15), lambda i: CASE WHEN t[i] = t[i + 16] THEN '1' ELSE '0' END), '') AS s16,
+ array_to_string(list_transform(range(1, len(t) - 31), lambda i: CASE WHEN t[i] = t[i + 32] THEN '1' ELSE '0' END), '') AS s32 FROM t)
 SELECT doc_id, contains(s8, repeat('1', 24)) OR contains(s16, repeat('1', 48)) OR contains(s32, repeat('1', 96)) AS repeats_tokens FROM e"""
 )
 def token_window_repetition(spark, d):

@@ -250,7 +250,7 @@ def shard_contiguity(spark, d):
 
 @query(
     """WITH a AS (SELECT source, count(*) AS n, avg(quality) AS q, avg(toxic) AS t FROM documents JOIN labels USING (doc_id) GROUP BY 1),
-f AS (SELECT *, list_sort(list_filter([CASE WHEN NOT n >= 15 THEN 'minimum_rows' END, CASE WHEN NOT q >= 0.8 THEN 'quality' END, CASE WHEN NOT t <= 0.15 THEN 'toxicity' END], x -> x IS NOT NULL)) AS fl FROM a)
+f AS (SELECT *, list_sort(list_filter([CASE WHEN NOT n >= 15 THEN 'minimum_rows' END, CASE WHEN NOT q >= 0.8 THEN 'quality' END, CASE WHEN NOT t <= 0.15 THEN 'toxicity' END], lambda x: x IS NOT NULL)) AS fl FROM a)
 SELECT source, n, array_to_string(fl, ',') AS failed_checks, CASE WHEN list_contains(fl, 'toxicity') THEN 'rejected' WHEN len(fl) > 0 THEN 'review' ELSE 'approved' END AS decision FROM f"""
 )
 def source_decisions(spark, d):
@@ -260,9 +260,9 @@ def source_decisions(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT page_id, list_filter(string_split(html, chr(10)), x -> true) AS l FROM pages)
-SELECT page_id, len(list_filter(l, x -> starts_with(x, 'diff --git '))) AS n_files, len(list_filter(l, x -> starts_with(x, '@@'))) AS n_hunks,
- len(list_filter(l, x -> starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS n_added, len(list_filter(l, x -> starts_with(x, '-') AND NOT starts_with(x, '---'))) AS n_removed FROM t"""
+    r"""WITH t AS (SELECT page_id, list_filter(string_split(html, chr(10)), lambda x: true) AS l FROM pages)
+SELECT page_id, len(list_filter(l, lambda x: starts_with(x, 'diff --git '))) AS n_files, len(list_filter(l, lambda x: starts_with(x, '@@'))) AS n_hunks,
+ len(list_filter(l, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS n_added, len(list_filter(l, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS n_removed FROM t"""
 )
 def patch_statistics(spark, d):
     return table(spark, d, "pages").select("page_id", *[v.alias(k) for k, v in A.patch_statistics(F.col("html")).items()])
@@ -329,7 +329,7 @@ def json_schema_variants(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(is_json_object(F.col("props"))).alias("n_objects"), F.count_if(F.get_json_object("props", "$.k").isNotNull()).alias("n_with_key"))
 
 
-@query("SELECT array_to_string(list_sort(list_filter([CASE WHEN NOT (SELECT count(*) FROM documents) >= 500 THEN 'documents' END, CASE WHEN NOT (SELECT count(*) FROM labels) >= 5000 THEN 'labels' END], x -> x IS NOT NULL)), ',') AS failed_checks")
+@query("SELECT array_to_string(list_sort(list_filter([CASE WHEN NOT (SELECT count(*) FROM documents) >= 500 THEN 'documents' END, CASE WHEN NOT (SELECT count(*) FROM labels) >= 5000 THEN 'labels' END], lambda x: x IS NOT NULL)), ',') AS failed_checks")
 def gate_rollup(spark, d):
     counts = table(spark, d, "documents").agg(F.count("*").alias("n_docs")).crossJoin(table(spark, d, "labels").agg(F.count("*").alias("n_labels")))  # one row each
     return counts.select(F.array_join(failed_names({"documents": F.col("n_docs") >= 500, "labels": F.col("n_labels") >= 5000}), ",").alias("failed_checks"))
