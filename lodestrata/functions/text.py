@@ -188,4 +188,4 @@ def identifiers(text: Column, stop: list[str], least: int = 3) -> Column:
 
 def statements(code: Column) -> Column:
     """Distinct non-blank statements between ``;``, braces and line ends."""
-    return F.array_distinct(F.filter(F.transform(F.split(code, r"[;{}\n]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(code, r"[;{}\n]"), lambda x: F.trim(x)), lambda x: x != ""))

@@ -56,11 +56,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) ->
 
 
 def read_line_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Each two adjoining lines are one entity: file, pair, first, second. A file with an odd tail fails the read."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("at long, value string").where(F.trim("value") != "")
-    paired = rows.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines"))
+    """Each two adjoining lines of a file are one entity: file, pair, first, second. A file with an odd tail fails the read."""
+    files = spark.read.text(path).inputFiles()
+    rows = None
+    for file in files:
+        one = spark.sparkContext.textFile(file).filter(lambda x: x.strip()).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("at long, value string").withColumn("file", F.lit(file))
+        rows = one if rows is None else rows.unionAll(one)
+    paired = rows.groupBy("file", F.floor(F.col("at") / 2).alias("pair")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines"))
     both = F.when(F.size("lines") == 2, F.col("lines")).otherwise(F.raise_error(F.concat(F.lit("unpaired line in pair "), F.col("pair").cast("string"))))
-    return paired.select("pair", both.alias("lines")).select("pair", F.from_json(F.col("lines")[0]["value"], schema).alias("first"), F.from_json(F.col("lines")[1]["value"], schema).alias("second"))
+    return paired.select("file", "pair", both.alias("lines")).select("file", "pair", F.from_json(F.col("lines")[0]["value"], schema).alias("first"), F.from_json(F.col("lines")[1]["value"], schema).alias("second"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
