@@ -73,7 +73,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode pre-tokens; those of a space and letters in long runs, where each begins with a piece that has the space."""
-        runnable = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        runnable, rest = [], []
+        for w in words:
+            (runnable if w[0] == " " and w[1:].isalpha() else rest).append(w)
         runs = [runnable[k : k + 2000] for k in range(0, len(runnable), 2000)]
         for run, found in zip(runs, self.tokenizer.encode_batch_fast(["".join(x) for x in runs], add_special_tokens=False)):
             ids = np.array(found.ids, self.dtype)
@@ -81,20 +83,23 @@ class Encoder:
             data, cuts = ids.tobytes(), cuts.tolist()
             assert len(cuts) == len(run) + 1
             self.memo.update((w, data[low:high]) for w, low, high in zip(run, cuts, cuts[1:]))
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
         for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.memo[w] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) else None for x in texts]
-        words = set().union(*filter(None, split))
-        new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) > MEMO:
             self.memo.clear()
-            new = words
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        return [self._whole(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split)]
+        get = self.memo.get
+        split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) else None for x in texts]
+        known = [None if words is None else list(map(get, words)) for words in split]
+        gaps = [() if ids is None or None not in ids else [k for k, x in enumerate(ids) if x is None] for ids in known]
+        self._learn(list({words[k] for words, at in zip(split, gaps) for k in at}))
+        out = []
+        for text, words, ids, at in zip(texts, split, known, gaps):
+            for k in at:
+                ids[k] = get(words[k])
+            out.append(self._whole(text) if ids is None else b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
