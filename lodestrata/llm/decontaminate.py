@@ -38,15 +38,20 @@ _SHIFT = np.uint64(32)
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts (A-Z lower-cased), and each text's number of words."""
-    data, _, ends = K.joined(texts, b" ")
-    data = K.LOWER[data]
-    w0, w1 = K.word_spans(data, K.LOWER_ALNUM)
-    return K.span_hashes(data, w0, w1), np.bincount(np.searchsorted(ends, w0, "right"), minlength=len(texts))
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in K.slices(texts):
+        data, _, ends = K.joined(texts.slice(low, high - low), b" ")
+        data = K.LOWER[data]
+        w0, w1 = K.word_spans(data, K.LOWER_ALNUM)
+        hashes.append(K.span_hashes(data, w0, w1))
+        counts.append(np.bincount(np.searchsorted(ends, w0, "right"), minlength=high - low))
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 SEGMENT = "segment long, rows array<struct<doc_id: {id}, n_words: long>>, terms binary, lengths binary, steps binary"
 
 
+@K.released
 def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, part -> one index row per segment."""
     number = 0
@@ -131,6 +136,7 @@ def intersect(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray, phrase_t
 def match_segments(held: Broadcast, slop: int):
     """Index rows -> maximal matched word ranges of each document row and item."""
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

@@ -62,6 +62,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
 
 
+@K.released
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(x.as_py()) for x in batch.column("text")]
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(_fingerprints, T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
+@K.released
 def _bit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((64, 64), np.int64)
     for batch in batches:
@@ -185,6 +187,7 @@ def _spanning(low: np.ndarray, high: np.ndarray) -> list[int]:
     return kept
 
 
+@K.released
 def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, v, fp) sorted by bucket (k, v) -> links (a, b), and (fp, null) for members of large buckets.
 
@@ -282,6 +285,7 @@ def _nameless(docs: DataFrame, found: DataFrame) -> DataFrame:
     return held.join(lone, held[column] == lone["fp"], "left_semi").select(*docs.columns)
 
 
+@K.released
 def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(x.as_py()) for x in batch.column("text")]

@@ -50,6 +50,7 @@ def buckets_of(data: np.ndarray) -> np.ndarray:
 _PAD = b"\n" * NGRAM
 
 
+@K.released
 def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns text, trusted -> one row of counts for each bucket that a partition has met."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -137,6 +138,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     source = plain(docs, "doc_id", "text")
 
+    @K.released
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = measure(batch.column("text"), held.value)
@@ -149,6 +151,7 @@ def keep_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, trusted))
 
+    @K.released
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(measure(batch.column(batch.schema.get_field_index("text")), held.value)["kept"]))

@@ -6,13 +6,15 @@ and splitting bytes equals splitting code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _CODES = np.arange(256)
 #: Word bytes of ``[^\x20\x09-\x0D]+``.
@@ -37,6 +39,22 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and then what it has freed goes back to the system: a worker lives on between tasks and stages."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only glibc has it
+            pass
+
+    return whole
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(32))

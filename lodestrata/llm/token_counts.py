@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lodestrata.llm import textkit as K
 from lodestrata.llm.storage import plain, table
 
 LIMIT = 4096
@@ -74,6 +75,7 @@ def counter_of(path: str) -> PieceCounter:
 
 
 def _count(path: str, limit: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
         for batch in batches:

@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm import textkit as K
 from lodestrata.llm.storage import join_checked, new_path, plain, table
 
 END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
 #: Pre-tokens whose ids a worker remembers; beyond that it starts anew.
-MEMO = 600_000
+MEMO = 400_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
@@ -136,6 +137,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
 
 
 def _write(path: str):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         end = np.array([END_ID], encoder.dtype).tobytes()
@@ -166,6 +168,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 INDEX = "shard int, record long, offset long, length long, doc_id string, n_tokens long, ids_crc32 long, before long"
 
 
+@K.released
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in INDEX.split(", ")]
     for batch in batches:

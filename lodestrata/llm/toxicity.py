@@ -59,6 +59,7 @@ def _inside(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+@K.released
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns text, toxic -> gram, n_toxic, n_ordinary: partial counts of a task."""
     keys, toxic, ordinary = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -111,6 +112,7 @@ def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _with_slot(slots: int):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = _slots(batch.column("gram").to_numpy(zero_copy_only=False).astype(np.uint64), slots)
@@ -189,6 +191,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _features_of(held):
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = features(batch.column("text"), *held.value)
@@ -221,6 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
         share = y.mean() if len(y) else 0.0
         weights = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = features(batch.column("text"), *held.value)
