@@ -97,7 +97,7 @@ def threads(linked: DataFrame) -> DataFrame:
         if parent.join(above, ["conv_id", "root_turn"], "left_semi").isEmpty():
             return parent
         joined = parent.join(above, ["conv_id", "root_turn"], "left")
-        parent = stored(joined.select("conv_id", "turn", "reply_to", F.coalesce("higher", "root_turn").alias("root_turn"), (F.col("reply_depth") + F.coalesce("steps", F.lit(0))).alias("reply_depth")), "threads")
+        parent = stored(joined.select("conv_id", "turn", "reply_to", F.coalesce("higher", "root_turn").alias("root_turn"), (F.col("reply_depth") + F.coalesce("steps", F.lit(0))).alias("reply_depth")), "threads", replaces=parent)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -121,3 +121,39 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+ORACLE = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (
+  SELECT rid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM m),
+v AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)*'), '[^>]', '', 'g')) AS lv, regexp_replace(line, '^[ \t]*(?:>[ \t]*)*', '') AS content FROM l),
+a AS (
+  SELECT *, lv = 0 AND NOT contains(line, '>') AND regexp_matches(line, '(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$') AND coalesce(lead(lv) OVER w, 0) > 0 AS announced,
+         (lv != coalesce(lag(lv) OVER w, 0))::INTEGER AS begins FROM v WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+f AS (
+  SELECT m.rid, conv_id, turn, role, trim(coalesce(b, ''), E' \t\n\r') AS body, nq AS n_quoted_lines, ml::BIGINT AS max_level
+  FROM m JOIN (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (lv = 0 AND NOT announced) AS b, count(*) FILTER (lv > 0) AS nq, max(lv) AS ml FROM a GROUP BY rid) USING (rid)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY rid ORDER BY pos) AS passage FROM a),
+q AS (
+  SELECT DISTINCT conv_id, turn, passage, lv, trim(regexp_replace(lower(string_agg(content, ' ' ORDER BY pos)), '[\x00-\x20]+', ' ', 'g')) AS whole,
+         max(struct_pack(n := length(trim(regexp_replace(lower(content), '[\x00-\x20]+', ' ', 'g'))), t := trim(regexp_replace(lower(content), '[\x00-\x20]+', ' ', 'g')))).t AS longest
+  FROM r WHERE lv > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, passage, lv),
+k AS (
+  SELECT conv_id, turn, passage, lv, 0 AS rank, whole AS unit FROM q WHERE whole != '' UNION ALL SELECT conv_id, turn, passage, lv, 1, longest FROM q WHERE whole != ''),
+u AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(x), '[\x00-\x20]+', ' ', 'g')) AS unit
+  FROM (SELECT conv_id, turn, unnest(list_concat([body], string_split_regex(body, '\n[ \t]*\n'), string_split(body, chr(10)))) AS x FROM f)),
+o AS (SELECT k.conv_id, k.turn, passage, lv, rank, max(u.turn) AS origin FROM k JOIN u ON k.conv_id = u.conv_id AND k.unit = u.unit AND u.turn < k.turn GROUP BY ALL),
+best AS (SELECT conv_id, turn, lv, arg_min(origin, rank) AS origin FROM o GROUP BY conv_id, turn, passage, lv),
+parent AS (SELECT conv_id, turn, max(origin) AS reply_to FROM best b WHERE lv = (SELECT min(lv) FROM best c WHERE c.conv_id = b.conv_id AND c.turn = b.turn) GROUP BY conv_id, turn),
+t AS (
+  SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM parent
+  UNION ALL SELECT t.conv_id, t.turn, p.reply_to, depth + 1 FROM t JOIN parent p ON t.conv_id = p.conv_id AND t.root = p.turn),
+top AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM t GROUP BY conv_id, turn)
+SELECT f.conv_id, coalesce(top.root, f.turn) AS root_turn, f.turn, role, reply_to, coalesce(depth, 0)::BIGINT AS reply_depth, n_quoted_lines, max_level, body,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) AS message
+FROM f LEFT JOIN parent USING (conv_id, turn) LEFT JOIN top ON f.conv_id = top.conv_id AND f.turn = top.turn
+"""

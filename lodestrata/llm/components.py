@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges", replaces=now)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing
+from lodestrata.llm import chat, decontaminate, mixing
 from lodestrata.llm.chat import op10_chat
 from lodestrata.llm.decontaminate import op2_decontaminate
 from lodestrata.llm.language import op6_language
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op7_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}

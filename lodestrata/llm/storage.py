@@ -41,11 +41,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
+def stored(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss.
+
+    ``replaces``: a frame that came from here, whose files are deleted now that ``df`` is written.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if replaces is not None:
+        drop_path(df.sparkSession, replaces._stored_at)
+    return out
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
