@@ -89,8 +89,8 @@ def has_credentials(text: Column) -> Column:
 
 
 def risk_of(text: Column) -> Column:
-    """Risk level of the first listed word that occurs; medium without one."""
-    low, out = F.lower(text), F.lit("medium")
+    """Risk level of the first listed word that occurs; unknown without one."""
+    low, out = F.lower(text), F.lit("unknown")
     for word, level in reversed(RISK_WORDS.items()):
         out = F.when(low.contains(word), level).otherwise(out)
     return out
@@ -161,7 +161,13 @@ def abnormal_length(text: Column, limit: int = 32768) -> Column:
 
 
 def truncated(text: Column, limit: int, marker: str = "\n[TRUNCATED]") -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)
+    """The first ``limit`` characters, without white space at their end, and a marker, if a text is longer."""
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), r"[\s]+$", ""), F.lit(marker))).otherwise(text)
+
+
+def cleaned(text: Column) -> Column:
+    """Text without zero bytes, runs of blank lines and white space at its ends."""
+    return F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit("")), r"\n{3,}", "\n\n"), r"^[\s]+|[\s]+$", "")
 
 
 def numbered_lines(text: Column) -> Column:

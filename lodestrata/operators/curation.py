@@ -382,3 +382,29 @@ def approved(manifest: DataFrame, review: DataFrame, recomputed: DataFrame) -> D
     """One row, approved: the manifest says so, and the review it embeds equals the one recomputed."""
     equal = review.exceptAll(recomputed).isEmpty() and recomputed.exceptAll(review).isEmpty()
     return manifest.select((F.col("approved") & F.lit(equal)).alias("approved"))
+
+
+def evidence_targets(rows: DataFrame, key: str, cwe: str, code: str, label: str, rules: dict[str, list[str]], scores: dict[str, int], k: int) -> DataFrame:
+    """key, assessment, evidence (the ``k`` best lines, joined), reason: a positive without an observable relation is quarantined."""
+    evidence = ranked_evidence(rows, key, code, scores, None, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "line"))).alias("x"))
+    seen = F.coalesce(visible(F.col(code), F.col(cwe), rules), F.lit(False))
+    reason = F.when((F.col(label) == 1) & ~seen, "no_observable_target_relation").otherwise("eligible")
+    return rows.select(key, F.when(F.col(label) == 1, "present").otherwise("not_observed").alias("assessment"), reason.alias("reason")).join(evidence, key, "left").select(
+        key, "assessment", F.when(F.col("reason") == "eligible", F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("evidence"), "reason"
+    )
+
+
+def packets(queue: DataFrame, rank: str, title: str, batch: int) -> DataFrame:
+    """packet, n, text: the queue in review packets of ``batch`` entries."""
+    numbered = queue.withColumn("packet", F.ceil(F.col(rank) / batch))
+    grouped = numbered.groupBy("packet").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(title).cast("string").alias("t")))).alias("x"))
+    return grouped.select("packet", "n", F.array_join(F.transform("x", lambda x: F.concat(F.lit("- ["), x["r"].cast("string"), F.lit("] "), x["t"])), "\n").alias("text"))
+
+
+def merged_shards(shards: DataFrame, low: str, high: str, ok: str, n: str) -> DataFrame:
+    """One row: shards, gaps, overlaps, entries, success rate of shards that must join without a gap."""
+    step = F.col(low) - F.lag(high).over(Window.partitionBy(F.lit(1)).orderBy(low)) - 1  # one row a shard
+    marked = shards.withColumn("_s", step)
+    return marked.agg(
+        F.count("*").alias("n_shards"), F.count_if(F.col("_s") > 0).alias("n_gaps"), F.count_if(F.col("_s") < 0).alias("n_overlaps"), F.sum(n).alias("n_entries"), F.round(F.try_divide(F.sum(ok).cast("double"), F.sum(n).cast("double")), 4).alias("success_rate")
+    )

@@ -151,3 +151,11 @@ def consistency(answers: DataFrame, group: str, answer: str) -> DataFrame:
 def one_or_mixed(column: str) -> Column:
     """Aggregate: the only value, or ``mixed``."""
     return F.when(F.min(column) == F.max(column), F.min(column)).otherwise("mixed")
+
+
+def classifier_gate(scored: DataFrame, score: str, label: str, by: str, threshold: float, threshold_source: str, min_recall: float, max_fpr: float) -> DataFrame:
+    """One row: the least recall and the largest false positive rate over all classes, and whether both hold."""
+    if threshold_source != "calibration":
+        raise ValueError("the threshold must come from calibration")
+    each = threshold_metrics(scored, score, label, threshold, [by]).agg(F.coalesce(F.min("recall"), F.lit(0.0)).alias("min_recall"), F.coalesce(F.max("false_positive_rate"), F.lit(0.0)).alias("max_fpr"))
+    return each.select("*", ((F.col("min_recall") >= min_recall) & (F.col("max_fpr") <= max_fpr)).alias("passed"))

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as T
+from lodestrata.functions.hashing import sha
+
 # The prompts' endings, chosen by hash.
 PROMPT_ENDINGS = ["A", "B", "C", "D"]
+# Limits of a record's context and code, and its splits.
+MAX_CONTEXT, MAX_CODE = 6000, 4000
+TRAINING_SPLITS = ["train", "validation"]
 
 
 def first_failure(rules: list[tuple[str, Column]], passed: str = "eligible") -> Column:
@@ -56,3 +62,55 @@ def compacted(values: Column, limit: int) -> Column:
 def without_keys(signals: Column, forbidden: list[str]) -> Column:
     """A map without the forbidden keys, compared in lower case."""
     return F.map_filter(signals, lambda k, v: ~F.lower(k).isin(forbidden))
+
+
+def canonical(record_id: Column, source: Column, task: Column, context: Column, signals: Column, risk: Column, split: Column) -> Column:
+    """A canonical record: context redacted, cleaned and cut, in that order; redactions are counted among the signals."""
+    n = T.redactions(context)
+    marks = F.when(n > 0, F.map_concat(signals, F.create_map(F.lit("redacted_secret_like_assignments"), n.cast("string")))).otherwise(signals)
+    return F.struct(
+        record_id.alias("id"),
+        F.struct(source.alias("name"), F.lit(None).cast("string").alias("url")).alias("source"),
+        F.struct(task.alias("task"), T.truncated(T.cleaned(T.redacted(context)), MAX_CONTEXT).alias("context"), marks.alias("signals")).alias("input"),
+        F.struct(risk.alias("risk_level"), F.array().cast("array<string>").alias("attack_mapping")).alias("expected_output"),
+        F.struct(split.alias("split"), F.lit("redacted").alias("safety_level"), F.lit(False).alias("contains_executable_payload")).alias("metadata"),
+    )
+
+
+def instruction_to_canonical(instruction: Column, given: Column, output: Column, index: Column) -> Column:
+    """A canonical record from an instruction row. Its output only counts towards the risk; it is never copied."""
+    instruction, given, output = (F.trim(F.coalesce(x, F.lit(""))) for x in (instruction, given, output))
+    both = F.array_join(F.filter(F.array(instruction, given), lambda x: x != ""), "\n\n")
+    context = F.concat(F.lit("Instruction:\n"), instruction, F.lit("\n\nInput excerpt:\n"), T.truncated(given, MAX_CODE))
+    names = F.array_join(T.named_hits(given, T.SUSPICIOUS), ",")
+    signals = F.create_map(F.lit("legacy_format"), F.lit("alpaca"), F.lit("suspicious_signal_names"), names)
+    name = F.concat(F.lit("legacy-alpaca-"), F.lpad(index.cast("string"), 6, "0"), F.lit("-"), sha(both, 12))
+    return canonical(name, F.lit("instruction rows"), F.lit("summarize"), context, signals, T.risk_of(F.concat_ws(" ", instruction, given, output)), F.lit("train"))
+
+
+def labelled_code_to_canonical(code: Column, target: Column, project: Column, record_id: Column) -> Column:
+    """A canonical record from a labelled function."""
+    context = F.concat(F.lit("Code excerpt:\n"), T.truncated(code, MAX_CODE))
+    signals = F.create_map(F.lit("target"), target.cast("string"), F.lit("project"), project)
+    return canonical(record_id, project, F.lit("assess"), context, signals, F.when(target == 1, "high").otherwise("low"), F.lit("train"))
+
+
+def question_and_answer(messages: DataFrame, key: str) -> DataFrame:
+    """key, question, answer: the first user and assistant messages; keys that lack one are left out."""
+    found = instruction_rows(messages.withColumnRenamed(key, "conv_id"))
+    return found.select(F.col("conv_id").alias(key), F.col("instruction").alias("question"), F.col("output").alias("answer"))
+
+
+def training_reason(record: Column, expected: Column) -> Column:
+    """Why a canonical record can't be trained on: the first rule it breaks; ``eligible`` if none."""
+    context, meta = record["input"]["context"], record["metadata"]
+    return first_failure(
+        [
+            ("schema", record["id"].isNull() | (F.trim(context) == "")),
+            ("executable_payload", meta["contains_executable_payload"]),
+            ("credentials", T.has_credentials(context) | T.has_credentials(expected)),
+            ("unsafe_guidance", T.any_match(expected, T.UNSAFE_GUIDANCE)),
+            ("restricted", meta["safety_level"] == "restricted"),
+            ("held_out_split", ~meta["split"].isin(TRAINING_SPLITS)),
+        ]
+    )

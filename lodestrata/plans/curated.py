@@ -320,3 +320,115 @@ def training_chats(spark, d):
     messages = B.chat(F.lit("You review code."), F.col("text"), F.when(F.col("toxic") == 1, "present").otherwise("not_observed"))
     rows = _labelled(spark, d).select("doc_id", messages.alias("m"))
     return rows.select("doc_id", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.sha2(F.col("m")[1]["content"], 256).alias("user_sha256"))
+
+
+_CLEAN = r"regexp_replace(regexp_replace(replace({x}, chr(0), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s]+|[\s]+$', '', 'g')"
+_CUT = r"CASE WHEN length({x}) > {n} THEN regexp_replace(substr({x}, 1, {n}), '[\s]+$', '') || chr(10) || '[TRUNCATED]' ELSE {x} END"
+
+
+def _canonical_context(excerpt: str, head: str) -> str:
+    redacted = r"regexp_replace(c, '(\b[A-Za-z0-9_]*(?:password|api_key|client_secret)[A-Za-z0-9_]*\b)\s*=\s*([^\s,;)}}\]]+)', '\\1 = [REDACTED_SECRET]', 'gi')".replace("}}", "}").replace("\\\\", "\\")
+    cut = _CUT.format(x=excerpt, n=4000)
+    return f"""x AS (SELECT *, {head} || {cut} AS c FROM t), y AS (SELECT *, {_CLEAN.format(x=redacted)} AS k FROM x), z AS (SELECT *, {_CUT.format(x='k', n=6000)} AS context FROM y)"""
+
+
+@query(
+    f"""WITH {_TOXIC}, {_canonical_context('text', "'Code excerpt:' || chr(10)")}
+SELECT doc_id, 'doc-' || doc_id AS id, sha256(context) AS context_sha256, CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END AS risk_level FROM z"""
+)
+def canonical_records(spark, d):
+    rows = _labelled(spark, d).select("doc_id", B.labelled_code_to_canonical(F.col("text"), F.col("toxic"), F.col("source"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("r"))
+    return rows.select("doc_id", "r.id", F.sha2("r.input.context", 256).alias("context_sha256"), "r.expected_output.risk_level")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, trim(lang) AS i, trim(substr(text, 1, 200)) AS g FROM documents)
+SELECT doc_id, 'legacy-alpaca-' || lpad(doc_id::VARCHAR, 6, '0') || '-' || substr(sha256(CASE WHEN g = '' THEN i ELSE i || chr(10) || chr(10) || g END), 1, 12) AS id, 'alpaca' AS legacy_format FROM t"""
+)
+def instruction_adapter(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", B.instruction_to_canonical(F.col("lang"), F.substring("text", 1, 200), F.lit(None).cast("string"), F.col("doc_id")).alias("r"))
+    return rows.select("doc_id", "r.id", F.col("r.input.signals")["legacy_format"].alias("legacy_format"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, max(text) FILTER (role = 'user' AND n = 1) AS question, max(text) FILTER (role = 'assistant' AND n = 1) AS answer FROM m GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0"""
+)
+def question_answer_adapter(spark, d):
+    return B.question_and_answer(table(spark, d, "conversations"), "conv_id")
+
+
+@query(
+    f"""WITH {_TOXIC} SELECT doc_id, CASE WHEN trim('Code excerpt:' || chr(10) || text) = '' THEN 'schema' WHEN doc_id % 7 = 0 THEN 'unsafe_guidance' ELSE 'eligible' END AS reason FROM t"""
+)
+def training_eligibility(spark, d):
+    record = B.labelled_code_to_canonical(F.col("text"), F.col("toxic"), F.col("source"), F.col("doc_id").cast("string"))
+    expected = F.when(F.col("doc_id") % 7 == 0, "a step-by-step plan").otherwise("a report")
+    return _labelled(spark, d).select("doc_id", record.alias("r"), expected.alias("e")).select("doc_id", B.training_reason(F.col("r"), F.col("e")).alias("reason"))
+
+
+@query(
+    f"""WITH {C.SCORED}, w AS (SELECT day, count(*) FILTER (label = 1 AND score >= 0.4)::DOUBLE / nullif(count(*) FILTER (label = 1), 0) AS r, count(*) FILTER (label = 0 AND score >= 0.4)::DOUBLE / nullif(count(*) FILTER (label = 0), 0) AS f FROM s GROUP BY 1),
+a AS (SELECT round(coalesce(min(coalesce(r, 0.0)), 0.0), 6) AS min_recall, round(coalesce(max(coalesce(f, 0.0)), 0.0), 6) AS max_fpr FROM w)
+SELECT min_recall, max_fpr, min_recall >= 0.9 AND max_fpr <= 0.05 AS passed FROM a"""
+)
+def classifier_gate(spark, d):
+    from lodestrata.operators.evaluation import classifier_gate as gate
+
+    return gate(C.scored(spark, d), "score", "label", "day", 0.4, "calibration", 0.9, 0.05)
+
+
+@query(
+    """WITH c AS (SELECT text, count(*) AS c FROM documents GROUP BY 1), m AS (SELECT round(sum(c - 1)::DOUBLE / sum(c), 6) AS exact_duplicate_rate, round(max(c)::DOUBLE / sum(c), 6) AS single_target_rate FROM c)
+SELECT exact_duplicate_rate, single_target_rate, 1.0::DOUBLE AS schema_rate, 0 AS leaks, exact_duplicate_rate <= 0.05 AND single_target_rate <= 0.02 AS passed,
+ array_to_string(list_filter([CASE WHEN exact_duplicate_rate > 0.05 THEN 'exact_duplicate_rate' END, CASE WHEN single_target_rate > 0.02 THEN 'single_target_rate' END], lambda x: x IS NOT NULL), ',') AS failed_checks FROM m"""
+)
+def target_audit_gate(spark, d):
+    from lodestrata.operators.dedup import duplicate_mass
+    from lodestrata.operators.evaluation import gate
+
+    mass = duplicate_mass(table(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")
+    metrics = mass.select(F.round(F.col("duplicate_mass") / F.col("n"), 6).alias("exact_duplicate_rate"), F.col("max_share").alias("single_target_rate"), F.lit(1.0).alias("schema_rate"), F.lit(0).alias("leaks"))
+    return gate(metrics, "target_audit")
+
+
+@query(
+    r"""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'present' ELSE 'not_observed' END AS assessment, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 IN (1, 4) THEN 'no_observable_target_relation' ELSE 'eligible' END AS reason,
+CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 IN (1, 4) THEN NULL ELSE CASE s_suppkey % 5 WHEN 0 THEN 'strcpy(b, s);' WHEN 1 THEN 'strcpy(b, s);' WHEN 2 THEN 'n = n + 1;' WHEN 3 THEN 'q = p->x;' ELSE 'x' END END AS evidence FROM supplier"""
+)
+def evidence_targets(spark, d):
+    rows = _snippets(spark, d).withColumn("label", (F.col("s_suppkey") % 2 == 0).cast("int"))
+    return K.evidence_targets(rows, "s_suppkey", "cwe", "code", "label", RULES, {r"strcpy": 9, r"->": 5, r"=": 2}, 1)
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 45) SELECT ceil(k / 10.0)::BIGINT AS packet, count(*) AS n, string_agg('- [' || k || '] ' || doc_id, chr(10) ORDER BY k) AS text FROM r GROUP BY 1")
+def review_packets(spark, d):
+    from pyspark.sql import Window
+
+    first = table(spark, d, "documents").where("lang = 'es'").select("doc_id").orderBy("doc_id").limit(45)
+    return K.packets(first.withColumn("k", F.row_number().over(Window.orderBy("doc_id"))), "k", "doc_id", 10)  # 45 rows
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority AS p, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ok FROM orders GROUP BY 1), r AS (SELECT (ascii(p) - 49) * 10 AS lo, (ascii(p) - 49) * 10 + 9 AS hi, n, ok FROM s), l AS (SELECT *, lo - lag(hi) OVER (ORDER BY lo) - 1 AS s FROM r)
+SELECT count(*) AS n_shards, count(*) FILTER (s > 0) AS n_gaps, count(*) FILTER (s < 0) AS n_overlaps, sum(n)::BIGINT AS n_entries, round(sum(ok)::DOUBLE / sum(n), 4) AS success_rate FROM l"""
+)
+def merged_shards(spark, d):
+    s = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("ok"))
+    low = (F.ascii("o_orderpriority") - 49) * 10
+    return K.merged_shards(s.select(low.alias("lo"), (low + 9).alias("hi"), "n", "ok"), "lo", "hi", "ok", "n")
+
+
+@query(
+    f"""WITH {C.SQL}, m AS (SELECT count(*) FILTER (is_positive AND decision) AS tp, count(*) FILTER (is_positive) AS p, count(*) FILTER (NOT is_positive AND decision) AS fp, round(avg(parsed::INTEGER), 4) AS pr FROM k)
+SELECT p > 0 AND round(tp::DOUBLE / p, 6) >= 0.95 AND round(tp::DOUBLE / (tp + fp), 6) >= 0.9 AS decision_passed, pr >= 0.99 AS evidence_passed, p > 0 AND round(tp::DOUBLE / p, 6) >= 0.95 AND round(tp::DOUBLE / (tp + fp), 6) >= 0.9 AND pr >= 0.99 AS passed FROM m"""
+)
+def two_stage_gate(spark, d):
+    from lodestrata.functions.rates import rate
+    from lodestrata.operators.evaluation import confusion
+
+    cases = C.cases(spark, d)
+    m = confusion(cases).crossJoin(cases.agg(rate(F.col("parsed")).alias("parse_rate")))  # one row each
+    first, second = (F.col("recall") >= 0.95) & (F.col("precision") >= 0.9), F.col("parse_rate") >= 0.99
+    return m.select(first.alias("decision_passed"), second.alias("evidence_passed"), (first & second).alias("passed"))

@@ -119,13 +119,13 @@ def leakage_flags(spark, d):
 
 @query(
     f"""WITH {_CODE} SELECT page_id, CASE WHEN contains(lower(t), '취약') OR contains(lower(t), 'vulnerable') OR contains(lower(t), 'malicious') OR contains(lower(t), 'exploit') THEN 'high'
- WHEN contains(lower(t), 'safe') OR contains(lower(t), '안전') OR contains(lower(t), 'benign') THEN 'low' ELSE 'medium' END AS risk FROM x"""
+ WHEN contains(lower(t), 'safe') OR contains(lower(t), '안전') OR contains(lower(t), 'benign') THEN 'low' ELSE 'unknown' END AS risk FROM x"""
 )
 def keyword_risk(spark, d):
     return _code(spark, d).select("page_id", T.risk_of(F.col("t")).alias("risk"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || chr(10) || '[TRUNCATED]' ELSE text END) AS cut_sha256 FROM documents")
+@query("SELECT doc_id, sha256(CASE WHEN length(text) > 600 THEN regexp_replace(substr(text, 1, 600), '[\\s]+$', '') || chr(10) || '[TRUNCATED]' ELSE text END) AS cut_sha256 FROM documents")
 def truncated_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.truncated(F.col("text"), 600), 256).alias("cut_sha256"))
 

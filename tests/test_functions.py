@@ -55,7 +55,7 @@ def test_scans(spark):
     assert got[0][0] == ["dynamic_execution"] and got[1][0] == ["process_execution", "filesystem_modification"]
     assert [x[1] for x in got] == [False, False, True, False, False, False, False]
     assert [x[2] for x in got] == [False, False, False, True, False, False, False]
-    assert [x[3] for x in got][2:6] == ["low", "medium", "medium", "high"]
+    assert [x[3] for x in got][2:6] == ["low", "unknown", "unknown", "high"]
     assert got[6][4] == ["dataset_label", "dataset_name", "signal_key:Target", "split"]
 
 
