@@ -9,7 +9,8 @@ all pairs of bits over all distinct fingerprints. Each fingerprint is then filed
 
 A bucket of more than ``BUCKET`` fingerprints is not compared pair by pair. Its members go to an exact way
 whose cost is linear: each is filed under itself and its 64 one-bit neighbours; two fingerprints meet there
-if and only if they differ in at most two bits, and no such group has over 65 members.
+if and only if they differ in at most two bits, and no such group has over 65 members. ``BUCKET`` is where
+that begins to pay: a comparison takes a few nanoseconds, filing a row under 65 keys about 0.1 ms.
 
 Defined cases: a null or empty text has fingerprint zero, which is linked like any other. Equal texts have equal
 fingerprints, so ties and repeated rows fall in one component. A null ``doc_id`` links others but never
@@ -37,7 +38,9 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Largest bucket whose members are compared pair by pair.
-BUCKET = 32
+BUCKET = 8192
+#: Buckets up to this size are compared together, larger ones one by one.
+SMALL = 32
 MAX_PARTITIONS = 6
 #: Cost of filing a fingerprint under one key, in comparisons.
 KEY_COST = 8.0
@@ -168,28 +171,42 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
-def _spanning(low: np.ndarray, high: np.ndarray) -> list[int]:
-    """Places of links enough to connect what all of them connect."""
-    parent: dict[int, int] = {}
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
 
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
 
-    kept = []
-    for k, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(k)
-    return kept
+def _links(run: np.ndarray, fp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places (low, high) of all pairs within RADIUS bits in the same bucket; ``run``: ascending bucket numbers."""
+    found = [np.zeros((2, 0), np.int64)]
+    small = np.flatnonzero(size <= SMALL)
+    r, f = run[small], fp[small]
+    for d in range(1, min(int(size[small].max(initial=0)), len(small))):
+        at = np.flatnonzero((r[d:] == r[:-d]) & _near(f[d:], f[:-d]))
+        found.append(np.stack((small[at], small[at + d])))
+    for bucket in np.unique(run[size > SMALL]):
+        first, last = np.searchsorted(run, (bucket, bucket + 1))
+        for low in range(first, last, 256):  # 256 rows against all from them on
+            i, j = np.nonzero(_near(fp[low : min(low + 256, last), None], fp[None, low:last]))
+            found.append(np.stack((low + i, low + j))[:, i < j])
+    return np.concatenate(found, axis=1)
+
+
+def _roots(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least place that each of ``n`` places is linked to."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, high, root[low])
+        np.minimum.at(new, low, root[high])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 @K.released
 def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, v, fp) sorted by bucket (k, v) -> links (a, b), and (fp, null) for members of large buckets.
+    """Rows (k, v, fp) sorted by bucket (k, v) -> (a, b) that connect what is linked, and (fp, null) for members of large buckets.
 
     Works on a stream: it holds one batch, and no more than BUCKET rows of the bucket that a batch ends in.
     """
@@ -223,17 +240,11 @@ def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         keep = ~big & (run == open_run)
         held = [x[keep] for x in (k, v, fp)]
         todo = ~big & (run != open_run) & (size[run] > 1)
-        run, fp = run[todo], fp[todo]
-        found = []
-        for d in range(1, min(BUCKET, len(run))):
-            near = (run[d:] == run[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= RADIUS) & (fp[d:] != fp[:-d])
-            at = np.flatnonzero(near)
-            found.append(np.stack((at, at + d)))
-        if found:
-            low, high = np.concatenate(found, axis=1)
-            kept = _spanning(low, high)
-            if kept:
-                yield emit(fp[low[kept]], fp[high[kept]])
+        fp = fp[todo]
+        root = _roots(len(fp), *_links(run[todo], fp, size[run[todo]]))
+        moved = np.flatnonzero(root != np.arange(len(fp)))
+        if len(moved):
+            yield emit(fp[root[moved]], fp[moved])
 
     for batch in batches:
         yield from settle(*(np.concatenate((h, batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64))) for h, x in zip(held, names)), last=False)
