@@ -15,7 +15,8 @@ def first_of(df: DataFrame, hash_column: str, ordinal: str, name: str, label: st
     facts = [F.min(ordinal).alias(f"{name}_first")]
     if label:
         facts.append((F.min(label) != F.max(label)).alias(f"{name}_conflict"))
-    return df.join(df.groupBy(hash_column).agg(*facts), hash_column)
+    per_hash = df.groupBy(F.col(hash_column).alias("_hash")).agg(*facts)
+    return df.join(per_hash, df[hash_column].eqNullSafe(per_hash["_hash"])).drop("_hash")
 
 
 def duplicate_pointers(df: DataFrame, hash_column: str, ordinal: str) -> DataFrame:

@@ -30,7 +30,8 @@ def tempered_priority(df: DataFrame, stratum: str, project: str, key: str, seed:
     """Adds ``priority``: exponential key with weights that temper frequent strata and projects."""
     counted = df
     for column, name in ((stratum, "_ns"), (project, "_np")):
-        counted = counted.join(df.groupBy(column).agg(F.count("*").alias(name)), column)
+        known = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
+        counted = counted.withColumn("_k", known).join(df.groupBy(known.alias("_k")).agg(F.count("*").alias(name)), "_k").drop("_k")
     weight = F.pow(F.col("_ns"), F.lit(-CWE_EXPONENT)) * F.pow(F.col("_np"), F.lit(-PROJECT_EXPONENT))
     return counted.withColumn("priority", exponential_priority(seed, F.col(key), weight)).drop("_ns", "_np")
 
@@ -42,7 +43,8 @@ def weighted_sample(df: DataFrame, stratum: str, project: str, key: str, seed: i
         return ranked.orderBy("priority", key).limit(quota)
     cap = max(1, -int(-quota * fraction // 1))
     k = F.row_number().over(Window.partitionBy(project).orderBy("priority", key))
-    return ranked.withColumn("_k", k).orderBy(F.col("_k") > cap, "priority", key).limit(quota).drop("_k")
+    # a project's rows beyond the quota are never needed: dropped before they are shuffled
+    return ranked.withColumn("_k", k).where(F.col("_k") <= quota).orderBy(F.col("_k") > cap, "priority", key).limit(quota).drop("_k")
 
 
 def round_robin(df: DataFrame, bucket: str, key: str, seed: int, k: int | None = None) -> DataFrame:

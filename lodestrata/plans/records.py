@@ -30,6 +30,7 @@ def catalog(spark, d):
         "doc_id", "lang", "source", F.coalesce("label", F.lit("unknown")).alias("label"), F.sha2("text", 256).alias("content"), F.sha2(T.near_normal(F.col("text"), r"[\s]"), 256).alias("near"),
         F.col("text").rlike(T.SUSPICIOUS["dynamic_execution"]).alias("payload"), (F.length(F.trim("text")) > 0).alias("has_code"),
     )
+    rows = rows.persist()  # narrow rows that three plans below read; without it every text is hashed three times
     found = D.first_of(D.first_of(rows, "content", "doc_id", "exact", "label"), "near", "doc_id", "near", "label")
     what = D.disposition(
         F.col("exact_conflict"), F.col("near_conflict"), F.col("payload"), F.col("exact_first") < F.col("doc_id"), F.col("near_first") < F.col("doc_id"), F.col("has_code"), F.col("lang").isNotNull(), F.col("label") != "unknown"
