@@ -74,7 +74,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path, text of whole files by name pattern, hidden folders left out."""
-    files = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(r"/\.[^/]+/"))
 
 
@@ -116,7 +116,10 @@ def broken_files(spark: SparkSession, path: str, inventory: DataFrame) -> DataFr
 
 
 def freeze(frames: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write all frames below a new ``path`` at once: into a temporary folder, then renamed. Refuses to overwrite. Returns the inventory."""
+    """Write all frames below a new ``path`` at once: into a temporary folder, then renamed. Refuses to overwrite.
+
+    Returns the inventory of the files, which is kept beside them in ``_inventory``.
+    """
     spark = next(iter(frames.values())).sparkSession
     target, fs = _fs(spark, path)
     if fs.exists(target):
@@ -125,9 +128,10 @@ def freeze(frames: dict[str, DataFrame], path: str) -> DataFrame:
     try:
         for name, df in frames.items():
             write_parquet(df, f"{staged}/{name}")
+        hash_inventory(spark, staged).write.parquet(f"{staged}/_inventory")
         if not fs.rename(_fs(spark, staged)[0], target):
             raise OSError(f"could not publish {path}")
     except BaseException:
         fs.delete(_fs(spark, staged)[0], True)
         raise
-    return hash_inventory(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/_inventory")

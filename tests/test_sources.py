@@ -63,7 +63,7 @@ def test_line_pairs(spark, tmp_path):
 
 def test_freeze(spark, tmp_path):
     out = str(tmp_path / "frozen")
-    inventory = text.freeze({"x": spark.range(5).toDF("id"), "y": spark.range(2).toDF("id")}, out).cache()
+    inventory = text.freeze({"x": spark.range(5).toDF("id"), "y": spark.range(2).toDF("id")}, out)
     assert spark.read.parquet(f"{out}/x").count() == 5 and inventory.count() >= 2
     assert text.broken_files(spark, out, inventory).isEmpty()
     with pytest.raises(FileExistsError):
