@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.llm import textkit as K
 from lodestrata.llm.storage import plain, table
 
 SAMPLE_ROWS = 1000
@@ -55,8 +56,14 @@ def dictionaries(rows: DataFrame) -> dict[str, bytes]:
     """
     known = rows.where("lang is not null and text is not null and doc_id is not null")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return {}
+    # in a large language only hashes low enough to be among the least are ranked, so that no task sees all its rows
+    share = F.broadcast(known.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * SAMPLE_ROWS / r["n"])) for r in counts], "lang string, share double"))
+    hash_of = F.xxhash64("doc_id")
+    low = known.select("doc_id", "lang").join(share, "lang").where((hash_of / F.lit(2.0**64) + 0.5) <= F.col("share")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
+    chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     filled = texts.groupBy("lang", "rank").agg(F.min("text").alias("text"))  # one text of a repeated doc_id
     upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
@@ -94,6 +101,7 @@ def identify(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of ``docs``; ``learn``: labelled rows (doc_id, text, lang)."""
     held = docs.sparkSession.sparkContext.broadcast(dictionaries(plain(learn, "doc_id", "text", "lang")))
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(held.value)
         for batch in batches:
