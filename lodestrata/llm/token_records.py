@@ -10,7 +10,7 @@ is a Parquet table of shard, record, offset, length, doc_id, n_tokens, ids_crc32
 shard before the record): a shuffled read needs only the index and ranges of the shards.
 
 Ids are in ascending order of doc_id over the shards' numbers: null ids come first, and rows with equal
-doc_id are ordered by their text. A null text is empty: its sequence is the end id alone. An empty
+doc_id are ordered by a hash of their text, then by the text. A null text is empty: its sequence is the end id alone. An empty
 table gives no shard and an empty result. Other columns are ignored.
 """
 
@@ -35,8 +35,8 @@ from lodestrata.llm.storage import join_checked, new_path, plain, table
 END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
-#: Pre-tokens whose ids a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+#: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
+MEMO = 1_000_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
@@ -160,7 +160,8 @@ def _write(path: str):
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Write the ids of all texts below ``path``, in ascending order of doc_id; a shard per partition."""
-    source = plain(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")  # so that even rows of one doc_id spread over partitions
+    source = plain(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     chunks = source.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_write(tokenizer_path), "value binary")
     chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 

@@ -123,7 +123,7 @@ class TestTokenRecords:
 
         tokenizer = Tokenizer.from_file(path)
         for df in (edge, docs):
-            rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in df.select("doc_id", "text").collect()))
+            rows = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.text or "") for r in df.selectExpr("doc_id", "text", "xxhash64(text) as h").collect())
             start, want = 0, []
             for has, key, _, text in rows:
                 ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]

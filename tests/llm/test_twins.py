@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from lodestrata.llm import chat, queries
-from tests.llm.test_contracts import TestChat
+from tests.llm import test_contracts
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_quoting_twin(spark):
     """The supplied conversations quote nothing; these do."""
     more = [(7, 0, "user", "first\n\nsecond paragraph\nof two lines")]
     more += [(7, k, "user", ">" * (k % 3 + 1) + f" second   PARAGRAPH\n> of two lines\nAnn wrote:\n> first\nreply {k}\n> reply {k - 1}") for k in range(1, 9)]
-    rows = TestChat.ROWS + more
+    rows = test_contracts.TestChat.ROWS + more
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     duck = duckdb.connect()
     duck.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
