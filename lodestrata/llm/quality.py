@@ -62,10 +62,13 @@ def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = np.ones(len(data), bool)
             for k in range(NGRAM):
                 inside[starts - 1 - k] = False
-            bucket = buckets_of(data)[1:]  # the n-gram that ends at each byte after the first separator
-            bucket = bucket[inside[NGRAM:]]
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[at], minlength=BUCKETS)
+            weight = np.zeros(len(data), np.int8)  # 1: a byte of a text, 2: of a trusted one
+            weight[inside] = 1 + at
+            for first in range(NGRAM, len(data), K.SLICE_BYTES):  # a very long text in parts
+                last = min(first + K.SLICE_BYTES, len(data))
+                bucket, kind = buckets_of(data[first - NGRAM + 1 : last]), weight[first:last]
+                raw += np.bincount(bucket[kind > 0], minlength=BUCKETS)
+                target += np.bincount(bucket[kind > 1], minlength=BUCKETS)
     met = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
@@ -103,9 +106,9 @@ def measure(texts: pa.Array, ratios: np.ndarray) -> dict[str, np.ndarray]:
         breaks = np.flatnonzero(data == 0x0A)  # the separators are line ends too: they only add lines without words
         l0, l1 = breaks + 1, np.append(breaks[1:], len(data))
         filled = np.flatnonzero(K.sums_between(word, l0, l1))
-        lines = np.stack((doc_of(l0[filled]).astype(np.uint64), K.span_hashes(data, l0[filled], l1[filled])), 1)
-        distinct = np.unique(lines, axis=0)[:, 0].astype(np.int64) if len(lines) else np.zeros(0, np.int64)
-        found["n_dup_lines"] = np.bincount(lines[:, 0].astype(np.int64), minlength=n) - np.bincount(distinct, minlength=n)
+        of_line = doc_of(l0[filled])
+        _, kept = np.unique(K.mixed(K.span_hashes(data, l0[filled], l1[filled]) + K.mixed(of_line.astype(np.uint64))), return_index=True)
+        found["n_dup_lines"] = np.bincount(of_line, minlength=n) - np.bincount(of_line[kept], minlength=n)
 
         found["n_repeat_words"] = np.zeros(n, np.int64)
         if len(w0) >= 3:
@@ -119,8 +122,10 @@ def measure(texts: pa.Array, ratios: np.ndarray) -> dict[str, np.ndarray]:
                 hit[again + k] = True
             found["n_repeat_words"] = np.bincount(doc[hit], minlength=n)
 
-        score = np.zeros(len(data))
-        score[NGRAM:] = ratios[buckets_of(data)[1:]]
+        score = np.zeros(len(data), np.float32)
+        for first in range(NGRAM, len(data), K.SLICE_BYTES):
+            last = min(first + K.SLICE_BYTES, len(data))
+            score[first:last] = ratios[buckets_of(data[first - NGRAM + 1 : last])]
         found["llr"] = K.sums_between(score, starts, ends) / np.maximum(ends - starts, 1)
         for k, v in found.items():
             parts.setdefault(k, []).append(v)

@@ -65,7 +65,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``data[start:end]``."""
+    """64-bit hash of each byte span ``data[start:end]``; spans ascend and don't overlap.
+
+    Spans are hashed in groups of about ``SLICE_BYTES``, so that a very long text needs no more memory for it.
+    """
+    out, low = np.zeros(len(starts), np.uint64), 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + SLICE_BYTES)))
+        first, last = starts[low], ends[high - 1]
+        out[low:high] = _hash_group(data[first:last], starts[low:high] - first, ends[low:high] - first)
+        low = high
+    return out
+
+
+def _hash_group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -106,9 +119,14 @@ def joined(texts: pa.Array, separator: bytes) -> tuple[np.ndarray, np.ndarray, n
 
 
 def sums_between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sum of ``values[start:end]`` for each range."""
-    total = np.concatenate(([0], np.cumsum(values)))
-    return total[ends] - total[starts]
+    """Sum of ``values[start:end]`` for each range; ranges ascend and don't overlap."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    out = np.zeros(len(starts), kind)
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        edges = np.stack((starts[full], ends[full]), 1).ravel()
+        out[full] = np.add.reduceat(values, edges[:-1] if edges[-1] == len(values) else edges, dtype=kind)[::2]
+    return out
 
 
 def strings(array: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -34,7 +34,7 @@ ORDER = 5
 DISCOUNT = 0.75
 GRAM_SLOTS = 1 << 21
 CONTEXT_SLOTS = 1 << 19
-SPAN = 24
+SPAN = 24  # 16 + 8: see span_means
 FIT_ROWS = 20_000
 #: N-grams a task gathers before it hands them on.
 HELD_GRAMS = 2_000_000
@@ -42,21 +42,29 @@ HELD_GRAMS = 2_000_000
 _SEPARATOR = b" " * SPAN
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, as a 40-bit number; with the starts and ends of the texts."""
+def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in lower case, all white space as spaces; with the starts and ends of the texts."""
     data, starts, ends = K.joined(texts, _SEPARATOR)
-    data = K.LOWER[data]
-    data = np.where(K.NOT_SPACE[data], data, np.uint8(0x20)).astype(np.uint64)
-    key = data.copy()
-    for k in range(1, ORDER):
-        key[k:] |= data[:-k] << np.uint64(8 * k)
-    return key, starts, ends
+    return np.where(K.NOT_SPACE[data], K.LOWER[data], np.uint8(0x20)), starts, ends
 
 
-def _inside(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Places of the texts' own bytes."""
-    sizes = ends - starts
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+def grams(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """In parts of ``SLICE_BYTES``: first and last place, and the n-grams that end at the bytes between, as 40-bit numbers."""
+    for first in range(0, len(data), K.SLICE_BYTES):
+        last = min(first + K.SLICE_BYTES, len(data))
+        part = data[max(0, first - ORDER + 1) : last].astype(np.uint64)
+        key = part.copy()
+        for k in range(1, ORDER):
+            key[k:] |= part[:-k] << np.uint64(8 * k)
+        yield first, last, key[len(key) - (last - first) :]
+
+
+def _inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of ``n`` places is a byte of a text."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    np.subtract.at(edge, ends, 1)
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
 
 @K.released
@@ -70,16 +78,19 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = np.array(batch.column("toxic").to_pylist(), np.int64)
         for low, high in K.slices(batch.column("text")):
-            key, starts, ends = grams(batch.column("text").slice(low, high - low))
-            at = _inside(starts, ends)
-            label = np.repeat(labels[low:high], ends - starts)
-            fresh, place = np.unique(key[at], return_inverse=True)
-            ones = np.bincount(place, weights=label, minlength=len(fresh)).astype(np.int64)
-            rest = np.bincount(place, minlength=len(fresh)) - ones
-            both, place = np.unique(np.concatenate((keys, fresh)), return_inverse=True)
-            toxic = np.bincount(place, weights=np.concatenate((toxic, ones)), minlength=len(both)).astype(np.int64)
-            ordinary = np.bincount(place, weights=np.concatenate((ordinary, rest)), minlength=len(both)).astype(np.int64)
-            keys = both
+            data, starts, ends = folded(batch.column("text").slice(low, high - low))
+            own = _inside(len(data), starts, ends)
+            label = np.zeros(len(data), bool)
+            label[own] = np.repeat(labels[low:high] > 0, ends - starts)
+            for first, last, key in grams(data):
+                at = own[first:last]
+                fresh, place = np.unique(key[at], return_inverse=True)
+                ones = np.bincount(place, weights=label[first:last][at], minlength=len(fresh)).astype(np.int64)
+                rest = np.bincount(place, minlength=len(fresh)) - ones
+                both, place = np.unique(np.concatenate((keys, fresh)), return_inverse=True)
+                toxic = np.bincount(place, weights=np.concatenate((toxic, ones)), minlength=len(both)).astype(np.int64)
+                ordinary = np.bincount(place, weights=np.concatenate((ordinary, rest)), minlength=len(both)).astype(np.int64)
+                keys = both
             if len(keys) > HELD_GRAMS:
                 yield emit()
                 keys, toxic, ordinary = keys[:0], toxic[:0], ordinary[:0]
@@ -154,24 +165,33 @@ def difference_tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tables
 
 
+def span_means(d: np.ndarray) -> np.ndarray:
+    """Mean of each SPAN values in a row; each sum is formed in the same way wherever it stands."""
+    two = d[:-1] + d[1:]
+    four = two[:-2] + two[2:]
+    eight = four[:-4] + four[4:]
+    sixteen = eight[:-8] + eight[8:]
+    return (sixteen[: len(d) - SPAN + 1] + eight[16:]) / SPAN
+
+
 def features(texts: pa.Array, by_gram: np.ndarray, by_context: np.ndarray) -> np.ndarray:
     """Mean log-likelihood difference per byte, and the largest mean over SPAN bytes, of each text."""
     out = []
     for low, high in K.slices(texts):
-        key, starts, ends = grams(texts.slice(low, high - low))
-        d = by_gram[_slots(key, GRAM_SLOTS)]
-        unseen = np.flatnonzero(np.isnan(d))
-        d[unseen] = np.nan_to_num(by_context[_slots(key[unseen] >> np.uint64(8), CONTEXT_SLOTS)])
-        own = np.zeros(len(d), bool)
-        own[_inside(starts, ends)] = True
-        sums = np.concatenate(([0.0], np.cumsum(np.where(own, d, 0.0), dtype=np.float64)))
-        spans = (sums[SPAN:] - sums[:-SPAN]) / SPAN  # the one that ends at byte k + SPAN - 1; separators are as long
-        mean = (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)
-        bounds = np.stack((starts - SPAN + 1, ends - SPAN + 1), 1)
-        largest = np.zeros(high - low)
-        full = ends > starts
+        data, starts, ends = folded(texts.slice(low, high - low))
+        d = np.empty(len(data), np.float32)
+        for first, last, key in grams(data):
+            part = by_gram[_slots(key, GRAM_SLOTS)]
+            unseen = np.flatnonzero(np.isnan(part))
+            part[unseen] = np.nan_to_num(by_context[_slots(key[unseen] >> np.uint64(8), CONTEXT_SLOTS)])
+            d[first:last] = part
+        d[~_inside(len(d), starts, ends)] = 0
+        mean = K.sums_between(d, starts, ends) / np.maximum(ends - starts, 1)
+        # the span that ends at byte k stands at k - SPAN + 1; separators are as long as a span
+        largest, full = np.zeros(high - low), ends > starts
         if full.any():
-            largest[full] = np.maximum.reduceat(np.append(spans, -np.inf), np.maximum(bounds[full], 0).ravel())[::2]
+            bounds = np.stack((starts[full] - SPAN + 1, ends[full] - SPAN + 1), 1)
+            largest[full] = np.maximum.reduceat(np.append(span_means(d), np.float32(-np.inf)), bounds.ravel())[::2]
         out.append(np.stack((mean, largest), 1))
     return np.concatenate(out) if out else np.zeros((0, 2))
 

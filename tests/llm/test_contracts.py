@@ -457,3 +457,34 @@ class TestPipeline:
         for df in (good, one, clean, mixed):
             assert df.columns == docs.columns
         assert stages["tokens"](spark, mixed, SF).count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+class TestToxicFeatures:
+    """The vectorised features against one byte at a time, whatever the slices."""
+
+    def test_brute(self, monkeypatch):
+        import pyarrow as pa
+
+        from lodestrata.llm import textkit as K
+        from lodestrata.llm import toxicity as X
+
+        draw = np.random.default_rng(0)
+        by_gram, by_context = draw.normal(size=X.GRAM_SLOTS).astype(np.float32), draw.normal(size=X.CONTEXT_SLOTS).astype(np.float32)
+        by_gram[draw.random(X.GRAM_SLOTS) < 0.3] = np.nan
+        by_context[::7] = np.nan
+        texts = [*brute.TEXTS[:11], "Some Words to be scored, twice twice."]
+
+        def plain(text):
+            data = bytes(x if K.NOT_SPACE[x] else 32 for x in (text or "").translate(brute.LOWER).encode())
+            padded, values = b" " * 24 + data, []
+            for i in range(24, len(padded)):
+                key = sum(padded[i - k] << (8 * k) for k in range(5))
+                v = by_gram[X._slots(np.array([key], np.uint64), X.GRAM_SLOTS)[0]]
+                values.append(float(np.nan_to_num(by_context[X._slots(np.array([key >> 8], np.uint64), X.CONTEXT_SLOTS)[0]]) if np.isnan(v) else v))
+            around = [0.0] * 23 + values
+            return (sum(values) / len(values), max(sum(around[k : k + 24]) / 24 for k in range(len(values)))) if values else (0.0, 0.0)
+
+        got = X.features(pa.array(texts, pa.string()), by_gram, by_context)
+        assert np.abs(got - np.array([plain(x) for x in texts])).max() < 1e-5
+        monkeypatch.setattr(K, "SLICE_BYTES", 100)
+        assert (X.features(pa.array(texts, pa.string()), by_gram, by_context) == got).all()

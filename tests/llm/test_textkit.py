@@ -37,4 +37,20 @@ def test_slices_cover_all_rows(texts, limit):
 
 
 def test_sums():
-    assert K.sums_between(np.array([1, 2, 3]), np.array([0, 1, 3]), np.array([3, 1, 3])).tolist() == [6, 0, 0]
+    assert K.sums_between(np.array([1, 2, 3]), np.array([0, 1, 1, 3]), np.array([1, 1, 3, 3])).tolist() == [1, 0, 5, 0]
+    assert K.sums_between(np.array([True, True, False, True]), np.array([0, 3]), np.array([2, 4])).tolist() == [2, 1]
+    assert K.sums_between(np.zeros(0), np.array([0]), np.array([0])).tolist() == [0]
+
+
+def test_hashes_in_groups(monkeypatch):
+    """A span's hash does not depend on where it stands or in which group it falls."""
+    words = [b"alpha", b"be", b"x" * 300, b"alpha", b"\xc3\xa9", b"be"] * 50
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    w0, w1 = K.word_spans(data, K.NOT_SPACE)
+    whole = K.span_hashes(data, w0, w1)
+    monkeypatch.setattr(K, "SLICE_BYTES", 64)
+    assert (K.span_hashes(data, w0, w1) == whole).all()
+    by_word = {}
+    for w, h in zip(words, whole.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
