@@ -36,7 +36,7 @@ END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 800_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
