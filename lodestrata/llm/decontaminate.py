@@ -30,6 +30,8 @@ WINDOW = 10
 SEGMENT_BYTES = 4_000_000
 #: Phrases matched in one pass over the index; 80 bytes each, so a block is 16 MB at most.
 BLOCK_PHRASES = 200_000
+#: Start positions that are intersected at a time (or those of one phrase's rarest term, if more).
+CANDIDATES = 500_000
 #: Free positions between documents: no phrase, moved by a slop of up to this less WINDOW, crosses them.
 GAP = 64
 
@@ -133,6 +135,14 @@ def intersect(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray, phrase_t
     return phrase, start
 
 
+def intersect_in_parts(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray, phrase_terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`intersect`, over groups of phrases whose rarest terms have ``CANDIDATES`` postings together."""
+    group = np.cumsum(lengths[phrase_terms].min(axis=1), dtype=np.int64) // CANDIDATES
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+    found = [(low, *intersect(keys, lengths, first, phrase_terms[low:high], slop)) for low, high in zip(cuts, cuts[1:])]
+    return np.concatenate([low + phrase for low, phrase, _ in found]), np.concatenate([start for _, _, start in found])
+
+
 def match_segments(held: Broadcast, slop: int):
     """Index rows -> maximal matched word ranges of each document row and item."""
 
@@ -154,7 +164,7 @@ def match_segments(held: Broadcast, slop: int):
                     known = np.flatnonzero((terms[at] == phrases).all(axis=1))
                     if not len(known):
                         continue
-                    phrase, start = intersect(keys, lengths, first, at[known], slop)
+                    phrase, start = intersect_in_parts(keys, lengths, first, at[known], slop)
                     row = np.searchsorted(base, start, "right") - 1
                     for p, r, s in sorted(zip(known[phrase].tolist(), row.tolist(), (start - base[row]).tolist()), key=lambda x: x[2]):
                         for item in items[p]:

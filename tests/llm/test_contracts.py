@@ -95,6 +95,7 @@ class TestDecontaminate:
         from lodestrata.llm import decontaminate as D
 
         monkeypatch.setattr(D, "BLOCK_PHRASES", 150)
+        monkeypatch.setattr(D, "CANDIDATES", 7)
         self.check(spark, docs, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
 
     def test_empty(self, spark, edge, empty):
