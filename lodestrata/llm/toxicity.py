@@ -8,8 +8,9 @@ tables of fixed size (``GRAM_SLOTS``, ``CONTEXT_SLOTS``, by hash, weighted means
 broadcast does not grow with the corpus.
 
 A text's features are its mean log-likelihood difference per byte and the largest mean over any ``SPAN`` bytes;
-a logistic function of them, fitted on training rows whose n-grams were not counted (a bounded sample of
-``FIT_ROWS``), gives the score.
+a logistic function of them gives the score. It is fitted on a sample of at most ``FIT_ROWS`` training rows, and at
+most about a fifth of them, stratified by label, under the counts of all other rows; then the sample's own
+n-grams are added, so that scores rest on all labelled training rows.
 
 Defined cases: letters A-Z are lower-cased; a null or empty text has neutral features. A null ``doc_id`` is
 never learned from. Without rows of both labels the score is the share of label 1 (0 if there is none).
@@ -19,6 +20,7 @@ Repeated rows are scored alike; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
 from lodestrata.llm.language import held_out
-from lodestrata.llm.storage import drop_path, join_checked, new_path, plain, table
+from lodestrata.llm.storage import drop_path, join_checked, plain, stored, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -141,12 +143,17 @@ def _slot_table(rows: DataFrame, slots: int) -> np.ndarray:
     return out
 
 
-def difference_tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows (text, toxic): the log-likelihood difference of seen n-grams, and after seen contexts, by slot."""
-    path = new_path(rows.sparkSession, "grams")
-    schema = "gram long, n_toxic long, n_ordinary long"
-    rows.mapInArrow(count_grams, schema).groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary")).write.option("compression", "zstd").parquet(path)
-    counts = rows.sparkSession.read.schema(schema).parquet(path)
+def _summed(counts: DataFrame) -> DataFrame:
+    return stored(counts.groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary")), "grams")
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """gram, n_toxic, n_ordinary of rows (text, toxic)."""
+    return _summed(rows.mapInArrow(count_grams, "gram long, n_toxic long, n_ordinary long"))
+
+
+def difference_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of n-gram counts: the log-likelihood difference of seen n-grams, and after seen contexts, by slot."""
     keyed = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram") % (1 << 8 * (ORDER - 1)))
     contexts = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(*[f(x).alias(a) for x, t in (("n_toxic", "t"), ("n_ordinary", "o")) for f, a in ((F.sum, f"sum_{t}"), (lambda c: F.count_if(F.col(c) > 0), f"kinds_{t}"))])
 
@@ -160,9 +167,7 @@ def difference_tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared = shared_model(counts.select("gram")).withColumnRenamed("gram", "suffix")
     seen = keyed.join(contexts, "context").join(shared, "suffix").select("gram", (F.log(p("n_toxic", "t")) - F.log(p("n_ordinary", "o"))).alias("d"), (F.col("n_toxic") + F.col("n_ordinary")).cast("double").alias("weight"))
     after = contexts.select(F.col("context").alias("gram"), (F.log(backoff("t")) - F.log(backoff("o"))).alias("d"), (F.col("sum_t") + F.col("sum_o")).cast("double").alias("weight"))
-    tables = _slot_table(seen, GRAM_SLOTS), _slot_table(after, CONTEXT_SLOTS)
-    drop_path(rows.sparkSession, path)
-    return tables
+    return _slot_table(seen, GRAM_SLOTS), _slot_table(after, CONTEXT_SLOTS)
 
 
 def span_means(d: np.ndarray) -> np.ndarray:
@@ -220,6 +225,16 @@ def _features_of(held):
     return run
 
 
+def fit_sample(marks: DataFrame) -> DataFrame:
+    """Of ``marks`` (doc_id, toxic), the same share of each label, at least one row: a fifth, or less to be FIT_ROWS at most."""
+    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    share = min(0.2, (FIT_ROWS - len(sizes)) / max(1, sum(sizes.values())))
+    out = marks.limit(0)
+    for label, n in sorted(sizes.items()):
+        out = out.unionAll(marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(ceil(n * share)))
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """doc_id, score, predicted of each row of ``docs``.
 
@@ -229,11 +244,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     marks = plain(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     source = plain(docs, "doc_id", "text")
     rows = join_checked(source.where(learn), marks, "doc_id")
-    fitted = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0  # rows for the logistic function; the others are counted
-    held = spark.sparkContext.broadcast(difference_tables(rows.where(~fitted).select("text", "toxic")))
     # choose ids first, so that only the chosen rows' texts move
-    chosen = marks.where(fitted).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS)
+    chosen = stored(fit_sample(marks), "chosen")
     sample = source.join(F.broadcast(chosen), "doc_id")
+    others = gram_counts(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("text", "toxic"))
+    held = spark.sparkContext.broadcast(difference_tables(others))
     kinds = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("toxic int, mean double, largest double")])
     seen = sample.select("doc_id", "text", "toxic").mapInArrow(_features_of(held), kinds)
     got = seen.groupBy("doc_id").agg(*[F.max(x).alias(x) for x in ("toxic", "mean", "largest")]).orderBy("doc_id").toPandas()
@@ -243,6 +258,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     else:
         share = y.mean() if len(y) else 0.0
         weights = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
+    added = gram_counts(sample.select("text", "toxic"))
+    counts = _summed(others.unionAll(added))
+    held = spark.sparkContext.broadcast(difference_tables(counts))
+    for used in (others, added, counts, chosen):
+        drop_path(spark, used._stored_at)
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
