@@ -3,9 +3,9 @@
 A toxic and an ordinary model of order ``ORDER`` are counted over all labelled training rows. Both discount
 their own n-gram counts and back off to one shared model: interpolated Kneser-Ney continuation probabilities
 of both classes' n-grams together, so an expression that is rare in either class is smoothed alike in both.
-What scoring needs of an n-gram is one number, ``log p_toxic - log p_ordinary``. These numbers are kept in
-tables of fixed size (``GRAM_SLOTS``, ``CONTEXT_SLOTS``, by hash, weighted means where n-grams collide), so what is
-broadcast does not grow with the corpus.
+What scoring needs of an n-gram is one number, ``log p_toxic - log p_ordinary``. These numbers are kept by the
+n-gram itself (:class:`Exact`), so no two share one; what is gathered and broadcast is 12 bytes for each distinct
+n-gram and each distinct context of the labelled training rows, and grows with them.
 
 A text's features are its mean log-likelihood difference per byte and the largest mean over any ``SPAN`` bytes;
 a logistic function of them gives the score. It is fitted on a sample of at most ``FIT_ROWS`` training rows, and at
@@ -34,6 +34,7 @@ from lodestrata.llm.storage import drop_path, join_checked, plain, stored, table
 
 ORDER = 5
 DISCOUNT = 0.75
+#: Sizes of tables that are given as arrays by slot.
 GRAM_SLOTS = 1 << 21
 CONTEXT_SLOTS = 1 << 19
 SPAN = 24  # 16 + 8: see span_means
@@ -124,23 +125,50 @@ def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
     return (K.mixed(keys) % np.uint64(slots)).astype(np.int64)
 
 
-def _with_slot(slots: int):
-    @K.released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slots(batch.column("gram").to_numpy(zero_copy_only=False).astype(np.uint64), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("d"), batch.column("weight")], ["slot", "d", "weight"])
+class Exact:
+    """Numbers by n-gram: sorted by a bijective hash of it, and found from where the hash's leading bits start."""
 
-    return run
+    def __init__(self, keys: np.ndarray, d: np.ndarray):
+        hashes = K.mixed(keys)
+        order = np.argsort(hashes)
+        self.hashes, self.d = hashes[order], d[order]
 
+    def _starts(self) -> np.ndarray:
+        """Made where it is used, so that it is not broadcast."""
+        if "starts" not in self.__dict__:
+            self.bits = np.uint64(64 - max(1, len(self.d).bit_length() + 1))
+            counts = np.bincount((self.hashes >> self.bits).astype(np.int64), minlength=1 << int(np.uint64(64) - self.bits))
+            self.starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32 if len(self.d) < 1 << 31 else np.int64)
+        return self.starts
 
-def _slot_table(rows: DataFrame, slots: int) -> np.ndarray:
-    """Weighted mean of d for each slot; NaN where no gram falls."""
-    got = rows.mapInArrow(_with_slot(slots), "slot long, d double, weight double").groupBy("slot").agg((F.sum(F.col("d") * F.col("weight")) / F.sum("weight")).cast("float").alias("d"))
-    out = np.full(slots, np.nan, np.float32)
-    for batch in got.toArrow().to_batches():
-        out[batch.column("slot").to_numpy()] = batch.column("d").to_numpy()
-    return out
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "d": self.d}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; NaN where there is none."""
+        out, starts, hashes = np.full(len(keys), np.nan, np.float32), self._starts(), K.mixed(keys)
+        slot = (hashes >> self.bits).astype(np.int64)
+        place, end = starts[slot], starts[slot + 1]
+        left = np.flatnonzero(place < end)
+        while len(left):
+            here = place[left]
+            equal = self.hashes[here] == hashes[left]
+            out[left[equal]] = self.d[here[equal]]
+            left = left[~equal]
+            place[left] += 1
+            left = left[place[left] < end[left]]
+        return out
+
+
+def _looked_up(held: Exact | np.ndarray, keys: np.ndarray, slots: int) -> np.ndarray:
+    """The numbers of ``keys`` in an exact table, or in an array by slot."""
+    return held.of(keys) if isinstance(held, Exact) else held[_slots(keys, slots)]
+
+
+def _exact(rows: DataFrame) -> Exact:
+    """Of rows (gram, d)."""
+    got = rows.select("gram", F.col("d").cast("float").alias("d")).toArrow()
+    return Exact(got.column("gram").to_numpy().astype(np.uint64), got.column("d").to_numpy())
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -152,8 +180,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return _summed(rows.mapInArrow(count_grams, "gram long, n_toxic long, n_ordinary long"))
 
 
-def difference_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of n-gram counts: the log-likelihood difference of seen n-grams, and after seen contexts, by slot."""
+def difference_tables(counts: DataFrame) -> tuple[Exact, Exact]:
+    """Of n-gram counts: the log-likelihood difference of seen n-grams, and after seen contexts."""
     keyed = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram") % (1 << 8 * (ORDER - 1)))
     contexts = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(*[f(x).alias(a) for x, t in (("n_toxic", "t"), ("n_ordinary", "o")) for f, a in ((F.sum, f"sum_{t}"), (lambda c: F.count_if(F.col(c) > 0), f"kinds_{t}"))])
 
@@ -165,9 +193,9 @@ def difference_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return own + backoff(t) * F.col("p")
 
     shared = shared_model(counts.select("gram")).withColumnRenamed("gram", "suffix")
-    seen = keyed.join(contexts, "context").join(shared, "suffix").select("gram", (F.log(p("n_toxic", "t")) - F.log(p("n_ordinary", "o"))).alias("d"), (F.col("n_toxic") + F.col("n_ordinary")).cast("double").alias("weight"))
-    after = contexts.select(F.col("context").alias("gram"), (F.log(backoff("t")) - F.log(backoff("o"))).alias("d"), (F.col("sum_t") + F.col("sum_o")).cast("double").alias("weight"))
-    return _slot_table(seen, GRAM_SLOTS), _slot_table(after, CONTEXT_SLOTS)
+    seen = keyed.join(contexts, "context").join(shared, "suffix").select("gram", (F.log(p("n_toxic", "t")) - F.log(p("n_ordinary", "o"))).alias("d"))
+    after = contexts.select(F.col("context").alias("gram"), (F.log(backoff("t")) - F.log(backoff("o"))).alias("d"))
+    return _exact(seen), _exact(after)
 
 
 def span_means(d: np.ndarray) -> np.ndarray:
@@ -179,16 +207,16 @@ def span_means(d: np.ndarray) -> np.ndarray:
     return (sixteen[: len(d) - SPAN + 1] + eight[16:]) / SPAN
 
 
-def features(texts: pa.Array, by_gram: np.ndarray, by_context: np.ndarray) -> np.ndarray:
+def features(texts: pa.Array, by_gram: Exact | np.ndarray, by_context: Exact | np.ndarray) -> np.ndarray:
     """Mean log-likelihood difference per byte, and the largest mean over SPAN bytes, of each text."""
     out = []
     for low, high in K.slices(texts):
         data, starts, ends = folded(texts.slice(low, high - low))
         d = np.empty(len(data), np.float32)
         for first, last, key in grams(data):
-            part = by_gram[_slots(key, GRAM_SLOTS)]
+            part = _looked_up(by_gram, key, GRAM_SLOTS)
             unseen = np.flatnonzero(np.isnan(part))
-            part[unseen] = np.nan_to_num(by_context[_slots(key[unseen] >> np.uint64(8), CONTEXT_SLOTS)])
+            part[unseen] = np.nan_to_num(_looked_up(by_context, key[unseen] >> np.uint64(8), CONTEXT_SLOTS))
             d[first:last] = part
         d[~_inside(len(d), starts, ends)] = 0
         mean = K.sums_between(d, starts, ends) / np.maximum(ends - starts, 1)

@@ -30,3 +30,20 @@ def test_sample_holds_both_labels(spark, monkeypatch):
     marks = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") == 77).cast("int").alias("toxic"))
     got = X.fit_sample(marks).collect()
     assert {r.toxic for r in got} == {0, 1} and len(got) <= 50
+
+
+def test_ngrams_share_no_number(spark):
+    """Two n-grams of one slot of the former table keep their own numbers; what is unseen has none."""
+    import pickle
+
+    import numpy as np
+
+    from lodestrata.llm import toxicity as X
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 60_000, np.uint64))
+    assert len(np.unique(X._slots(keys, X.GRAM_SLOTS))) < len(keys)
+    rows = spark.createDataFrame([(int(k), float(i)) for i, k in enumerate(keys)], "gram long, d double")
+    held = pickle.loads(pickle.dumps(X._exact(rows)))
+    assert (held.of(keys) == np.arange(len(keys))).all()
+    assert np.isnan(held.of(np.setdiff1d(keys + np.uint64(1), keys))).all()
+    assert np.isnan(X._exact(rows.limit(0)).of(keys)).all()
