@@ -144,6 +144,13 @@ def marked_code(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", T.code_of(F.col("t")).alias("code"))
 
 
+@query()
+def marked_code_whole(spark, d):
+    """As ``marked_code``, whose SQL cuts texts to 50 characters, over whole texts; tested against plain Python."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Code excerpt:\n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.col("text"), F.lit("\nVulnerable excerpt:\na Source-code excerpt:\n b "))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.code_of(t).alias("code"))
+
+
 @query("SELECT doc_id, 'CWE-' || (doc_id % 900) AS cwe, CASE " + " ".join(f"WHEN doc_id % 900 IN ({', '.join(map(str, v))}) THEN '{k}'" for k, v in T.WEAKNESS_FAMILIES.items()) + " ELSE 'other' END AS family FROM documents")
 def weakness_families(spark, d):
     number = (F.col("doc_id") % 900).cast("int")
@@ -274,6 +281,13 @@ def fenced_code_removal(spark, d):
     return table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", T.without_fences(t).alias("kept"))
 
 
+@query()
+def fenced_code_removal_whole(spark, d):
+    """As ``fenced_code_removal``, whose SQL takes a fifth of the rows and 40 characters, over all rows and whole texts; tested against plain Python."""
+    t = F.concat("text", F.lit("\n```c\nint main;\n```\nend"))
+    return table(spark, d, "documents").select("doc_id", T.without_fences(t).alias("kept"))
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'duplicate_node_id,no_sink_reached' WHEN doc_id % 4 = 2 THEN 'unresolved_edge,no_sink_reached,unlinked_node' ELSE '' END AS errors FROM documents"""
 )
