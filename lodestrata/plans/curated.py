@@ -351,6 +351,14 @@ def instruction_adapter(spark, d):
     return rows.select("doc_id", "r.id", F.col("r.input.signals")["legacy_format"].alias("legacy_format"))
 
 
+@query()
+def instruction_adapter_whole(spark, d):
+    """As ``instruction_adapter``, whose SQL cuts texts to 200 characters, over whole texts; tested against plain Python."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", B.instruction_to_canonical(F.col("lang"), F.col("text"), F.lit(None).cast("string"), F.col("doc_id")).alias("r"))
+    return rows.select("doc_id", "r.id", F.col("r.input.signals")["legacy_format"].alias("legacy_format"))
+
+
 @query(
     """WITH m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
 SELECT conv_id, max(text) FILTER (role = 'user' AND n = 1) AS question, max(text) FILTER (role = 'assistant' AND n = 1) AS answer FROM m GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0"""

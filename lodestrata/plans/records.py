@@ -173,6 +173,13 @@ def identifier_extraction(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(found), ",").alias("identifiers"))
 
 
+@query()
+def identifier_extraction_whole(spark, d):
+    """As ``identifier_extraction``, whose SQL takes English rows and 300 characters, over all rows and whole texts; tested against plain Python."""
+    found = T.identifiers(F.regexp_replace("text", r"[^\x00-\x7f]", " "), ["the", "and", "for"])
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("identifiers"))
+
+
 @query("SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(html, '[;{}\\n]'), lambda x: trim(x, ' ')), lambda x: x != ''))) AS n_statements FROM pages")
 def statement_split(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(T.statements(F.col("html"))).cast("long").alias("n_statements"))

@@ -54,3 +54,23 @@ def test_markers(spark, folder, docs):
 
     want = {r.doc_id: plain(r.doc_id, r.text) for r in docs}
     assert {r.doc_id: r.code for r in run(spark, folder, "marked_code_whole")} == want
+
+
+def test_identifiers(spark, folder, docs):
+    import re
+
+    want = {r.doc_id: ",".join(sorted({x for x in re.findall(r"\b[A-Za-z_][A-Za-z0-9_]*\b", re.sub(r"[^\x00-\x7f]", " ", r.text), re.A) if len(x) >= 3} - {"the", "and", "for"})) for r in docs}
+    assert {r.doc_id: r.identifiers for r in run(spark, folder, "identifier_extraction_whole")} == want
+    assert want[90002] == "late_name"
+
+
+def test_instruction_ids(spark, folder, docs):
+    import hashlib
+
+    def plain(r):
+        both = "\n\n".join(x for x in ((r.lang or "").strip(" "), r.text.strip(" ")) if x)
+        return f"legacy-alpaca-{r.doc_id:06d}-{hashlib.sha256(both.encode()).hexdigest()[:12]}"
+
+    want = {r.doc_id: plain(r) for r in docs}
+    assert {r.doc_id: r.id for r in run(spark, folder, "instruction_adapter_whole")} == want
+    assert want[90002][-12:] != want[90004][-12:]
