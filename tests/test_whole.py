@@ -74,3 +74,16 @@ def test_instruction_ids(spark, folder, docs):
     want = {r.doc_id: plain(r) for r in docs}
     assert {r.doc_id: r.id for r in run(spark, folder, "instruction_adapter_whole")} == want
     assert want[90002][-12:] != want[90004][-12:]
+
+
+def test_packets(spark, folder, docs):
+    ids = [r.doc_id for r in docs]
+    want = {k // 10 + 1: "\n".join(f"- [{k + i + 1}] {x}" for i, x in enumerate(ids[k : k + 10])) for k in range(0, len(ids), 10)}
+    got = run(spark, folder, "review_packets_whole")
+    assert {r.packet: r.text for r in got} == want and sum(r.n for r in got) == len(ids)
+
+
+def test_quota_split(spark, folder, docs):
+    names = ["train"] * 40 + ["validation"] * 20 + ["test"] * 20
+    want = {r.doc_id: names[k] if k < 80 else None for k, r in enumerate(docs)}
+    assert {r.doc_id: r.split for r in run(spark, folder, "contiguous_quota_split_whole")} == want
