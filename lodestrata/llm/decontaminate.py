@@ -143,6 +143,17 @@ def intersect_in_parts(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray,
     return np.concatenate([low + phrase for low, phrase, _ in found]), np.concatenate([start for _, _, start in found])
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and out[-1][1] >= low:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
 def match_segments(held: Broadcast, slop: int):
     """Index rows -> maximal matched word ranges of each document row and item."""
 
@@ -158,7 +169,7 @@ def match_segments(held: Broadcast, slop: int):
                 first = np.cumsum(lengths) - lengths
                 n_words = np.fromiter((x["n_words"] for x in batch.column("rows")[k].as_py()), np.int64)
                 base = np.cumsum(n_words) - n_words + GAP * np.arange(len(n_words))
-                out: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
+                out: dict[tuple[int, str | None, int], list[tuple[int, int]]] = {}  # starts ascend for one phrase length only
                 for n, phrases, items in held.value.groups:
                     at = np.minimum(np.searchsorted(terms, phrases), len(terms) - 1)
                     known = np.flatnonzero((terms[at] == phrases).all(axis=1))
@@ -168,13 +179,16 @@ def match_segments(held: Broadcast, slop: int):
                     row = np.searchsorted(base, start, "right") - 1
                     for p, r, s in sorted(zip(known[phrase].tolist(), row.tolist(), (start - base[row]).tolist()), key=lambda x: x[2]):
                         for item in items[p]:
-                            ranges = out.setdefault((r, item), [])
+                            ranges = out.setdefault((r, item, n), [])
                             s0, s1 = max(0, s - slop * (n > 1)), s + n + slop * (n > 1)
                             if ranges and ranges[-1][1] >= s0:
                                 ranges[-1] = (ranges[-1][0], max(s1, ranges[-1][1]))
                             else:
                                 ranges.append((s0, s1))
-                found = [(r, item, *x) for (r, item), ranges in out.items() for x in ranges]
+                joint: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
+                for (r, item, _), ranges in out.items():
+                    joint.setdefault((r, item), []).extend(ranges)
+                found = [(r, item, *x) for (r, item), ranges in joint.items() for x in merged(ranges)]
                 if found:
                     r, item, s0, s1 = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("segment")[k].as_py()] * len(r), pa.int64()), pa.array(r, pa.int64()), pa.array(item, pa.string()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())], ["segment", "row", "item_id", "start", "end"])
