@@ -263,26 +263,34 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return found.where("b is not null").unionAll(dense.join(first, "key").where("a != b").select("a", "b"))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable over links) for each row of ``docs``."""
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id, and root (a fingerprint that stands for the component) for each row of ``docs``."""
     rows = stored(fingerprints(docs), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (least doc_id reachable over links) for each row of ``docs``."""
+    return _rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: that of its least doc_id, with all columns.
 
-    Of repeated rows with that doc_id one stays. A row without a doc_id stays only if its component has no
-    id at all, and then one row of each text does.
+    Of repeated rows with that doc_id the one of the least fingerprint in the component stays, so a doc_id with
+    texts in several components stays once for each that it names. A row without a doc_id stays only if its
+    component has no id at all, and then one row of each text does.
     """
-    found = simhash_components(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionAll(_nameless(docs, found))
+    found = _rooted(docs)
+    chosen = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select(F.col("x.doc_id").alias("chosen_id"), F.col("x.fp").alias("chosen_fp"))
+    column = "fp_" + "_".join(docs.columns)  # a name that no column has
+    held = docs.where("doc_id is not null").mapInArrow(_with_fingerprint, T.StructType([*docs.schema, T.StructField(column, T.LongType())]))
+    kept = held.join(chosen, (held["doc_id"] == chosen["chosen_id"]) & (held[column] == chosen["chosen_fp"]), "left_semi").dropDuplicates(["doc_id", column])
+    return kept.select(*docs.columns).unionAll(_nameless(docs, found))
 
 
 def _nameless(docs: DataFrame, found: DataFrame) -> DataFrame:
