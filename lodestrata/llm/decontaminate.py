@@ -2,12 +2,14 @@
 
 The training side is indexed once: every segment (about ``SEGMENT_BYTES`` of text) becomes one stored row with
 its sorted term hashes and, for each term, the sorted list of positions of its tokens. Test phrases are then
-matched in bounded blocks against all segments: for each phrase the posting lists are taken from the rarest
-term on, each moved back by the term's offset in the phrase, and intersected. With ``slop`` 0 the matches are
-exact phrases; with a larger one, terms may stand up to ``slop`` words from their place (proximity matches).
+matched in bounded blocks, one after the other, against all segments: for each phrase the posting lists are taken
+from the rarest term on, each moved back by the term's offset in the phrase, and intersected. With ``slop`` 0 the
+matches are exact phrases; with a larger one, all terms but the first may stand up to ``slop`` words from their place
+(proximity matches). Proximity matches are reported (``n_near_items``); only exact ones make a document contaminated.
 
 Defined cases: a null or empty text has no words, is indexed without postings and has no hits. Rows are told
-apart by segment and row number, so repeated or null ``doc_id`` are judged row by row. An item without words
+apart by segment and row number, so repeated or null ``doc_id`` are judged row by row, and
+:func:`drop_contaminated` drops rows by their text. A very long text is a segment of its own. An item without words
 has no phrase. Repeated items each count under their own ``item_id``; a null ``item_id`` is left out of the
 list of items (its windows still hit). Empty tables give empty results or no hits. Other columns are ignored.
 """
@@ -19,21 +21,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
-from lodestrata.llm.storage import new_path, plain, stored, table
+from lodestrata.llm.storage import join_checked, new_path, plain, stored, table
 
 WINDOW = 10
 SEGMENT_BYTES = 4_000_000
-#: Phrases matched in one pass over the index; 80 bytes each, so a block is 16 MB at most.
+#: Phrases matched in one pass over the index, about; 80 bytes each, so a block is some 16 MB.
 BLOCK_PHRASES = 200_000
+#: Words that a term may be from its place in a proximity match of :func:`decontaminate`.
+NEAR = 2
 #: Start positions that are intersected at a time (or those of one phrase's rarest term, if more).
 CANDIDATES = 500_000
-#: Free positions between documents: no phrase, moved by a slop of up to this less WINDOW, crosses them.
+#: Free positions before each document: no phrase, moved by a slop of up to MAX_SLOP, crosses them.
 GAP = 64
+MAX_SLOP = GAP - WINDOW
 
 _SHIFT = np.uint64(32)
 
@@ -50,12 +55,12 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-SEGMENT = "segment long, rows array<struct<doc_id: {id}, n_words: long>>, terms binary, lengths binary, steps binary"
+SEGMENT = "segment long, rows array<struct<doc_id: {id}, h: long, n_words: long>>, terms binary, lengths binary, steps binary"
 
 
 @K.released
 def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, part -> one index row per segment."""
+    """Columns doc_id, text, h, part -> one index row per segment."""
     number = 0
     for batch in batches:
         for low, high in K.slices(batch.column("text"), SEGMENT_BYTES):
@@ -65,7 +70,7 @@ def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             order = np.argsort(hashes, kind="stable")
             terms, lengths = np.unique(hashes, return_counts=True)
             steps = np.diff(position[order], prepend=0).astype(np.int32)
-            rows = pa.StructArray.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n_words, pa.int64())], ["doc_id", "n_words"])
+            rows = pa.StructArray.from_arrays([*[batch.column(x).slice(low, high - low) for x in ("doc_id", "h")], pa.array(n_words, pa.int64())], ["doc_id", "h", "n_words"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 24) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), rows), *[pa.array([x.tobytes()], pa.binary()) for x in (terms, lengths.astype(np.int32), steps)]],
                 ["segment", "rows", "terms", "lengths", "steps"],
@@ -76,7 +81,7 @@ def build_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def build_index(docs: DataFrame, path: str) -> DataFrame:
     """Store the positional index of all texts at ``path``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = plain(docs, "doc_id", "text").withColumn("part", F.spark_partition_id())
+    source = plain(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     schema = T.StructType.fromDDL(SEGMENT.format(id=kind))
     source.mapInArrow(build_segments, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
@@ -109,7 +114,7 @@ class Block:
 
 
 def intersect(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray, phrase_terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases and start positions that match.
+    """Phrases and start positions (of their first term) that match.
 
     keys: ``term << 32 | position``, ascending; lengths, first: size and place of each term's posting list;
     phrase_terms: a row of term numbers for each phrase.
@@ -123,15 +128,22 @@ def intersect(keys: np.ndarray, lengths: np.ndarray, first: np.ndarray, phrase_t
     phrase = np.repeat(rows, n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = (keys[np.repeat(first[term], n) + within] & np.uint64(0xFFFFFFFF)).astype(np.int64) - np.repeat(offset, n)
+    if slop:  # where the first term stands, if the rarest one has moved
+        moved = np.where(np.repeat(offset, n) > 0, slop, 0)
+        steps = 2 * moved + 1
+        phrase, start = np.repeat(phrase, steps), np.repeat(start - moved, steps) + np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
     keep = start >= 0
     phrase, start = phrase[keep], start[keep]
-    for rank in range(1, phrase_terms.shape[1]):
+    for rank in range(0 if slop else 1, phrase_terms.shape[1]):
         offset = order[phrase, rank]
+        play = np.where(offset > 0, slop, 0)
         term = phrase_terms[phrase, offset].astype(np.uint64) << _SHIFT
-        low = np.maximum(start + offset - slop, 0).astype(np.uint64)
+        low = np.maximum(start + offset - play, 0).astype(np.uint64)
         found = keys[np.minimum(np.searchsorted(keys, term | low), len(keys) - 1)]
-        keep = (found >= (term | low)) & (found <= (term | (start + offset + slop).astype(np.uint64)))
+        keep = (found >= (term | low)) & (found <= (term | (start + offset + play).astype(np.uint64)))
         phrase, start = phrase[keep], start[keep]
+    if slop and len(phrase):
+        phrase, start = np.unique(np.stack((phrase, start)), axis=1)
     return phrase, start
 
 
@@ -154,8 +166,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def match_segments(held: Broadcast, slop: int):
-    """Index rows -> maximal matched word ranges of each document row and item."""
+def match_segments(held: Broadcast, slops: tuple[int, ...]):
+    """Index rows -> maximal matched word ranges of each document row and item, for each slop."""
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,92 +181,106 @@ def match_segments(held: Broadcast, slop: int):
                 first = np.cumsum(lengths) - lengths
                 n_words = np.fromiter((x["n_words"] for x in batch.column("rows")[k].as_py()), np.int64)
                 base = np.cumsum(n_words) - n_words + GAP * np.arange(len(n_words))
-                out: dict[tuple[int, str | None, int], list[tuple[int, int]]] = {}  # starts ascend for one phrase length only
-                for n, phrases, items in held.value.groups:
-                    at = np.minimum(np.searchsorted(terms, phrases), len(terms) - 1)
-                    known = np.flatnonzero((terms[at] == phrases).all(axis=1))
-                    if not len(known):
-                        continue
-                    phrase, start = intersect_in_parts(keys, lengths, first, at[known], slop)
-                    row = np.searchsorted(base, start, "right") - 1
-                    for p, r, s in sorted(zip(known[phrase].tolist(), row.tolist(), (start - base[row]).tolist()), key=lambda x: x[2]):
-                        for item in items[p]:
-                            ranges = out.setdefault((r, item, n), [])
-                            s0, s1 = max(0, s - slop * (n > 1)), s + n + slop * (n > 1)
-                            if ranges and ranges[-1][1] >= s0:
-                                ranges[-1] = (ranges[-1][0], max(s1, ranges[-1][1]))
-                            else:
-                                ranges.append((s0, s1))
-                joint: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
-                for (r, item, _), ranges in out.items():
-                    joint.setdefault((r, item), []).extend(ranges)
-                found = [(r, item, *x) for (r, item), ranges in joint.items() for x in merged(ranges)]
-                if found:
-                    r, item, s0, s1 = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("segment")[k].as_py()] * len(r), pa.int64()), pa.array(r, pa.int64()), pa.array(item, pa.string()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64())], ["segment", "row", "item_id", "start", "end"])
+                for slop in slops:
+                    out: dict[tuple[int, str | None, int], list[tuple[int, int]]] = {}  # starts ascend for one phrase length only
+                    for n, phrases, items in held.value.groups:
+                        at = np.minimum(np.searchsorted(terms, phrases), len(terms) - 1)
+                        known = np.flatnonzero((terms[at] == phrases).all(axis=1))
+                        if not len(known):
+                            continue
+                        phrase, start = intersect_in_parts(keys, lengths, first, at[known], slop)
+                        row = np.searchsorted(base, start, "right") - 1
+                        for p, r, s in sorted(zip(known[phrase].tolist(), row.tolist(), (start - base[row]).tolist()), key=lambda x: x[2]):
+                            for item in items[p]:
+                                ranges = out.setdefault((r, item, n), [])
+                                s0, s1 = max(0, s - slop * (n > 1)), s + n + slop * (n > 1)
+                                if ranges and ranges[-1][1] >= s0:
+                                    ranges[-1] = (ranges[-1][0], max(s1, ranges[-1][1]))
+                                else:
+                                    ranges.append((s0, s1))
+                    joint: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
+                    for (r, item, _), ranges in out.items():
+                        joint.setdefault((r, item), []).extend(ranges)
+                    found = [(r, item, *x) for (r, item), ranges in joint.items() for x in merged(ranges)]
+                    if found:
+                        r, item, s0, s1 = zip(*found)
+                        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                        columns = ([batch.column("segment")[k].as_py()] * len(r), [slop] * len(r), r, item, s0, s1)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["segment", "slop", "row", "item_id", "start", "end"])
 
     return run
 
 
-MATCHES = "segment long, row long, item_id string, start long, end long"
+MATCHES = "segment long, slop int, row long, item_id string, start long, end long"
 
 
-def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
-    """Matches of all ``phrases`` (item_id, phrase) in ``index``: segment, row, item_id, start, end (word range).
+def search(index: DataFrame, phrases: DataFrame, *slops: int) -> DataFrame:
+    """Matches of all ``phrases`` (item_id, phrase) in ``index`` for each slop (0 if none is given): segment, slop, row, item_id, start, end (word range).
 
-    The phrases are taken in blocks of at most ``BLOCK_PHRASES``; each block passes over all segments.
+    The phrases are dealt to blocks of about ``BLOCK_PHRASES``. One block at a time is broadcast, passes over all
+    segments, and is dropped again; its matches are stored.
     """
-    if slop > GAP - WINDOW:
-        raise ValueError(f"slop is {GAP - WINDOW} at most")
-    spark, out, block = index.sparkSession, [], []
-
-    def match() -> None:
-        held = spark.sparkContext.broadcast(Block(*map(list, zip(*block))))
-        out.append(index.mapInArrow(match_segments(held, slop), MATCHES))
-
-    for row in phrases.toLocalIterator():
-        block.append((row["item_id"], bytes(row["phrase"])))
-        if len(block) == BLOCK_PHRASES:
-            match()
-            block = []
-    if block:
-        match()
-    found = spark.createDataFrame([], MATCHES)
-    for x in out:
-        found = found.unionAll(x)
-    return found
+    slops = slops or (0,)
+    if max(slops) > MAX_SLOP:
+        raise ValueError(f"slop is {MAX_SLOP} at most")
+    spark, path = index.sparkSession, new_path(index.sparkSession, "matches")
+    phrases = stored(phrases, "phrases")
+    blocks = -(-phrases.count() // BLOCK_PHRASES)
+    dealt = phrases.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(max(1, blocks))))
+    spark.createDataFrame([], MATCHES).write.parquet(path)
+    for k in range(blocks):
+        rows = dealt.where(F.col("block") == k).select("item_id", "phrase").toArrow()
+        held = spark.sparkContext.broadcast(Block(rows["item_id"].to_pylist(), rows["phrase"].to_pylist()))
+        index.mapInArrow(match_segments(held, slops), MATCHES).write.mode("append").option("compression", "zstd").parquet(path)
+        held.destroy()
+    return spark.read.schema(MATCHES).parquet(path)
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, *slops: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the index of ``docs`` (segment, row, doc_id, h, n_words), and the matches in them."""
+    index = build_index(docs, new_path(docs.sparkSession, "postings"))
+    rows = index.select("segment", F.posexplode("rows").alias("row", "doc")).select("segment", F.col("row").cast("long").alias("row"), "doc.doc_id", "doc.h", "doc.n_words")
+    return rows, search(index, test_phrases(benchmark), *slops)
+
+
+def _digest(items: Column) -> Column:
+    return F.sha2(F.array_join(items, ","), 256)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``."""
-    path = new_path(docs.sparkSession, "postings")
-    index = build_index(docs, path)
-    matches = search(index, test_phrases(benchmark))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``; and of proximity matches (exact ones are also near) n_near_items, near_items_sha256."""
+    rows, matches = _matched(docs, benchmark, 0, NEAR)
     # words of the union of each row's ranges: what every range adds beyond all before it
     before = Window.partitionBy("segment", "row").orderBy("start", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("end").over(before), F.lit(0))
+    exact = matches.where("slop = 0").withColumn("added", F.greatest(F.lit(0), F.col("end") - F.greatest("start", seen)))
+    near = matches.where("slop > 0").withColumn("added", F.lit(0).cast("long"))
     hits = (
-        matches.withColumn("added", F.greatest(F.lit(0), F.col("end") - F.greatest("start", seen)))
+        exact.unionAll(near)
         .groupBy("segment", "row")
-        .agg(F.sum("added").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+        .agg(F.sum("added").alias("n_hit"), *[F.array_sort(F.collect_set(F.when(F.col("slop") == k, F.col("item_id")))).alias(x) for k, x in ((0, "items"), (NEAR, "near_items"))])
     )
-    rows = index.select("segment", F.posexplode("rows").alias("row", "doc")).select("segment", F.col("row").cast("long").alias("row"), "doc.doc_id", "doc.n_words")
-    items = F.coalesce("items", F.array().cast("array<string>"))
+    items, near_items = (F.coalesce(x, F.array().cast("array<string>")) for x in ("items", "near_items"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.join(hits, ["segment", "row"], "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        _digest(items).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.size(near_items).cast("long").alias("n_near_items"),
+        _digest(near_items).alias("near_items_sha256"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose doc_id has a contaminated row (null ids count as one id)."""
-    found = stored(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` whose text has no window of a benchmark item; ids play no part."""
+    rows, matches = _matched(docs, benchmark, 0)
+    found = stored(rows.join(matches.select("segment", "row").distinct(), ["segment", "row"], "left_semi").select(F.col("h").alias("hit")).distinct(), "contaminated")
+    column = "h_" + "_".join(docs.columns)  # a name that no column has
+    held = docs.withColumn(column, F.xxhash64("text"))
+    return join_checked(held, found, held[column] == found["hit"], "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +300,21 @@ p AS (
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i))),
 h AS (SELECT doc_id, k, n, item_id FROM p JOIN i USING (n, w)),
 c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id),
-s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
+f AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+v AS (SELECT *, row_number() OVER () AS phrase FROM (SELECT item_id, n, string_split(w, ' ') AS ws FROM i)),
+x AS (SELECT phrase, item_id, n, ws[1] AS first_word, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS shift FROM v),
+r AS (SELECT phrase, item_id, x.n, first_word, w, shift FROM x LEFT JOIN f USING (w) QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY coalesce(f.n, 0), shift) = 1),
+z AS (
+  SELECT DISTINCT doc_id, phrase, item_id, n, pos - shift + moved AS start, first_word
+  FROM (SELECT t.doc_id, r.phrase, r.item_id, r.n, r.first_word, t.pos, r.shift, unnest(CASE WHEN r.shift = 0 THEN [0] ELSE range(-2, 3) END) AS moved FROM t JOIN r USING (w))),
+y AS (SELECT z.* FROM z JOIN t ON t.doc_id = z.doc_id AND t.pos = z.start AND t.w = z.first_word),
+q AS (
+  SELECT y.doc_id, y.item_id, y.phrase, y.start FROM y JOIN x ON x.phrase = y.phrase JOIN t ON t.doc_id = y.doc_id AND t.w = x.w AND abs(t.pos - y.start - x.shift) <= CASE WHEN x.shift = 0 THEN 0 ELSE 2 END
+  GROUP BY ALL HAVING count(DISTINCT x.shift) = any_value(y.n)),
+e AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS near_items FROM q GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN e USING (doc_id)
 """
