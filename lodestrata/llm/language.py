@@ -1,12 +1,14 @@
 """Language identification by compression: the dictionary that makes a text smallest names its language.
 
 One raw-content dictionary per language is filled from a bounded sample of labelled rows: the ``SAMPLE_ROWS``
-rows of each language with the least hash, whole texts, until ``DICTIONARY_BYTES`` are reached. Every whole
-text, in lower case and with one space for all between its letters (like the samples), is compressed with each dictionary in blocks of ``BLOCK_BYTES`` (so that
-what repeats in a long text does not outweigh the dictionary), and the blocks' sizes are summed. A narrow
-margin between the two smallest sums marks the prediction as rejected.
-
-Defined cases: a null text, or one without a letter, gives ``und`` with score 0 and is rejected. Ties go to the
+rows of each language with the least hash, until ``DICTIONARY_BYTES`` are reached. Every whole text, in lower case
+and with one space for all between its letters (like the samples), is compressed with each dictionary in blocks of
+``BLOCK_BYTES`` (so that what repeats in a long text does not outweigh the dictionary), and the blocks' sizes are
+summed. A narrow margin between the two smallest sums marks the prediction as rejected. The cost of a text grows
+with the number of languages, as each has a dictionary of its own.
+
+Defined cases: a null text, or one without a letter (Unicode category L; numerals such as ``½`` are none), gives
+``und`` with score 0 and is rejected. A very long text is judged block by block like any other. Ties go to the
 language with more learned rows, then to the first by code point. With one learned language only, its score is 1; with none, all are
 ``und``. Null ``doc_id`` or lang are not learned from. Repeated rows are judged alike; an empty table gives an
 empty result; other columns are ignored.
@@ -14,11 +16,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import exp
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,8 @@ MARGIN_SCALE = 0.02
 #: Predictions with a smaller relative margin are rejected.
 MIN_MARGIN = 0.01
 
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> bytes:
@@ -69,7 +71,8 @@ def dictionaries(rows: DataFrame) -> dict[str, bytes]:
     upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     needed = filled.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < DICTIONARY_BYTES)
     found: dict[str, bytes] = {r["lang"]: b"" for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
-    for r in needed.orderBy("lang", "rank").select("lang", "text").collect():
+    # what no dictionary has room for stays where it is: a letter has one byte at least
+    for r in needed.orderBy("lang", "rank").select("lang", F.substring(F.regexp_replace("text", r"[^\p{L}\p{M}]++", " "), 1, DICTIONARY_BYTES).alias("text")).collect():
         found[r["lang"]] = (found[r["lang"]] + letters(r["text"]) + b" ")[:DICTIONARY_BYTES]
     return found
 
