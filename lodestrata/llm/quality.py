@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
-from lodestrata.llm.storage import join_checked, plain, table
+from lodestrata.llm.storage import BROADCAST_ROWS, plain, table
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -78,8 +78,15 @@ def ratio_table(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
     ``trusted``: a table of ``doc_id``. The result has ``BUCKETS`` numbers whatever the corpus' size.
     """
-    flagged = join_checked(plain(docs, "doc_id", "text"), plain(trusted, "doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True)), "doc_id", "left")
-    counts = flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(count_ngrams, "bucket int, raw long, target long")
+    source, ids = plain(docs, "doc_id", "text"), plain(trusted, "doc_id").where("doc_id is not null").distinct()
+    counted = "bucket int, raw long, target long"
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        flagged = source.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left")
+        counts = flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(count_ngrams, counted)
+    else:  # the raw corpus in a plain scan; only what is joined to a trusted id is counted again, for the target
+        raw = source.select("text", F.lit(False).alias("trusted")).mapInArrow(count_ngrams, counted)
+        target = source.join(ids, "doc_id").select("text", F.lit(True).alias("trusted")).mapInArrow(count_ngrams, counted)
+        counts = raw.unionAll(target.select("bucket", F.lit(0).cast("long").alias("raw"), "target"))
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows["bucket"].to_numpy()], target[rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
