@@ -10,8 +10,8 @@ is a Parquet table of shard, record, offset, length, doc_id, n_tokens, ids_crc32
 shard before the record): a shuffled read needs only the index and ranges of the shards.
 
 Ids are in ascending order of doc_id over the shards' numbers: null ids come first, and rows with equal
-doc_id are ordered by a hash of their text, then by the text. A null text is empty: its sequence is the end id alone. An empty
-table gives no shard and an empty result. Other columns are ignored.
+doc_id are ordered by a hash of their text, then by the text. A null text is empty: its sequence is the end id alone. A very long
+text is one record, whose ids are held whole. An empty table gives no shard and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ from lodestrata.llm.storage import join_checked, new_path, plain, table
 END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
+#: Text bytes of a shard, about: its ids take some half of it, and a shard is read back as one value.
+SHARD_BYTES = 256_000_000
+#: Records of a shard that are handed on at once when it is read.
+RECORDS = 20_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
 MEMO = 800_000
 _MASK_DELTA = 0xA282EAD8
@@ -122,7 +126,7 @@ def frame(key: str | None, ids: bytes, width: int) -> bytes:
     return length + struct.pack("<I", masked_crc(length)) + payload + struct.pack("<I", masked_crc(payload))
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
+def records(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, str | None, np.ndarray]]:
     """Offset, frame length, key and ids of each record of a shard; raises if a checksum does not hold."""
     view, at = memoryview(data), 0
     while at < len(data):
@@ -159,9 +163,12 @@ def _write(path: str):
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str) -> None:
-    """Write the ids of all texts below ``path``, in ascending order of doc_id; a shard per partition."""
+    """Write the ids of all texts below ``path``, in ascending order of doc_id; a shard per partition, of about SHARD_BYTES of text at most."""
     tie = F.xxhash64("text")  # so that even rows of one doc_id spread over partitions
-    source = plain(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    source = plain(docs, "doc_id", "text")
+    shards = -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    by = ("doc_id", tie) if shards <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else (shards, "doc_id", tie)
+    source = source.repartitionByRange(*by).sortWithinPartitions("doc_id", tie, "text")
     chunks = source.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_write(tokenizer_path), "value binary")
     chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
@@ -175,12 +182,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             shard = int(re.search(r"part-(\d+)", batch.column("path")[k].as_py().rpartition("/")[2])[1])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             rows, before = [], 0
-            for record, (at, n, key, ids) in enumerate(records(batch.column("content")[k].as_py())):
+            for record, (at, n, key, ids) in enumerate(records(batch.column("content")[k].as_buffer())):
                 rows.append((shard, record, at, n, key, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
                 before += len(ids)
+                if len(rows) == RECORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+                    rows = []
             if rows:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
 
