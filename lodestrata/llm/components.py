@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.storage import stored
 
 
+def least_places(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least place that each of ``n`` places is linked to, in memory; links (low, high) are places."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, high, root[low])
+        np.minimum.at(new, low, root[high])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to the least node it sees."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

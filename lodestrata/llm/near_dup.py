@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
-from lodestrata.llm.components import components
+from lodestrata.llm.components import components, least_places
 from lodestrata.llm.storage import plain, stored, table
 
 SHINGLE = 3
@@ -191,19 +191,6 @@ def _links(run: np.ndarray, fp: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
-def _roots(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least place that each of ``n`` places is linked to."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, high, root[low])
-        np.minimum.at(new, low, root[high])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 @K.released
 def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, v, fp) sorted by bucket (k, v) -> (a, b) that connect what is linked, and (fp, null) for members of large buckets.
@@ -241,7 +228,7 @@ def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held = [x[keep] for x in (k, v, fp)]
         todo = ~big & (run != open_run) & (size[run] > 1)
         fp = fp[todo]
-        root = _roots(len(fp), *_links(run[todo], fp, size[run[todo]]))
+        root = least_places(len(fp), *_links(run[todo], fp, size[run[todo]]))
         moved = np.flatnonzero(root != np.arange(len(fp)))
         if len(moved):
             yield emit(fp[root[moved]], fp[moved])
