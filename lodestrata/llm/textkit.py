@@ -39,11 +39,22 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: What operators keep in a worker between tasks: how to drop it, by their module.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(module: str, drop: Callable[[], None]) -> None:
+    """Until a worker runs another module's function it keeps what ``drop`` drops."""
+    _kept[module] = drop
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, and then what it has freed goes back to the system: a worker lives on between tasks and stages."""
+    """``run``, without what other operators keep; then what it has freed goes back to the system: a worker lives on between tasks and stages."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module in _kept.keys() - {run.__module__}:
+            _kept.pop(module)()
         yield from run(batches)
         _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
         pa.default_memory_pool().release_unused()

@@ -70,7 +70,8 @@ class PieceCounter:
 
 @lru_cache(maxsize=1)
 def counter_of(path: str) -> PieceCounter:
-    """One counter for all tasks of a worker."""
+    """One counter for all tasks of a worker, until it turns to another operator."""
+    K.keep(__name__, counter_of.cache_clear)
     return PieceCounter(path)
 
 

@@ -40,7 +40,7 @@ SHARD_BYTES = 256_000_000
 #: Records of a shard that are handed on at once when it is read.
 RECORDS = 20_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
-MEMO = 800_000
+MEMO = 500_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
@@ -109,7 +109,8 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
+    """One encoder for all tasks of a worker, until it turns to another operator."""
+    K.keep(__name__, encoder_of.cache_clear)
     return Encoder(path)
 
 
