@@ -439,22 +439,58 @@ class TestChat:
 
 class TestPipeline:
     def test_stages(self, spark):
+        """Each stage against a plain statement of it, on what its predecessor kept."""
         corpus_pipeline = pytest.importorskip("corpus_pipeline")
-        from lodestrata.llm.near_dup import simhash_components
-        from lodestrata.llm.quality import quality_rules, trusted_ids
+        from lodestrata.llm import quality as Q
+        from tests.llm.test_jaccard import groups
 
         docs = spark.read.parquet(f"{SF}/documents.parquet")
-        labels = spark.read.parquet(f"{SF}/labels.parquet")
         stages = dict(corpus_pipeline.STAGES)
         good = stages["quality"](spark, docs, SF).cache()
-        assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality_rules(docs, trusted_ids(labels)).where("kept").collect()}
+        trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1}
+        rows = docs.collect()
+        grams = {r.doc_id: [(b"\n" * 4 + r.text.encode())[k - 3 : k + 1].translate(bytes(Q._FOLD)) for k in range(4, len(r.text.encode()) + 4)] for r in rows}
+        bucket = {g: ((int.from_bytes(g, "big") * 0x9E3779B97F4A7C15) % (1 << 64)) >> 48 for x in grams.values() for g in x}
+        raw, target = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS)
+        for k, x in grams.items():
+            own = np.bincount([bucket[g] for g in x], minlength=Q.BUCKETS)
+            raw += own
+            target += own * (k in trusted)
+        p_raw = (raw + 0.5) / (raw.sum() + 0.5 * Q.BUCKETS)
+        ratio = np.log((target + Q.PRIOR * p_raw) / (target.sum() + Q.PRIOR) / p_raw)
+        want = {r.doc_id for r in rows if not brute.quality(r.text)[-1] and np.mean([ratio[bucket[g]] for g in grams[r.doc_id]]) >= Q.MIN_SCORE}
+        assert {r.doc_id for r in good.collect()} == want
         one = stages["near_duplicates"](spark, good, SF).cache()
-        assert sorted(r.doc_id for r in one.collect()) == sorted({r.component_id for r in simhash_components(good).collect()})
+        kept = sorted((r.doc_id, r.text) for r in good.select("doc_id", "text").collect())
+        assert sorted(r.doc_id for r in one.collect()) == sorted({kept[k][0] for k in groups([x for _, x in kept])})
         clean = stages["decontamination"](spark, one, SF).cache()
         items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
         assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect() if not brute.contaminated(r.text, items)[1]}
         mixed = stages["mixing"](spark, clean, SF).cache()
-        assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
+        times = {}
+        for r in mixed.collect():
+            times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        size, order = {}, {}
+        for r in clean.collect():
+            size.setdefault(r.source, {})[r.doc_id] = len(brute.WORD.findall(r.text))
+        names = sorted(size, key=lambda x: (x is None, x))
+        weight, total = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}, {x: sum(v.values()) for x, v in size.items()}
+        capped = set()
+        while True:
+            level = (1.5 * sum(total.values()) - sum(2 * total[x] for x in capped)) / max(1, sum(weight[x] for x in names if x not in capped))
+            more = {x for x in names if x not in capped and level * weight[x] > 2 * total[x]}
+            if not more:
+                break
+            capped |= more
+        for x in names:
+            aim = 2 * total[x] if x in capped else level * weight[x]
+            whole = int(aim // total[x])
+            order = sorted(size[x], key=lambda k: int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:15], 16))
+            upto = 0
+            for k in order:
+                extra = upto + size[x][k] / 2 <= aim - whole * total[x]
+                upto += size[x][k]
+                assert times.get(k, 0) == whole + extra
         for df in (good, one, clean, mixed):
             assert df.columns == docs.columns
         assert stages["tokens"](spark, mixed, SF).count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
