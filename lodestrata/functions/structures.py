@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import UNICODE_INK
+
 REQUIRED_OUTPUT = ["summary", "behavior_explanation", "risk_level", "malware_like_behaviors", "attack_mapping", "recommendations", "limitations"]
 
 
@@ -52,7 +54,7 @@ def range_texts(text: Column, ranges: Column) -> Column:
     """Distinct non-blank texts of line ranges."""
     lines = F.split(text, "\n")
     found = F.transform(ranges, lambda r: F.array_join(F.slice(lines, r["a"], r["b"] - r["a"] + 1), "\n"))
-    return F.array_distinct(F.filter(found, lambda x: F.trim(x) != ""))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(UNICODE_INK)))
 
 
 def grounded(text: Column, spans: Column) -> Column:

@@ -54,8 +54,10 @@ WEAKNESS_FAMILIES = {
     "information_exposure": [200, 201, 203, 209, 212, 215, 359, 497, 532, 538],
     "error_handling": [252, 253, 273, 280, 390, 391, 392, 393, 394, 395, 396, 397, 754, 755],
 }
-#: White space as Python's ``\s`` has it on text.
+#: White space as Python's ``\s`` has it on text; a character that is none; and what ends a line for ``splitlines``.
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+UNICODE_INK = UNICODE_SPACE.replace("[", "[^", 1)
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def named_hits(text: Column, patterns: dict[str, str]) -> Column:
@@ -102,9 +104,18 @@ def risk_of(text: Column) -> Column:
     return out
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(UNICODE_INK)
+
+
 def code_of(text: Column) -> Column:
-    """What follows the first listed marker that occurs, trimmed; null without one."""
-    return F.coalesce(*[F.when(text.contains(m), F.trim(F.substr(text, F.instr(text, m) + len(m)))) for m in CODE_MARKERS])
+    """What follows the first listed marker that occurs, without white space at its ends; null without one."""
+    return F.coalesce(*[F.when(text.contains(m), stripped(F.substr(text, F.instr(text, m) + len(m)))) for m in CODE_MARKERS])
 
 
 def cwe_list(values: Column) -> Column:
@@ -140,8 +151,8 @@ def leakage_flags(text: Column, keys: Column | None = None) -> Column:
 
 
 def repeats_lines(text: Column, length: int = 24, times: int = 4) -> Column:
-    """Whether a line of at least ``length`` characters, white space normalised, occurs ``times`` times."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s]+", " "))), lambda x: F.length(x) >= length)
+    """Whether a line of at least ``length`` characters, white space normalised, occurs ``times`` times. Lines end as Python's ``splitlines`` has it."""
+    lines = F.filter(F.transform(F.split(text, LINE_ENDS), lambda x: stripped(F.regexp_replace(x, f"{UNICODE_SPACE}+", " "))), lambda x: F.length(x) >= length)
     ordered = F.array_sort(lines)
     # in order, equal lines stand together: one is repeated if it equals the one some places on
     return F.exists(F.zip_with(ordered, F.slice(ordered, F.lit(times), F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
@@ -151,18 +162,28 @@ def repeats_tokens(text: Column, widths: tuple[int, ...] = (8, 16, 32), times: i
     """Whether a window of tokens follows itself until it stands ``times`` times in a row.
 
     For each width the places where a token equals the one a width on are written as a string of 1 and 0;
-    the window repeats if (times - 1) widths of 1 follow each other.
+    the window repeats if (times - 1) widths of 1 follow each other. A text of too few tokens is not looked at.
     """
-    tokens = F.filter(F.split(text, r"[\s]+"), lambda x: x != "")
-    found = F.lit(False)
-    for w in widths:
-        same = F.zip_with(tokens, F.slice(tokens, F.lit(w + 1), F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.when(a == b, "1").otherwise("0"))
-        found = found | F.array_join(same, "").contains("1" * (w * (times - 1)))
-    return found
+    tokens = F.filter(F.split(text, f"{UNICODE_SPACE}+"), lambda x: x != "")
+
+    def found(hashes: Column) -> Column:
+        out = F.lit(False)
+        for w in widths:
+            same = F.zip_with(hashes, F.slice(hashes, F.lit(w + 1), F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.when(a == b, "1").otherwise("0"))
+            out = out | ((F.size(hashes) >= w * times) & F.array_join(same, "").contains("1" * (w * (times - 1))))
+        return out
+
+    # tokens are compared by their hashes, computed once
+    return F.element_at(F.transform(F.array(F.transform(tokens, lambda x: F.xxhash64(x))), found), 1)
+
+
+def repeats(text: Column) -> Column:
+    """Whether an output runs in a loop: of lines or of tokens."""
+    return repeats_lines(text) | repeats_tokens(text)
 
 
 def abnormal_length(text: Column, limit: int = 32768) -> Column:
-    n = F.length(F.trim(text))
+    n = F.length(stripped(text))
     return (n == 0) | (n > limit)
 
 
@@ -184,8 +205,8 @@ def numbered_lines(text: Column) -> Column:
 
 
 def without_fences(text: Column) -> Column:
-    """Text without the lines between code fences, fences included."""
-    step = lambda a, x: F.when(x.startswith("```"), F.struct((~a["inside"]).alias("inside"), a["out"].alias("out"))).otherwise(
+    """Text without the lines between code fences, fences included; a fence may be indented."""
+    step = lambda a, x: F.when(x.rlike(rf"^{UNICODE_SPACE}*```"), F.struct((~a["inside"]).alias("inside"), a["out"].alias("out"))).otherwise(
         F.struct(a["inside"].alias("inside"), F.when(a["inside"], a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"))
     )
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
@@ -200,4 +221,4 @@ def identifiers(text: Column, stop: list[str], least: int = 3) -> Column:
 
 def statements(code: Column) -> Column:
     """Distinct non-blank statements between ``;``, braces and line ends."""
-    return F.array_distinct(F.filter(F.transform(F.split(code, r"[;{}\n]"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(code, r"[;{}\n]"), stripped), lambda x: x != ""))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.hashing import sha
 from lodestrata.functions.structures import least_confidence
+from lodestrata.functions.text import UNICODE_INK
 
 # Prefixes, aliases and limits that results depend on.
 CRASH_FAMILIES = {
@@ -50,7 +51,7 @@ def eligible_reports(df: DataFrame, flags: list[str], language: str, languages:
     for f in flags:
         keep = keep & F.coalesce(F.col(f), F.lit(False))
     for f in required:
-        keep = keep & (F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "")
+        keep = keep & F.coalesce(F.col(f).cast("string"), F.lit("")).rlike(UNICODE_INK)
     return df.where(keep)
 
 
@@ -66,7 +67,7 @@ def before_after(rows: DataFrame, before: str, after: str, verified: Column) ->
 
 
 def pair_verified(label: Column, before: Column, after: Column, patch: Column, cwe: Column) -> Column:
-    return F.coalesce((label == 1) & (before != after) & (F.trim(patch) != "") & (F.trim(cwe) != ""), F.lit(False))
+    return F.coalesce((label == 1) & (before != after) & patch.rlike(UNICODE_INK) & cwe.rlike(UNICODE_INK), F.lit(False))
 
 
 def pair_reasons(rows: DataFrame, group: str, label: str, same: str, content: str, seed: int) -> DataFrame:

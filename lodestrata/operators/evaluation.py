@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.rates import f1, failed_names, percentile_rank, ratio
-
-# The least or largest rates of each contract.
+from lodestrata.functions.rates import f1, failed_names, percentile_rank, rate, ratio
+
+# The least or largest figures of each contract; True: must hold.
+_RATES = {"parse_rate": 0.99, "schema_rate": 0.99}
+_STRICT = {"precision": 0.90, "recall": 0.95, "false_positive_rate": 0.05, "abstention_rate": 0.05}
+_LOOSE = {"precision": 0.75, "recall": 0.75, "false_positive_rate": 0.20, "abstention_rate": 0.10}
+_EVIDENCE = {"evidence_precision": 0.50, "evidence_recall": 0.50, "renderer_rate": 1.0}
+_SOURCE = {"safety_rate": 1.0, "repetition_rate": 0.01, "abnormal_length_rate": 0.01}
 GATES = {
-    "absolute": {"n": 200, "precision": 0.90, "recall": 0.95, "false_positive_rate": 0.05, "abstention_rate": 0.05, "parse_rate": 0.99, "schema_rate": 0.99, "safety_rate": 1.0, "evidence_rate": 0.90},
-    "source": {"n": 200, "precision": 0.90, "recall": 0.95, "false_positive_rate": 0.05, "abstention_rate": 0.05, "parse_rate": 0.99, "schema_rate": 0.99, "repetition_rate": 0.01, "abnormal_length_rate": 0.01},
-    "source_diagnostic": {"n": 20, "precision": 0.75, "recall": 0.75, "false_positive_rate": 0.20, "abstention_rate": 0.10, "parse_rate": 0.99, "schema_rate": 0.99},
-    "binary": {"n": 200, "precision": 0.90, "recall": 0.95, "false_positive_rate": 0.05, "abstention_rate": 0.05, "parse_rate": 0.99, "schema_rate": 0.99, "evidence_rate": 0.90, "consistency_rate": 0.95},
-    "decision": {"n": 20, "precision": 0.75, "recall": 0.75, "false_positive_rate": 0.20, "abstention_rate": 0.10, "parse_rate": 0.99, "schema_rate": 0.99},
-    "compact": {"n": 100, "precision": 0.75, "recall": 0.75, "false_positive_rate": 0.20, "abstention_rate": 0.10, "parse_rate": 0.99, "schema_rate": 0.99, "evidence_precision": 0.50, "evidence_recall": 0.50, "renderer_rate": 1.0},
-    "evidence_lines": {"n": 100, "parse_rate": 0.99, "schema_rate": 0.99, "evidence_precision": 0.50, "evidence_recall": 0.50, "renderer_rate": 1.0},
-    "two_stage": {"n": 100, "precision": 0.90, "recall": 0.95, "false_positive_rate": 0.05, "abstention_rate": 0.05, "parse_rate": 0.99, "schema_rate": 0.99},
-    "target_audit": {"schema_rate": 1.0, "link_rate": 0.95, "exact_duplicate_rate": 0.05, "single_target_rate": 0.02, "leaks": 0},
-}
-#: Rates that must not be exceeded; all others must be reached.
-CEILINGS = {"false_positive_rate", "abstention_rate", "repetition_rate", "abnormal_length_rate", "exact_duplicate_rate", "single_target_rate", "leaks"}
+    "absolute": {"n": 200, "complete": True, **_STRICT, **_RATES, "safety_rate": 1.0, "evidence_rate": 0.90},
+    "source": {"n": 200, "complete": True, "both_answered": True, **_STRICT, **_RATES, **_SOURCE, "evidence_rate": 0.90},
+    "source_diagnostic": {"n": 20, "complete": True, "both_answered": True, **_LOOSE, **_RATES, **_SOURCE, "evidence_rate": 0.0},
+    "binary": {"n": 200, "complete": True, **_STRICT, **_RATES, "evidence_rate": 0.90, "consistency_rate": 0.95},
+    "decision": {"n": 20, "complete": True, "both_answered": True, **_LOOSE, **_RATES},
+    "compact": {"n": 100, "complete": True, "both_labels": True, **_LOOSE, **_RATES, **_EVIDENCE},
+    "evidence_lines": {"n": 100, "complete": True, **_RATES, **_EVIDENCE},
+    "two_stage_decision": {"n": 100, "complete": True, "both_answered": True, **_STRICT, **_RATES},
+    "two_stage_evidence": {"n": 100, "complete": True, **_RATES, **_EVIDENCE},
+    "target_audit": {
+        "n": 1, "schema_rate": 1.0, "n_leaks": 0, "link_rate": 0.95, "n_generic": 0, "exact_duplicate_rate": 0.05, "single_target_rate": 0.02, "n_safety_claims": 0, "n_over_cutoff": 0, "n_over_budget": 0,
+    },
+}
+#: Figures that must not be exceeded; all others must be reached.
+CEILINGS = {
+    "false_positive_rate", "abstention_rate", "repetition_rate", "abnormal_length_rate", "exact_duplicate_rate", "single_target_rate", "n_leaks", "n_generic", "n_safety_claims", "n_over_cutoff", "n_over_budget", "max_fpr",
+}
+ASSESSMENTS = ["present", "not_observed", "uncertain"]
 
 
 def confusion(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -47,16 +58,112 @@ def confusion(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def gate(metrics: DataFrame, contract: str) -> DataFrame:
-    """Adds ``passed`` and ``failed_checks`` (sorted names, comma-joined) of a contract's thresholds."""
-    checks = {k: (F.col(k) <= v if k in CEILINGS else F.col(k) >= v) for k, v in GATES[contract].items() if k in metrics.columns}
-    failed = failed_names(checks)
+def gate(metrics: DataFrame, contract: str | dict[str, float | bool]) -> DataFrame:
+    """Adds ``passed`` and ``failed_checks`` (sorted names, comma-joined) of a contract's limits.
+
+    A figure that is absent or null fails its check. Where the counts are there, precision, recall and false
+    positive rate are compared as exact ratios, not as they are rounded.
+    """
+    exact = {"precision": ("tp", ("tp", "fp")), "recall": ("tp", ("positives",)), "false_positive_rate": ("fp", ("negatives",))}
+
+    def figure(name: str) -> Column:
+        if name not in metrics.columns:
+            return F.lit(None).cast("double")
+        if name in exact and {"tp", "fp", "positives", "negatives"} <= set(metrics.columns):
+            top, below = exact[name]
+            return ratio(F.col(top), sum((F.col(x) for x in below[1:]), F.col(below[0])))
+        return F.col(name)
+
+    def holds(name: str, limit: float | bool) -> Column:
+        if limit is True:
+            return figure(name).cast("boolean")
+        return figure(name) <= limit if name in CEILINGS else figure(name) >= limit
+
+    failed = failed_names({k: holds(k, v) for k, v in (GATES[contract] if isinstance(contract, str) else contract).items()})
     return metrics.select("*", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("failed_checks"))
 
 
+def unique_keys(df: DataFrame, key: str) -> DataFrame:
+    """``df``; a key that occurs twice fails the job when it is read."""
+    once = F.when(F.count("*").over(Window.partitionBy(key)) == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string"))))
+    return df.withColumn(key, once.cast(df.schema[key].dataType))
+
+
 def join_predictions(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Gold with its prediction, if any; a key must be unique on both sides."""
-    return gold.join(predictions.withColumn("predicted", F.lit(True)), key, "left").withColumn("missing", F.col("predicted").isNull()).drop("predicted")
+    """Gold with its prediction, if any; a key that is not unique on both sides fails the job."""
+    predicted = unique_keys(predictions, key).withColumn("predicted", F.lit(True))
+    return unique_keys(gold, key).join(predicted, key, "left").withColumn("missing", F.col("predicted").isNull()).drop("predicted")
+
+
+def judged(joined: DataFrame, n_lines: str = "n_lines", gold_lines: str = "gold_lines") -> DataFrame:
+    """Cases of gold joined with predictions (is_positive, missing, raw_output, gold_lines, n_lines): what the output is worth.
+
+    An output is an object with ``assessment``, ``basis`` and ``evidence`` (numbers of lines). Adds parsed, schema_ok,
+    safe, has_evidence, repeats, abnormal, assessment and decision (null: abstained or unusable), renders, and
+    the sizes of evidence: n_predicted, n_gold, n_shared.
+    """
+    from lodestrata.functions import text as T
+    from lodestrata.functions.structures import is_json_object
+
+    raw, present = F.col("raw_output"), ~F.col("missing")
+    parsed = joined.withColumn("parsed", F.coalesce(is_json_object(raw), F.lit(False)) & present)
+    parts = F.from_json(F.when(F.col("parsed"), raw), "assessment string, basis string, evidence array<int>")
+    read = parsed.withColumn("_o", parts)
+    basis = T.stripped(F.coalesce("_o.basis", F.lit(""))) != ""
+    valid = F.col("_o.assessment").isin(ASSESSMENTS) & basis & F.col("_o.evidence").isNotNull()
+    read = read.withColumn("schema_ok", F.coalesce(valid, F.lit(False)))
+    lines = F.when(F.col("schema_ok"), F.array_distinct("_o.evidence")).otherwise(F.array().cast("array<int>"))
+    told = F.when(F.col("schema_ok"), F.col("_o.assessment"))
+    return read.select(
+        *joined.columns, "parsed", "schema_ok",
+        (F.col("parsed") & ~T.any_match(raw, T.UNSAFE_GUIDANCE)).alias("safe"),
+        F.coalesce(told.isNotNull() & ((told != "present") | (F.size(lines) > 0)), F.lit(False)).alias("has_evidence"),
+        (present & T.repeats(raw)).alias("repeats"), (present & T.abnormal_length(raw)).alias("abnormal"),
+        told.alias("assessment"), F.when(told == "present", True).when(told == "not_observed", False).alias("decision"),
+        (F.col("schema_ok") & F.forall(lines, lambda x: x.between(1, F.col(n_lines)))).alias("renders"),
+        F.size(lines).alias("n_predicted"), F.size(F.array_distinct(gold_lines)).alias("n_gold"), F.size(F.array_intersect(lines, gold_lines)).alias("n_shared"),
+    )
+
+
+def contract_metrics(cases: DataFrame, n_extra: DataFrame, group: str | None = None) -> DataFrame:
+    """One row with every figure that the contracts on judged cases ask for. ``n_extra``: one row, predictions without gold."""
+    rates = {"parse_rate": "parsed", "schema_rate": "schema_ok", "safety_rate": "safe", "evidence_rate": "has_evidence", "repetition_rate": "repeats", "abnormal_length_rate": "abnormal", "renderer_rate": "renders"}
+    shares = cases.agg(
+        *[rate(F.col(c)).alias(k) for k, c in rates.items()], F.count_if("missing").alias("n_missing"),
+        *[F.round(ratio(F.sum("n_shared"), F.sum(c)), 4).alias(k) for k, c in (("evidence_precision", "n_predicted"), ("evidence_recall", "n_gold"))],
+    )
+    m = confusion(cases).crossJoin(shares).crossJoin(n_extra)  # one row each
+    if group:
+        m = m.crossJoin(consistency(cases, group, "assessment").select("consistency_rate"))
+    c = F.col
+    return m.select("*", ((c("n_missing") == 0) & (c("n_extra") == 0)).alias("complete"), ((c("tp") + c("fp") > 0) & (c("tn") + c("fn") > 0)).alias("both_answered"), ((c("positives") > 0) & (c("negatives") > 0)).alias("both_labels"))
+
+
+def extra_predictions(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """One row, n_extra: predictions whose key is no gold's."""
+    return predictions.join(gold.select(key), key, "left_anti").agg(F.count("*").alias("n_extra"))
+
+
+def target_audit(targets: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """One row: figures of training targets (target, label, schema_ok, leaked, linked, generic, claim, over_cutoff, over_budget), checks and status.
+
+    It never approves: what passes all checks still waits for a review by hand, so ``overall_pass`` is false.
+    """
+    masses = targets.groupBy("target").agg(F.count("*").alias("_n")).agg(F.sum(F.col("_n") - 1).alias("_again"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
+    flags = {"n_leaks": "leaked", "n_generic": "generic", "n_safety_claims": "claim", "n_over_cutoff": "over_cutoff", "n_over_budget": "over_budget"}
+    counted = targets.agg(
+        F.count("*").alias("n"), rate(F.col("schema_ok")).alias("schema_rate"), rate(F.when(F.col("label") == "present", F.col("linked"))).alias("link_rate"), *[F.count_if(c).alias(k) for k, c in flags.items()],
+        *[F.count_if(F.col("label") == k).alias(f"n_{k}") for k in quotas],
+    )
+    metrics = counted.crossJoin(masses).select(  # one row each
+        "*", F.round(ratio(F.col("_again"), F.col("_all")), 6).alias("exact_duplicate_rate"), F.round(ratio(F.col("_most"), F.col("_all")), 6).alias("single_target_rate")
+    )
+    supplied = F.lit(True)
+    for k, n in quotas.items():
+        supplied = supplied & (F.col(f"n_{k}") >= n)
+    found = gate(metrics.drop("_again", "_most", "_all"), "target_audit").withColumnRenamed("passed", "automated_pass")
+    status = F.when(~supplied, "evidence_supply_blocked").when(F.col("automated_pass"), "manual_review_required").otherwise("automated_quality_gate_failed")
+    return found.select("*", status.alias("status"), F.lit(False).alias("overall_pass")).withColumn("automated_pass", F.col("automated_pass") & supplied)
 
 
 def completeness_report(gold: DataFrame, predictions: DataFrame, key: str, shown: int = 20) -> DataFrame:
@@ -153,9 +260,19 @@ def one_or_mixed(column: str) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column)).otherwise("mixed")
 
 
-def classifier_gate(scored: DataFrame, score: str, label: str, by: str, threshold: float, threshold_source: str, min_recall: float, max_fpr: float) -> DataFrame:
-    """One row: the least recall and the largest false positive rate over all classes, and whether both hold."""
+def classifier_gate(gold: DataFrame, predictions: DataFrame, key: str, score: str, label: str, by: str, threshold: float, threshold_source: str, limits: dict[str, float]) -> DataFrame:
+    """One row: all figures of scored predictions at a threshold that calibration has fixed, and their checks.
+
+    ``limits``: precision, recall, false_positive_rate, roc_auc, average_precision, min_recall and max_fpr (over the
+    classes of ``by``). The predictions must also be complete; only keys on both sides are scored.
+    """
     if threshold_source != "calibration":
         raise ValueError("the threshold must come from calibration")
-    each = threshold_metrics(scored, score, label, threshold, [by]).agg(F.coalesce(F.min("recall"), F.lit(0.0)).alias("min_recall"), F.coalesce(F.max("false_positive_rate"), F.lit(0.0)).alias("max_fpr"))
-    return each.select("*", ((F.col("min_recall") >= min_recall) & (F.col("max_fpr") <= max_fpr)).alias("passed"))
+    scored = gold.join(unique_keys(predictions.select(key, score), key), key)
+    sides = completeness_report(gold, predictions, key).select("n_missing", "n_extra")
+    each = threshold_metrics(scored, score, label, threshold, [by]).agg(F.coalesce(F.min("recall"), F.lit(0.0)).alias("min_recall"), F.coalesce(F.max("false_positive_rate"), F.lit(1.0)).alias("max_fpr"))
+    m = threshold_metrics(scored, score, label, threshold)
+    for one in (roc_auc(scored, score, label).select("roc_auc"), average_precision(scored, score, label, key), each, sides):
+        m = m.crossJoin(one)  # one row each
+    m = m.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n") > 0))
+    return gate(m, {"complete": True, **limits})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import curated, evaluations, records, samples, supply  # noqa: F401  each registers its queries
+from lodestrata.plans import curated, evaluations, gates, records, samples, supply  # noqa: F401  each registers its queries
 from lodestrata.plans.registry import QUERIES, SQL
 
 

@@ -376,31 +376,6 @@ def training_eligibility(spark, d):
     return _labelled(spark, d).select("doc_id", record.alias("r"), expected.alias("e")).select("doc_id", B.training_reason(F.col("r"), F.col("e")).alias("reason"))
 
 
-@query(
-    f"""WITH {C.SCORED}, w AS (SELECT day, count(*) FILTER (label = 1 AND score >= 0.4)::DOUBLE / nullif(count(*) FILTER (label = 1), 0) AS r, count(*) FILTER (label = 0 AND score >= 0.4)::DOUBLE / nullif(count(*) FILTER (label = 0), 0) AS f FROM s GROUP BY 1),
-a AS (SELECT round(coalesce(min(coalesce(r, 0.0)), 0.0), 6) AS min_recall, round(coalesce(max(coalesce(f, 0.0)), 0.0), 6) AS max_fpr FROM w)
-SELECT min_recall, max_fpr, min_recall >= 0.9 AND max_fpr <= 0.05 AS passed FROM a"""
-)
-def classifier_gate(spark, d):
-    from lodestrata.operators.evaluation import classifier_gate as gate
-
-    return gate(C.scored(spark, d), "score", "label", "day", 0.4, "calibration", 0.9, 0.05)
-
-
-@query(
-    """WITH c AS (SELECT text, count(*) AS c FROM documents GROUP BY 1), m AS (SELECT round(sum(c - 1)::DOUBLE / sum(c), 6) AS exact_duplicate_rate, round(max(c)::DOUBLE / sum(c), 6) AS single_target_rate FROM c)
-SELECT exact_duplicate_rate, single_target_rate, 1.0::DOUBLE AS schema_rate, 0 AS leaks, exact_duplicate_rate <= 0.05 AND single_target_rate <= 0.02 AS passed,
- array_to_string(list_filter([CASE WHEN exact_duplicate_rate > 0.05 THEN 'exact_duplicate_rate' END, CASE WHEN single_target_rate > 0.02 THEN 'single_target_rate' END], lambda x: x IS NOT NULL), ',') AS failed_checks FROM m"""
-)
-def target_audit_gate(spark, d):
-    from lodestrata.operators.dedup import duplicate_mass
-    from lodestrata.operators.evaluation import gate
-
-    mass = duplicate_mass(table(spark, d, "documents").select(F.sha2("text", 256).alias("h")), "h")
-    metrics = mass.select(F.round(F.col("duplicate_mass") / F.col("n"), 6).alias("exact_duplicate_rate"), F.col("max_share").alias("single_target_rate"), F.lit(1.0).alias("schema_rate"), F.lit(0).alias("leaks"))
-    return gate(metrics, "target_audit")
-
-
 @query(
     r"""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'present' ELSE 'not_observed' END AS assessment, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 IN (1, 4) THEN 'no_observable_target_relation' ELSE 'eligible' END AS reason,
 CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 IN (1, 4) THEN NULL ELSE CASE s_suppkey % 5 WHEN 0 THEN 'strcpy(b, s);' WHEN 1 THEN 'strcpy(b, s);' WHEN 2 THEN 'n = n + 1;' WHEN 3 THEN 'q = p->x;' ELSE 'x' END END AS evidence FROM supplier"""
@@ -434,17 +409,3 @@ def merged_shards(spark, d):
     s = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("ok"))
     low = (F.ascii("o_orderpriority") - 49) * 10
     return K.merged_shards(s.select(low.alias("lo"), (low + 9).alias("hi"), "n", "ok"), "lo", "hi", "ok", "n")
-
-
-@query(
-    f"""WITH {C.SQL}, m AS (SELECT count(*) FILTER (is_positive AND decision) AS tp, count(*) FILTER (is_positive) AS p, count(*) FILTER (NOT is_positive AND decision) AS fp, round(avg(parsed::INTEGER), 4) AS pr FROM k)
-SELECT p > 0 AND round(tp::DOUBLE / p, 6) >= 0.95 AND round(tp::DOUBLE / (tp + fp), 6) >= 0.9 AS decision_passed, pr >= 0.99 AS evidence_passed, p > 0 AND round(tp::DOUBLE / p, 6) >= 0.95 AND round(tp::DOUBLE / (tp + fp), 6) >= 0.9 AND pr >= 0.99 AS passed FROM m"""
-)
-def two_stage_gate(spark, d):
-    from lodestrata.functions.rates import rate
-    from lodestrata.operators.evaluation import confusion
-
-    cases = C.cases(spark, d)
-    m = confusion(cases).crossJoin(cases.agg(rate(F.col("parsed")).alias("parse_rate")))  # one row each
-    first, second = (F.col("recall") >= 0.95) & (F.col("precision") >= 0.9), F.col("parse_rate") >= 0.99
-    return m.select(first.alias("decision_passed"), second.alias("evidence_passed"), (first & second).alias("passed"))

@@ -26,20 +26,6 @@ def confusion_matrix(spark, d):
     return E.confusion(C.cases(spark, d))
 
 
-@query(
-    f"""WITH {C.SQL}, m AS (SELECT {_COUNTS}, coalesce(round(avg(parsed::INTEGER), 4), 0.0) AS parse_rate, coalesce(round(avg((risk IS NOT NULL)::INTEGER), 4), 0.0) AS schema_rate FROM k),
-r AS (SELECT *, {_RATES} FROM m),
-f AS (SELECT *, list_sort(list_filter([CASE WHEN NOT n >= 200 THEN 'n' END, CASE WHEN NOT precision >= 0.9 THEN 'precision' END, CASE WHEN NOT recall >= 0.95 THEN 'recall' END,
- CASE WHEN NOT false_positive_rate <= 0.05 THEN 'false_positive_rate' END, CASE WHEN NOT abstention_rate <= 0.05 THEN 'abstention_rate' END, CASE WHEN NOT parse_rate >= 0.99 THEN 'parse_rate' END,
- CASE WHEN NOT schema_rate >= 0.99 THEN 'schema_rate' END], lambda x: x IS NOT NULL)) AS failed FROM r)
-SELECT * EXCLUDE (failed), len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed_checks FROM f"""
-)
-def absolute_gate(spark, d):
-    cases = C.cases(spark, d)
-    extra = cases.agg(R.rate(F.col("parsed")).alias("parse_rate"), R.rate(F.col("risk").isNotNull()).alias("schema_rate"))
-    return E.gate(E.confusion(cases).crossJoin(extra), "absolute")  # one row each
-
-
 @query(f"WITH {C.SQL} SELECT doc_id, is_positive, missing, parsed, round(completeness, 4) AS completeness, risk, decision FROM k")
 def prediction_cases(spark, d):
     return C.cases(spark, d).select("doc_id", "is_positive", "missing", "parsed", F.round("completeness", 4).alias("completeness"), "risk", "decision")
@@ -172,13 +158,23 @@ def two_stage_latency(spark, d):
     return p.join(second, "doc_id").where("latency_ms is not null and second_ms is not null").select("doc_id", (F.col("latency_ms") + F.col("second_ms")).alias("total_latency_ms"))
 
 
+#: White space and line ends, as SQL has them.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_ODD = ["\n\n", "\t", "\xa0\u2028", "words that are repeated,\xa0 all\r" * 4, "words\tthat are repeated, all\u2028words that are repeated, all\r\n" * 2, "words that are repeated, al\x1f" * 4, "w" * 32768 + "\u3000", "w" * 32769]
+
+
 @query(
-    r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[\s]+', ' ', 'g')) AS line FROM documents),
-r AS (SELECT DISTINCT doc_id FROM l WHERE length(line) >= 24 GROUP BY doc_id, line HAVING count(*) >= 4)
-SELECT d.doc_id, r.doc_id IS NOT NULL AS repeats_lines, (length(trim(text)) = 0 OR length(trim(text)) > 32768) AS abnormal_length FROM documents d LEFT JOIN r USING (doc_id)"""
+    rf"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, [{", ".join("'" + x.replace("w" * 32768, f"' || repeat('w', 32768) || '") + "'" for x in _ODD)}][1 + doc_id % {len(_ODD)}] FROM documents),
+l AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '{_ENDS}')), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM t),
+r AS (SELECT DISTINCT doc_id FROM l WHERE length(line) >= 24 GROUP BY doc_id, line HAVING count(*) >= 4), s AS (SELECT doc_id, length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n FROM t)
+SELECT s.doc_id, r.doc_id IS NOT NULL AS repeats_lines, n = 0 OR n > 32768 AS abnormal_length FROM s LEFT JOIN r USING (doc_id)"""
 )
 def output_discipline(spark, d):
-    return table(spark, d, "documents").select("doc_id", repeats_lines(F.col("text")).alias("repeats_lines"), abnormal_length(F.col("text")).alias("abnormal_length"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    odd = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.element_at(F.array(*map(F.lit, _ODD)), (F.col("doc_id") % len(_ODD) + 1).cast("int")).alias("text"))
+    return docs.unionAll(odd).select("doc_id", repeats_lines(F.col("text")).alias("repeats_lines"), abnormal_length(F.col("text")).alias("abnormal_length"))
+
 
 
 @query(

@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions.structures import is_json_object
+from lodestrata.functions.text import UNICODE_INK
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(UNICODE_INK))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Strict JSON lines: blank lines are skipped; a line that is no object fails the read and is named.
+    """Strict JSON lines: lines of white space alone are skipped; a line that is no object fails the read and is named.
 
     Only ``\\n`` ends a line, so other line separators may stand inside strings.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    lines = _lines(spark, path)
     checked = F.when(is_json_object(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))))
     return lines.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
 def quarantined_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """Records of the lines that are objects, and the other lines."""
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    lines = _lines(spark, path)
     good = lines.where(is_json_object(F.col("value"))).select(F.from_json("value", schema).alias("r")).select("r.*")
     return good, lines.where(~is_json_object(F.col("value")))
 
