@@ -11,9 +11,10 @@ def sha(text: Column, length: int = 64) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
 
 
-def derived_seed(seed: int, value: Column) -> Column:
+def derived_seed(seed: int | Column, value: Column) -> Column:
     """Unsigned 64-bit number from the SHA-256 of ``seed:value``, as decimal(20,0)."""
-    return F.conv(sha(F.concat(F.lit(f"{seed}:"), value.cast("string")), 16), 16, 10).cast("decimal(20,0)")
+    first = F.concat(seed.cast("string"), F.lit(":")) if isinstance(seed, Column) else F.lit(f"{seed}:")
+    return F.conv(sha(F.concat(first, value.cast("string")), 16), 16, 10).cast("decimal(20,0)")
 
 
 def hash_split(seed: int, group: Column) -> Column:
@@ -22,7 +23,7 @@ def hash_split(seed: int, group: Column) -> Column:
     return F.when(bucket < 8000, "train").when(bucket < 9000, "validation").otherwise("test")
 
 
-def exponential_priority(seed: int, value: Column, weight: Column) -> Column:
+def exponential_priority(seed: int | Column, value: Column, weight: Column) -> Column:
     """Key of weighted sampling without replacement: the lowest keys are the sample."""
     return -F.log((derived_seed(seed, value).cast("double") + 1) / F.lit(float(2**64 + 1))) / weight
 

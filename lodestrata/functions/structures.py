@@ -27,14 +27,15 @@ def completeness(text: Column, required: list[str] = REQUIRED_OUTPUT) -> Column:
     return F.when(is_json_object(text), F.size(F.array_intersect(keys, F.array(*map(F.lit, required)))) / len(required)).otherwise(0.0)
 
 
-def merged_ranges(ranges: Column) -> Column:
-    """Ranges (a, b) in order, those that touch or overlap joined."""
+def merged_ranges(ranges: Column, most: int = 8) -> Column:
+    """Ranges (a, b) in order, those that touch or overlap joined; over ``most`` of them left fails the job."""
     kind = "array<struct<a:int,b:int>>"
+    checked = lambda x: F.when(F.size(x) <= most, x).otherwise(F.raise_error(F.lit(f"more than {most} line ranges")))
     step = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["a"] <= F.try_element_at(acc, F.lit(-1))["b"] + 1),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["b"]).alias("b")))),
     ).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(F.array_distinct(ranges)), F.array().cast(kind), step)
+    return F.aggregate(F.array_sort(F.array_distinct(ranges)), F.array().cast(kind), step, checked)
 
 
 def lines_of(ranges: Column) -> Column:
@@ -89,18 +90,42 @@ def decision(risk_level: Column, usable: Column) -> Column:
     return F.when(usable & risk_level.isin("high", "critical"), True).when(usable & (risk_level == "low"), False)
 
 
-def role_graph_errors(nodes: Column, edges: Column, sinks: list[str]) -> Column:
-    """Errors of a row's graph: nodes (id, role), edges (source, target, verb); roles that may end it: sinks."""
+# The verb that links a role to a sink, and the roles of which an assessment needs one linked.
+ROLE_VERBS = {"source": "flows_to", "control": "constrains", "bound": "bounds", "remediation": "remediates"}
+REQUIRED_ROLES = {"present": ["source", "control", "bound"], "not_observed": ["control", "bound", "remediation"]}
+
+
+def role_graph_errors(assessment: Column, nodes: Column, edges: Column, text: Column) -> Column:
+    """Errors of a finding: evidence nodes (id, role, span) in a text, and edges (source, target, verb) between them.
+
+    Ids are unique, spans occur in the text, edges link known nodes and end at a sink by the verb of their source's
+    role, a sink is among the nodes, and an assessment that is no abstention has a role it requires linked to a sink.
+    """
     ids = F.transform(nodes, lambda n: n["id"])
-    by_id = F.map_from_entries(F.transform(F.array_distinct(nodes), lambda n: F.struct(n["id"], n["role"])))
-    unique = F.size(F.array_distinct(ids)) == F.size(ids)
-    known = F.forall(edges, lambda e: F.array_contains(ids, e["source"]) & F.array_contains(ids, e["target"]))
-    ends = F.exists(edges, lambda e: F.element_at(F.when(unique, by_id), e["target"]).isin(sinks))
-    used = F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e["source"], e["target"]))))
-    linked = F.forall(ids, lambda i: F.array_contains(used, i))
-    return F.array_compact(
-        F.array(F.when(~unique, "duplicate_node_id"), F.when(~known, "unresolved_edge"), F.when(~F.coalesce(ends, F.lit(False)), "no_sink_reached"), F.when(~linked, "unlinked_node"))
-    )
+    role = lambda i: F.element_at(F.filter(nodes, lambda n: n["id"] == i), -1)["role"]
+    known = lambda e: F.array_contains(ids, e["source"]) & F.array_contains(ids, e["target"])
+    verb = lambda r: F.element_at(F.create_map(*[F.lit(x) for pair in ROLE_VERBS.items() for x in pair]), r)
+    linked = F.filter(edges, known)
+    told = F.transform(linked, lambda e: F.struct(role(e["source"]).alias("source"), role(e["target"]).alias("target"), e["verb"].alias("verb")))
+    fits = lambda x: F.coalesce(verb(x["source"]) == x["verb"], F.lit(False))
+
+    def errors(told: Column) -> Column:
+        needed = F.lit(False)
+        for name, roles in REQUIRED_ROLES.items():
+            needed = needed | ((assessment == name) & ~F.exists(told, lambda x: fits(x) & (x["target"] == "sink") & x["source"].isin(roles)))
+        found = {
+            "no_evidence": assessment.isin(*REQUIRED_ROLES) & (F.size(nodes) == 0),
+            "duplicate_node_id": F.size(F.array_distinct(ids)) != F.size(ids),
+            "span_not_grounded": ~F.forall(nodes, lambda n: F.contains(text, n["span"])),
+            "unresolved_edge": F.size(linked) != F.size(edges),
+            "edge_ends_at_no_sink": F.exists(told, lambda x: x["target"] != "sink"),
+            "verb_does_not_fit_role": ~F.forall(told, fits),
+            "no_sink": (F.size(nodes) > 0) & ~F.exists(nodes, lambda n: n["role"] == "sink"),
+            "no_required_role_linked": (F.size(nodes) > 0) & needed,
+        }
+        return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()]))
+
+    return F.element_at(F.transform(F.array(told), errors), 1)
 
 
 def fixed_length(values: Column, n: int) -> Column:

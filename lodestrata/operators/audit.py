@@ -128,16 +128,40 @@ def statement_counts(lines: DataFrame, column: str, shown: int = 100) -> tuple[D
     return counts, lines.where(kind == "dangerous").orderBy("line_no").limit(shown)
 
 
+# What a dump may not hold, and the only pragma it may.
+DANGEROUS_STATEMENTS = [
+    r"ATTACH\b",
+    r"DETACH\b",
+    r"ALTER\s+TABLE\b",
+    r"CREATE\s+TRIGGER\b",
+    r"CREATE\s+VIRTUAL\s+TABLE\b",
+    r"DROP\b",
+    r"REINDEX\b",
+    r"SELECT\s+load_extension\s*\(",
+    r"VACUUM\b",
+    r"\.(?:load|shell|system)\b",
+]
+ALLOWED_PRAGMA = r"PRAGMA\s+foreign_keys\s*=\s*OFF\s*;\s*$"
+
+
 def statement_class(text: Column) -> Column:
-    """The class of a dump line: the first that applies."""
+    """The class of a dump line: the first that applies. A pragma other than the allowed one is dangerous."""
     rules = [
-        ("dangerous", r"(?i)^\s*(attach|detach|load_extension|vacuum\s+into|drop)\b"),
-        ("pragma", r"(?i)^\s*pragma\b"),
-        ("transaction", r"(?i)^\s*(begin|commit|rollback)\b"),
-        ("create", r"(?i)^\s*create\b"),
-        ("insert", r"(?i)^\s*insert\b"),
+        ("dangerous", "|".join(DANGEROUS_STATEMENTS)),
+        ("pragma", ALLOWED_PRAGMA),
+        ("dangerous", r"PRAGMA\b"),
+        ("transaction", r"(?:BEGIN|COMMIT|ROLLBACK)\b"),
+        ("create", r"CREATE\s+(?:TABLE|(?:UNIQUE\s+)?INDEX)\b"),
+        ("insert", r"INSERT\s+INTO\b"),
     ]
     out = F.lit("other")
     for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(text.rlike(rf"(?i)^\s*(?:{pattern})"), name).otherwise(out)
     return out
+
+
+def missing_tables(lines: DataFrame, column: str, required: list[str]) -> DataFrame:
+    """table_name of the required tables that no line of a dump creates."""
+    created = F.regexp_extract(column, r'(?i)^CREATE\s+TABLE(?:\s+IF\s+NOT\s+EXISTS)?\s+"?([A-Za-z_][A-Za-z0-9_]*)"?', 1)
+    wanted = lines.sparkSession.createDataFrame([(x,) for x in required], "table_name string")
+    return wanted.join(lines.select(created.alias("table_name")), "table_name", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.rates import f1, failed_names, percentile_rank, rate, ratio
+from lodestrata.operators.ranks import running_sums
 
 # The least or largest figures of each contract; True: must hold.
 _RATES = {"parse_rate": 0.99, "schema_rate": 0.99}
@@ -182,14 +183,13 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def _by_score(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """One row for each distinct score: n, positives. All ranking metrics go on from these few rows."""
+    """One row for each distinct score: n, pos (positives)."""
     return scored.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
 
 def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """One row: n, positives, roc_auc with tied scores at their mean rank."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(scored, score, label).withColumn("midrank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_sums(_by_score(scored, score, label), "score", ["n"]).withColumn("midrank", F.col("n_before") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum(F.col("midrank") * F.col("pos")).alias("ranks"))
     p, n = F.col("positives"), F.col("n")
     return total.select("n", "positives", F.round(ratio(F.col("ranks") - p * (p + 1) / 2, p * (n - p)), 6).alias("roc_auc"))
@@ -198,23 +198,23 @@ def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(scored: DataFrame, score: str, label: str, key: str) -> DataFrame:
     """One row: average precision, tied scores in the order of their key.
 
-    Ranks come from counts per score, and rows are ranked within their score only.
+    Ranks come from counts per score, and tied rows are ranked in ranges of their key.
     """
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = _by_score(scored, score, label).select("score", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos_above"))
-    inside = Window.partitionBy("score").orderBy(key)
-    ranked = scored.select(F.col(score).alias("score"), F.col(label).cast("long").alias("hit"), key).select("*", F.row_number().over(inside).alias("k"), F.sum("hit").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    at = ranked.join(base, "score").where("hit = 1")
-    return at.agg(F.round(F.coalesce(F.sum((F.col("pos_above") + F.col("hits")) / (F.col("n_above") + F.col("k"))) / F.count("*"), F.lit(0.0)), 6).alias("average_precision"))
+    base = running_sums(_by_score(scored, score, label), "score", ["n", "pos"], descending=True).select("score", "n_before", "pos_before")
+    rows = scored.select(F.col(score).alias("score"), F.col(label).cast("long").alias("hit"), key, F.lit(1).alias("one"))
+    at = running_sums(rows, key, ["one", "hit"], ["score"]).join(base, "score").where("hit = 1")
+    precision = (F.col("pos_before") + F.col("hit_before") + 1) / (F.col("n_before") + F.col("one_before") + 1)
+    return at.agg(F.round(F.coalesce(F.sum(precision) / F.count("*"), F.lit(0.0)), 6).alias("average_precision"))
 
 
 def threshold_at_fpr(scored: DataFrame, score: str, label: str, cap: float) -> DataFrame:
     """One row: threshold, recall, precision, false_positive_rate: the best (recall, precision, -fpr, threshold)
     over all distinct scores, and one above all of them, with a false positive rate of at most ``cap``."""
     rows = _by_score(scored, score, label)
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"), (F.max("score") + 1e-12).alias("top"))
-    curve = rows.select("score", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"))
+    upto = running_sums(rows, "score", ["n", "pos"], descending=True)
+    tp = F.col("pos_before") + F.col("pos")
+    curve = upto.select("score", tp.alias("tp"), (F.col("n_before") + F.col("n") - tp).alias("fp"))
     sentinel = totals.select(F.col("top").alias("score"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     points = curve.unionAll(sentinel).crossJoin(F.broadcast(totals.select("p", "q")))  # one row of totals
     measured = points.select("score", ratio(F.col("tp"), F.col("p")).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("fp"), F.col("q")).alias("fpr"))
@@ -231,10 +231,10 @@ def threshold_metrics(scored: DataFrame, score: str, label: str, threshold: floa
 def percentiles(values: DataFrame, column: str, points: dict[str, tuple[float, str]]) -> DataFrame:
     """One row: n, and for each name the value at its quantile by its rank rule.
 
-    Equal values are counted first; what is ordered is the table of distinct values.
+    Equal values are counted first; what is ordered, in ranges, is the table of distinct values.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(column)))
+    upto = running_sums(counts, column, ["c"]).withColumn("upto", F.col("c_before") + F.col("c"))
     total = counts.agg(F.sum("c").alias("n"))
     joined = upto.crossJoin(F.broadcast(total))  # one row
     picks = [F.min(F.when(F.col("upto") > percentile_rank(F.col("n"), q, rule), F.col(column))).alias(name) for name, (q, rule) in points.items()]

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from lodestrata.functions import text as T
 from lodestrata.functions.hashing import sha
-
-# The prompts' endings, chosen by hash.
-PROMPT_ENDINGS = ["A", "B", "C", "D"]
+from lodestrata.operators.ranks import key_rank
+
+# The prompts, of which a draw chooses one.
+PROMPT_VARIANTS = [
+    "Assess whether {scope} is present in the supplied source-code excerpt.",
+    "Review the supplied function for {scope} and report only code-visible evidence.",
+    "Determine whether the supplied code exhibits {scope} without relying on provenance.",
+    "Perform an evidence-grounded defensive review of the excerpt scoped to {scope}.",
+]
 # Limits of a record's context and code, and its splits.
 MAX_CONTEXT, MAX_CODE = 6000, 4000
 TRAINING_SPLITS = ["train", "validation"]
@@ -44,19 +51,31 @@ def gold(df: DataFrame, role: str, answer: str, keys: list[str], text: str, name
 
 def prompt(scope: Column, draw: Column) -> Column:
     """A prompt on the scope in one of the variants, chosen by a draw."""
-    ending = F.element_at(F.array(*map(F.lit, PROMPT_ENDINGS)), (draw % len(PROMPT_ENDINGS) + 1).cast("int"))
-    return F.concat(F.lit("Assess whether "), scope, F.lit(" is present. "), ending)
+    chosen = F.element_at(F.array(*map(F.lit, PROMPT_VARIANTS)), (draw % len(PROMPT_VARIANTS) + 1).cast("int"))
+    return F.replace(chosen, F.lit("{scope}"), scope)
 
 
 def accepted_index(df: DataFrame, source: str, order: str, accepted: Column) -> DataFrame:
     """Accepted rows with ``accepted_index``: how many of their source were accepted before."""
-    w = Window.partitionBy(source).orderBy(order)
-    return df.where(accepted).withColumn("accepted_index", F.row_number().over(w) - 1)
+    return key_rank(df.where(accepted), source, order, "accepted_index").withColumn("accepted_index", (F.col("accepted_index") - 1).cast("int"))
 
 
 def compacted(values: Column, limit: int) -> Column:
     """Distinct non-blank strings in order, ``limit`` of them at most."""
-    return F.slice(F.array_distinct(F.filter(values, lambda x: F.trim(x) != "")), 1, limit)
+    return F.slice(F.array_distinct(F.filter(values, lambda x: x.rlike(T.UNICODE_INK))), 1, limit)
+
+
+def without_fields(value: Column, kind: K.DataType, forbidden: list[str]) -> Column:
+    """A nested value without the members and map keys that are forbidden, compared in lower case, at any depth."""
+    if isinstance(kind, K.StructType):
+        kept = [f for f in kind.fields if f.name.lower() not in forbidden]
+        return F.when(value.isNotNull(), F.struct(*[without_fields(value[f.name], f.dataType, forbidden).alias(f.name) for f in kept]))
+    if isinstance(kind, K.ArrayType):
+        return F.transform(value, lambda x: without_fields(x, kind.elementType, forbidden))
+    if isinstance(kind, K.MapType):
+        kept = F.map_filter(value, lambda k, v: ~F.lower(k).isin(forbidden))
+        return F.transform_values(kept, lambda k, v: without_fields(v, kind.valueType, forbidden))
+    return value
 
 
 def without_keys(signals: Column, forbidden: list[str]) -> Column:
@@ -79,7 +98,7 @@ def canonical(record_id: Column, source: Column, task: Column, context: Column,
 
 def instruction_to_canonical(instruction: Column, given: Column, output: Column, index: Column) -> Column:
     """A canonical record from an instruction row. Its output only counts towards the risk; it is never copied."""
-    instruction, given, output = (F.trim(F.coalesce(x, F.lit(""))) for x in (instruction, given, output))
+    instruction, given, output = (T.stripped(F.coalesce(x, F.lit(""))) for x in (instruction, given, output))
     both = F.array_join(F.filter(F.array(instruction, given), lambda x: x != ""), "\n\n")
     context = F.concat(F.lit("Instruction:\n"), instruction, F.lit("\n\nInput excerpt:\n"), T.truncated(given, MAX_CODE))
     names = F.array_join(T.named_hits(given, T.SUSPICIOUS), ",")
@@ -106,7 +125,7 @@ def training_reason(record: Column, expected: Column) -> Column:
     context, meta = record["input"]["context"], record["metadata"]
     return first_failure(
         [
-            ("schema", record["id"].isNull() | (F.trim(context) == "")),
+            ("schema", record["id"].isNull() | T.is_blank(context)),
             ("executable_payload", meta["contains_executable_payload"]),
             ("credentials", T.has_credentials(context) | T.has_credentials(expected)),
             ("unsafe_guidance", T.any_match(expected, T.UNSAFE_GUIDANCE)),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import derived_seed, exponential_priority
+from lodestrata.operators.ranks import draw_rank
 
 PROJECT_FRACTION = 0.10
 CWE_EXPONENT = 0.25
@@ -26,12 +27,12 @@ def top_by_hash(df: DataFrame, key: str, seed: int, k: int, per: list[str] | Non
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(rank, key))).where(F.col("_n") <= k).drop("_n")
 
 
-def tempered_priority(df: DataFrame, stratum: str, project: str, key: str, seed: int) -> DataFrame:
-    """Adds ``priority``: exponential key with weights that temper frequent strata and projects."""
-    counted = df
+def tempered_priority(df: DataFrame, stratum: str, project: str, key: str, seed: int | Column, by: list[str] | None = None) -> DataFrame:
+    """Adds ``priority``: exponential key with weights that temper strata and projects that are frequent (in their class, if classes are given)."""
+    counted, by = df, by or []
     for column, name in ((stratum, "_ns"), (project, "_np")):
         known = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
-        counted = counted.withColumn("_k", known).join(df.groupBy(known.alias("_k")).agg(F.count("*").alias(name)), "_k").drop("_k")
+        counted = counted.withColumn("_k", known).join(df.groupBy(*by, known.alias("_k")).agg(F.count("*").alias(name)), [*by, "_k"]).drop("_k")
     weight = F.pow(F.col("_ns"), F.lit(-CWE_EXPONENT)) * F.pow(F.col("_np"), F.lit(-PROJECT_EXPONENT))
     return counted.withColumn("priority", exponential_priority(seed, F.col(key), weight)).drop("_ns", "_np")
 
@@ -54,7 +55,7 @@ def round_robin(df: DataFrame, bucket: str, key: str, seed: int, k: int | None =
     """
     turn = F.row_number().over(Window.partitionBy(bucket).orderBy(derived_seed(seed, F.col(key)), key))
     ranked = df.withColumn("turn", turn).withColumn("bucket_rank", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(bucket).cast("string")), 256))
-    return ranked if k is None else ranked.orderBy("turn", "bucket_rank", key).limit(k)
+    return ranked if k is None else ranked.where(F.col("turn") <= k).orderBy("turn", "bucket_rank", key).limit(k)
 
 
 def largest_remainder(counts: DataFrame, stratum: str, n: str, target: int, seed: int) -> DataFrame:
@@ -69,17 +70,17 @@ def largest_remainder(counts: DataFrame, stratum: str, n: str, target: int, seed
 def proportional_sample(df: DataFrame, stratum: str, key: str, target: int, seed: int) -> DataFrame:
     quotas = largest_remainder(df.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "n", target, seed).select(stratum, "quota")
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(derived_seed(seed, F.col(key)), key))
-    return df.join(quotas, stratum).withColumn("_n", rank).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    # no quota is above the target: what is beyond it is dropped before it is shuffled
+    return df.withColumn("_n", rank).where(F.col("_n") <= target).join(quotas, stratum).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, train: int, validation: int, seed: int) -> DataFrame:
     """Adds ``split``: proportional quotas for train, then for validation of what is left; the rest is test."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(derived_seed(seed, F.col(key)), key))
     counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
     first = largest_remainder(counts, stratum, "n", train, seed).select(stratum, "n", F.col("quota").alias("n_train"))
     left = first.select(stratum, "n_train", (F.col("n") - F.col("n_train")).alias("left"))
     second = largest_remainder(left.select(stratum, "left"), stratum, "left", validation, seed + 1).select(stratum, F.col("quota").alias("n_validation"))
-    joined = df.join(left.join(second, stratum), stratum).withColumn("_n", rank)
+    joined = draw_rank(df, stratum, derived_seed(seed, F.col(key)), key, "_n").join(left.join(second, stratum), stratum)
     split = F.when(F.col("_n") <= F.col("n_train"), "train").when(F.col("_n") <= F.col("n_train") + F.col("n_validation"), "validation").otherwise("test")
     return joined.withColumn("split", split).select(*df.columns, "split")
 
@@ -136,20 +137,25 @@ def limited(df: DataFrame, n: int, order: list) -> DataFrame:
     return df if n < 0 else df.orderBy(*order).limit(n)
 
 
-# Greedy choices that depend on what was chosen before. They see narrow key columns of one class at a time, of
-# which the quota bounds what is chosen; the pools are candidate lists, not corpora.
+# Greedy choices that depend on what was chosen before.
 
 
 def category_round_robin(df: DataFrame, by: list[str], cell: str, stratum: str, project: str, key: str, seed: int, quota: int) -> DataFrame:
-    """``quota`` rows of each class, cell by cell in turn, with a cap per project that a refill may exceed."""
-    ranked = tempered_priority(df, stratum, project, key, seed).withColumn("cell_rank", derived_seed(seed, F.col(cell)))
+    """``quota`` rows of each class, cell by cell in turn, with a cap per project that a refill may exceed; none of a class with fewer rows.
+
+    Frequencies are those inside the class, and each class has a seed of its own. Only rows that can be chosen
+    reach the class's task: those of a cell and project up to the cap, and the first two quotas by priority.
+    """
+    own = derived_seed(seed, F.concat_ws(":", *[F.col(c).cast("string") for c in by]))
+    ranked = tempered_priority(df, stratum, project, key, own, by).withColumn("cell_rank", derived_seed(own, F.col(cell)))
     narrow = ranked.select(*by, F.col(cell).alias("cell"), F.col(project).alias("project"), key, "priority", F.col("cell_rank").cast("string").alias("cell_rank"))
     cap = max(1, -int(-quota * PROJECT_FRACTION // 1))
+    upto = lambda n, *keys: narrow.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("priority", key))).where(F.col("_n") <= n).drop("_n")
+    enough = narrow.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= quota).select(*by)
+    narrow = upto(cap, *by, "cell", "project").union(upto(2 * quota, *by)).distinct().join(enough, by)
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["priority", key], kind="stable").reset_index(drop=True)
-        if len(pool) < quota:
-            return pool.iloc[:0]
         order = sorted(pool.groupby("cell")["cell_rank"].first().items(), key=lambda x: (int(x[1]), x[0]))
         waiting: dict = {name: iter(pool.index[pool["cell"] == name]) for name, _ in order}
         per_project: dict = {}
@@ -175,8 +181,13 @@ def category_round_robin(df: DataFrame, by: list[str], cell: str, stratum: str,
 
 
 def capped_greedy(df: DataFrame, by: list[str], group: str, capped: str, key: str, seed: int, quota: int, per_capped: int) -> DataFrame:
-    """``quota`` rows of each class in hash order: one of a group, ``per_capped`` of a capped value at most."""
-    narrow = df.select(*by, group, capped, key, derived_seed(seed, F.col(key)).cast("string").alias("draw"))
+    """``quota`` rows of each class in hash order: one of a group, ``per_capped`` of a capped value at most.
+
+    Of a group and capped value only the first row can be chosen, so no other reaches the class's task.
+    """
+    first = F.row_number().over(Window.partitionBy(*by, group, capped).orderBy("draw", key))
+    drawn = df.select(*by, group, capped, key, derived_seed(seed, F.col(key)).alias("draw")).withColumn("_n", first).where("_n = 1")
+    narrow = drawn.drop("_n").withColumn("draw", F.col("draw").cast("string"))
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         groups, uses, taken = set(), {}, []
@@ -192,26 +203,22 @@ def capped_greedy(df: DataFrame, by: list[str], group: str, capped: str, key: st
 
 
 def balanced_variants(df: DataFrame, key: str, variants: list[str], seed: int) -> DataFrame:
-    """key, variant: in key order each gets the least used variant so far, ties by hash of (seed, key, variant).
+    """key, variant: in order of a whole-number key each gets the least used variant so far, ties by hash of (seed, key, variant).
 
     Least-used-first is a sequence of rounds that use every variant once: the place in the round follows from
     the key's rank alone, and inside a round each key takes what its hash likes best of what is left.
     """
-    ranked = df.select(key).distinct().withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
-    rounds = ranked.select(key, "_r", F.floor(F.col("_r") / len(variants)).alias("round"))
-
-    def deal(pool: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
+    rounds = ranked(df.select(key).distinct(), key, "_r").groupBy(F.floor((F.col("_r") - 1) / len(variants)).alias("_round")).agg(F.array_sort(F.collect_list(key)).alias("_keys"))
 
-        left, out = list(variants), []
-        for k in pool.sort_values("_r")[key]:
-            best = min(left, key=lambda v: (hashlib.sha256(f"{seed}:{k}:{v}".encode()).hexdigest(), v))
-            left.remove(best)
-            out.append((k, best))
-        return pd.DataFrame(out, columns=[key, "variant"])
+    def deal(a: Column, k: Column) -> Column:
+        liking = lambda v: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), k.cast("string"), F.lit(":"), v), 256).alias("h"), v.alias("v"))
+        best = F.array_min(F.transform(a["left"], liking))["v"]
+        return F.struct(F.array_remove(a["left"], best).alias("left"), F.concat(a["out"], F.array(F.struct(k.alias("key"), best.alias("variant")))).alias("out"))
 
     kind = df.schema[key].dataType.simpleString()
-    return rounds.groupBy("round").applyInPandas(deal, f"{key} {kind}, variant string")
+    start = F.struct(F.array(*map(F.lit, variants)).alias("left"), F.array().cast(f"array<struct<key: {kind}, variant: string>>").alias("out"))
+    dealt = rounds.select(F.explode(F.aggregate("_keys", start, deal, lambda a: a["out"])).alias("x"))
+    return dealt.select(F.col("x.key").alias(key), "x.variant")
 
 
 def unique_content_groups(df: DataFrame, group: str, content: str, order: str) -> DataFrame:

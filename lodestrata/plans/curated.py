@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import curation as K
 from lodestrata.operators import records as B
 from lodestrata.plans import cases as C
-from lodestrata.plans.registry import query, table
+from lodestrata.plans.registry import SPACE, query, table
 
 
 @query(
@@ -176,17 +176,17 @@ def forced_test_members(spark, d):
     return K.forced_test_split(split_documents(spark, d), "split", F.col("source") == "src2").select("doc_id", "split")
 
 
-@query("SELECT w.doc_id, d.lang, d.doc_id IS NOT NULL AS found FROM (SELECT doc_id * 7 AS doc_id FROM documents WHERE doc_id % 5 = 0) w LEFT JOIN documents d USING (doc_id)")
+@query("SELECT w.doc_id, d.lang, d.doc_id IS NOT NULL AS found FROM (SELECT doc_id * 7 AS doc_id FROM documents) w LEFT JOIN documents d USING (doc_id)")
 def row_positions(spark, d):
     docs = table(spark, d, "documents")
-    wanted = docs.where("doc_id % 5 = 0").select((F.col("doc_id") * 7).alias("doc_id"))
+    wanted = docs.select((F.col("doc_id") * 7).alias("doc_id"))
     return K.rows_at(docs.select("doc_id", "lang", F.lit(True).alias("f")), "doc_id", wanted).select("doc_id", "lang", F.coalesce("f", F.lit(False)).alias("found"))
 
 
-@query("SELECT doc_id, 'unknown' AS side FROM (SELECT doc_id * 7 AS doc_id FROM documents WHERE doc_id % 5 = 0) w WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT doc_id, 'unknown' AS side FROM (SELECT doc_id * 7 AS doc_id FROM documents) w WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def unknown_ids(spark, d):
     docs = table(spark, d, "documents")
-    _, unknown = K.rows_by_ids(docs, "doc_id", docs.where("doc_id % 5 = 0").select((F.col("doc_id") * 7).alias("doc_id")))
+    _, unknown = K.rows_by_ids(docs, "doc_id", docs.select((F.col("doc_id") * 7).alias("doc_id")))
     return unknown.withColumn("side", F.lit("unknown"))
 
 
@@ -300,13 +300,20 @@ def unioned_sources(spark, d):
     return docs.unionByName(table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id")), allowMissingColumns=True)
 
 
-@query("SELECT CASE s_suppkey % 4 WHEN 0 THEN 'pragma' WHEN 1 THEN 'insert' WHEN 2 THEN 'dangerous' ELSE 'other' END AS statement, count(*) AS n FROM supplier GROUP BY 1")
+# Lines of a dump and the class of each.
+_DUMP = [
+    ("PRAGMA foreign_keys=OFF;", "pragma"), ("PRAGMA writable_schema=1;", "dangerous"), ("BEGIN TRANSACTION;", "transaction"), ("COMMIT;", "transaction"), ("CREATE TABLE t (a);", "create"), ("create unique index i on t (a);", "create"),
+    ("CREATE TRIGGER x AFTER INSERT ON t BEGIN SELECT 1; END;", "dangerous"), ("CREATE VIRTUAL TABLE v USING fts5(a);", "dangerous"), ("INSERT INTO t VALUES (1);", "insert"), ("ATTACH x AS y;", "dangerous"), ("DETACH y;", "dangerous"),
+    ("ALTER TABLE t ADD b;", "dangerous"), ("  drop table t;", "dangerous"), ("REINDEX t;", "dangerous"), ("SELECT load_extension (x);", "dangerous"), ("VACUUM;", "dangerous"), (".shell ls", "dangerous"), (".load x", "dangerous"), ("-- note", "other"), ("CREATE VIEW w AS SELECT 1;", "other"), ("", "other"),
+]
+
+
+@query(f"SELECT [{', '.join(repr(x[1]) for x in _DUMP)}][1 + s_suppkey % {len(_DUMP)}] AS statement, count(*) AS n FROM supplier GROUP BY 1")
 def dump_statements(spark, d):
     from lodestrata.operators.audit import statement_counts
 
-    n = F.col("s_suppkey") % 4
-    lines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), F.when(n == 0, "PRAGMA foreign_keys;").when(n == 1, "INSERT INTO t VALUES (1);").when(n == 2, "ATTACH 'x' AS y;").otherwise("-- note").alias("text"))
-    return statement_counts(lines, "text")[0]
+    line = F.element_at(F.array(*[F.lit(x[0]) for x in _DUMP]), (F.col("s_suppkey") % len(_DUMP) + 1).cast("int"))
+    return statement_counts(table(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), line.alias("text")), "text")[0]
 
 
 @query("SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
@@ -342,18 +349,10 @@ def canonical_records(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, trim(lang) AS i, trim(substr(text, 1, 200)) AS g FROM documents)
-SELECT doc_id, 'legacy-alpaca-' || lpad(doc_id::VARCHAR, 6, '0') || '-' || substr(sha256(CASE WHEN g = '' THEN i ELSE i || chr(10) || chr(10) || g END), 1, 12) AS id, 'alpaca' AS legacy_format FROM t"""
+    rf"""WITH t AS (SELECT doc_id, coalesce(trim(lang), '') AS i, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS g FROM documents)
+SELECT doc_id, 'legacy-alpaca-' || lpad(doc_id::VARCHAR, 6, '0') || '-' || substr(sha256(CASE WHEN i = '' THEN g WHEN g = '' THEN i ELSE i || chr(10) || chr(10) || g END), 1, 12) AS id, 'alpaca' AS legacy_format FROM t"""
 )
 def instruction_adapter(spark, d):
-    docs = table(spark, d, "documents")
-    rows = docs.select("doc_id", B.instruction_to_canonical(F.col("lang"), F.substring("text", 1, 200), F.lit(None).cast("string"), F.col("doc_id")).alias("r"))
-    return rows.select("doc_id", "r.id", F.col("r.input.signals")["legacy_format"].alias("legacy_format"))
-
-
-@query()
-def instruction_adapter_whole(spark, d):
-    """As ``instruction_adapter``, whose SQL cuts texts to 200 characters, over whole texts; tested against plain Python."""
     docs = table(spark, d, "documents")
     rows = docs.select("doc_id", B.instruction_to_canonical(F.col("lang"), F.col("text"), F.lit(None).cast("string"), F.col("doc_id")).alias("r"))
     return rows.select("doc_id", "r.id", F.col("r.input.signals")["legacy_format"].alias("legacy_format"))
@@ -385,17 +384,8 @@ def evidence_targets(spark, d):
     return K.evidence_targets(rows, "s_suppkey", "cwe", "code", "label", RULES, {r"strcpy": 9, r"->": 5, r"=": 2}, 1)
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 45) SELECT ceil(k / 10.0)::BIGINT AS packet, count(*) AS n, string_agg('- [' || k || '] ' || doc_id, chr(10) ORDER BY k) AS text FROM r GROUP BY 1")
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents) SELECT ceil(k / 10.0)::BIGINT AS packet, count(*) AS n, string_agg('- [' || k || '] ' || doc_id, chr(10) ORDER BY k) AS text FROM r GROUP BY 1")
 def review_packets(spark, d):
-    from pyspark.sql import Window
-
-    first = table(spark, d, "documents").where("lang = 'es'").select("doc_id").orderBy("doc_id").limit(45)
-    return K.packets(first.withColumn("k", F.row_number().over(Window.orderBy("doc_id"))), "k", "doc_id", 10)  # 45 rows
-
-
-@query()
-def review_packets_whole(spark, d):
-    """As ``review_packets``, whose SQL takes 45 Spanish rows, over all documents; tested against plain Python."""
     from lodestrata.operators.sampling import ranked
 
     return K.packets(ranked(table(spark, d, "documents").select("doc_id"), "doc_id", "k"), "k", "doc_id", 10)

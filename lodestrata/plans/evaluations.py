@@ -9,7 +9,7 @@ from lodestrata.functions.structures import composite_score, overlap_scores
 from lodestrata.functions.text import abnormal_length, repeats_lines, repeats_tokens
 from lodestrata.operators import evaluation as E
 from lodestrata.plans import cases as C
-from lodestrata.plans.registry import query, table
+from lodestrata.plans.registry import SPACE, query, table
 
 _RATES = """round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END, 6) AS precision,
  round(CASE WHEN positives > 0 THEN tp::DOUBLE / positives ELSE 0.0 END, 6) AS recall,
@@ -158,16 +158,15 @@ def two_stage_latency(spark, d):
     return p.join(second, "doc_id").where("latency_ms is not null and second_ms is not null").select("doc_id", (F.col("latency_ms") + F.col("second_ms")).alias("total_latency_ms"))
 
 
-#: White space and line ends, as SQL has them.
-_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Line ends, as SQL has them.
 _ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _ODD = ["\n\n", "\t", "\xa0\u2028", "words that are repeated,\xa0 all\r" * 4, "words\tthat are repeated, all\u2028words that are repeated, all\r\n" * 2, "words that are repeated, al\x1f" * 4, "w" * 32768 + "\u3000", "w" * 32769]
 
 
 @query(
     rf"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, [{", ".join("'" + x.replace("w" * 32768, f"' || repeat('w', 32768) || '") + "'" for x in _ODD)}][1 + doc_id % {len(_ODD)}] FROM documents),
-l AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '{_ENDS}')), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM t),
-r AS (SELECT DISTINCT doc_id FROM l WHERE length(line) >= 24 GROUP BY doc_id, line HAVING count(*) >= 4), s AS (SELECT doc_id, length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n FROM t)
+l AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '{_ENDS}')), '{SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM t),
+r AS (SELECT DISTINCT doc_id FROM l WHERE length(line) >= 24 GROUP BY doc_id, line HAVING count(*) >= 4), s AS (SELECT doc_id, length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS n FROM t)
 SELECT s.doc_id, r.doc_id IS NOT NULL AS repeats_lines, n = 0 OR n > 32768 AS abnormal_length FROM s LEFT JOIN r USING (doc_id)"""
 )
 def output_discipline(spark, d):

@@ -10,7 +10,7 @@ from lodestrata.functions.hashing import canonical_json_hash, derived_seed, sha
 from lodestrata.operators import dedup as D
 from lodestrata.operators import records as B
 from lodestrata.plans import cases as C
-from lodestrata.plans.registry import query, table
+from lodestrata.plans.registry import SPACE, query, table
 from lodestrata.plans.supply import NEAR_SQL
 
 _CATALOG = f"""c0 AS (SELECT d.doc_id, d.text, d.lang, d.source, coalesce(l.toxic::VARCHAR, 'unknown') AS label, sha256(text) AS content, {NEAR_SQL} AS near FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -131,23 +131,17 @@ def truncated_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.truncated(F.col("text"), 600), 256).alias("cut_sha256"))
 
 
-_MARKED = "x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Code excerpt:' || chr(10) || substr(text, 1, 50) WHEN 1 THEN 'Vulnerable excerpt:' || chr(10) || 'a Source-code excerpt:' || chr(10) || ' b ' ELSE substr(text, 1, 50) END AS t FROM documents)"
+_MARKED = "x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Code excerpt:' || chr(10) || chr(9) || text WHEN 1 THEN text || chr(10) || 'Vulnerable excerpt:' || chr(10) || 'a Source-code excerpt:' || chr(10) || chr(160) || 'b ' || chr(13) ELSE text END AS t FROM documents)"
 
 
 @query(
-    f"""WITH {_MARKED} SELECT doc_id, CASE WHEN contains(t, 'Source-code excerpt:' || chr(10)) THEN trim(substr(t, instr(t, 'Source-code excerpt:' || chr(10)) + 21), ' ')
- WHEN contains(t, 'Code excerpt:' || chr(10)) THEN trim(substr(t, instr(t, 'Code excerpt:' || chr(10)) + 14), ' ') WHEN contains(t, 'Vulnerable excerpt:' || chr(10)) THEN 'x' END AS code FROM x"""
+    rf"""WITH {_MARKED}, y AS (SELECT doc_id, CASE WHEN contains(t, 'Source-code excerpt:' || chr(10)) THEN substr(t, instr(t, 'Source-code excerpt:' || chr(10)) + 21)
+ WHEN contains(t, 'Code excerpt:' || chr(10)) THEN substr(t, instr(t, 'Code excerpt:' || chr(10)) + 14) WHEN contains(t, 'Vulnerable excerpt:' || chr(10)) THEN substr(t, instr(t, 'Vulnerable excerpt:' || chr(10)) + 20) END AS c FROM x)
+SELECT doc_id, regexp_replace(c, '^{SPACE}+|{SPACE}+$', '', 'g') AS code FROM y"""
 )
 def marked_code(spark, d):
-    cut = F.substring("text", 1, 50)
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Code excerpt:\n"), cut)).when(F.col("doc_id") % 3 == 1, F.lit("Vulnerable excerpt:\na Source-code excerpt:\n b ")).otherwise(cut)
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", T.code_of(F.col("t")).alias("code"))
-
-
-@query()
-def marked_code_whole(spark, d):
-    """As ``marked_code``, whose SQL cuts texts to 50 characters, over whole texts; tested against plain Python."""
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Code excerpt:\n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.col("text"), F.lit("\nVulnerable excerpt:\na Source-code excerpt:\n b "))).otherwise(F.col("text"))
+    n = F.col("doc_id") % 3
+    t = F.when(n == 0, F.concat(F.lit("Code excerpt:\n\t"), "text")).when(n == 1, F.concat("text", F.lit("\nVulnerable excerpt:\na Source-code excerpt:\n\xa0b \r"))).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", T.code_of(t).alias("code"))
 
 
@@ -166,21 +160,13 @@ def line_numbering(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.array_join(lines, "\n"), 256).alias("numbered_sha256"), F.size(lines).cast("long").alias("n_lines"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(regexp_replace(substr(text, 1, 300), '[^\x00-\x7f]', ' ', 'g'), '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for'))), ',') AS identifiers FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g'), '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for'))), ',') AS identifiers FROM documents")
 def identifier_extraction(spark, d):
-    ascii_only = F.regexp_replace(F.substring("text", 1, 300), r"[^\x00-\x7f]", " ")  # word ends beyond ASCII differ between engines
-    found = T.identifiers(ascii_only, ["the", "and", "for"])
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(found), ",").alias("identifiers"))
-
-
-@query()
-def identifier_extraction_whole(spark, d):
-    """As ``identifier_extraction``, whose SQL takes English rows and 300 characters, over all rows and whole texts; tested against plain Python."""
-    found = T.identifiers(F.regexp_replace("text", r"[^\x00-\x7f]", " "), ["the", "and", "for"])
+    found = T.identifiers(F.regexp_replace("text", r"[^\x00-\x7f]", " "), ["the", "and", "for"])  # word ends beyond ASCII differ between engines
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("identifiers"))
 
 
-@query("SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(html, '[;{}\\n]'), lambda x: trim(x, ' ')), lambda x: x != ''))) AS n_statements FROM pages")
+@query(rf"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(html, '[;{{}}\n]'), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda x: x != ''))) AS n_statements FROM pages")
 def statement_split(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(T.statements(F.col("html"))).cast("long").alias("n_statements"))
 
@@ -221,12 +207,16 @@ def evidence_spans(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT doc_id, text, substr(text, 20, 30) AS s FROM documents)
-SELECT doc_id, contains(text, s) AND NOT contains(s, 'zzz') AS grounded, CASE WHEN instr(text, s) > 0 THEN length(substr(text, 1, instr(text, s) - 1)) - length(replace(substr(text, 1, instr(text, s) - 1), chr(10), '')) + 1 END::INTEGER AS first_line FROM x WHERE length(s) > 0"""
+    """WITH x AS (SELECT doc_id, text, substr(text, 1 + doc_id * 37 % greatest(length(text), 1), 30) || CASE WHEN doc_id % 4 = 0 THEN '~zz' ELSE '' END AS s FROM documents)
+SELECT doc_id, contains(text, s) AS grounded, CASE WHEN instr(text, s) > 0 THEN length(substr(text, 1, instr(text, s) - 1)) - length(replace(substr(text, 1, instr(text, s) - 1), chr(10), '')) + 1 END::INTEGER AS first_line,
+ CASE WHEN instr(text, s) > 0 THEN length(substr(text, 1, instr(text, s) - 1)) - length(replace(substr(text, 1, instr(text, s) - 1), chr(10), '')) + 1 + length(s) - length(replace(s, chr(10), '')) END::INTEGER AS last_line FROM x"""
 )
 def span_grounding(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 20, 30).alias("s")).where("length(s) > 0")
-    return x.select("doc_id", (S.grounded(F.col("text"), F.array("s")) & ~F.col("s").contains("zzz")).alias("grounded"), S.span_lines(F.col("text"), F.col("s"))["a"].alias("first_line"))
+    """Spans of each text from a place that its id gives, of which every fourth is not there."""
+    at = (F.col("doc_id") * 37 % F.greatest(F.length("text"), F.lit(1)) + 1).cast("int")
+    x = table(spark, d, "documents").select("doc_id", "text", F.concat(F.substr("text", at, F.lit(30)), F.when(F.col("doc_id") % 4 == 0, "~zz").otherwise("")).alias("s"))
+    lines = S.span_lines(F.col("text"), F.col("s"))
+    return x.select("doc_id", S.grounded(F.col("text"), F.array("s")).alias("grounded"), lines["a"].alias("first_line"), lines["b"].alias("last_line"))
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 AS valid FROM embeddings")
@@ -277,35 +267,50 @@ def gold_projection(spark, d):
     return B.gold(table(spark, d, "conversations"), "role", "assistant", ["conv_id", "turn"], "text", "expected_sha256")
 
 
-@query(f"SELECT doc_id, ('Assess whether ' || lang || ' is present. ' || CASE {C.sql_draw(3)} % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END) AS prompt FROM documents")
+@query(
+    f"""SELECT doc_id, replace(CASE {C.sql_draw(3)} % 4 WHEN 0 THEN 'Assess whether {{scope}} is present in the supplied source-code excerpt.' WHEN 1 THEN 'Review the supplied function for {{scope}} and report only code-visible evidence.'
+ WHEN 2 THEN 'Determine whether the supplied code exhibits {{scope}} without relying on provenance.' ELSE 'Perform an evidence-grounded defensive review of the excerpt scoped to {{scope}}.' END, '{{scope}}', lang) AS prompt FROM documents"""
+)
 def prompt_variants(spark, d):
     return table(spark, d, "documents").select("doc_id", B.prompt(F.col("lang"), derived_seed(3, F.col("doc_id")) % 100).alias("prompt"))
 
 
-@query("SELECT doc_id, substr(text, 1, 40) || chr(10) || 'end' AS kept FROM documents WHERE doc_id % 5 = 0")
+@query(
+    rf"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(9) || '```' || chr(10) || 'hidden' || chr(10) || '  ```' || chr(10) ELSE '' END || text || chr(10) || '```c' || chr(10) || 'int main;' || chr(10) || '```' || chr(10) || 'end' AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM t),
+f AS (SELECT *, regexp_matches(line, '^{SPACE}*```') AS fence FROM l), c AS (SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM c WHERE NOT fence AND n % 2 = 0 GROUP BY 1"""
+)
 def fenced_code_removal(spark, d):
-    t = F.concat(F.regexp_replace(F.substring("text", 1, 40), "x^", ""), F.lit("\n```c\nint main;\n```\nend"))
-    return table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", T.without_fences(t).alias("kept"))
-
-
-@query()
-def fenced_code_removal_whole(spark, d):
-    """As ``fenced_code_removal``, whose SQL takes a fifth of the rows and 40 characters, over all rows and whole texts; tested against plain Python."""
-    t = F.concat("text", F.lit("\n```c\nint main;\n```\nend"))
+    head = F.when(F.col("doc_id") % 3 == 0, "\t```\nhidden\n  ```\n").otherwise("")
+    t = F.concat(head, "text", F.lit("\n```c\nint main;\n```\nend"))
     return table(spark, d, "documents").select("doc_id", T.without_fences(t).alias("kept"))
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'duplicate_node_id,no_sink_reached' WHEN doc_id % 4 = 2 THEN 'unresolved_edge,no_sink_reached,unlinked_node' ELSE '' END AS errors FROM documents"""
-)
+# Findings that break one rule each, and two that break none: assessment, nodes (id, role, span), edges, the errors they have.
+_SOURCE, _SINK = ("a", "source", "the"), ("z", "sink", "e")
+_FINDINGS = [
+    ("present", [_SOURCE, _SINK], [("a", "z", "flows_to")], ""),
+    ("not_observed", [("b", "bound", "e"), _SINK], [("b", "z", "bounds")], ""),
+    ("uncertain", [], [], ""),
+    ("present", [], [], "no_evidence"),
+    ("present", [_SOURCE, ("a", "sink", "e")], [("a", "a", "flows_to")], "duplicate_node_id,verb_does_not_fit_role,no_required_role_linked"),
+    ("present", [("a", "source", "~absent~"), _SINK], [("a", "z", "flows_to")], "span_not_grounded"),
+    ("present", [_SOURCE, _SINK], [("a", "z", "flows_to"), ("a", "x", "flows_to")], "unresolved_edge"),
+    ("present", [_SOURCE, ("b", "bound", "e"), _SINK], [("a", "z", "flows_to"), ("a", "b", "flows_to")], "edge_ends_at_no_sink"),
+    ("present", [_SOURCE, _SINK], [("a", "z", "bounds")], "verb_does_not_fit_role,no_required_role_linked"),
+    ("present", [_SOURCE, ("b", "bound", "e")], [], "no_sink,no_required_role_linked"),
+    ("not_observed", [_SOURCE, _SINK], [("a", "z", "flows_to")], "no_required_role_linked"),
+]
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(x[3]) for x in _FINDINGS)}][1 + doc_id % {len(_FINDINGS)}] AS errors FROM documents")
 def role_graphs(spark, d):
-    n = F.col("doc_id") % 4
-    node = lambda i, r: F.struct(i.alias("id"), F.lit(r).alias("role"))
-    nodes = F.array(node(F.lit("a"), "source"), node(F.lit("b"), "flow"), node(F.when(n == 1, "b").otherwise("c"), "sink"))
-    edge = lambda s, t: F.struct(F.lit(s).alias("source"), t.alias("target"), F.lit("flows").alias("verb"))
-    edges = F.array(edge("a", F.when(n == 3, "c").when(n == 2, "x").otherwise("b")), edge("b", F.when(n == 3, "a").when(n == 2, "a").when(n == 1, "b").otherwise("c")))
-    found = table(spark, d, "documents").select("doc_id", nodes.alias("nodes"), edges.alias("edges"))
-    return found.select("doc_id", F.array_join(S.role_graph_errors(F.col("nodes"), F.col("edges"), ["sink"]), ",").alias("errors"))
+    """Stated findings, in each document's text with the spans that hold put before it."""
+    kind = "struct<assessment: string, nodes: array<struct<id: string, role: string, span: string>>, edges: array<struct<source: string, target: string, verb: string>>>"
+    cases = spark.createDataFrame([(k, (a, n, e)) for k, (a, n, e, _) in enumerate(_FINDINGS)], f"k long, f {kind}")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("the "), "text").alias("text"), (F.col("doc_id") % len(_FINDINGS)).alias("k")).join(F.broadcast(cases), "k")  # a row a finding
+    return docs.select("doc_id", F.array_join(S.role_graph_errors(F.col("f.assessment"), F.col("f.nodes"), F.col("f.edges"), F.col("text")), ",").alias("errors"))
 
 
 @query()

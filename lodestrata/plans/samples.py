@@ -90,18 +90,8 @@ def temporal_split(spark, d):
     return table(spark, d, "events").select("event_id", P.ranged_split(F.dayofmonth("ts"), {"fit": (1, 14), "calibration": (15, 21), "test": (22, 28)}).alias("split"))
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'fr') SELECT doc_id, CASE WHEN k <= 40 THEN 'train' WHEN k <= 60 THEN 'validation' WHEN k <= 80 THEN 'test' END AS split FROM r WHERE k <= 80")
+@query("SELECT doc_id, CASE WHEN k <= 40 THEN 'train' WHEN k <= 60 THEN 'validation' WHEN k <= 80 THEN 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents)")
 def contiguous_quota_split(spark, d):
-    first = table(spark, d, "documents").where("lang = 'fr'").select("doc_id").orderBy("doc_id").limit(80)
-    from pyspark.sql import Window
-
-    ranked = first.withColumn("k", F.row_number().over(Window.orderBy("doc_id")))  # 80 rows
-    return ranked.select("doc_id", S.contiguous_split(F.col("k"), [("train", 40), ("validation", 20), ("test", 20)]).alias("split"))
-
-
-@query()
-def contiguous_quota_split_whole(spark, d):
-    """As ``contiguous_quota_split``, whose SQL takes 80 French rows, over all documents; null beyond the quotas. Tested against plain Python."""
     rows = S.ranked(table(spark, d, "documents").select("doc_id"), "doc_id", "k")
     return rows.select("doc_id", S.contiguous_split(F.col("k"), [("train", 40), ("validation", 20), ("test", 20)]).alias("split"))
 
@@ -157,7 +147,7 @@ def capped_greedy(spark, d):
 @query()
 def balanced_variants(spark, d):
     """Least-used-first assignment: SQL cannot express it; tests hold it against a plain loop."""
-    return S.balanced_variants(table(spark, d, "documents").where("lang = 'es'").select("doc_id"), "doc_id", ["gcc-O0", "gcc-O2", "clang-O0", "clang-O2"], 53)
+    return S.balanced_variants(table(spark, d, "documents").select("doc_id"), "doc_id", ["gcc-O0", "gcc-O2", "clang-O0", "clang-O2"], 53)
 
 
 @query()

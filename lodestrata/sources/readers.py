@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestrata.functions.text import UNICODE_INK
+
 
 class _Range(InputPartition):
     def __init__(self, low: int | None, high: int | None):
@@ -93,25 +95,38 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("arrow_stream").option("path", path).load()
 
 
+#: Bytes of members that are handed on at once.
+MEMBER_BYTES = 16_000_000
 ZIP_MEMBER = "archive string, member string, n_bytes long, n_compressed long, encrypted boolean, symlink boolean, content binary"
 
 
 def _members(pattern: str | None, content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
         import re
         import zipfile
 
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+        names = [c.split()[0] for c in ZIP_MEMBER.split(", ")]
+        rows: list[list] = []
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as z:
                     for x in sorted(z.infolist(), key=lambda x: x.filename):
                         if x.is_dir() or pattern and not re.search(pattern, x.filename):
                             continue
                         body = z.read(x) if content and not x.flag_bits & 1 else None
-                        row = [path, x.filename, x.file_size, x.compress_size, bool(x.flag_bits & 1), (x.external_attr >> 28) == 0xA, body]
-                        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in ZIP_MEMBER.split(", ")])
+                        rows.append([path, x.filename, x.file_size, x.compress_size, bool(x.flag_bits & 1), (x.external_attr >> 28) == 0xA, body])
+                        held += len(body or b"")
+                        if len(rows) == 1000 or held > MEMBER_BYTES:
+                            yield emit()
+                            rows, held = [], 0
+        if rows:
+            yield emit()
 
     return run
 
@@ -125,7 +140,7 @@ def zip_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     """member, line_no, line of text members."""
     text = zip_members(spark, path, pattern).select("member", F.decode("content", "UTF-8").alias("text"))
     lines = text.select("member", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "").select("member", (F.col("line_no") + 1).alias("line_no"), "line")
+    return lines.where(F.col("line").rlike(UNICODE_INK)).select("member", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
 def zip_inventory(members: DataFrame, forbidden: list[str]) -> DataFrame:

@@ -121,14 +121,15 @@ def test_capped_weighted_sample(spark, quota):
 def test_category_round_robin(spark):
     rows, df = pool(spark)
     quota, seed = 40, 43
-    p = priorities(rows, seed)
     want = set()
     for label in (0, 1):
         mine = [r for r in rows if r[4] == label]
+        own = draw(seed, label)  # each class has a seed and frequencies of its own
+        p = priorities(mine, own)
         queues = {}
         for r in sorted(mine, key=lambda r: (p[r[0]], r[0])):
             queues.setdefault(r[3], []).append(r)
-        order = sorted(queues, key=lambda c: (draw(seed, c), c))
+        order = sorted(queues, key=lambda c: (draw(own, c), c))
         cap, used, taken, late = 4, Counter(), [], []
         while len(taken) < quota:
             moved = False
@@ -278,3 +279,128 @@ def test_curation(spark):
     yes, no = spark.createDataFrame([(1, True)], "n int, ok boolean"), spark.createDataFrame([(1, False)], "n int, ok boolean")
     manifest = spark.createDataFrame([(True,)], "approved boolean")
     assert K.approved(manifest, yes, yes).first().approved and not K.approved(manifest, yes, no).first().approved
+
+
+@pytest.mark.parametrize("quota", [1, 12, 119, 121])
+def test_category_pools_are_enough(spark, quota):
+    """Only a part of the rows reaches a class's task; the choice is that from all rows, and none of a class with too few."""
+    rows, df = pool(spark)
+    got = Counter(r.label for r in sampling.category_round_robin(df, ["label"], "cell", "cwe", "project", "id", 7, quota).collect())
+    assert got == ({0: quota, 1: quota} if quota <= 120 else {})
+
+
+class TestGates:
+    PASSING = {
+        "n": 300, "complete": True, "both_answered": True, "both_labels": True, "precision": 1.0, "recall": 1.0, "false_positive_rate": 0.0, "abstention_rate": 0.0, "parse_rate": 1.0, "schema_rate": 1.0, "safety_rate": 1.0, "evidence_rate": 1.0,
+        "repetition_rate": 0.0, "abnormal_length_rate": 0.0, "consistency_rate": 1.0, "evidence_precision": 1.0, "evidence_recall": 1.0, "renderer_rate": 1.0, "n_leaks": 0, "link_rate": 1.0, "n_generic": 0, "exact_duplicate_rate": 0.0, "single_target_rate": 0.0,
+        "n_safety_claims": 0, "n_over_cutoff": 0, "n_over_budget": 0,
+    }
+
+    @pytest.mark.parametrize("contract", sorted(evaluation.GATES))
+    def test_each_check_fails_alone(self, spark, contract):
+        """By a figure beyond its limit, by null and by an absent figure; a passing row passes."""
+        names = list(evaluation.GATES[contract])
+        row = {k: self.PASSING[k] for k in names}
+        bad = {k: False if row[k] is True else (99.0 if k in evaluation.CEILINGS else -1.0) for k in names}
+        kinds = ", ".join(f"{k} {'boolean' if row[k] is True else 'double'}" for k in names)
+        plain = lambda x: tuple(v if v is None or isinstance(v, bool) else float(v) for v in x)
+        rows = [row] + [row | {k: v} for k in names for v in (bad[k], None)]
+        got = [r.failed_checks for r in evaluation.gate(spark.createDataFrame([plain(r.values()) for r in rows], kinds).coalesce(1), contract).collect()]
+        assert got == [""] + [k for k in names for _ in range(2)]
+        frame = spark.createDataFrame([plain(row.values())], kinds)
+        assert {k: evaluation.gate(frame.drop(k), contract).first().failed_checks for k in names[:3]} == {k: k for k in names[:3]}
+
+    def test_exact_ratio(self, spark):
+        """0.8999999 is rounded to 0.9 and is not enough."""
+        m = spark.createDataFrame([(8_999_999, 1_000_001, 9_000_000, 5, 0.9, 1.0, 0.0)], "tp long, fp long, positives long, negatives long, precision double, recall double, false_positive_rate double")
+        assert "precision" in evaluation.gate(m, {"precision": 0.9}).first().failed_checks
+
+    def test_repeated_keys_fail(self, spark):
+        df = spark.createDataFrame([(1, "a"), (1, "b")], "id long, x string")
+        with pytest.raises(Exception, match="repeated id"):
+            evaluation.join_predictions(df.select("id").distinct(), df, "id").collect()
+
+    def test_judged(self, spark):
+        good = '{"assessment":"present","basis":"b","evidence":[2,3]}'
+        outputs = [good, None, "[1]", '{"assessment":"present","basis":" ","evidence":[2]}', '{"assessment":"present","basis":"run this exploit","evidence":[]}', good.replace("3", "12"), good + "\u2028" * 3, "  \n", '{"assessment":"uncertain","basis":"b","evidence":[]}']
+        rows = [(k, True, x, [2, 3], 9, x is None) for k, x in enumerate(outputs)]
+        df = spark.createDataFrame(rows, "id long, is_positive boolean, raw_output string, gold_lines array<int>, n_lines int, missing boolean")
+        got = [(r.parsed, r.schema_ok, r.safe, r.has_evidence, r.abnormal, r.decision, r.renders, r.n_shared) for r in evaluation.judged(df).orderBy("id").collect()]
+        assert got[0] == (True, True, True, True, False, True, True, 2)
+        assert got[1] == (False, False, False, False, False, None, False, 0) == got[2]
+        assert got[3] == (True, False, True, False, False, None, False, 0)
+        assert got[4] == (True, True, False, False, False, True, True, 0)
+        assert got[5] == (True, True, True, True, False, True, False, 1)
+        assert got[7] == (False, False, False, False, True, None, False, 0)
+        assert got[8] == (True, True, True, True, False, None, True, 0)
+
+    def test_target_audit_never_approves(self, spark):
+        rows = [(f"t{k}", "present" if k % 2 else "not_observed", True, False, True, False, False, False, False) for k in range(100)]
+        df = spark.createDataFrame(rows, "target string, label string, schema_ok boolean, leaked boolean, linked boolean, generic boolean, claim boolean, over_cutoff boolean, over_budget boolean")
+        ok = evaluation.target_audit(df, {"present": 50}).first()
+        assert (ok.automated_pass, ok.status, ok.overall_pass) == (True, "manual_review_required", False)
+        short = evaluation.target_audit(df, {"present": 51}).first()
+        assert (short.automated_pass, short.status) == (False, "evidence_supply_blocked")
+        again = evaluation.target_audit(df.withColumn("target", F.lit("same")), {"present": 50}).first()
+        assert again.status == "automated_quality_gate_failed" and again.failed_checks == "exact_duplicate_rate,single_target_rate"
+
+    def test_classifier(self, spark):
+        gold = spark.createDataFrame([(k, k % 2, k % 4 // 2) for k in range(40)], "id long, y int, week int")
+        given = gold.select("id", (F.col("y") * 0.8 + 0.1).alias("s"))
+        limits = {"precision": 0.9, "recall": 0.9, "false_positive_rate": 0.1, "roc_auc": 0.9, "average_precision": 0.9, "min_recall": 0.9, "max_fpr": 0.1}
+        run = lambda p: evaluation.classifier_gate(gold, p, "id", "s", "y", "week", 0.5, "calibration", limits).first()
+        assert run(given).passed
+        assert run(given.where("id > 0")).failed_checks == run(given.unionAll(spark.createDataFrame([(99, 0.5)], "id long, s double"))).failed_checks == "complete"
+        assert run(given.withColumn("s", 1 - F.col("s"))).failed_checks == "average_precision,false_positive_rate,max_fpr,min_recall,precision,recall,roc_auc"
+        with pytest.raises(ValueError):
+            evaluation.classifier_gate(gold, given, "id", "s", "y", "week", 0.5, "test", limits)
+
+
+class TestRanks:
+    def frame(self, spark):
+        """A class with a third of all rows, many distinct values, ties of none."""
+        rows = [(k, "hot" if k % 3 == 0 else f"c{k % 11}", (k * 7919) % 5003 / 5003) for k in range(3000)]
+        return rows, spark.createDataFrame(rows, "id long, c string, s double")
+
+    @pytest.mark.parametrize("descending", [False, True])
+    def test_running_sums(self, spark, descending):
+        from lodestrata.operators.ranks import running_sums
+
+        rows, df = self.frame(spark)
+        got = {r.id: r.id_before for r in running_sums(df, "s", ["id"], descending=descending).collect()}
+        total, want = 0, {}
+        for r in sorted(rows, key=lambda r: r[2], reverse=descending):
+            want[r[0]] = total
+            total += r[0]
+        assert got == want
+
+    def test_ranks_in_classes(self, spark):
+        from lodestrata.functions.hashing import derived_seed
+        from lodestrata.operators.ranks import draw_rank, key_rank
+
+        rows, df = self.frame(spark)
+        by_key, by_draw, want_key, want_draw = ({r.id: r.k for r in x.collect()} for x in (key_rank(df, "c", "id", "k"), draw_rank(df, "c", derived_seed(5, F.col("id")), "id", "k"), df.limit(0).withColumn("k", F.lit(0)), df.limit(0).withColumn("k", F.lit(0))))
+        for c in {r[1] for r in rows}:
+            mine = [r[0] for r in rows if r[1] == c]
+            want_key |= {i: k for k, i in enumerate(sorted(mine), 1)}
+            want_draw |= {i: k for k, i in enumerate(sorted(mine, key=lambda i: draw(5, i)), 1)}
+        assert by_key == want_key and by_draw == want_draw
+
+    def test_no_window_over_all_rows(self, spark):
+        """The plans of the ranking metrics have no window without a partition but over one row a range."""
+        _, df = self.frame(spark)
+        df = df.withColumn("y", (F.col("id") % 2).cast("int"))
+        for found in (evaluation.roc_auc(df, "s", "y"), evaluation.average_precision(df, "s", "y", "id"), evaluation.threshold_at_fpr(df, "s", "y", 0.1), evaluation.percentiles(df, "s", {"p": (0.5, "floor")})):
+            windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+            assert windows and all("_bin" in x for x in windows)
+
+
+def test_without_fields(spark):
+    df = spark.sql("SELECT named_struct('Label', 1, 'k', array(named_struct('gold', 2, 'v', map('Split', 'x', 'm', 'y')))) AS s")
+    got = df.select(records.without_fields(F.col("s"), df.schema["s"].dataType, ["label", "gold", "split"]).alias("s")).first().s
+    assert got.asDict(True) == {"k": [{"v": {"m": "y"}}]}
+
+
+def test_dump_tables(spark):
+    lines = spark.createDataFrame([("CREATE TABLE a (x);",), ('create table if not exists "b" (y);',), ("INSERT INTO c VALUES (1);",)], "text string")
+    assert {r.table_name for r in audit.missing_tables(lines, "text", ["a", "b", "c", "d"]).collect()} == {"c", "d"}

@@ -134,7 +134,7 @@ def test_zip(spark, tmp_path):
 
 def test_dump(spark, tmp_path):
     path = tmp_path / "d.sql.gz"
-    lines = ["PRAGMA x;", "BEGIN TRANSACTION;", "CREATE TABLE t(a);", "INSERT INTO t VALUES(1);", "INSERT INTO t VALUES(2);", "ATTACH 'x' AS y;", "COMMIT;"]
+    lines = ["PRAGMA foreign_keys=OFF;", "BEGIN TRANSACTION;", "CREATE TABLE t(a);", "INSERT INTO t VALUES(1);", "INSERT INTO t VALUES(2);", "ATTACH 'x' AS y;", "COMMIT;"]
     path.write_bytes(gzip.compress("\n".join(lines).encode()))
     counts, bad = statement_counts(text.read_dump(spark, str(path)), "text")
     assert {r.statement: r.n for r in counts.collect()} == {"pragma": 1, "transaction": 2, "create": 1, "insert": 2, "dangerous": 1}

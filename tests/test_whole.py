@@ -1,4 +1,4 @@
-"""Queries over all rows and whole texts, against plain Python; their SQL twins' smaller jobs are in test_catalog."""
+"""Queries over all rows and whole texts, against plain Python, on texts whose fences, markers and identifiers stand late."""
 
 from __future__ import annotations
 
@@ -34,14 +34,14 @@ def test_fences(spark, folder, docs):
     def plain(text):
         inside, out = False, []
         for x in text.split("\n"):
-            if x.startswith("```"):
+            if x.strip().startswith("```"):
                 inside = not inside
             elif not inside:
                 out.append(x)
         return "\n".join(out)
 
-    want = {r.doc_id: plain(r.text + "\n```c\nint main;\n```\nend") for r in docs}
-    assert {r.doc_id: r.kept for r in run(spark, folder, "fenced_code_removal_whole")} == want
+    want = {r.doc_id: plain("\t```\nhidden\n  ```\n" * (r.doc_id % 3 == 0) + r.text + "\n```c\nint main;\n```\nend") for r in docs}
+    assert {r.doc_id: r.kept for r in run(spark, folder, "fenced_code_removal")} == want
     assert "x = 1" not in want[90001] and "after" in want[90001]
 
 
@@ -49,18 +49,18 @@ def test_markers(spark, folder, docs):
     from lodestrata.functions.text import CODE_MARKERS
 
     def plain(k, text):
-        text = ["Code excerpt:\n" + text, text + "\nVulnerable excerpt:\na Source-code excerpt:\n b ", text][k % 3]
-        return next((text.split(m, 1)[1].strip(" ") for m in CODE_MARKERS if m in text), None)
+        text = ["Code excerpt:\n\t" + text, text + "\nVulnerable excerpt:\na Source-code excerpt:\n\xa0b \r", text][k % 3]
+        return next((text.split(m, 1)[1].strip() for m in CODE_MARKERS if m in text), None)
 
     want = {r.doc_id: plain(r.doc_id, r.text) for r in docs}
-    assert {r.doc_id: r.code for r in run(spark, folder, "marked_code_whole")} == want
+    assert {r.doc_id: r.code for r in run(spark, folder, "marked_code")} == want
 
 
 def test_identifiers(spark, folder, docs):
     import re
 
     want = {r.doc_id: ",".join(sorted({x for x in re.findall(r"\b[A-Za-z_][A-Za-z0-9_]*\b", re.sub(r"[^\x00-\x7f]", " ", r.text), re.A) if len(x) >= 3} - {"the", "and", "for"})) for r in docs}
-    assert {r.doc_id: r.identifiers for r in run(spark, folder, "identifier_extraction_whole")} == want
+    assert {r.doc_id: r.identifiers for r in run(spark, folder, "identifier_extraction")} == want
     assert want[90002] == "late_name"
 
 
@@ -68,22 +68,22 @@ def test_instruction_ids(spark, folder, docs):
     import hashlib
 
     def plain(r):
-        both = "\n\n".join(x for x in ((r.lang or "").strip(" "), r.text.strip(" ")) if x)
+        both = "\n\n".join(x for x in ((r.lang or "").strip(), r.text.strip()) if x)
         return f"legacy-alpaca-{r.doc_id:06d}-{hashlib.sha256(both.encode()).hexdigest()[:12]}"
 
     want = {r.doc_id: plain(r) for r in docs}
-    assert {r.doc_id: r.id for r in run(spark, folder, "instruction_adapter_whole")} == want
+    assert {r.doc_id: r.id for r in run(spark, folder, "instruction_adapter")} == want
     assert want[90002][-12:] != want[90004][-12:]
 
 
 def test_packets(spark, folder, docs):
     ids = [r.doc_id for r in docs]
     want = {k // 10 + 1: "\n".join(f"- [{k + i + 1}] {x}" for i, x in enumerate(ids[k : k + 10])) for k in range(0, len(ids), 10)}
-    got = run(spark, folder, "review_packets_whole")
+    got = run(spark, folder, "review_packets")
     assert {r.packet: r.text for r in got} == want and sum(r.n for r in got) == len(ids)
 
 
 def test_quota_split(spark, folder, docs):
     names = ["train"] * 40 + ["validation"] * 20 + ["test"] * 20
     want = {r.doc_id: names[k] if k < 80 else None for k, r in enumerate(docs)}
-    assert {r.doc_id: r.split for r in run(spark, folder, "contiguous_quota_split_whole")} == want
+    assert {r.doc_id: r.split for r in run(spark, folder, "contiguous_quota_split")} == want
