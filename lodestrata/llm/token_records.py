@@ -37,10 +37,12 @@ END_ID = 0
 CHUNK_BYTES = 4_000_000
 #: Text bytes of a shard, about: its ids take some half of it, and a shard is read back as one value.
 SHARD_BYTES = 256_000_000
+#: Bytes of text to one byte of what the plan reads, at most.
+COMPRESSION = 8
 #: Records of a shard that are handed on at once when it is read.
 RECORDS = 20_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
-MEMO = 500_000
+MEMO = 800_000
 _MASK_DELTA = 0xA282EAD8
 
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
@@ -167,8 +169,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Write the ids of all texts below ``path``, in ascending order of doc_id; a shard per partition, of about SHARD_BYTES of text at most."""
     tie = F.xxhash64("text")  # so that even rows of one doc_id spread over partitions
     source = plain(docs, "doc_id", "text")
-    shards = -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
-    by = ("doc_id", tie) if shards <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else (shards, "doc_id", tie)
+    usual, by = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("doc_id", tie)
+    if int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * COMPRESSION > usual * SHARD_BYTES:  # else there is no need to scan
+        shards = -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+        by = (shards, *by) if shards > usual else by
     source = source.repartitionByRange(*by).sortWithinPartitions("doc_id", tie, "text")
     chunks = source.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_write(tokenizer_path), "value binary")
     chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
