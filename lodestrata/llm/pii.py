@@ -29,7 +29,7 @@ CONTEXT = 40
 BLOCK = 1000
 
 _LOCAL = "[A-Za-z0-9._%+-]"
-_NAMED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\x22']?\x20{0,3}[=:]\x20{0,3}[\x22']?"
+_NAMED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\x22']?\x20{0,3}[=:]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -51,6 +51,13 @@ def mod97(text: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: F.when(x < 10, a * 10 + x).otherwise(a * 100 + x) % 97) == 1
 
 
+def _holds(text: Column, *parts: str) -> Column:
+    out = F.lit(False)
+    for x in parts:
+        out = out | text.contains(x)
+    return out
+
+
 def _varied(text: Column) -> Column:
     """Whether a secret has enough different characters to be one; a line of dots or zeros has not."""
     return F.size(F.array_distinct(F.split(text, ""))) >= 6
@@ -73,8 +80,8 @@ KINDS = [
     Kind("card", lambda t: t.rlike(r"(?:[0-9][\x20-]?+){14}"), r"[0-9](?:[\x20-]?+[0-9])++", lambda x: _digits_between(14, 19)(x) & luhn(x), 0.8, "card|visa|credit|debit|payment|account", base=True),
     Kind("phone", lambda t: t.contains("+"), r"\+[0-9][\x20().0-9-]+[0-9]", _digits_between(10, 15), 0.7, "phone|tel|call|mobile|fax|number", base=True),
     Kind("iban", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]{4}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])", mod97, 0.8, "iban|bank|account|transfer|konto"),
-    Kind("key", lambda t: t.rlike("(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9]"), r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{20,}+)(?![A-Za-z0-9_])", lambda x: _varied(x), 0.8, "key|token|access|secret|credential"),
-    Kind("secret", lambda t: t.rlike(_NAMED), rf"(?<={_NAMED})[^\s\x22',;<>]{{8,}}+", lambda x: _varied(x) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"), 0.6, "login|user|secret|credential|private"),
+    Kind("key", lambda t: _holds(t, "AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "xoxa-", "xoxb-", "xoxp-"), r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{20,}+)(?![A-Za-z0-9_])", lambda x: _varied(x), 0.8, "key|token|access|secret|credential"),
+    Kind("secret", lambda t: t.rlike(f"[=:](?<={_NAMED})"), rf"(?<={_NAMED}\x20{{0,3}}[\x22']?)[^\s\x22',;<>]{{8,}}+", lambda x: _varied(x) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"), 0.6, "login|user|secret|credential|private"),
     Kind("ssn", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda x: F.lit(True), 0.3, "ssn|social|security|tax|insurance"),
 ]
 _AGAINST = "example|sample|version|invoice|order|isbn|test"
