@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a build side that may be broadcast: at two numbers a row this stays below about 100 MB.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a build side that may be broadcast: with two or three numbers a row it takes some 100 bytes a row, so about 100 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
