@@ -38,8 +38,8 @@ GLOBAL_SAFETY_CLAIMS = [
 FORBIDDEN_CREDENTIALS = ["password=", "api_key=", "client_secret="]
 CODE_MARKERS = ["Source-code excerpt:\n", "Code excerpt:\n", "Vulnerable excerpt:\n"]
 LEAKAGE = {
-    "dataset_label": r"(?i)\b(?:dataset\s+label|target\s*[=:]|labeled\s+vulnerable)\b",
     "dataset_name": r"(?i)\b(?:diversevul|bigvul)\b",
+    "dataset_label": r"(?i)\b(?:dataset\s+label|target\s*[=:]|labeled\s+vulnerable)\b",
     "split": r"(?i)\b(?:train|validation|test)\s+split\b",
 }
 GOLD_SIGNAL_KEYS = ["dataset", "dataset_name", "source_dataset", "source_revision", "target", "label", "gold", "split", "expected_output", "is_vulnerable"]
@@ -54,10 +54,12 @@ WEAKNESS_FAMILIES = {
     "information_exposure": [200, 201, 203, 209, 212, 215, 359, 497, 532, 538],
     "error_handling": [252, 253, 273, 280, 390, 391, 392, 393, 394, 395, 396, 397, 754, 755],
 }
-#: White space as Python's ``\s`` has it on text; a character that is none; and what ends a line for ``splitlines``.
+#: White space as Python's ``\s`` has it on text; and a character that is none.
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 UNICODE_INK = UNICODE_SPACE.replace("[", "[^", 1)
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The same characters one by one: those that end a line for ``splitlines``, and the others.
+END_CHARACTERS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+BLANK_CHARACTERS = "\t \x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def named_hits(text: Column, patterns: dict[str, str]) -> Column:
@@ -106,7 +108,7 @@ def risk_of(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+\z", "")
+    return F.btrim(text, F.lit(END_CHARACTERS + BLANK_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
@@ -152,8 +154,10 @@ def leakage_flags(text: Column, keys: Column | None = None) -> Column:
 
 def repeats_lines(text: Column, length: int = 24, times: int = 4) -> Column:
     """Whether a line of at least ``length`` characters, white space normalised, occurs ``times`` times. Lines end as Python's ``splitlines`` has it."""
-    lines = F.filter(F.transform(F.split(text, LINE_ENDS), lambda x: stripped(F.regexp_replace(x, f"{UNICODE_SPACE}+", " "))), lambda x: F.length(x) >= length)
-    ordered = F.array_sort(lines)
+    # a character for each kind of white space first: simple patterns are many times faster than one of all kinds
+    simple = F.translate(text, END_CHARACTERS + BLANK_CHARACTERS, "\n" * len(END_CHARACTERS) + " " * len(BLANK_CHARACTERS))
+    long = F.filter(F.split(simple, "\n"), lambda x: F.length(x) >= length)
+    ordered = F.array_sort(F.filter(F.transform(long, lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: F.length(x) >= length))
     # in order, equal lines stand together: one is repeated if it equals the one some places on
     return F.exists(F.zip_with(ordered, F.slice(ordered, F.lit(times), F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
 
@@ -164,7 +168,8 @@ def repeats_tokens(text: Column, widths: tuple[int, ...] = (8, 16, 32), times: i
     For each width the places where a token equals the one a width on are written as a string of 1 and 0;
     the window repeats if (times - 1) widths of 1 follow each other. A text of too few tokens is not looked at.
     """
-    tokens = F.filter(F.split(text, f"{UNICODE_SPACE}+"), lambda x: x != "")
+    every = END_CHARACTERS + BLANK_CHARACTERS
+    tokens = F.filter(F.split(F.translate(text, every, " " * len(every)), " +"), lambda x: x != "")
 
     def found(hashes: Column) -> Column:
         out = F.lit(False)

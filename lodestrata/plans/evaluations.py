@@ -164,14 +164,15 @@ _ODD = ["\n\n", "\t", "\xa0\u2028", "words that are repeated,\xa0 all\r" * 4, "w
 
 
 @query(
-    rf"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, [{", ".join("'" + x.replace("w" * 32768, f"' || repeat('w', 32768) || '") + "'" for x in _ODD)}][1 + doc_id % {len(_ODD)}] FROM documents),
+    rf"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - n_nationkey, [{", ".join("'" + x.replace("w" * 32768, f"' || repeat('w', 32768) || '") + "'" for x in _ODD)}][1 + n_nationkey % {len(_ODD)}] FROM nation),
 l AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '{_ENDS}')), '{SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM t),
 r AS (SELECT DISTINCT doc_id FROM l WHERE length(line) >= 24 GROUP BY doc_id, line HAVING count(*) >= 4), s AS (SELECT doc_id, length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) AS n FROM t)
 SELECT s.doc_id, r.doc_id IS NOT NULL AS repeats_lines, n = 0 OR n > 32768 AS abnormal_length FROM s LEFT JOIN r USING (doc_id)"""
 )
 def output_discipline(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    odd = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.element_at(F.array(*map(F.lit, _ODD)), (F.col("doc_id") % len(_ODD) + 1).cast("int")).alias("text"))
+    k = F.col("n_nationkey").cast("long")  # beside all documents, some rows for each stated case
+    odd = table(spark, d, "nation").select((-1 - k).alias("doc_id"), F.element_at(F.array(*map(F.lit, _ODD)), (k % len(_ODD) + 1).cast("int")).alias("text"))
     return docs.unionAll(odd).select("doc_id", repeats_lines(F.col("text")).alias("repeats_lines"), abnormal_length(F.col("text")).alias("abnormal_length"))
 
 
