@@ -4,8 +4,9 @@ A toxic and an ordinary model of order ``ORDER`` are counted over all labelled t
 their own n-gram counts and back off to one shared model: interpolated Kneser-Ney continuation probabilities
 of both classes' n-grams together, so an expression that is rare in either class is smoothed alike in both.
 What scoring needs of an n-gram is one number, ``log p_toxic - log p_ordinary``. These numbers are kept by the
-n-gram itself (:class:`Exact`), so no two share one; what is gathered and broadcast is 12 bytes for each distinct
-n-gram and each distinct context of the labelled training rows, and grows with them.
+n-gram itself (:class:`Exact`), so no two share one. Their table grows with the distinct n-grams of the labelled
+training rows: up to ``HELD_GRAMS_MAX`` n-grams it is broadcast, 12 bytes for each n-gram and context; beyond that it
+stays a table and is joined to the distinct n-grams of blocks of texts, which gives the same numbers.
 
 A text's features are its mean log-likelihood difference per byte and the largest mean over any ``SPAN`` bytes;
 a logistic function of them gives the score. It is fitted on a sample of at most ``FIT_ROWS`` training rows, and at
@@ -24,6 +25,8 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,10 @@ SPAN = 24  # 16 + 8: see span_means
 FIT_ROWS = 20_000
 #: N-grams a task gathers before it hands them on.
 HELD_GRAMS = 2_000_000
+#: N-grams whose numbers are broadcast, with those of their contexts: about 100 MB at most.
+HELD_GRAMS_MAX = 4_000_000
+#: Text bytes of a block that is given its own numbers, about; a longer text is a block of its own.
+BLOCK_BYTES = 16_000_000
 
 _SEPARATOR = b" " * SPAN
 
@@ -167,8 +174,11 @@ def _looked_up(held: Exact | np.ndarray, keys: np.ndarray, slots: int) -> np.nda
 
 def _exact(rows: DataFrame) -> Exact:
     """Of rows (gram, d)."""
-    got = rows.select("gram", F.col("d").cast("float").alias("d")).toArrow()
-    return Exact(got.column("gram").to_numpy().astype(np.uint64), got.column("d").to_numpy())
+    return _exact_of(rows.select("gram", F.col("d").cast("float").alias("d")).toArrow())
+
+
+def _exact_of(got: pa.Table) -> Exact:
+    return Exact(got.column("gram").to_numpy().astype(np.uint64), got.column("d").to_numpy().astype(np.float32))
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -180,8 +190,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return _summed(rows.mapInArrow(count_grams, "gram long, n_toxic long, n_ordinary long"))
 
 
-def difference_tables(counts: DataFrame) -> tuple[Exact, Exact]:
-    """Of n-gram counts: the log-likelihood difference of seen n-grams, and after seen contexts."""
+def differences(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of n-gram counts, as (gram, d): the log-likelihood difference of seen n-grams, and after seen contexts."""
     keyed = counts.withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram") % (1 << 8 * (ORDER - 1)))
     contexts = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(*[f(x).alias(a) for x, t in (("n_toxic", "t"), ("n_ordinary", "o")) for f, a in ((F.sum, f"sum_{t}"), (lambda c: F.count_if(F.col(c) > 0), f"kinds_{t}"))])
 
@@ -195,6 +205,12 @@ def difference_tables(counts: DataFrame) -> tuple[Exact, Exact]:
     shared = shared_model(counts.select("gram")).withColumnRenamed("gram", "suffix")
     seen = keyed.join(contexts, "context").join(shared, "suffix").select("gram", (F.log(p("n_toxic", "t")) - F.log(p("n_ordinary", "o"))).alias("d"))
     after = contexts.select(F.col("context").alias("gram"), (F.log(backoff("t")) - F.log(backoff("o"))).alias("d"))
+    return tuple(x.withColumn("d", F.col("d").cast("float")) for x in (seen, after))
+
+
+def difference_tables(counts: DataFrame) -> tuple[Exact, Exact]:
+    """The same, gathered."""
+    seen, after = differences(counts)
     return _exact(seen), _exact(after)
 
 
@@ -243,16 +259,71 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(([w[0] - (w[1:] * mean / spread).sum()], w[1:] / spread))
 
 
-def _features_of(held):
+def _with_features(rows: pa.RecordBatch | pa.Table, names: list[str], found: np.ndarray) -> list[pa.Array]:
+    return [*[rows.column(x) for x in names], pa.array(found[:, 0]), pa.array(found[:, 1])]
+
+
+def _features_by(held, names: list[str]):
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = features(batch.column("text"), *held.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "toxic", "mean", "largest"])
+            columns = _with_features(batch, names, features(batch.column("text"), *held.value))
+            yield pa.RecordBatch.from_arrays(columns, [*names, "mean", "largest"])
 
     return run
 
 
+def into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``block``, a number that rows in a row share until their texts take BLOCK_BYTES. What it numbers is stored, so a task that runs again renames nothing."""
+    block, used = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        numbers = []
+        for n in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+            if used and used + n > BLOCK_BYTES:
+                block, used = block + 1, 0
+            used += n
+            numbers.append(block)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["block", *batch.schema.names])
+
+
+@K.released
+def block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, text -> block, gram: the distinct n-grams of each slice of a block's texts."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for first, last in zip(cuts, cuts[1:]):
+            texts = batch.column("text").slice(first, last - first)
+            for low, high in K.slices(texts):
+                data, starts, ends = folded(texts.slice(low, high - low))
+                own = _inside(len(data), starts, ends)
+                for start, end, key in grams(data):
+                    found = np.unique(key[own[start:end]]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), blocks[first])), pa.array(found)], ["block", "gram"])
+
+
+def features_of(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The columns of ``rows`` beside ``text``, and the features ``mean``, ``largest`` of the text under n-gram ``counts``."""
+    spark, kept = rows.sparkSession, [x for x in rows.schema if x.name != "text"]
+    names = [x.name for x in kept]
+    kinds = T.StructType([*kept, *T.StructType.fromDDL("mean double, largest double")])
+    if counts.count() <= HELD_GRAMS_MAX:
+        return rows.mapInArrow(_features_by(spark.sparkContext.broadcast(difference_tables(counts)), names), kinds)
+    seen, after = differences(counts)
+    blocks = stored(rows.mapInArrow(into_blocks, T.StructType([T.StructField("block", T.LongType()), *rows.schema])), "blocks")
+    wanted = blocks.select("block", "text").mapInArrow(block_grams, "block long, gram long").distinct()
+    numbers = wanted.join(seen, "gram", "left").withColumn("context", F.shiftright("gram", 8))
+    backed = numbers.where("d is null").drop("d").join(after.withColumnRenamed("gram", "context"), "context", "left")
+    numbers = stored(numbers.where("d is not null").unionByName(backed).select("block", "gram", F.coalesce("d", F.lit(0.0).cast("float")).alias("d")), "numbers")
+    none = Exact(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+    def judge(texts: pa.Table, own: pa.Table) -> pa.Table:
+        found = features(K.strings(texts.column("text")), _exact_of(own), none)
+        return pa.Table.from_arrays(_with_features(texts, names, found), [*names, "mean", "largest"])
+
+    return blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(judge, kinds)
+
+
 def fit_sample(marks: DataFrame) -> DataFrame:
     """Of ``marks`` (doc_id, toxic), the same share of each label, at least one row: a fifth, or less to be FIT_ROWS at most."""
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -276,9 +347,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     chosen = stored(fit_sample(marks), "chosen")
     sample = source.join(F.broadcast(chosen), "doc_id")
     others = gram_counts(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("text", "toxic"))
-    held = spark.sparkContext.broadcast(difference_tables(others))
-    kinds = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("toxic int, mean double, largest double")])
-    seen = sample.select("doc_id", "text", "toxic").mapInArrow(_features_of(held), kinds)
+    seen = features_of(sample.select("doc_id", "toxic", "text"), others)
     got = seen.groupBy("doc_id").agg(*[F.max(x).alias(x) for x in ("toxic", "mean", "largest")]).orderBy("doc_id").toPandas()
     y = got["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
@@ -288,19 +357,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
         weights = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0])
     added = gram_counts(sample.select("text", "toxic"))
     counts = _summed(others.unionAll(added))
-    held = spark.sparkContext.broadcast(difference_tables(counts))
+    found = features_of(source, counts)
     for used in (others, added, counts, chosen):
         drop_path(spark, used._stored_at)
-
-    @K.released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = features(batch.column("text"), *held.value)
-            score = 1 / (1 + np.exp(-np.clip(weights[0] + found @ weights[1:], -30, 30)))
-            columns = [pa.array(x) for x in (score, (score >= 0.5).astype(np.int32), found[:, 0], found[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "score", "predicted", "mean_llr", "largest_llr"])
-
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("score double, predicted int, mean_llr double, largest_llr double")]))
+    linear = F.lit(float(weights[0])) + F.col("mean") * float(weights[1]) + F.col("largest") * float(weights[2])
+    found = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), linear)))))
+    return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("mean").alias("mean_llr"), F.col("largest").alias("largest_llr"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

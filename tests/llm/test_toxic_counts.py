@@ -47,3 +47,24 @@ def test_ngrams_share_no_number(spark):
     assert (held.of(keys) == np.arange(len(keys))).all()
     assert np.isnan(held.of(np.setdiff1d(keys + np.uint64(1), keys))).all()
     assert np.isnan(X._exact(rows.limit(0)).of(keys)).all()
+
+
+def test_joined_numbers_give_the_same_scores(spark, monkeypatch):
+    """Beyond the bound of the broadcast the numbers are joined to blocks; blocks of any size give the same rows."""
+    from lodestrata.llm import toxicity as X
+
+    rows = [(k, f"Text number {k} of {k % 7} kinds, {'vile rot ' * (k % 9 == 0)} and é {'x' * (k % 5)}" * (1 + k % 3), int(k % 9 == 0)) for k in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, None), (None, "vile"), (5, ""), (6, "vile rot " * 3000), (6, "vile rot " * 3000)], "doc_id long, text string").withColumn("block", F.lit(1))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    learn = F.col("doc_id") % 4 != 0
+
+    def result():
+        return sorted(X.toxicity(docs, labels, learn).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.score))
+
+    want = result()
+    monkeypatch.setattr(X, "HELD_GRAMS_MAX", 0)
+    monkeypatch.setattr(X, "BLOCK_BYTES", 300)
+    got = result()
+    assert got == want and len({r.score for r in got}) > 20
+    assert X.toxicity(docs.limit(0), labels, learn).count() == 0
+    assert X.toxicity(docs, labels.limit(0), learn).count() == docs.count()
