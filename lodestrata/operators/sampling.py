@@ -5,6 +5,7 @@ Every choice is ordered by a seeded hash with the id as tie-break, so reruns and
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -221,11 +222,23 @@ def balanced_variants(df: DataFrame, key: str, variants: list[str], seed: int) -
     return dealt.select(F.col("x.key").alias(key), "x.variant")
 
 
-def unique_content_groups(df: DataFrame, group: str, content: str, order: str) -> DataFrame:
-    """Groups in order, each kept unless a kept group already has one of its contents.
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpointed in the shared folder; one of its own only where none is named, on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
 
-    ``df``: group, content, order (the same in all rows of a group). Groups that share contents directly or
-    over others are decided together; the pass over such a cluster is in order.
+
+def unique_content_groups(df: DataFrame, group: str, content: str, order: str, pass_rows: int = 100_000) -> DataFrame:
+    """Groups in order, each kept unless a kept group already has one of its contents; a null content clashes with none.
+
+    ``df``: group, content, order (the same in all rows of a group). Groups that clash are decided in rounds over
+    all of them: a group that comes first at each of its contents is kept, and those that share a content with it
+    are out. The last ``pass_rows`` rows at most are decided by one pass in order.
     """
     narrow = df.select(group, content, order).distinct()
 
@@ -239,9 +252,17 @@ def unique_content_groups(df: DataFrame, group: str, content: str, order: str) -
                 out.append(g)
         yield pd.DataFrame({group: out})
 
-    # contents of one group only can't clash: such groups are kept at once, and only the others go to the pass
+    # contents of one group only can't clash: such groups are kept at once, and only the others are decided
     shared = narrow.join(narrow.groupBy(content).agg(F.countDistinct(group).alias("_n")).where("_n > 1"), content).select(group).distinct()
-    free = narrow.select(group).distinct().join(shared, group, "left_anti")
+    found = narrow.select(group).distinct().join(shared, group, "left_anti")
+    left = narrow.where(F.col(content).isNotNull()).join(shared, group)
+    place = F.struct(order, group)
+    while left.limit(pass_rows + 1).count() > pass_rows:
+        left = _cut(left)
+        first = left.groupBy(content).agg(F.min(place).alias("_first"))
+        winners = _cut(left.join(first, content).groupBy(group).agg(F.bool_and(place == F.col("_first")).alias("_wins")).where("_wins").select(group))
+        taken = left.join(winners, group).select(content).distinct()
+        found = found.unionAll(winners)
+        left = left.join(left.join(taken, content).select(group).distinct(), group, "left_anti")
     kind = df.schema[group].dataType.simpleString()
-    kept = narrow.join(shared, group).repartition(1).mapInPandas(keep, f"{group} {kind}")
-    return free.unionAll(kept)
+    return found.unionAll(left.repartition(1).mapInPandas(keep, f"{group} {kind}"))

@@ -185,7 +185,12 @@ def test_unique_content_groups(spark):
             taken |= mine
             want.add(g)
     df = spark.createDataFrame([(g, str(c), g) for g, c in rows], "g long, c string, o long")
-    assert {r.g for r in sampling.unique_content_groups(df, "g", "c", "o").collect()} == want
+    for pass_rows in (100_000, 30, 0):  # one pass, rounds and a pass, rounds alone
+        assert sorted(r.g for r in sampling.unique_content_groups(df, "g", "c", "o", pass_rows).collect()) == sorted(want)
+    bare = spark.createDataFrame([(1, None, 1), (2, None, 2), (3, "x", 3), (4, "x", 4), (4, None, 4)], "g long, c string, o long")
+    for pass_rows in (100_000, 0):
+        assert sorted(r.g for r in sampling.unique_content_groups(bare, "g", "c", "o", pass_rows).collect()) == [1, 2, 3]
+    assert sampling.unique_content_groups(bare.limit(0), "g", "c", "o").count() == 0
 
 
 @pytest.mark.parametrize("target", [0, 7, 50, 99])
