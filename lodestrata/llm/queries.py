@@ -12,6 +12,7 @@ from lodestrata.llm.collocations import op12_collocations
 from lodestrata.llm.decontaminate import op2_decontaminate
 from lodestrata.llm.hard_negatives import op13_hard_negatives
 from lodestrata.llm.language import op6_language
+from lodestrata.llm.language_model import op11_language_model
 from lodestrata.llm.mixing import op7_mixing
 from lodestrata.llm.near_dup import op4_simhash
 from lodestrata.llm.pii import op9_pii
@@ -22,7 +23,7 @@ from lodestrata.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_decontaminate, op3_token_records, op4_simhash, op5_toxicity, op6_language, op7_mixing, op8_token_counts, op9_pii, op10_chat, op12_collocations, op13_hard_negatives)
+    found = (op1_quality, op2_decontaminate, op3_token_records, op4_simhash, op5_toxicity, op6_language, op7_mixing, op8_token_counts, op9_pii, op10_chat, op11_language_model, op12_collocations, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
