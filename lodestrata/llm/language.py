@@ -1,7 +1,7 @@
 """Language identification by compression: the dictionary that makes a text smallest names its language.
 
 One raw-content dictionary per language is filled from a bounded sample of labelled rows: the ``SAMPLE_ROWS``
-rows of each language with the least hash, until ``DICTIONARY_BYTES`` are reached. Every whole text, in lower case
+different rows of each language with the least hash of id and text, until ``DICTIONARY_BYTES`` are reached. Every whole text, in lower case
 and with one space for all between its letters (like the samples), is compressed with each dictionary in blocks of
 ``BLOCK_BYTES`` (so that what repeats in a long text does not outweigh the dictionary), and the blocks' sizes are
 summed. A narrow margin between the two smallest sums marks the prediction as rejected. The cost of a text grows
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
-from lodestrata.llm.storage import plain, table
+from lodestrata.llm.storage import plain, stored, table
 
 SAMPLE_ROWS = 1000
 DICTIONARY_BYTES = 300_000
@@ -56,18 +56,24 @@ def dictionaries(rows: DataFrame) -> dict[str, bytes]:
 
     Rows are ranked without their texts; a bounded number of each language is then read.
     """
-    known = rows.where("lang is not null and text is not null and doc_id is not null")
+    known = rows.where("lang is not null and text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", "text"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
-    # in a large language only hashes low enough to be among the least are ranked, so that no task sees all its rows
-    share = F.broadcast(known.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * SAMPLE_ROWS / r["n"])) for r in counts], "lang string, share double"))
-    hash_of = F.xxhash64("doc_id")
-    low = known.select("doc_id", "lang").join(share, "lang").where((hash_of / F.lit(2.0**64) + 0.5) <= F.col("share")).select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    filled = texts.groupBy("lang", "rank").agg(F.min("text").alias("text"))  # one text of a repeated doc_id
+    shares, chosen = {r["lang"]: min(1.0, 4 * SAMPLE_ROWS / r["n"]) for r in counts}, None
+    while shares:
+        # in a large language only hashes low enough to be among the least are ranked, so that no task sees all its rows
+        share = F.broadcast(known.sparkSession.createDataFrame(list(shares.items()), "lang string, share double"))
+        low = known.select("h", "lang").join(share, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("share")).select("h", "lang").distinct()
+        ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= SAMPLE_ROWS)
+        ranked = stored(ranked, "ranked")
+        found = {r["lang"]: r["count"] for r in ranked.groupBy("lang").count().collect()}
+        # where rows repeat too few differ: rank a larger share of that language
+        shares = {lang: min(1.0, 16 * x) for lang, x in shares.items() if x < 1 and found.get(lang, 0) < SAMPLE_ROWS}
+        ranked = ranked.where(~F.col("lang").isin(list(shares)))
+        chosen = ranked if chosen is None else chosen.unionAll(ranked)
+    texts = known.select("h", "lang", "text").join(F.broadcast(chosen), ["h", "lang"])  # SAMPLE_ROWS rows for each language
+    filled = texts.groupBy("lang", "rank").agg(F.min("text").alias("text"))  # one of repeated rows
     upto = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     needed = filled.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < DICTIONARY_BYTES)
     found: dict[str, bytes] = {r["lang"]: b"" for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}

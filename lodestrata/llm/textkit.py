@@ -12,6 +12,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are worked on in slices of about this many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
@@ -24,21 +25,6 @@ LOWER_ALNUM = ((_CODES >= 0x30) & (_CODES <= 0x39)) | ((_CODES >= 0x61) & (_CODE
 #: Lower-cases A-Z and nothing else.
 LOWER = np.where((_CODES >= 0x41) & (_CODES <= 0x5A), _CODES + 32, _CODES).astype(np.uint8)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 #: What operators keep in a worker between tasks: how to drop it, by their module.
 _kept: dict[str, Callable[[], None]] = {}
 
@@ -56,7 +42,6 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         for module in _kept.keys() - {run.__module__}:
             _kept.pop(module)()
         yield from run(batches)
-        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
@@ -76,27 +61,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``data[start:end]``; spans ascend and don't overlap.
+    """XXH64 of each byte span ``data[start:end]``; spans ascend and don't overlap.
 
-    Spans are hashed in groups of about ``SLICE_BYTES``, so that a very long text needs no more memory for it.
+    Spans are hashed in groups of about ``SLICE_BYTES``, so that a very long text needs little more memory for it.
     """
-    out, low = np.zeros(len(starts), np.uint64), 0
+    out, low, digest = np.zeros(len(starts), np.uint64), 0, xxhash.xxh64_intdigest
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(starts, starts[low] + SLICE_BYTES)))
-        first, last = starts[low], ends[high - 1]
-        out[low:high] = _hash_group(data[first:last], starts[low:high] - first, ends[low:high] - first)
+        first = starts[low]
+        part = data[first : ends[high - 1]].tobytes()
+        places = zip((starts[low:high] - first).tolist(), (ends[low:high] - first).tolist())
+        out[low:high] = np.fromiter((digest(part[a:b]) for a, b in places), np.uint64, high - low)
         low = high
     return out
 
 
-def _hash_group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _powers_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes."""
     flags = np.zeros(len(data) + 2, np.int8)

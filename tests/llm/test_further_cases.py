@@ -60,7 +60,7 @@ class TestJaccard:
 
         draw = np.random.default_rng(3)
         sides = [[sorted(set(draw.integers(0, 60, n).tolist())) for n in draw.integers(0, 30, 12)] for _ in range(2)]
-        got = shared_counts(*[pa.array(x, pa.list_(pa.int64())) for x in sides])
+        got = shared_counts(*[pa.array([np.array(y, np.int64).tobytes() for y in x], pa.binary()) for x in sides])
         assert got.tolist() == [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
 
 
