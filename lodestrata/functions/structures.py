@@ -141,3 +141,37 @@ def shares(values: Column) -> Column:
 
 def padded(values: Column, n: int) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), n)), 1, n)
+
+
+def placed(layout: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
+    """Where each part of a feature layout (name, length) begins, and where it ends."""
+    out, at = {}, 0
+    for name, length in layout:
+        out[name] = (at, at + length)
+        at += length
+    return out
+
+
+def features_by_layout(parts: dict[str, Column], layout: list[tuple[str, int]], total: int) -> Column:
+    """Array of ``total`` doubles: the parts at the places of a layout, zeros behind them.
+
+    A part that has not exactly its length, or holds a null, fails the job with its name; so does a layout beyond ``total``.
+    """
+    if layout and placed(layout)[layout[-1][0]][1] > total:
+        raise ValueError(f"the layout is longer than {total}")
+    checked = []
+    for name, length in layout:
+        values = parts[name].cast("array<double>")
+        wrong = F.raise_error(F.concat(F.lit(f"{name}: {length} values are wanted, there are "), F.coalesce(F.size(values), F.lit(0)).cast("string")))
+        checked.append(F.when(fixed_length(values, length), values).otherwise(wrong.cast("array<double>")))
+    return padded(F.concat(*checked), total)
+
+
+def by_vocabulary(counts: Column, names: list[str]) -> Column:
+    """The values of a map at the places of known names; 0 where a name is absent, other names are left out."""
+    return F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at(counts, n).cast("double"), F.lit(0.0)))
+
+
+def relative_to(values: Column, total: Column) -> Column:
+    """Values divided by a total, as they are if it is not above 0."""
+    return F.transform(values, lambda x: F.when(total > 0, x.cast("double") / total).otherwise(x.cast("double")))

@@ -276,3 +276,27 @@ def classifier_gate(gold: DataFrame, predictions: DataFrame, key: str, score: st
         m = m.crossJoin(one)  # one row each
     m = m.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n") > 0))
     return gate(m, {"complete": True, **limits})
+
+
+def two_stage(decision_gold: DataFrame, decisions: DataFrame, challenge: DataFrame, evidence_gold: DataFrame, records: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """One row: both sub-gates on their own prediction sets, and the latency of the two stages together.
+
+    ``decision_gold``: key, is_positive; ``challenge``: keys of the evidence stage, which are joined to the private ``records``
+    (key, n_lines) before they are scored, and to ``evidence_gold`` (key, gold_lines). Both prediction sets have raw_output and
+    latency_ms. A case of one stage that the other does not have fails ``same_cases``.
+    """
+    lines = F.coalesce(F.col("n_lines"), F.lit(0))
+    empty = F.array().cast("array<int>")
+    first = judged(join_predictions(decision_gold.select(key, "is_positive"), decisions, key).withColumn("gold_lines", empty).withColumn("n_lines", F.lit(2**31 - 1)))
+    private = challenge.select(key).join(unique_keys(records, key).select(key, "n_lines"), key, "left").join(unique_keys(evidence_gold, key).select(key, "gold_lines"), key, "left")
+    private = private.select(key, F.lit(True).alias("is_positive"), lines.alias("n_lines"), F.coalesce("gold_lines", empty).alias("gold_lines"))
+    second = judged(join_predictions(private, evidence, key))
+    sides = []
+    for name, cases, given, gold in (("decision", first, decisions, decision_gold), ("evidence", second, evidence, challenge)):
+        found = gate(contract_metrics(cases, extra_predictions(gold, given, key)), f"two_stage_{name}")
+        sides.append(found.select(F.col("passed").alias(f"{name}_passed"), F.col("failed_checks").alias(f"{name}_failed")))
+    both = first.select(key, F.lit(True).alias("a"), F.col("latency_ms").alias("first_ms")).join(second.select(key, F.lit(True).alias("b"), F.col("latency_ms").alias("second_ms")), key, "full")
+    same = both.agg((F.count_if(F.col("a").isNull() | F.col("b").isNull()) == 0).alias("same_cases"))
+    spent = percentiles(both.select((F.col("first_ms") + F.col("second_ms")).alias("ms")), "ms", {"latency_p50_ms": (0.5, "floor"), "latency_p95_ms": (0.95, "floor")})
+    out = sides[0].crossJoin(sides[1]).crossJoin(same).crossJoin(spent.drop("n"))  # one row each
+    return out.withColumn("passed", F.col("decision_passed") & F.col("evidence_passed") & F.col("same_cases"))

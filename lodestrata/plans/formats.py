@@ -14,8 +14,12 @@ from lodestrata.sources import text as X
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared one, if the session names any."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="formats-")
+    """A new folder in the shared one that the cluster names; a temporary one only where none is named, on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="formats-")
     path = f"{base.rstrip('/')}/formats-{uuid.uuid4().hex}"
     at, fs = X._fs(spark, path)
     fs.mkdirs(at)
