@@ -35,10 +35,8 @@ from lodestrata.llm.storage import join_checked, new_path, plain, table
 END_ID = 0
 #: Bytes of frames that are handed to the sink at once.
 CHUNK_BYTES = 4_000_000
-#: Text bytes of a shard, about: its ids take some half of it, and a shard is read back as one value.
-SHARD_BYTES = 256_000_000
-#: Bytes of text to one byte of what the plan reads, at most.
-COMPRESSION = 8
+#: Chunks of a shard at most, so about 256 MB: a shard is read back as one value.
+SHARD_CHUNKS = 64
 #: Records of a shard that are handed on at once when it is read.
 RECORDS = 20_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
@@ -60,7 +58,7 @@ class Encoder:
     once and remembered. Models of any other kind, and texts with special tokens, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -71,6 +69,7 @@ class Encoder:
         self.special = [x["content"] for x in kind["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.most = memo
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of pieces that begin with a space
         self.opens[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
@@ -94,7 +93,7 @@ class Encoder:
             self.memo[w] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         get = self.memo.get
         split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) else None for x in texts]
@@ -110,10 +109,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, memo: int = MEMO) -> Encoder:
     """One encoder for all tasks of a worker, until it turns to another operator."""
     K.keep(__name__, encoder_of.cache_clear)
-    return Encoder(path)
+    return Encoder(path, memo)
 
 
 def masked_crc(data: bytes) -> int:
@@ -143,10 +142,10 @@ def records(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, str | None, np.
         at += n + 17
 
 
-def _write(path: str):
+def _write(path: str, memo: int, chunk: int):
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, memo)
         end = np.array([END_ID], encoder.dtype).tobytes()
         held: list[bytes] = []
         size = 0
@@ -156,7 +155,7 @@ def _write(path: str):
                 for key, ids in zip(part.column("key").to_pylist(), encoder.encode([x or "" for x in part.column("text").to_pylist()])):
                     held.append(frame(key, ids + end, encoder.dtype.itemsize))
                     size += len(held[-1])
-                    if size > CHUNK_BYTES:
+                    if size > chunk:
                         yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["value"])
                         held, size = [], 0
         if held:
@@ -165,20 +164,16 @@ def _write(path: str):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str) -> None:
-    """Write the ids of all texts below ``path``, in ascending order of doc_id; a shard per partition, of about SHARD_BYTES of text at most."""
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, memo: int = MEMO) -> None:
+    """Write the ids of all texts below ``path``, in ascending order of doc_id; shards of at most SHARD_CHUNKS chunks, one partition's in a row."""
     tie = F.xxhash64("text")  # so that even rows of one doc_id spread over partitions
-    source = plain(docs, "doc_id", "text")
-    usual, by = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("doc_id", tie)
-    if int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * COMPRESSION > usual * SHARD_BYTES:  # else there is no need to scan
-        shards = -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
-        by = (shards, *by) if shards > usual else by
-    source = source.repartitionByRange(*by).sortWithinPartitions("doc_id", tie, "text")
-    chunks = source.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_write(tokenizer_path), "value binary")
-    chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    source = plain(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    chunks = source.select(F.col("doc_id").cast("string").alias("key"), "text").mapInArrow(_write(tokenizer_path, memo, CHUNK_BYTES), "value binary")
+    sink = chunks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", SHARD_CHUNKS)
+    sink.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-INDEX = "shard int, record long, offset long, length long, doc_id string, n_tokens long, ids_crc32 long, before long"
+INDEX = "shard long, record long, offset long, length long, doc_id string, n_tokens long, ids_crc32 long, before long"
 
 
 @K.released
@@ -186,8 +181,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in INDEX.split(", ")]
     for batch in batches:
         for k in range(batch.num_rows):
-            shard = int(re.search(r"part-(\d+)", batch.column("path")[k].as_py().rpartition("/")[2])[1])
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            part, number = re.search(r"part-(\d+).*?-c(\d+)", batch.column("path")[k].as_py().rpartition("/")[2]).groups()
+            shard = (int(part) << 24) + int(number)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             rows, before = [], 0
             for record, (at, n, key, ids) in enumerate(records(batch.column("content")[k].as_buffer())):
                 rows.append((shard, record, at, n, key, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
@@ -211,11 +207,11 @@ def shuffled(index: DataFrame, seed: int) -> DataFrame:
     return index.select("shard", "offset", "length", "doc_id").orderBy(F.xxhash64(F.lit(seed), "shard", "record"), "shard", "record")
 
 
-def token_records(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_records(docs: DataFrame, tokenizer_path: str, memo: int = MEMO) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files read back."""
     spark = docs.sparkSession
     shards, index_path = new_path(spark, "shards"), new_path(spark, "offsets")
-    write_shards(docs, tokenizer_path, shards)
+    write_shards(docs, tokenizer_path, shards, memo)
     index = write_index(spark, shards, index_path)
     # one row a shard: the ids of all shards before it
     base = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))

@@ -213,10 +213,12 @@ class TestTokenRecords:
         path = public_tokenizers.path("byte_bpe_50k.json")
         docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
         whole = sorted(map(tuple, R.token_records(docs, path).collect()))
-        monkeypatch.setattr(R, "SHARD_BYTES", 20_000)
+        monkeypatch.setattr(R, "CHUNK_BYTES", 5_000)
+        monkeypatch.setattr(R, "SHARD_CHUNKS", 2)
         monkeypatch.setattr(R, "RECORDS", 3)
         R.write_shards(docs, path, str(tmp_path / "shards"))
-        assert len(list((tmp_path / "shards").glob("part-*"))) > 8
+        shards = list((tmp_path / "shards").glob("part-*"))
+        assert len(shards) > 8 and max(x.stat().st_size for x in shards) < 100_000
         assert sorted(map(tuple, R.token_records(docs, path).collect())) == whole
 
 
