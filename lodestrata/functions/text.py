@@ -35,6 +35,8 @@ GLOBAL_SAFETY_CLAIMS = [
     r"\bcompletely (?:safe|secure)\b",
     r"\bfree of vulnerabilities\b",
 ]
+PAYLOAD_MARKS = ["curl ", "nc ", "netcat", "msfconsole", "meterpreter", "python -c", "bash -c", "chmod +x", "reverse shell", "step-by-step", "step by step", "payload"]
+PAYLOAD_NOTE = "[REDACTED technical procedure or payload line]"
 FORBIDDEN_CREDENTIALS = ["password=", "api_key=", "client_secret="]
 CODE_MARKERS = ["Source-code excerpt:\n", "Code excerpt:\n", "Vulnerable excerpt:\n"]
 LEAKAGE = {
@@ -218,6 +220,35 @@ def without_fences(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"]), "\n")
 
 
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines_of(text: Column) -> Column:
+    """Lines as Python splits them; one that ends the text opens no further line."""
+    parts = F.split(text, LINE_ENDS)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def writeup_excerpt(text: Column, limit: int = 1800) -> Column:
+    """A write-up without fenced code, each line that shows a procedure or payload replaced by a note, cleaned and cut.
+
+    Both rules are applied in one pass over the lines: a payload inside a fence goes with it and leaves no note.
+    """
+    shown = lambda x: F.exists(F.array(*map(F.lit, PAYLOAD_MARKS)), lambda m: F.contains(F.lower(stripped(x)), m))
+    kept = lambda x: F.when(shown(x), F.lit(PAYLOAD_NOTE)).otherwise(x)
+    step = lambda a, x: F.when(stripped(x).startswith("```"), F.struct((~a["inside"]).alias("inside"), a["out"].alias("out"))).otherwise(
+        F.struct(a["inside"].alias("inside"), F.when(a["inside"], a["out"]).otherwise(F.concat(a["out"], F.array(kept(x)))).alias("out"))
+    )
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+    return truncated(cleaned(F.array_join(F.aggregate(lines_of(text), start, step, lambda a: a["out"]), "\n")), limit)
+
+
+def markdown_title(text: Column) -> Column:
+    """The first heading of the first level, without bold marks; empty without one."""
+    heads = F.filter(F.transform(lines_of(text), stripped), lambda x: x.startswith("# "))
+    return F.coalesce(stripped(F.replace(F.substring(F.try_element_at(heads, F.lit(1)), 3, 1 << 30), F.lit("**"), F.lit(""))), F.lit(""))
+
+
 def identifiers(text: Column, stop: list[str], least: int = 3) -> Column:
     """Distinct identifiers of at least ``least`` characters, less the stop-list."""
     found = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1))

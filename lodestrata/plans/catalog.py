@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import annotations, contracts, curated, evaluations, formats, gates, records, samples, supply, targets, versions  # noqa: F401  each registers its queries
+from lodestrata.plans import adapters, annotations, contracts, curated, evaluations, formats, gates, records, samples, supply, targets, versions  # noqa: F401  each registers its queries
 from lodestrata.plans.registry import QUERIES, SQL
 
 
