@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import derived_seed
+from lodestrata.operators.ranks import key_rank
 
 
 def shared_ids(train: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
@@ -48,9 +49,8 @@ def open_queue(queue: DataFrame, reviewed: list[DataFrame], key: str, order: str
 
 def replacements(failed: DataFrame, reserve: DataFrame, key: str, order: str, by: str) -> DataFrame:
     """key, replacement: the k-th failed row of each class with the k-th reserve row."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order, key))
-    left = failed.select(by, key, order).withColumn("k", rank).select(by, key, "k")
-    right = reserve.select(by, key, order).withColumn("k", rank).select(by, F.col(key).alias("replacement"), "k")
+    left = key_rank(failed.select(by, key, order), by, order, "k", [key]).select(by, key, F.col("k").cast("int").alias("k"))
+    right = key_rank(reserve.select(by, key, order), by, order, "k", [key]).select(by, F.col(key).alias("replacement"), F.col("k").cast("int").alias("k"))
     return left.join(right, [by, "k"], "left").select(by, "k", key, "replacement")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import derived_seed, exponential_priority
-from lodestrata.operators.ranks import draw_rank
+from lodestrata.operators.ranks import draw_rank, key_rank
 
 PROJECT_FRACTION = 0.10
 CWE_EXPONENT = 0.25
@@ -111,14 +111,9 @@ def contiguous_split(rank: Column, quotas: list[tuple[str, int]]) -> Column:
     return out
 
 
-def ranked(df: DataFrame, key: str, rank: str, bins: int = 1000) -> DataFrame:
-    """Adds the 1-based ``rank`` of each row by a whole-number ``key``: ranks inside ranges of the key, plus the counts of the ranges before."""
-    edge = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))  # one row
-    width = F.floor((F.col("_high") - F.col("_low")) / bins) + 1
-    binned = df.crossJoin(F.broadcast(edge)).withColumn("_bin", F.floor((F.col(key) - F.col("_low")) / width)).drop("_low", "_high")
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = binned.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # one row a bin
-    return binned.join(F.broadcast(offsets), "_bin").withColumn(rank, F.col("_offset") + F.row_number().over(Window.partitionBy("_bin").orderBy(key))).drop("_bin", "_offset")
+def ranked(df: DataFrame, key: str, rank: str) -> DataFrame:
+    """Adds the 1-based ``rank`` of each row by a ``key`` that is unique, however its values are spread."""
+    return key_rank(df, [], key, rank)
 
 
 def whole_pairs(df: DataFrame, group: str, label: str, key: str, seed: int, n: int) -> DataFrame:

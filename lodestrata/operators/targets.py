@@ -18,7 +18,7 @@ from lodestrata.functions import text as T
 from lodestrata.functions import weakness_rules as W
 from lodestrata.functions.structures import ROLE_VERBS
 
-_LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _RULE = "struct<place:int,needs:array<string>,lacks:array<string>,points:int>"
 _ROLES = "array<struct<role:string,place:int>>"
 

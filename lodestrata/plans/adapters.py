@@ -61,7 +61,7 @@ def _files(spark, d):
     k = F.col("doc_id")
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/d"), k.cast("string"), F.when(k % 3 == 0, ".md").when(k % 3 == 1, ".tar.gz").otherwise(""))
     head = F.when(k % 2 == 0, F.concat(F.lit("  # The **"), k.cast("string"), F.lit("** case \r\n"))).otherwise("")
-    text = F.concat(head, "text", F.lit("\n```sh\ncurl x\n```\n  CURL http://x\x0bos.system(1) a reverse shell\n\n\n\nend "))
+    text = F.concat(head, "text", F.lit("\n```sh\ncurl x\n```\n  CURL http://x\x0bos.system(1)\u2028a reverse shell\n\n\n\nend "))
     return table(spark, d, "documents").where("text is not null").select("doc_id", path.alias("path"), text.alias("text"))
 
 

@@ -191,3 +191,21 @@ def zip_audit(spark, d):
         z.writestr(link, "y")
     found = R.zip_inventory(R.zip_members(spark, f"{path}/x.zip", content=False), [".exe"])
     return found.select("n_members", "n_unsafe", "n_encrypted", "n_symlinks", "n_forbidden", "n_nested", "n_bytes")
+
+
+_SEPARATORS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n"]
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text || """
+    + "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN " + " || ".join(f"chr({ord(c)})" for c in x) for k, x in enumerate(_SEPARATORS)) + r""" END || 'end' AS text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), 1) AS i FROM t)
+SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, sha256(line) AS line_sha256 FROM l""".replace("\\\\", "\\")
+)
+def numbered_line_ends(spark, d):
+    """Whole texts in one file that is read in many parts; each text has another line end that Python knows."""
+    path = _folder(spark)
+    ends = F.element_at(F.array(*map(F.lit, _SEPARATORS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat("text", ends, F.lit("end")).alias("value"))
+    rows.coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("lineSep", "\n").text(f"{path}/x")
+    return X.numbered_lines(spark, f"{path}/x").select("line_no", F.sha2("value", 256).alias("line_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,16 +16,48 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(UNICODE_INK))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+#: What ends a line for Python beside line feeds and carriage returns.
+_OTHER_ENDS = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def numbered_lines(spark: SparkSession, path: str, python_ends: bool = True, only: Column | None = None) -> DataFrame:
+    """file, line_no (from 1 in each file), value of all lines, or of those that ``only`` holds for, numbered among themselves.
+
+    A large file is read in parts, by many tasks; rows come in any order.
+
+    Lines end as ``splitlines`` of Python has it, or else at ``\\n`` only. A separator other than ``\\n`` or ``\\r`` at a file's
+    very end opens an empty line. Lines are numbered inside each part of a file, and the parts' counts are summed: no line is shuffled for it.
+    """
+    source = spark.read.text(path) if python_ends else spark.read.option("lineSep", "\n").text(path)
+    rows = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value")
+    if python_ends:
+        rows = rows.select("file", "part", F.explode(F.split("value", _OTHER_ENDS)).alias("value"))
+    rows = (rows if only is None else rows.where(only)).withColumn("at", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # one row for each part of a file
+    parts = parts.select(F.col("file").alias("f"), F.col("part").alias("p"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(parts, (F.col("file") == F.col("f")) & (F.col("part") == F.col("p"))).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, python_ends: bool = False) -> DataFrame:
     """Strict JSON lines: lines of white space alone are skipped; a line that is no object fails the read and is named.
 
-    Only ``\\n`` ends a line, so other line separators may stand inside strings.
+    Only ``\\n`` ends a line, so other line separators may stand inside strings; with ``python_ends`` all that end a line for
+    Python do, and the error has the line's number.
     """
-    lines = _lines(spark, path)
-    checked = F.when(is_json_object(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))))
+    lines, said = _lines(spark, path), F.lit("not a JSON object: ")
+    if python_ends:
+        lines = numbered_lines(spark, path).where(F.col("value").rlike(UNICODE_INK))
+        said = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" is no JSON object: "))
+    checked = F.when(is_json_object(F.col("value")), F.col("value")).otherwise(F.raise_error(F.concat(said, F.substring("value", 1, 200))))
     return lines.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
+def numbered_jsonl_errors(spark: SparkSession, path: str, python_ends: bool = True) -> DataFrame:
+    """file, line_no, value of the lines that are no JSON objects."""
+    return numbered_lines(spark, path, python_ends).where(F.col("value").rlike(UNICODE_INK) & ~is_json_object(F.col("value")))
+
+
 def quarantined_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """Records of the lines that are objects, and the other lines."""
     lines = _lines(spark, path)
@@ -62,11 +94,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) ->
 
 def read_line_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Each two adjoining lines of a file are one entity: file, pair, first, second. A file with an odd tail fails the read."""
-    files = spark.read.text(path).inputFiles()
-    rows = None
-    for file in files:
-        one = spark.sparkContext.textFile(file).filter(lambda x: x.strip()).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("at long, value string").withColumn("file", F.lit(file))
-        rows = one if rows is None else rows.unionAll(one)
+    rows = numbered_lines(spark, path, only=F.col("value").rlike(UNICODE_INK)).withColumn("at", F.col("line_no") - 1)
     paired = rows.groupBy("file", F.floor(F.col("at") / 2).alias("pair")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines"))
     both = F.when(F.size("lines") == 2, F.col("lines")).otherwise(F.raise_error(F.concat(F.lit("unpaired line in pair "), F.col("pair").cast("string"))))
     return paired.select("file", "pair", both.alias("lines")).select("file", "pair", F.from_json(F.col("lines")[0]["value"], schema).alias("first"), F.from_json(F.col("lines")[1]["value"], schema).alias("second"))
@@ -74,7 +102,7 @@ def read_line_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """line_no, text of a text dump, gzipped or not."""
-    return spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0])).toDF("line_no long, text string")
+    return numbered_lines(spark, path, python_ends=False).select("line_no", F.col("value").alias("text"))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
