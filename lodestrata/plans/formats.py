@@ -209,3 +209,41 @@ def numbered_line_ends(spark, d):
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat("text", ends, F.lit("end")).alias("value"))
     rows.coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("lineSep", "\n").text(f"{path}/x")
     return X.numbered_lines(spark, f"{path}/x").select("line_no", F.sha2("value", 256).alias("line_sha256"))
+
+
+@query(
+    """WITH n AS (SELECT sum(strlen(text) + 1)::BIGINT AS size FROM documents WHERE text IS NOT NULL), w AS (SELECT size, ceil(size / 100000.0)::BIGINT AS parts FROM n)
+SELECT 'whole' AS archive, size, parts, '' AS errors FROM w UNION ALL SELECT 'gap', size, parts - 1, '100000:gap_before' FROM w UNION ALL SELECT 'overlap', size, parts + 1, '50000:overlap_before,100000:overlap_before' FROM w
+UNION ALL SELECT 'wrong_hash', size, parts, '100000:wrong_md5' FROM w UNION ALL SELECT 'wrong_archive_hash', size, parts, '0:wrong_archive_md5' FROM w UNION ALL SELECT 'missing', size, parts, '0:missing_part' FROM w UNION ALL SELECT 'short', size + 1, parts, (parts - 1) * 100000 || ':wrong_end' FROM w"""
+)
+def archive_ranges(spark, d):
+    """The whole table as one file, cut into ranges and assembled: once whole, and with each fault."""
+    import hashlib
+
+    from lodestrata.sources import ranges as G
+
+    path = _folder(spark)
+    table(spark, d, "documents").where("text is not null").select(F.col("text").alias("value")).coalesce(1).write.option("lineSep", "\n").text(f"{path}/x")
+    file = spark.read.text(f"{path}/x").inputFiles()[0]
+    size = X._fs(spark, file)[1].getFileStatus(X._fs(spark, file)[0]).getLen()
+    G.cut(spark, file, size, 100_000, f"{path}/ranges").write.parquet(f"{path}/parts")
+    parts = spark.read.parquet(f"{path}/parts")
+    digest = hashlib.md5(usedforsecurity=False)
+    for chunk in G._stream(file):
+        digest.update(chunk)
+    second = F.col("start") == 100_000
+    more = parts.where(second).withColumn("start", F.lit(50_000).cast("long"))
+    cases = {
+        "whole": (parts, size, digest.hexdigest()),
+        "gap": (parts.where("start != 0"), size, None),
+        "overlap": (parts.unionAll(more.withColumn("end", F.lit(149_999).cast("long"))), size, None),
+        "wrong_hash": (parts.withColumn("md5", F.when(second, "0").otherwise(F.col("md5"))), size, None),
+        "wrong_archive_hash": (parts, size, "0" * 32),
+        "missing": (parts.withColumn("path", F.when(F.col("start") == 0, F.concat("path", F.lit("-none"))).otherwise(F.col("path"))), size, None),
+        "short": (parts, size + 1, None),
+    }
+    rows = []
+    for name, (given, n, md5) in cases.items():
+        wrong = sorted(tuple(r) for r in G.assemble(given, f"{path}/archive-{name}", n, md5).collect())
+        rows.append((name, n, given.count(), ",".join(f"{a}:{b}" for a, b in wrong)))
+    return spark.createDataFrame(rows, "archive string, size long, parts long, errors string")
