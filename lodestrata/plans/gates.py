@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rates as R
@@ -174,3 +176,31 @@ def target_audit_gate(spark, d):
         (F.size(F.split(text, "\n")) > 1).alias("linked"), (F.length(text) < 40).alias("generic"), T.any_match(text, T.GLOBAL_SAFETY_CLAIMS).alias("claim"), (tokens > 4096).alias("over_cutoff"), (tokens > 2048).alias("over_budget"),
     )
     return E.target_audit(targets, {"present": 20, "not_observed": 100})
+
+
+_VARIED = f"""v AS (SELECT doc_id, toxic = 1 AS is_positive, {C.sql_draw(65, 'doc_id')} AS u, t.name FROM labels, (VALUES ('clean'), ('varied')) t(name)),
+r AS (SELECT name, count(*) AS n, round(avg(CASE WHEN name = 'varied' AND is_positive THEN 0.0 ELSE 1.0 END), 4) AS evidence_rate, round(avg(CASE WHEN name = 'varied' AND u < 3 THEN 1.0 ELSE 0.0 END), 4) AS abnormal_length_rate,
+  round(avg(CASE WHEN name = 'varied' AND is_positive THEN 0.0 ELSE 1.0 END), 4) AS evidence_recall, count(*) FILTER (is_positive) > 0 AND count(*) FILTER (NOT is_positive) > 0 AS has_both FROM v GROUP BY name),
+k(contract, least, evidence, abnormal, recall, needs_both) AS (VALUES ('source', 200, 0.9, 0.01, 0.0, true), ('source_diagnostic', 20, 0.0, 0.01, 0.0, true), ('binary', 200, 0.9, 1.0, 0.0, false), ('decision', 20, 0.0, 1.0, 0.0, true), ('compact', 100, 0.0, 1.0, 0.5, true), ('evidence_lines', 100, 0.0, 1.0, 0.5, false)),
+f AS (SELECT name, contract, evidence_rate, abnormal_length_rate, list_filter([CASE WHEN abnormal_length_rate > abnormal THEN 'abnormal_length_rate' END, CASE WHEN needs_both AND NOT has_both THEN CASE contract WHEN 'compact' THEN 'both_labels' ELSE 'both_answered' END END,
+  CASE WHEN evidence_rate < evidence THEN 'evidence_rate' END, CASE WHEN evidence_recall < recall THEN 'evidence_recall' END, CASE WHEN n < least THEN 'n' END], lambda x: x IS NOT NULL) AS failed FROM r, k)"""
+
+
+@query(f"WITH {_VARIED} SELECT name, contract, evidence_rate, abnormal_length_rate, len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed_checks FROM f")
+def varied_gates(spark, d):
+    """Each contract on outputs that are all right, which pass, and on outputs without evidence on positives and some that are too long."""
+    gold = _gold(spark, d)
+    k = (F.col("doc_id") % 7 + 1).cast("int")
+    out = []
+    for name in ("clean", "varied"):
+        varied = F.lit(name == "varied")
+        lines = F.when(varied & F.col("is_positive"), "").otherwise(F.concat(k.cast("string"), F.lit(","), (k + 1).cast("string")))
+        basis = F.when(varied & (C.draw(65) < 3), F.lit(" ".join(map(str, range(9000))))).otherwise("what the lines show")
+        told = F.when(F.col("is_positive"), "present").otherwise("not_observed")
+        given = gold.select("doc_id", F.concat(F.lit('{"assessment":"'), told, F.lit('","basis":"'), basis, F.lit('","evidence":['), lines, F.lit("]}")).alias("raw_output"))
+        cases = E.judged(E.join_predictions(gold, given, "doc_id").withColumn("n_lines", F.lit(9)))
+        grouped = cases.withColumn("g", F.concat(F.floor(F.col("doc_id") / 20).cast("string"), F.when(F.col("is_positive"), "+").otherwise("-")))
+        metrics = E.contract_metrics(grouped, E.extra_predictions(gold, given, "doc_id"), "g")
+        for contract in ("source", "source_diagnostic", "binary", "decision", "compact", "evidence_lines"):
+            out.append(E.gate(metrics, contract).select(F.lit(name).alias("name"), F.lit(contract).alias("contract"), "evidence_rate", "abnormal_length_rate", "passed", "failed_checks"))
+    return reduce(lambda a, b: a.unionAll(b), out)
