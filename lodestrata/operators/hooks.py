@@ -7,6 +7,7 @@ passes through the driver: rows go to Python in Arrow batches and come back as c
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,19 +19,20 @@ Tokenizer = Callable[[list[str]], list[int]]
 Message = dict[str, str]
 Generator = Callable[[list[list[Message]]], list[str]]
 
-_made: dict[bytes, Callable] = {}
+_made: dict[str, Callable] = {}
 
 
 def _once(factory: Callable[[], Callable], name: str) -> Callable:
-    """What the factory gives, made once for each worker and name."""
+    """What the factory gives, made once for each worker and call of a hook; what another call has made is let go."""
     if name not in _made:
+        _made.clear()
         _made[name] = factory()
     return _made[name]
 
 
 def with_token_counts(rows: DataFrame, text: str, factory: Callable[[], Tokenizer], name: str = "n_tokens") -> DataFrame:
     """``rows`` with the number of tokens of a column of texts; null has none, that is null."""
-    label = f"{factory.__module__}.{factory.__qualname__}"
+    label = uuid.uuid4().hex  # two factories may have one name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _once(factory, label)
@@ -55,7 +57,7 @@ def generated(chats: DataFrame, key: str, messages: str, factory: Callable[[], G
     bad = source.groupBy("record_id").count().where("record_id is null or record_id = '' or count > 1").limit(1).collect()
     if bad:
         raise ValueError(f"empty or repeated key: {bad[0]['record_id']!r}")
-    label = f"{factory.__module__}.{factory.__qualname__}"
+    label = uuid.uuid4().hex  # two factories may have one name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = _once(factory, label)
