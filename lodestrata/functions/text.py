@@ -159,7 +159,8 @@ def repeats_lines(text: Column, length: int = 24, times: int = 4) -> Column:
     # a character for each kind of white space first: simple patterns are many times faster than one of all kinds
     simple = F.translate(text, END_CHARACTERS + BLANK_CHARACTERS, "\n" * len(END_CHARACTERS) + " " * len(BLANK_CHARACTERS))
     long = F.filter(F.split(simple, "\n"), lambda x: F.length(x) >= length)
-    ordered = F.array_sort(F.filter(F.transform(long, lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: F.length(x) >= length))
+    single = lambda x: F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))  # noqa: E731  few lines have two spaces in a row
+    ordered = F.array_sort(F.filter(F.transform(long, single), lambda x: F.length(x) >= length))
     # in order, equal lines stand together: one is repeated if it equals the one some places on
     return F.exists(F.zip_with(ordered, F.slice(ordered, F.lit(times), F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
 

@@ -100,6 +100,13 @@ def quotas_met(df: DataFrame, by: list[str], quota: int) -> DataFrame:
     return supply.select(*by, "supply", F.least("supply", F.lit(quota).cast("long")).alias("taken"), F.greatest(F.lit(0).cast("long"), F.lit(quota) - F.col("supply")).alias("short"))
 
 
+def required_quotas(df: DataFrame, by: list[str], quota: int) -> DataFrame:
+    """As :func:`quotas_met`; a class that falls short fails the job, with its name and what it has."""
+    name = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by])
+    short = F.raise_error(F.concat(F.lit("too few of "), name, F.lit(": "), F.col("supply").cast("string"), F.lit(f" of {quota}")))
+    return quotas_met(df, by, quota).withColumn("taken", F.when(F.col("short") == 0, F.col("taken")).otherwise(short.cast("long")))
+
+
 def contiguous_split(rank: Column, quotas: list[tuple[str, int]]) -> Column:
     """The name of the quota that a 1-based rank falls in; null beyond all."""
     out, edge, whens = F.lit(None).cast("string"), 0, []

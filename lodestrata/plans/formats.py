@@ -177,22 +177,77 @@ def zip_member_lines(spark, d):
     return R.zip_lines(spark, f"{path}/x.zip", r"\.txt$")
 
 
-@query("SELECT 5::BIGINT AS n_members, 1::BIGINT AS n_unsafe, 0::BIGINT AS n_encrypted, 1::BIGINT AS n_symlinks, 1::BIGINT AS n_forbidden, 1::BIGINT AS n_nested, 5::BIGINT AS n_bytes")
-def zip_audit(spark, d):
-    """An archive with a member of each kind that is looked for."""
-    import zipfile
+_ZIPPED = """z AS (SELECT doc_id, 'z' || doc_id % 7 AS archive, CASE WHEN doc_id % 50 = 0 THEN '../' ELSE coalesce(lang, 'none') || '/' END || 'd' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.TXT' WHEN 1 THEN '.c' WHEN 2 THEN '.exe' WHEN 3 THEN '.zip' ELSE '' END AS member, text FROM documents WHERE text IS NOT NULL)"""
 
-    path = _local(_folder(spark))
-    with zipfile.ZipFile(f"{path}/x.zip", "w") as z:
-        for name in ("plain.c", "../up.c", "run.exe", "more.zip"):
-            z.writestr(name, "x")
-        link = zipfile.ZipInfo("link")
-        link.external_attr = 0xA1FF << 16
-        z.writestr(link, "y")
-    found = R.zip_inventory(R.zip_members(spark, f"{path}/x.zip", content=False), [".exe"])
+
+def _zipped(spark, d):
+    """The documents in seven archives, some with names that are looked for."""
+    k = F.col("doc_id")
+    suffix = F.when(k % 5 == 0, ".TXT").when(k % 5 == 1, ".c").when(k % 5 == 2, ".exe").when(k % 5 == 3, ".zip").otherwise("")
+    member = F.concat(F.when(k % 50 == 0, "../").otherwise(F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"))), F.lit("d"), k.cast("string"), suffix)
+    rows = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("z"), (k % 7).cast("string")).alias("archive"), member.alias("member"), F.col("text").cast("binary").alias("content"))
+    path = _folder(spark)
+    R.write_zips(rows, f"{path}/zips").write.parquet(f"{path}/written")
+    return R.zip_members(spark, f"{path}/zips", content=False)
+
+
+@query(
+    f"""WITH {_ZIPPED} SELECT count(*) AS n_members, count(*) FILTER (doc_id % 50 = 0) AS n_unsafe, 0::BIGINT AS n_encrypted, 0::BIGINT AS n_symlinks, count(*) FILTER (doc_id % 5 = 2) AS n_forbidden, count(*) FILTER (doc_id % 5 = 3) AS n_nested, sum(strlen(text))::BIGINT AS n_bytes FROM z"""
+)
+def zip_audit(spark, d):
+    found = R.zip_inventory(_zipped(spark, d), [".exe"])
     return found.select("n_members", "n_unsafe", "n_encrypted", "n_symlinks", "n_forbidden", "n_nested", "n_bytes")
 
 
+@query(f"WITH {_ZIPPED} SELECT CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.c' WHEN 2 THEN '.exe' WHEN 3 THEN '.zip' ELSE '' END AS suffix, count(*) AS n_members, sum(strlen(text))::BIGINT AS n_bytes FROM z GROUP BY 1")
+def zip_suffix_histogram(spark, d):
+    return R.zip_suffixes(_zipped(spark, d)).drop("n_compressed")
+
+
+@query(f"WITH {_ZIPPED} SELECT archive, member, 'unsafe' AS finding FROM z WHERE doc_id % 50 = 0 UNION ALL SELECT archive, member, 'forbidden' FROM z WHERE doc_id % 5 = 2 UNION ALL SELECT archive, member, 'nested' FROM z WHERE doc_id % 5 = 3")
+def zip_member_findings(spark, d):
+    return R.zip_findings(_zipped(spark, d), [".exe"]).select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive"), "member", "finding")
+
+
+@query("SELECT page_id, md5(html) AS html_md5, CASE page_id % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split FROM pages")
+def csv_split_map(spark, d):
+    """Two files, told apart by a map of their names."""
+    path = _folder(spark)
+    pages = table(spark, d, "pages").select("page_id", "html")
+    for k, name in enumerate(("even", "odd")):
+        pages.where(F.col("page_id") % 2 == k).coalesce(1).write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
+        at, fs = X._fs(spark, f"{path}/{name}/part-*")
+        fs.mkdirs(X._fs(spark, f"{path}/all")[0])
+        fs.rename(fs.globStatus(at)[0].getPath(), X._fs(spark, f"{path}/all/{name}.csv")[0])
+    rows = X.read_csv_splits(spark, f"{path}/all", "page_id long, html string", ["page_id", "html"], {"even.csv": "train", "odd.csv": "test"})
+    return rows.select("page_id", F.md5("html").alias("html_md5"), "split")
+
+
+@query("SELECT 'a' AS name, count(*) AS n, sum(quality)::BIGINT AS good, NULL::VARCHAR AS note FROM labels")
+def summary_round_trip(spark, d):
+    path = _folder(spark)
+    row = table(spark, d, "labels").agg(F.lit("a").alias("name"), F.count("*").alias("n"), F.sum("quality").cast("long").alias("good"), F.lit(None).cast("string").alias("note"))
+    X.write_summary(row, f"{path}/summary.json")
+    return X.read_jsonl(spark, f"{path}/summary.json", "name string, n long, good long, note string")
+
+
+@query(
+    """WITH m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations), p AS (SELECT conv_id FROM m GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0)
+SELECT name, name || '.jsonl' AS file_name, 'instruction' AS prompt, 'input' AS query, 'output' AS response, 'system' AS system, (SELECT count(*) FROM p WHERE (conv_id % 2 = 0) = (name = 'train')) AS n FROM (VALUES ('train'), ('validation')) t(name)"""
+)
+def export_description(spark, d):
+    """Two training sets with their description, which says where to find each: the rows of what it names are counted."""
+    from lodestrata.operators.records import instruction_rows
+
+    path = f"{_folder(spark)}/export"
+    rows = instruction_rows(table(spark, d, "conversations"))
+    X.write_export({"train": rows.where("conv_id % 2 = 0"), "validation": rows.where("conv_id % 2 = 1")}, {"prompt": "instruction", "query": "input", "response": "output", "system": "system"}, path)
+    entry = "struct<columns:struct<prompt:string,query:string,response:string,system:string>,file_name:string>"
+    told = X.read_jsonl(spark, f"{path}/dataset_info.json", f"train {entry}, validation {entry}").first()
+    out = [(name, told[name].file_name, *told[name].columns, X.read_jsonl(spark, f"{path}/{told[name].file_name}", "instruction string, output string").count()) for name in ("train", "validation")]
+    return spark.createDataFrame(out, "name string, file_name string, prompt string, query string, response string, system string, n long")
+
+
 _SEPARATORS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n"]
 
 

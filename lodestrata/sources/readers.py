@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -143,6 +143,45 @@ def zip_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     return lines.where(F.col("line").rlike(UNICODE_INK)).select("member", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
+def write_zips(members: DataFrame, folder: str) -> DataFrame:
+    """Writes ``members`` (archive, member, content) as one ZIP file for each archive below ``folder``, each by a task: archive, path, n_members."""
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        import io
+        import zipfile
+
+        from pyarrow import fs
+
+        name, held = key[0].as_py(), io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, content in sorted(zip(rows.column("member").to_pylist(), rows.column("content").to_pylist())):
+                z.writestr(zipfile.ZipInfo(member), content)
+        path = f"{folder}/{name}.zip"
+        files, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        files.create_dir(at.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(at) as sink:
+            sink.write(held.getvalue())
+        return pa.table({"archive": [name], "path": [path], "n_members": pa.array([rows.num_rows], pa.int64())})
+
+    return members.select("archive", "member", "content").groupBy("archive").applyInArrow(write, "archive string, path string, n_members long")
+
+
+def _suffix() -> Column:
+    return F.lower(F.regexp_extract("member", r"(\.[A-Za-z0-9]+)$", 1))
+
+
+def zip_suffixes(members: DataFrame) -> DataFrame:
+    """suffix (in lower case, empty without one), n_members, n_bytes, n_compressed."""
+    return members.groupBy(_suffix().alias("suffix")).agg(F.count("*").alias("n_members"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_compressed").alias("n_compressed"))
+
+
+def zip_findings(members: DataFrame, forbidden: list[str]) -> DataFrame:
+    """archive, member, finding: each member that is unsafe, encrypted, a symlink, forbidden by suffix, or an archive itself."""
+    tests = {"unsafe": F.col("member").rlike(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:|\\"), "encrypted": F.col("encrypted"), "symlink": F.col("symlink"), "forbidden": _suffix().isin(forbidden), "nested": _suffix().isin(".zip", ".gz", ".tar", ".7z")}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]))
+    return members.select("archive", "member", F.explode(found).alias("finding"))
+
+
 def zip_inventory(members: DataFrame, forbidden: list[str]) -> DataFrame:
     """One row: members, sizes, ratio, and numbers of unsafe, encrypted, symlink, forbidden and nested members."""
     suffix = F.lower(F.regexp_extract("member", r"(\.[A-Za-z0-9]+)$", 1))

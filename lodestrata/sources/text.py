@@ -92,6 +92,45 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) ->
     return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False).csv(path).select(*columns)
 
 
+def read_csv_splits(spark: SparkSession, path: str, schema: str, columns: list[str], splits: dict[str, str]) -> DataFrame:
+    """As :func:`read_csv`, with ``split`` from a map of file names; a file that the map does not name fails the read."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    known = F.create_map(*[F.lit(x) for pair in splits.items() for x in pair])
+    told = F.coalesce(F.try_element_at(known, name), F.raise_error(F.concat(F.lit("no split for file "), name)).cast("string"))
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False).csv(path)
+    return rows.select(*columns, told.alias("split"))
+
+
+def write_single(text: DataFrame, path: str) -> None:
+    """One row's only column as one text file at ``path``, published by a rename."""
+    spark = text.sparkSession
+    staged = f"{path}.tmp-{uuid.uuid4().hex}"
+    text.coalesce(1).write.option("lineSep", "\n").text(staged)
+    at, fs = _fs(spark, f"{staged}/part-*")
+    target = _fs(spark, path)[0]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(fs.globStatus(at)[0].getPath(), target):
+        raise OSError(f"could not publish {path}")
+    fs.delete(_fs(spark, staged)[0], True)
+
+
+def write_summary(row: DataFrame, path: str) -> None:
+    """A one-row frame as a JSON file with sorted keys, nulls included."""
+    write_single(row.select(F.to_json(F.struct(*sorted(row.columns)), {"ignoreNullFields": "false"}).alias("value")), path)
+
+
+def write_export(sets: dict[str, DataFrame], columns: dict[str, str], path: str) -> None:
+    """Each training set as JSON lines in ``<name>.jsonl`` below ``path``, and ``dataset_info.json``, which names each set's file and what its columns are for.
+
+    ``columns``: for each part of a prompt the column that holds it.
+    """
+    spark = next(iter(sets.values())).sparkSession
+    for name, rows in sets.items():
+        write_jsonl(rows.select(*columns.values()), f"{path}/{name}.jsonl")
+    entry = lambda name: F.struct(F.struct(*[F.lit(v).alias(k) for k, v in sorted(columns.items())]).alias("columns"), F.lit(f"{name}.jsonl").alias("file_name")).alias(name)
+    write_summary(spark.range(1).select(*[entry(name) for name in sets]), f"{path}/dataset_info.json")
+
+
 def read_line_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Each two adjoining lines of a file are one entity: file, pair, first, second. A file with an odd tail fails the read."""
     rows = numbered_lines(spark, path, only=F.col("value").rlike(UNICODE_INK)).withColumn("at", F.col("line_no") - 1)
