@@ -13,7 +13,8 @@ is a range sort, so a conversation with a third of all rows spreads over all tas
 
 Defined cases: a null text is an empty message with an empty body; messages with a null conv_id or turn link
 nothing and stand as their own thread (root_turn is turn). Repeated rows are kept, each with the same result. A
-null role is written as ``unknown``. An empty table gives an empty result. Other columns are ignored.
+null role is written as ``unknown``. A very long text is split into lines within its row, and its passages are linked like any
+others. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ spreads over all tasks.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source, the last in order;
 rows with equal doc_id (or none) get equal hashes and are taken alike. A budget beyond what the caps allow
-takes all caps. An empty table gives an empty result. Other columns are ignored, or passed on unchanged by
+takes all caps. A very long text is one document, taken whole or not. An empty table gives an empty result. Other columns are ignored, or passed on unchanged by
 :func:`mixed_rows`.
 """
 

@@ -14,7 +14,8 @@ that begins to pay: a comparison takes a few nanoseconds, filing a row under 65
 
 Defined cases: a null or empty text has fingerprint zero, which is linked like any other. Equal texts have equal
 fingerprints, so ties and repeated rows fall in one component. A null ``doc_id`` links others but never
-names a component; a component with none but null ids has a null id. An empty table gives an empty result.
+names a component; a component with none but null ids has a null id. The shingles of a very long text are hashed
+100,000 at a time. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ good quality), one over the whole raw corpus. A document's score is the mean, ov
 
 Defined cases: a null or empty text has no words, so it fails the base rules and scores 0. Ties and repeated
 rows are judged alike. A null or unlabelled ``doc_id`` is never trusted. With no trusted document every
-score is 0. An empty table gives an empty result. Other columns of the input are ignored, or passed on
+score is 0. A very long text is a slice of its own and is counted and scored in parts. An empty table gives an empty result. Other columns of the input are ignored, or passed on
 unchanged by :func:`keep_quality`.
 """
 

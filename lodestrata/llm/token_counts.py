@@ -8,7 +8,7 @@ to shuffle than the texts.
 
 The split is exact only if no piece holds a space behind another character, and none holds a line feed;
 models for which that does not hold are run on whole texts. Defined cases: a null text counts as empty, with no
-bytes and no tokens; repeated rows are counted alike; an empty table gives an empty result; other columns
+bytes and no tokens; a very long text is split into pre-tokens as a whole, so that its words are held at once; repeated rows are counted alike; an empty table gives an empty result; other columns
 are ignored.
 """
 

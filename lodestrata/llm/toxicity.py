@@ -15,7 +15,7 @@ n-grams are added, so that scores rest on all labelled training rows.
 
 Defined cases: letters A-Z are lower-cased; a null or empty text has neutral features. A null ``doc_id`` is
 never learned from. Without rows of both labels the score is the share of label 1 (0 if there is none).
-Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+A very long text is a slice of its own, whose n-grams are counted and looked up in parts. Repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

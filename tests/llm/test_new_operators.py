@@ -292,3 +292,45 @@ def test_a_language_of_few_ids_is_learned(spark):
     rows = [(7, f"bonjour le monde numéro {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}", "fr") for k in range(20_000)] + [(k, f"hello world {k}", "en") for k in range(100)]
     found = dictionaries(spark.createDataFrame(rows, ROWS))
     assert len(found["fr"]) > 1000 and len(found["en"]) > 1000
+
+
+class TestStages:
+    """The defined cases of each stage, on rows that it would keep otherwise."""
+
+    KIND = "doc_id long, text string, lang string, source string, n_chars long, h long, root string, doc string"
+    KEPT = " ".join(f"word{k} stands{k % 7} here{k % 11}" for k in range(60))
+
+    def rows(self, spark, *rows):
+        return spark.createDataFrame([(k, t, "en", s, 1, 5, "r", None) for k, t, s in rows], self.KIND)
+
+    @pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "mixing"])
+    def test_columns_empty_tables_and_ids(self, spark, name):
+        import corpus_pipeline
+
+        stage, d = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+        empty = stage(spark, self.rows(spark), d)
+        assert empty.columns == self.rows(spark).columns and empty.count() == 0
+        other = self.KEPT.replace("word", "other")
+        docs = self.rows(spark, (None, self.KEPT, "a"), (7, self.KEPT, "a"), (7, self.KEPT, "a"), (8, other, None), (9, None, "a"), (10, "", "b"), (None, None, None))
+        got = Counter((r.doc_id, r.text) for r in stage(spark, docs, d).collect())
+        want = {
+            "quality": None,  # what it keeps depends on the corpus; copies are treated alike
+            "near_duplicates": {(7, self.KEPT): 1, (8, other): 1, (9, None): 1},
+            "decontamination": {(None, self.KEPT): 1, (7, self.KEPT): 2, (8, other): 1, (9, None): 1, (10, ""): 1, (None, None): 1},
+        }
+        if name == "quality":
+            assert got[None, None] == got[9, None] == got[10, ""] == 0 and 2 * got[None, self.KEPT] == got[7, self.KEPT]
+        elif name == "mixing":
+            assert got[7, self.KEPT] % 2 == 0 and got[7, self.KEPT] > 0
+        else:
+            assert got == want[name]
+        assert {(r.h, r.root, r.doc) for r in stage(spark, docs, d).collect()} == {(5, "r", None)}
+
+    def test_tokens(self, spark):
+        import corpus_pipeline
+
+        pytest.importorskip("public_tokenizers")
+        stage = dict(corpus_pipeline.STAGES)["tokens"]
+        assert stage(spark, self.rows(spark), "").count() == 0
+        got = sorted((r.start, r.n_tokens, r.doc_id) for r in stage(spark, self.rows(spark, (3, "a b", "s"), (None, None, "s"), (3, "a b", "s"), (2, "", None)), "").collect())
+        assert [x[1:] for x in got[:2]] == [(1, None), (1, 2)] and got[2][1] == got[3][1] and [x[0] for x in got[:3]] == [0, 1, 2]
