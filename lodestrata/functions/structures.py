@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,12 +97,15 @@ ROLE_VERBS = {"source": "flows_to", "control": "constrains", "bound": "bounds",
 REQUIRED_ROLES = {"present": ["source", "control", "bound"], "not_observed": ["control", "bound", "remediation"]}
 
 
-def role_graph_errors(assessment: Column, nodes: Column, edges: Column, text: Column) -> Column:
+def role_graph_errors(assessment: Column, nodes: Column, edges: Column, text: Column | Callable[[Column], Column]) -> Column:
     """Errors of a finding: evidence nodes (id, role, span) in a text, and edges (source, target, verb) between them.
 
+    ``text``: the text that holds the spans, or a test of whether a span was supplied.
+
     Ids are unique, spans occur in the text, edges link known nodes and end at a sink by the verb of their source's
     role, a sink is among the nodes, and an assessment that is no abstention has a role it requires linked to a sink.
     """
+    supplied = text if callable(text) and not isinstance(text, Column) else (lambda span: F.contains(text, span))
     ids = F.transform(nodes, lambda n: n["id"])
     role = lambda i: F.element_at(F.filter(nodes, lambda n: n["id"] == i), -1)["role"]
     known = lambda e: F.array_contains(ids, e["source"]) & F.array_contains(ids, e["target"])
@@ -116,7 +121,7 @@ def role_graph_errors(assessment: Column, nodes: Column, edges: Column, text: Co
         found = {
             "no_evidence": assessment.isin(*REQUIRED_ROLES) & (F.size(nodes) == 0),
             "duplicate_node_id": F.size(F.array_distinct(ids)) != F.size(ids),
-            "span_not_grounded": ~F.forall(nodes, lambda n: F.contains(text, n["span"])),
+            "span_not_grounded": ~F.forall(nodes, lambda n: F.coalesce(supplied(n["span"]), F.lit(False))),
             "unresolved_edge": F.size(linked) != F.size(edges),
             "edge_ends_at_no_sink": F.exists(told, lambda x: x["target"] != "sink"),
             "verb_does_not_fit_role": ~F.forall(told, fits),
@@ -128,6 +133,30 @@ def role_graph_errors(assessment: Column, nodes: Column, edges: Column, text: Co
     return F.element_at(F.transform(F.array(told), errors), 1)
 
 
+def role_output_errors(output: Column, scope: Column, functions: Column) -> Column:
+    """Errors of a whole output (scope, assessment, findings) against the record that it is about.
+
+    ``scope``: the record's struct, every field of which the output's scope must repeat; ``functions``: function_id, pseudo_c, and arrays
+    assembly and static_feature. A finding names a function and a representation of it: a span must stand in the code, or be one of
+    the supplied lines or features. Errors of finding k begin with ``findings.<k>:``.
+    """
+    assessment, findings = output["assessment"], F.coalesce(output["findings"], F.array())
+    fields = F.json_object_keys(F.to_json(scope, {"ignoreNullFields": "false"}))
+    values = lambda x: F.from_json(F.to_json(x, {"ignoreNullFields": "false"}), "map<string,string>")
+    wrong = F.transform(F.filter(fields, lambda k: ~F.try_element_at(values(output["scope"]), k).eqNullSafe(F.try_element_at(values(scope), k))), lambda k: F.concat(F.lit("scope."), k))
+    none = F.when(assessment.isin(*REQUIRED_ROLES) & (F.size(findings) == 0), F.array(F.lit("findings:missing"))).otherwise(F.array().cast("array<string>"))
+
+    def of(finding: Column, k: Column) -> Column:
+        function = F.try_element_at(F.filter(functions, lambda x: x["function_id"] == finding["function_id"]), F.lit(1))
+        kind = finding["representation"]
+        grounded = lambda span: F.when(kind == "pseudo_c", F.contains(function["pseudo_c"], span)).when(kind == "assembly", F.array_contains(function["assembly"], span)).when(kind == "static_feature", F.array_contains(function["static_feature"], span))
+        found = role_graph_errors(assessment, finding["nodes"], finding["edges"], grounded)
+        told = F.when(function.isNull(), F.array(F.lit("unknown_function"))).when(~kind.isin("pseudo_c", "assembly", "static_feature"), F.array(F.lit("unknown_representation"))).otherwise(found)
+        return F.transform(told, lambda e: F.concat(F.lit("findings."), k.cast("string"), F.lit(":"), e))
+
+    return F.concat(wrong, none, F.flatten(F.transform(findings, of)))
+
+
 def fixed_length(values: Column, n: int) -> Column:
     """Whether an array has ``n`` numbers and no null."""
     return F.coalesce((F.size(values) == n) & F.forall(values, lambda x: x.isNotNull()), F.lit(False))

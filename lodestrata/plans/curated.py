@@ -294,6 +294,26 @@ def approval_chain(spark, d):
     return K.approved(spark.createDataFrame([(True,)], "approved boolean"), review, review_summary(labels.repartition(3), F.col("quality") == 0, 0.5))
 
 
+@query("SELECT 'approved' AS manifest, true AS approved UNION ALL SELECT 'not_approved', false UNION ALL SELECT 'review_of_other_rows', (SELECT count(*) FROM labels) = (SELECT count(*) FROM labels WHERE doc_id % 10 <> 3)")
+def approval_outcomes(spark, d):
+    """A manifest that holds, one that says no, and one whose review is not that of its rows."""
+    from lodestrata.operators.audit import review_summary
+
+    labels = table(spark, d, "labels")
+    of = lambda rows: review_summary(rows, F.col("quality") == 0, 0.5)
+    cases = {"approved": (True, labels), "not_approved": (False, labels), "review_of_other_rows": (True, labels.where("doc_id % 10 != 3"))}
+    out = [K.approved(spark.createDataFrame([(told,)], "approved boolean"), of(labels), of(rows)).select(F.lit(name).alias("manifest"), "approved") for name, (told, rows) in cases.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '[^<>\s]+')) AS w FROM pages) SELECT page_id, count(*) FILTER (regexp_matches(w, '^\d{4}-\d{2}-\d{2}$')) AS n_dates, count(*) AS n_words FROM t GROUP BY 1""".replace("\\\\", "\\"))
+def page_dates(spark, d):
+    """Words of whole pages that have the shape of a date."""
+    words = F.regexp_extract_all("html", F.lit(r"[^<>\s]+"), F.lit(0))
+    found = table(spark, d, "pages").select("page_id", F.explode(words).alias("w"))
+    return found.groupBy("page_id").agg(F.count_if(K.date_like(F.col("w"))).alias("n_dates"), F.count("*").alias("n_words"))
+
+
 @query("SELECT 'documents' AS source, doc_id AS id, lang FROM documents UNION ALL SELECT 'pages', page_id, NULL FROM pages")
 def unioned_sources(spark, d):
     docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "lang")

@@ -313,6 +313,38 @@ def role_graphs(spark, d):
     return docs.select("doc_id", F.array_join(S.role_graph_errors(F.col("f.assessment"), F.col("f.nodes"), F.col("f.edges"), F.col("text")), ",").alias("errors"))
 
 
+_GOOD = ([_SOURCE, _SINK], [("a", "z", "flows_to")])
+#: Outputs on a document's function f1: weakness and architecture of the scope, assessment, findings (function, representation, nodes, edges), errors.
+_OUTPUTS = [
+    ("W1", "x86", "present", [("f1", "pseudo_c", *_GOOD)], ""),
+    ("W1", "x86", "present", [("f1", "pseudo_c", *_GOOD), ("f1", "assembly", [("a", "source", "the"), ("z", "sink", "the")], [("a", "z", "flows_to")])], ""),
+    ("W2", "arm", "uncertain", [], "scope.architecture,scope.weakness"),
+    ("W1", "x86", "not_observed", [], "findings:missing"),
+    ("W1", "x86", "present", [("f2", "pseudo_c", *_GOOD)], "findings.0:unknown_function"),
+    ("W1", "x86", "present", [("f1", "pseudo_c", *_GOOD), ("f1", "assembly", [("a", "source", "the "), ("z", "sink", "the")], [("a", "z", "flows_to")])], "findings.1:span_not_grounded"),
+    ("W1", "x86", "present", [("f1", "static_feature", [("a", "source", "malloc"), ("z", "sink", "free")], [("a", "z", "bounds")])], "findings.0:no_required_role_linked,findings.0:verb_does_not_fit_role"),
+    ("W1", None, "present", [("f1", "hex", *_GOOD)], "findings.0:unknown_representation,scope.architecture"),
+]
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(x[4]) for x in _OUTPUTS)}][1 + doc_id % {len(_OUTPUTS)}] AS errors FROM documents")
+def role_outputs(spark, d):
+    """Stated outputs about each document's function: scope, function, representation, and several findings."""
+    finding = "struct<function_id: string, representation: string, nodes: array<struct<id: string, role: string, span: string>>, edges: array<struct<source: string, target: string, verb: string>>>"
+    cases = spark.createDataFrame([(k, ((w, a), t, f)) for k, (w, a, t, f, _) in enumerate(_OUTPUTS)], f"k long, o struct<scope: struct<weakness: string, architecture: string>, assessment: string, findings: array<{finding}>>")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("the "), "text").alias("text"), (F.col("doc_id") % len(_OUTPUTS)).alias("k")).join(F.broadcast(cases), "k")  # a row an output
+    scope = F.struct(F.lit("W1").alias("weakness"), F.lit("x86").alias("architecture"))
+    function = F.struct(F.lit("f1").alias("function_id"), F.col("text").alias("pseudo_c"), F.split("text", " ").alias("assembly"), F.array(F.lit("malloc"), F.lit("free")).alias("static_feature"))
+    return docs.select("doc_id", F.array_join(F.array_sort(S.role_output_errors(F.col("o"), scope, F.array(function))), ",").alias("errors"))
+
+
+@query("SELECT o_custkey, CASE min(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS least FROM orders GROUP BY 1")
+def least_priority(spark, d):
+    """The least confidence of real groups: the priorities of a customer's orders."""
+    level = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").when(F.col("o_orderpriority") == "3-MEDIUM", "medium").otherwise("low")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(level).alias("levels")).select("o_custkey", S.least_confidence(F.col("levels")).alias("least"))
+
+
 @query()
 def canonical_hashes(spark, d):
     """Hashes of JSON in Spark's own number format: self-consistent, so no twin."""
