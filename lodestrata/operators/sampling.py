@@ -240,7 +240,9 @@ def unique_content_groups(df: DataFrame, group: str, content: str, order: str, p
 
     ``df``: group, content, order (the same in all rows of a group). Groups that clash are decided in rounds over
     all of them: a group that comes first at each of its contents is kept, and those that share a content with it
-    are out. The last ``pass_rows`` rows at most are decided by one pass in order.
+    are out. The last ``pass_rows`` rows at most are decided by one pass in order. Each round decides at least the first group of
+    everything that hangs together; a long chain, in which each group clashes with the next one only, takes a round for
+    every other of its groups until that pass, which is the worst case.
     """
     narrow = df.select(group, content, order).distinct()
 
