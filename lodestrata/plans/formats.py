@@ -167,14 +167,13 @@ def arrow_stream_scan(spark, d):
 
 @query("SELECT 'r' || r_regionkey || '.txt' AS member, 1 AS line_no, r_name AS line FROM region UNION ALL SELECT 'r' || r_regionkey || '.txt', 3, 'end' FROM region")
 def zip_member_lines(spark, d):
-    import zipfile
-
-    path = _local(_folder(spark))
-    with zipfile.ZipFile(f"{path}/x.zip", "w") as z:
-        for r in table(spark, d, "region").select("r_regionkey", "r_name").collect():
-            z.writestr(f"r{r.r_regionkey}.txt", f"{r.r_name}\n\t\nend")
-        z.writestr("image.png", b"\0")
-    return R.zip_lines(spark, f"{path}/x.zip", r"\.txt$")
+    """The regions as members of one archive, beside one that is no text; a task writes it."""
+    path = _folder(spark)
+    regions = table(spark, d, "region")
+    texts = regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"), F.lit(".txt")).alias("member"), F.concat("r_name", F.lit("\n\t\nend")).cast("binary").alias("content"))
+    members = texts.unionAll(spark.createDataFrame([("image.png", b"\0")], "member string, content binary")).withColumn("archive", F.lit("x"))
+    R.write_zips(members, f"{path}/zips").write.parquet(f"{path}/written")
+    return R.zip_lines(spark, f"{path}/zips/x.zip", r"\.txt$")
 
 
 _ZIPPED = """z AS (SELECT doc_id, 'z' || doc_id % 7 AS archive, CASE WHEN doc_id % 50 = 0 THEN '../' ELSE coalesce(lang, 'none') || '/' END || 'd' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.TXT' WHEN 1 THEN '.c' WHEN 2 THEN '.exe' WHEN 3 THEN '.zip' ELSE '' END AS member, text FROM documents WHERE text IS NOT NULL)"""
