@@ -74,9 +74,9 @@ def evidence_lines(version: str) -> dict:
     return closed(schema_version={"const": version}, evidence_ranges=list_of(closed(start_line=line, end_line=line), minItems=1, maxItems=8, uniqueItems=True), confidence=one_of(CONFIDENCE_LEVELS))
 
 
-def assessed(version: str | None = None) -> dict:
-    """The short form that gates judge: an assessment, its basis, and numbers of lines."""
-    out = closed(assessment=one_of(ASSESSMENTS), basis=text(1, pattern=r"\S"), evidence=list_of({"type": "integer", "minimum": 0}))
+def assessed() -> dict:
+    """The short form that gates judge: an assessment, its basis, and numbers of lines; it may have more members."""
+    out = closed(assessment=one_of(ASSESSMENTS), basis=text(1, pattern=r"\S"), evidence=list_of({"type": "integer"}))
     return {**out, "additionalProperties": True}
 
 

@@ -99,19 +99,20 @@ def join_predictions(gold: DataFrame, predictions: DataFrame, key: str) -> DataF
 def judged(joined: DataFrame, n_lines: str = "n_lines", gold_lines: str = "gold_lines") -> DataFrame:
     """Cases of gold joined with predictions (is_positive, missing, raw_output, gold_lines, n_lines): what the output is worth.
 
-    An output is an object with ``assessment``, ``basis`` and ``evidence`` (numbers of lines). Adds parsed, schema_ok,
+    An output is an object with ``assessment``, ``basis`` and ``evidence`` (numbers of lines), by the contract ``assessed``. Adds parsed, schema_ok,
     safe, has_evidence, repeats, abnormal, assessment and decision (null: abstained or unusable), renders, and
     the sizes of evidence: n_predicted, n_gold, n_shared.
     """
     from lodestrata.functions import text as T
+    from lodestrata.functions.contracts import assessed
+    from lodestrata.functions.json_schema import conforms
     from lodestrata.functions.structures import is_json_object
 
     raw, present = F.col("raw_output"), ~F.col("missing")
     parsed = joined.withColumn("parsed", F.coalesce(is_json_object(raw), F.lit(False)) & present)
     parts = F.from_json(F.when(F.col("parsed"), raw), "assessment string, basis string, evidence array<int>")
     read = parsed.withColumn("_o", parts)
-    basis = T.stripped(F.coalesce("_o.basis", F.lit(""))) != ""
-    valid = F.col("_o.assessment").isin(ASSESSMENTS) & basis & F.col("_o.evidence").isNotNull()
+    valid = F.col("parsed") & conforms(raw, assessed()) & F.col("_o.evidence").isNotNull()
     read = read.withColumn("schema_ok", F.coalesce(valid, F.lit(False)))
     lines = F.when(F.col("schema_ok"), F.array_distinct("_o.evidence")).otherwise(F.array().cast("array<int>"))
     told = F.when(F.col("schema_ok"), F.col("_o.assessment"))
