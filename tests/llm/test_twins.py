@@ -22,7 +22,7 @@ def compare(got, cursor):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_twin(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     compare(queries.queries()[name](spark, SF), duck.execute(queries.oracle_sql()[name]))
 
