@@ -157,6 +157,11 @@ def role_output_errors(output: Column, scope: Column, functions: Column) -> Colu
     return F.concat(wrong, none, F.flatten(F.transform(findings, of)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: inside a lambda it would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fixed_length(values: Column, n: int) -> Column:
     """Whether an array has ``n`` numbers and no null."""
     return F.coalesce((F.size(values) == n) & F.forall(values, lambda x: x.isNotNull()), F.lit(False))
@@ -164,8 +169,8 @@ def fixed_length(values: Column, n: int) -> Column:
 
 def shares(values: Column) -> Column:
     """Values divided by their sum, as they are if it is not above 0."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.transform(values, lambda x: F.when(total > 0, x.cast("double") / total).otherwise(x.cast("double")))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return once(values, lambda v: once(total(v), lambda t: F.transform(v, lambda x: F.when(t > 0, x.cast("double") / t).otherwise(x.cast("double")))))
 
 
 def padded(values: Column, n: int) -> Column:
@@ -188,11 +193,12 @@ def features_by_layout(parts: dict[str, Column], layout: list[tuple[str, int]],
     """
     if layout and placed(layout)[layout[-1][0]][1] > total:
         raise ValueError(f"the layout is longer than {total}")
-    checked = []
-    for name, length in layout:
-        values = parts[name].cast("array<double>")
-        wrong = F.raise_error(F.concat(F.lit(f"{name}: {length} values are wanted, there are "), F.coalesce(F.size(values), F.lit(0)).cast("string")))
-        checked.append(F.when(fixed_length(values, length), values).otherwise(wrong.cast("array<double>")))
+
+    def whole(name: str, length: int) -> Column:
+        wrong = lambda v: F.raise_error(F.concat(F.lit(f"{name}: {length} values are wanted, there are "), F.coalesce(F.size(v), F.lit(0)).cast("string")))
+        return once(parts[name].cast("array<double>"), lambda v: F.when(fixed_length(v, length), v).otherwise(wrong(v).cast("array<double>")))
+
+    checked = [whole(name, length) for name, length in layout]
     return padded(F.concat(*checked), total)
 
 
