@@ -91,8 +91,12 @@ def unique_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def join_predictions(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Gold with its prediction, if any; a key that is not unique on both sides fails the job."""
-    predicted = unique_keys(predictions, key).withColumn("predicted", F.lit(True))
+    """Gold with its prediction, if any; a key that is not unique on both sides fails the job.
+
+    Both sides are in the order of their key, which tells repeated ones, and are merged so: outputs may be long, and however small
+    their table seems they never pass the driver.
+    """
+    predicted = unique_keys(predictions, key).withColumn("predicted", F.lit(True)).hint("merge")
     return unique_keys(gold, key).join(predicted, key, "left").withColumn("missing", F.col("predicted").isNull()).drop("predicted")
 
 
