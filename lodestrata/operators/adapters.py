@@ -48,7 +48,7 @@ def question_answer_records(rows: DataFrame, index: str, question: str, answer:
     """record: a question and a bounded excerpt of its answer as context."""
     q, a = _text(F.col(question)), _text(F.col(answer))
     both = F.concat(q, F.lit("\n\n"), a)
-    context = F.concat(F.lit("Question:\n"), T.truncated(q, QUESTION_LIMIT), F.lit("\n\nAnswer excerpt:\n"), T.truncated(a, ANSWER_LIMIT))
+    context = F.concat(F.lit("Question:\n"), T.truncated(q, QUESTION_LIMIT, space=T.PYTHON_SPACE), F.lit("\n\nAnswer excerpt:\n"), T.truncated(a, ANSWER_LIMIT, space=T.PYTHON_SPACE))
     signals = _signals(dataset=source, question_sha256=F.sha2(q, 256), answer_sha256=F.sha2(a, 256), answer_redacted_from_target="true", suspicious_signal_names=_hits(both))
     record = canonical(_id("qa", F.col(index), F.concat(F.lit(source), q, a)), F.lit(source), F.lit("summarize as defensive guidance"), context, signals, T.risk_of(both), F.lit("train"))
     return rows.where((q != "") & (a != "")).select(F.col(index), record.alias("record"))
