@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -326,17 +327,46 @@ _DIFF = T.StructType([T.StructField("added", T.LongType()), T.StructField("remov
 
 @F.pandas_udf(_DIFF)
 def line_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Unified diff of two texts, with its numbers of added and removed lines."""
-    import difflib
+    """Unified diff of two texts, with its numbers of added and removed lines.
 
+    Where lines stand in the same places and no diff can be shorter, they are compared in place; else blocks are matched, lines that occur often included.
+    """
     rows = []
     for a, b in zip(before, after):
-        lines = list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm=""))
+        lines = unified_diff((a or "").splitlines(), (b or "").splitlines())
         body = lines[2:]
         rows.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "\n".join(lines)))
     return pd.DataFrame(rows, columns=["added", "removed", "diff"])
 
 
+def unified_diff(a: list[str], b: list[str], context: int = 3) -> list[str]:
+    """Lines of a unified diff without line ends. ``difflib`` itself leaves lines out of a match that are frequent in a text of 200 lines or more."""
+    import difflib
+    from collections import Counter
+
+    matcher = difflib.SequenceMatcher(None, [], [], autojunk=False)
+    kept = [x == y for x, y in zip(a, b)]
+    if len(a) == len(b) and len(a) - sum(kept) == (Counter(a) - Counter(b)).total():  # lines that the other side has not so often must go
+        runs = [(same, len(list(run))) for same, run in itertools.groupby(kept)]
+        starts = [0, *itertools.accumulate(n for _, n in runs)]
+        matcher.opcodes = [("equal" if same else "replace", i, i + n, i, i + n) for (same, n), i in zip(runs, starts)]
+    else:
+        matcher.set_seqs(a, b)
+    out = []
+    for group in matcher.get_grouped_opcodes(context):
+        if not out:
+            out = ["--- ", "+++ "]
+        spans = [(group[0][i], group[-1][i + 1]) for i in (1, 3)]
+        shown = [f"{i + 1}" if j - i == 1 else f"{i + (j > i)},{j - i}" for i, j in spans]
+        out.append(f"@@ -{shown[0]} +{shown[1]} @@")
+        for kind, i, j, k, m in group:
+            if kind == "equal":
+                out += [f" {x}" for x in a[i:j]]
+            else:
+                out += [f"-{x}" for x in a[i:j]] + [f"+{x}" for x in b[k:m]]
+    return out
+
+
 def schema_errors(text: Column, required: dict[str, str]) -> Column:
     """``key:missing`` or ``key:type`` of required JSON members; ``parse`` if the text is no object."""
     from lodestrata.functions.structures import is_json_object
