@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.functions import weakness_rules as W
 from lodestrata.functions.structures import ROLE_VERBS
+from lodestrata.operators.versions import fingerprint
 
 _LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _RULE = "struct<place:int,needs:array<string>,lacks:array<string>,points:int>"
@@ -329,8 +330,25 @@ def ranked_targets(pairs: DataFrame, key: str, weakness: str, scope: list[str],
     return _finished(rows, key, reason, F.transform("spans", lambda x: F.struct(F.lit("line").alias("role"), x.alias("span"))))
 
 
+def by_content(pairs: DataFrame, key: str, columns: list[str], work: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """key and what ``work`` (of rows and the name of their key) finds for the row's ``columns``, worked out once for all rows that agree in them.
+
+    The distinct rows are spread by a hash of their content, however few parts the table is read in.
+    """
+    marked = pairs.withColumn("_content", fingerprint(columns))
+    found = work(marked.select("_content", *columns).distinct(), "_content")
+    return marked.select(key, "_content").join(found, "_content").drop("_content")
+
+
+def line_scores(pairs: DataFrame, key: str, weakness: str) -> DataFrame:
+    """key, side, lines (see :func:`scored_lines`) of both sides of each pair."""
+    of = lambda rows, k: _sides(rows, weakness, [], True).select(k, "side", "lines")
+    return by_content(pairs, key, [weakness, "present_code", "fixed_code"], of)
+
+
 def targets(pairs: DataFrame, key: str, weakness: str, contract: str, scope: list[str]) -> DataFrame:
-    """The targets of a contract by its name: ``v1``, ``v2``, ``v2-strict`` and its later versions."""
+    """The targets of a contract by its name: ``v1``, ``v2``, ``v2-strict`` and its later versions. ``key`` is that of one pair."""
     if contract not in W.CONTRACTS:
         raise ValueError(f"unknown contract: {contract}")
-    return ranked_targets(pairs, key, weakness, scope) if contract == "v1" else role_targets(pairs, key, weakness, contract, scope)
+    columns = [weakness, "present_code", "fixed_code", *[f"{side}_{c}" for c in scope for side in ("present", "fixed")]]
+    return by_content(pairs, key, columns, lambda rows, k: ranked_targets(rows, k, weakness, scope) if contract == "v1" else role_targets(rows, k, weakness, contract, scope))

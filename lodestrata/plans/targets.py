@@ -91,7 +91,7 @@ a AS (SELECT p_partkey, side, i, line, shared, count(*) FILTER (part = 'target')
 SELECT p_partkey, side, (row_number() OVER (PARTITION BY p_partkey, side ORDER BY i) - 1)::INTEGER AS place, line, coalesce(CASE WHEN aimed THEN op ELSE te END, 0)::INTEGER AS operation, CASE WHEN shared THEN 0 ELSE coalesce(ct, 0) END::INTEGER AS control FROM a"""
 )
 def weakness_line_scores(spark, d):
-    rows = G._sides(_pairs(spark, d), "weakness", ["compiler"], True)
+    rows = G.line_scores(_pairs(spark, d), "p_partkey", "weakness")
     return rows.select("p_partkey", "side", F.explode("lines").alias("x")).select("p_partkey", "side", "x.place", "x.line", "x.operation", "x.control")
 
 
