@@ -210,15 +210,19 @@ def zip_member_findings(spark, d):
 
 @query("SELECT page_id, md5(html) AS html_md5, CASE page_id % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split FROM pages")
 def csv_split_map(spark, d):
-    """Two files, told apart by a map of their names."""
+    """Files of even and of odd pages, told apart by a map of their names."""
     path = _folder(spark)
     pages = table(spark, d, "pages").select("page_id", "html")
-    for k, name in enumerate(("even", "odd")):
-        pages.where(F.col("page_id") % 2 == k).coalesce(1).write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
-        at, fs = X._fs(spark, f"{path}/{name}/part-*")
-        fs.mkdirs(X._fs(spark, f"{path}/all")[0])
-        fs.rename(fs.globStatus(at)[0].getPath(), X._fs(spark, f"{path}/all/{name}.csv")[0])
-    rows = X.read_csv_splits(spark, f"{path}/all", "page_id long, html string", ["page_id", "html"], {"even.csv": "train", "odd.csv": "test"})
+    fs, splits = X._fs(spark, path)[1], {}
+    fs.mkdirs(X._fs(spark, f"{path}/all")[0])
+    for k, (name, split) in enumerate((("even", "train"), ("odd", "test"))):
+        # many files, each of bounded size: a file with quoted line ends is read by one task
+        pages.where(F.col("page_id") % 2 == k).write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=10_000).csv(f"{path}/{name}")
+        for n, found in enumerate(fs.globStatus(X._fs(spark, f"{path}/{name}/part-*")[0])):
+            splits[f"{name}-{n:06d}.csv"] = split
+            if not fs.rename(found.getPath(), X._fs(spark, f"{path}/all/{name}-{n:06d}.csv")[0]):
+                raise OSError(f"could not rename {found.getPath()}")
+    rows = X.read_csv_splits(spark, f"{path}/all", "page_id long, html string", ["page_id", "html"], splits)
     return rows.select("page_id", F.md5("html").alias("html_md5"), "split")
 
 
@@ -257,12 +261,12 @@ l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-
 SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, sha256(line) AS line_sha256 FROM l""".replace("\\\\", "\\")
 )
 def numbered_line_ends(spark, d):
-    """Whole texts in one file that is read in many parts; each text has another line end that Python knows."""
+    """Whole texts in files that follow each other, which are read in many parts; each text has another line end that Python knows."""
     path = _folder(spark)
     ends = F.element_at(F.array(*map(F.lit, _SEPARATORS)), (F.col("doc_id") % 10 + 1).cast("int"))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat("text", ends, F.lit("end")).alias("value"))
-    rows.coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("lineSep", "\n").text(f"{path}/x")
-    return X.numbered_lines(spark, f"{path}/x").select("line_no", F.sha2("value", 256).alias("line_sha256"))
+    rows.orderBy("doc_id").select("value").write.option("lineSep", "\n").text(f"{path}/x")  # parts in order, by their names too
+    return X.numbered_across(X.numbered_lines(spark, f"{path}/x")).select("line_no", F.sha2("value", 256).alias("line_sha256"))
 
 
 @query(

@@ -39,6 +39,14 @@ def numbered_lines(spark: SparkSession, path: str, python_ends: bool = True, onl
     return rows.join(parts, (F.col("file") == F.col("f")) & (F.col("part") == F.col("p"))).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
+def numbered_across(lines: DataFrame) -> DataFrame:
+    """Lines as :func:`numbered_lines` has them, numbered on from file to file in the order of their paths."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("file").agg(F.count("*").alias("n"))  # one row for each file
+    offsets = counts.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(offsets), F.col("file") == F.col("f")).select("file", (F.col("line_no") + F.col("before")).alias("line_no"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, python_ends: bool = False) -> DataFrame:
     """Strict JSON lines: lines of white space alone are skipped; a line that is no object fails the read and is named.
 
