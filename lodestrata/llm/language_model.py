@@ -1,15 +1,17 @@
 """Language-model scores from a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
-A token's probability is ``p(class | context) * p(token | class)``. The ``HEAD`` most frequent tokens are classes of their
-own; all other tokens, unknown ones too, fall into ``TAILS`` classes by their last two bytes. The class model is
-log-bilinear: the ``CONTEXT`` tokens before are looked up as vectors, weighted by position and component, and summed; the
-sum's product with a class's vector, and a bias, is the class's score. It is trained on all learned tokens with ``NOISE``
-noise classes for a batch, drawn by their frequency, without a normaliser; scoring normalises exactly, by the matrix product
-of a batch of contexts with all class vectors. Within a class a token has its share of the class's count, with a tenth
-added to each known token and to the unknown ones together, so that all probabilities of a context add up to 1.
+A token's probability is ``p(class | context) * p(slot | class, context) * p(token | slot)``. The ``HEAD`` most frequent tokens
+are classes of their own; all other tokens, unknown ones too, fall into ``TAILS`` classes by their last two bytes. In those
+the ``NAMED`` next most frequent tokens have a slot each, and all others of a class one together. The model is
+log-bilinear: the ``CONTEXT`` slots before are looked up as vectors, weighted by position and component, and summed; the
+sum's product with the vector of a class, or of a slot inside its class, and a bias, is the score of either. It is trained on all learned
+tokens without a normaliser, with ``NOISE`` noise classes for a batch and ``SLOT_NOISE`` noise slots of the class for a token, drawn
+by their frequency; scoring normalises both exactly, by matrix products of contexts with all class vectors, and with those of the slots
+of the token's class. A token with a slot of its own is thereby predicted from its context; the others of a slot have their share of
+its count, with a tenth added to each known token and to the unknown ones together, so that all probabilities of a context add up to 1.
 
 Counts cover all learned tokens of the corpus and grow with it: they are a table that is joined to the distinct words
-of blocks of texts. Only the class model has a fixed size. Blocks of about ``BLOCK_TOKENS`` tokens are dealt to ``ROUNDS``
+of blocks of texts. Only the trained model has a fixed size. Blocks of about ``BLOCK_TOKENS`` tokens are dealt to ``ROUNDS``
 rounds; in a round each of its blocks trains the model alone, from the round's start, and the results are averaged by
 the blocks' tokens (as whole multiples of 2^-20, so that the order of additions plays no part). Every learned token is
 used once. Blocks are stored and moved as compressed bytes.
@@ -39,9 +41,9 @@ from lodestrata.llm import textkit as K
 from lodestrata.llm.language import held_out
 from lodestrata.llm.storage import join_checked, new_path, plain, stored, table
 
-HEAD, TAILS = 64, 128
+HEAD, TAILS, NAMED = 64, 128, 4096
 WIDTH, CONTEXT = 16, 3
-NOISE, BATCH = 32, 1024
+NOISE, SLOT_NOISE, BATCH = 32, 2, 1024
 RATE, ROUNDS = 0.03, 8
 BLOCK_TOKENS = 2_000_000
 #: Tokens that are scored by one matrix product.
@@ -126,35 +128,60 @@ def learned_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 @dataclass(frozen=True)
 class Classes:
-    """The tokens that are classes of their own, with their counts; the class of every other token follows from its bytes."""
+    """The tokens that are classes of their own, and the slots of all classes; the class of every other token follows from its bytes."""
 
     head: dict[bytes, int]
-    counts: np.ndarray  # of the head's tokens
+    named: dict[bytes, int]  # the slot of each token that has one of its own, the head's too
+    owner: np.ndarray  # the class of each slot, ascending; a tail's first slot is that of its other tokens
+
+    @staticmethod
+    def of_frequent(listed: list[bytes]) -> Classes:
+        """``listed``: the most frequent tokens, in order."""
+        head = {w: k for k, w in enumerate(listed[:HEAD])}
+        kinds = np.concatenate((np.arange(len(head) + TAILS), _tails(listed[HEAD:]) + len(head))).astype(np.int32)
+        order = np.argsort(kinds, kind="stable")
+        slot = np.empty_like(order)
+        slot[order] = np.arange(len(order))
+        return Classes(head, dict(zip(listed, np.concatenate((slot[: len(head)], slot[len(head) + TAILS :])).tolist())), kinds[order])
 
     @property
     def size(self) -> int:
         return len(self.head) + TAILS
 
+    @property
+    def starts(self) -> np.ndarray:
+        """The first slot of each class, and the number of slots."""
+        return np.searchsorted(self.owner, np.arange(self.size + 1))
+
+    def slots(self, listed: list[bytes]) -> np.ndarray:
+        """The slot of each word."""
+        own = np.fromiter((self.named.get(w, -1) for w in listed), np.int32, len(listed))
+        return np.where(own >= 0, own, self.starts[len(self.head) + _tails(listed)]).astype(np.int32)
+
     def of(self, listed: list[bytes]) -> np.ndarray:
         """The class of each word."""
-        data, ends = np.frombuffer(b"\0\0" + b"".join(listed), np.uint8), np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))
-        last = data[ends + 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
-        before = np.where(np.diff(ends, prepend=0) > 1, data[ends], 0).astype(np.uint64) if len(ends) else last
-        tail = len(self.head) + (K.mixed(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(TAILS)).astype(np.int32)
-        own = np.fromiter((self.head.get(w, -1) for w in listed), np.int32, len(listed))
-        return np.where(own >= 0, own, tail).astype(np.int32)
+        return self.owner[self.slots(listed)]
+
+
+def _tails(listed: list[bytes]) -> np.ndarray:
+    """The tail of each word, by its last two bytes."""
+    if not listed:
+        return np.zeros(0, np.int32)
+    data, ends = np.frombuffer(b"\0\0" + b"".join(listed), np.uint8), np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))
+    before = np.where(np.diff(ends, prepend=0) > 1, data[ends], 0).astype(np.uint64)
+    return (K.mixed(data[ends + 1].astype(np.uint64) * np.uint64(256) + before + np.uint64(1)) % np.uint64(TAILS)).astype(np.int32)
 
 
 def other_words(classes: Broadcast):
-    """Blocks' columns block, words -> block, place, word of the words that are no class of their own."""
+    """Blocks' columns block, words -> block, place, word of the words without a slot of their own."""
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = classes.value.head
+        named = classes.value.named
         for batch in batches:
             for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
                 words = words_of(words)
-                other = pa.array([w not in head for w in words], pa.bool_())
+                other = pa.array([w not in named for w in words], pa.bool_())
                 columns = [pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "place", "word"]).filter(other)
 
@@ -163,30 +190,35 @@ def other_words(classes: Broadcast):
 
 @dataclass(frozen=True)
 class Weights:
-    """Vectors of context classes (the last one stands before a text), of positions, and of predicted classes (bias last)."""
+    """Vectors of context slots (the last one stands before a text), of positions, of predicted classes and of predicted slots (bias last)."""
 
     inputs: np.ndarray
     places: np.ndarray
     outputs: np.ndarray
+    slots: np.ndarray
 
     @staticmethod
-    def start(share: np.ndarray) -> Weights:
-        """Small random vectors; the biases are the classes' log frequencies."""
-        draw, size = np.random.default_rng(1), len(share)
-        inputs, outputs = (draw.normal(0, 0.05, (n, WIDTH)).astype(np.float32) for n in (size + 1, size))
-        return Weights(inputs, np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32), np.column_stack((outputs, np.log(share))).astype(np.float32))
+    def start(share: np.ndarray, inside: np.ndarray | None = None) -> Weights:
+        """Small random vectors; the biases are the log frequencies of classes, and of slots in their class. Without slots classes are contexts."""
+        draw, inner = np.random.default_rng(1), np.zeros(0) if inside is None else inside
+        inputs, outputs, slots = (draw.normal(0, 0.05, (n, WIDTH)).astype(np.float32) for n in ((len(share) if inside is None else len(inside)) + 1, len(share), len(inner)))
+        biased = lambda x, p: np.column_stack((x, np.log(p))).astype(np.float32)
+        return Weights(inputs, np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32), biased(outputs, share), biased(slots, inner))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.inputs, self.places, self.outputs, self.slots
 
     def rows(self) -> np.ndarray:
         """All of them as whole multiples of 2^-20, each row as wide as an output."""
         wide = lambda x: np.column_stack((x, np.zeros(len(x)))) if x.shape[1] == WIDTH else x
-        return np.rint(np.concatenate([wide(x) for x in (self.inputs, self.places, self.outputs)]).astype(np.float64) * _UNIT).astype(np.int64)
+        return np.rint(np.concatenate([wide(x) for x in self.parts()]).astype(np.float64) * _UNIT).astype(np.int64)
 
     def of_rows(self, rows: np.ndarray) -> Weights:
-        parts = np.split((rows / _UNIT).astype(np.float32), np.cumsum([len(self.inputs), len(self.places)]))
-        return Weights(parts[0][:, :WIDTH].copy(), parts[1][:, :WIDTH].copy(), parts[2].copy())
+        parts = np.split((rows / _UNIT).astype(np.float32), np.cumsum([len(x) for x in self.parts()[:-1]]))
+        return Weights(parts[0][:, :WIDTH].copy(), parts[1][:, :WIDTH].copy(), parts[2].copy(), parts[3].copy())
 
     def summed(self, contexts: np.ndarray) -> np.ndarray:
-        """The context vectors, with a 1 for the bias; ``contexts``: a column of classes for each position."""
+        """The context vectors, with a 1 for the bias; ``contexts``: a column of slots for each position."""
         out = np.ones((contexts.shape[1], WIDTH + 1), np.float32)
         out[:, :WIDTH] = self.inputs[contexts[0]] * self.places[0]
         for at, place in zip(contexts[1:], self.places[1:]):
@@ -198,17 +230,35 @@ class Weights:
         out = np.empty(len(wanted))
         for low in range(0, len(wanted), PRODUCT):
             at = slice(low, low + PRODUCT)
-            score = self.summed(contexts[:, at]) @ self.outputs.T
-            if score.max() > _HIGH:
-                score -= score.max(1, keepdims=True)
-            own = score[np.arange(len(score)), wanted[at]].astype(np.float64)
-            np.exp(score, out=score)
-            out[at] = own - np.log(score.sum(1, dtype=np.float64))
+            out[at] = _normalised(self.summed(contexts[:, at]) @ self.outputs.T, wanted[at])
+        return out
+
+    def log_inside(self, contexts: np.ndarray, wanted: np.ndarray, classes: Classes) -> np.ndarray:
+        """Natural logarithm of the normalised probability of each wanted slot inside its class after its context."""
+        out, starts = np.zeros(len(wanted)), classes.starts
+        own = classes.owner[wanted]
+        several = np.flatnonzero(np.diff(starts)[own] > 1)
+        several = several[np.argsort(own[several].astype(np.int16), kind="stable")]
+        cuts = np.searchsorted(own[several], np.arange(classes.size + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            vectors = self.slots[starts[c] : starts[c + 1]].T
+            for low in range(cuts[c], cuts[c + 1], PRODUCT):
+                at = several[low : min(low + PRODUCT, cuts[c + 1])]
+                out[at] = _normalised(self.summed(contexts[:, at]) @ vectors, wanted[at] - starts[c])
         return out
 
 
+def _normalised(score: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of the wanted column of each row; ``score`` is overwritten."""
+    if score.max() > _HIGH:
+        score -= score.max(1, keepdims=True)
+    own = score[np.arange(len(score)), wanted].astype(np.float64)
+    np.exp(score, out=score)
+    return own - np.log(score.sum(1, dtype=np.float64))
+
+
 def contexts(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
-    """A row for each of the ``CONTEXT`` positions: the class that stands so far before each token, ``start`` before a text."""
+    """A row for each of the ``CONTEXT`` positions: the slot that stands so far before each token, ``start`` before a text."""
     place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = np.full((CONTEXT, len(classes)), start, np.int32)
     for k in range(CONTEXT):
@@ -218,18 +268,42 @@ def contexts(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray
 
 def _gathered(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places, and the sums of the rows of ``x`` there."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # sorted by radix; there are fewer slots
     sorted_ = at[order]
     first = np.flatnonzero(np.diff(sorted_, prepend=-1))
     return sorted_[first], np.add.reduceat(x[order], first, axis=0)
 
 
-def train(weights: Weights, before: np.ndarray, wanted: np.ndarray, share: np.ndarray, rate: float, seed: int) -> Weights:
-    """Noise-contrastive estimation over all tokens of a block, by adaptive gradient steps on batches in drawn order."""
+@dataclass(frozen=True)
+class Inside:
+    """Noise slots of classes. ``share``: of each slot in its class."""
+
+    classes: Classes
+    share: np.ndarray
+
+    def noise(self, owners: np.ndarray, draw: np.random.Generator, upto: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``SLOT_NOISE`` slots of each class, by their share; ``upto``: the class's number and the shares up to each of its slots."""
+        found = np.searchsorted(upto, owners[:, None] + draw.random((len(owners), SLOT_NOISE)), side="right")
+        return np.clip(found, starts[owners][:, None], starts[owners + 1][:, None] - 1)
+
+    def upto(self) -> np.ndarray:
+        starts, total = self.classes.starts, np.cumsum(self.share)
+        below = np.concatenate(([0.0], total))[starts[:-1]]
+        return np.minimum(total - below[self.classes.owner], 1.0) + self.classes.owner
+
+
+def train(weights: Weights, before: np.ndarray, wanted: np.ndarray, share: np.ndarray, rate: float, seed: int, inside: Inside | None = None) -> Weights:
+    """Noise-contrastive estimation over all tokens of a block, by adaptive gradient steps on batches in drawn order.
+
+    ``wanted``: slots if ``inside`` tells them apart, else classes.
+    """
     draw, steps = np.random.default_rng(seed), -(-len(wanted) // BATCH)
-    now = Weights(*(x.copy() for x in (weights.inputs, weights.places, weights.outputs)))
-    squares = [np.full_like(x, 0.1) for x in (now.inputs, now.places, now.outputs)]
+    now = Weights(*(x.copy() for x in weights.parts()))
+    squares = [np.full_like(x, 0.1) for x in now.parts()]
     expected, upto = np.log(NOISE * share).astype(np.float32), np.cumsum(share)
+    if inside:
+        slots, wanted, starts, inner = wanted, inside.classes.owner[wanted], inside.classes.starts, inside.upto()
+        several, told = (np.diff(starts) > 1)[wanted], np.log(SLOT_NOISE * inside.share).astype(np.float32)
 
     def step(x: np.ndarray, square: np.ndarray, at: np.ndarray | slice, by: np.ndarray) -> None:
         total = square[at] + by * by
@@ -246,6 +320,13 @@ def train(weights: Weights, before: np.ndarray, wanted: np.ndarray, share: np.nd
         sink = -1 / (1 + np.exp(expected[noise] - q @ z.T))
         slope = (sink @ z + lift[:, None] * y)[:, :WIDTH]
         found, by = _gathered(np.concatenate((own, noise)), np.concatenate((lift[:, None] * q, sink.T @ q)))
+        if inside and (some := np.flatnonzero(several[at])).size:
+            right, wrong = slots[at][some], inside.noise(own[some], draw, inner, starts)
+            q, z, y = q[some], now.slots[wrong], now.slots[right]
+            lift = 1 / (1 + np.exp((q * y).sum(1) - told[right]))
+            sink = -1 / (1 + np.exp(told[wrong] - np.einsum("nkw,nw->nk", z, q)))
+            slope[some] += (np.einsum("nk,nkw->nw", sink, z) + lift[:, None] * y)[:, :WIDTH]
+            step(now.slots, squares[3], *_gathered(np.concatenate((right, wrong.ravel())), np.concatenate((lift[:, None] * q, (sink[:, :, None] * q[:, None, :]).reshape(-1, WIDTH + 1)))))
         step(now.outputs, squares[2], found, by)
         found, by = _gathered(context.ravel(), (slope * now.places[:, None, :]).reshape(-1, WIDTH))
         by_place = np.stack([(slope * now.inputs[c]).sum(0) for c in context])
@@ -259,13 +340,13 @@ def trained(model: Broadcast, rate: float):
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, share, weights = model.value
+        inside, share, weights = model.value
         for batch in batches:
             for k in range(batch.num_rows):
                 lengths, learned, ids = (numbers_of(batch.column(x)[k].as_py(), t) for x, t in (("lengths", np.int64), ("learned", bool), ("ids", np.int32)))
-                own = classes.of(words_of(batch.column("words")[k].as_py()))[ids[np.repeat(learned, lengths)]]
+                own = inside.classes.slots(words_of(batch.column("words")[k].as_py()))[ids[np.repeat(learned, lengths)]]
                 if len(own):
-                    after = train(weights, contexts(own, lengths[learned], classes.size), own, share, rate, batch.column("block")[k].as_py())
+                    after = train(weights, contexts(own, lengths[learned], len(inside.share)), own, share, rate, batch.column("block")[k].as_py(), inside)
                     places = np.arange(len(after.rows()))
                     yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.full(len(places), len(own))), *[pa.array(x) for x in after.rows().T]], ["place", "tokens", *_columns()])
 
@@ -282,21 +363,23 @@ class Scorer:
 
     classes: Classes
     weights: Weights
-    class_counts: np.ndarray  # learned tokens of each class
-    class_kinds: np.ndarray  # distinct ones
+    slot_counts: np.ndarray  # learned tokens of each slot
+    slot_kinds: np.ndarray  # distinct ones
     tokens: int
     kinds: int
 
     def score(self, words: list[bytes], known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score, score of each text. ``known``: the learned count of each word that isn't in the head."""
-        kind = self.classes.of(words)
-        own = kind < len(self.classes.head)
+        """n_tokens, n_known, base_score, score of each text. ``known``: the learned count of each word without a slot of its own."""
+        slot, tails = self.classes.slots(words), np.zeros(len(self.slot_counts), bool)
+        tails[self.classes.starts[len(self.classes.head) : -1]] = True
+        own = ~tails[slot]
         n = known.copy()
-        n[own] = self.classes.counts[kind[own]]
+        n[own] = self.slot_counts[slot[own]]
         base = np.log10((n + ADDED) / (self.tokens + ADDED * (self.kinds + 1)))
-        inside = np.where(own, 0.0, np.log10((n + ADDED) / (self.class_counts + ADDED * (self.class_kinds + 1))[kind]))
-        found = kind[ids]
-        by_class = self.weights.log_probabilities(contexts(found, lengths, self.classes.size), found) / np.log(10)
+        inside = np.where(own, 0.0, np.log10((n + ADDED) / (self.slot_counts + ADDED * (self.slot_kinds + 1))[slot]))
+        found = slot[ids]
+        before = contexts(found, lengths, len(tails))
+        by_class = (self.weights.log_probabilities(before, self.classes.owner[found]) + self.weights.log_inside(before, found, self.classes)) / np.log(10)
         text = np.repeat(np.arange(len(lengths)), lengths)
         total = lambda x: np.bincount(text, x, len(lengths))
         return {"n_tokens": lengths, "n_known": total((n > 0)[ids]).astype(np.int64), "base_score": total(base[ids]), "score": total(inside[ids] + by_class)}
@@ -316,34 +399,36 @@ class LanguageModel:
         words = self.blocks.select("words", "n").mapInArrow(learned_words, "word binary, n long")
         self.counts = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
         self.tokens, self.kinds = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        head = self.counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-        self.classes = Classes({bytes(r["word"]): k for k, r in enumerate(head)}, np.array([r["n"] for r in head], np.int64))
-        self.class_counts, self.class_kinds = self._class_sizes()
+        frequent = self.counts.orderBy(F.desc("n"), "word").limit(HEAD + NAMED).collect()
+        self.classes = Classes.of_frequent([bytes(r["word"]) for r in frequent])
+        self.slot_counts, self.slot_kinds = self._slot_sizes()
+        self.class_counts, self.class_kinds = (np.add.reduceat(x, self.classes.starts[:-1]) for x in (self.slot_counts, self.slot_kinds))
 
-    def _class_sizes(self) -> tuple[np.ndarray, np.ndarray]:
+    def _slot_sizes(self) -> tuple[np.ndarray, np.ndarray]:
         classes = self.classes
 
         @K.released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, kinds = np.zeros(classes.size, np.int64), np.zeros(classes.size, np.int64)
+            n, kinds = np.zeros(len(classes.owner), np.int64), np.zeros(len(classes.owner), np.int64)
             for batch in batches:
-                at = classes.of(batch.column("word").to_pylist())
+                at = classes.slots(batch.column("word").to_pylist())
                 np.add.at(n, at, batch.column("n").to_numpy())
-                kinds += np.bincount(at, minlength=classes.size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.size)), pa.array(n), pa.array(kinds)], ["class", "n", "kinds"])
+                kinds += np.bincount(at, minlength=len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(kinds))), pa.array(n), pa.array(kinds)], ["slot", "n", "kinds"])
 
-        rows = self.counts.mapInArrow(run, "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
-        n, kinds = np.zeros(classes.size, np.int64), np.zeros(classes.size, np.int64)
-        n[rows["class"].to_numpy()], kinds[rows["class"].to_numpy()] = rows["n"].to_numpy(), rows["kinds"].to_numpy()
+        rows = self.counts.mapInArrow(run, "slot long, n long, kinds long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+        n, kinds = np.zeros(len(classes.owner), np.int64), np.zeros(len(classes.owner), np.int64)
+        n[rows["slot"].to_numpy()], kinds[rows["slot"].to_numpy()] = rows["n"].to_numpy(), rows["kinds"].to_numpy()
         return n, kinds
 
     def trained(self) -> Weights:
-        """The class model after all rounds."""
+        """The model after all rounds."""
         share = (self.class_counts + 0.5) / (self.tokens + 0.5 * self.classes.size)
-        weights = Weights.start(share)
+        inside = (self.slot_counts + 0.5) / (self.class_counts + 0.5 * np.diff(self.classes.starts))[self.classes.owner]
+        weights = Weights.start(share, inside)
         wide = ", ".join(f"{x} long" for x in _columns())
         for k in range(ROUNDS):
-            held = self.spark.sparkContext.broadcast((self.classes, share, weights))
+            held = self.spark.sparkContext.broadcast((Inside(self.classes, inside), share, weights))
             rows = self.blocks.where(F.col("round") == k).mapInArrow(trained(held, RATE / (1 + k) ** 0.5), f"place long, tokens long, {wide}")
             weighted = [F.sum(F.col(x).cast("decimal(18,0)") * F.col("tokens").cast("decimal(18,0)")).cast("double").alias(x) for x in _columns()]
             got = rows.groupBy("place").agg(F.sum("tokens").alias("tokens"), *weighted).orderBy("place").toArrow()
@@ -354,7 +439,7 @@ class LanguageModel:
 
     def scores(self) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of every row."""
-        held = self.spark.sparkContext.broadcast(Scorer(self.classes, self.trained(), self.class_counts, self.class_kinds, self.tokens, self.kinds))
+        held = self.spark.sparkContext.broadcast(Scorer(self.classes, self.trained(), self.slot_counts, self.slot_kinds, self.tokens, self.kinds))
         words = self.blocks.select("block", "words").mapInArrow(other_words(self.spark.sparkContext.broadcast(self.classes)), "block long, place int, word binary")
         known = join_checked(words, self.counts, "word").select("block", "place", "n")
 

@@ -69,6 +69,24 @@ class TestLanguageModel:
             own = [words[w] for w in words if kinds[w] == c]
             assert sum(own) == model.class_counts[c] and len(own) == model.class_kinds[c]
 
+    def test_frequent_tokens_of_a_class_are_told_apart(self, spark, monkeypatch):
+        """Two tokens of one class, each after a token of its own: a model of classes alone scores them alike."""
+        from lodestrata.llm import language_model as M
+
+        monkeypatch.setattr(M, "HEAD", 2)
+        rows = [(k, ("p p zzab " if k % 2 else "q q yyab ") * 200, None) for k in range(60)]
+        model, got = self.scores(spark, spark.createDataFrame([*rows, (1001, "p p zzab", None), (1002, "p p yyab", None)], ROWS))
+        one, other, own = model.classes.of([b"zzab", b"yyab", b"p"]).tolist()
+        assert one == other >= 2 > own
+        score = {r.doc_id: r.score for r in got}
+        assert score[1001] > score[1002] + 0.5
+        weights, n = model.trained(), len(model.classes.owner)
+        context = np.random.default_rng(0).integers(0, n + 1, (M.CONTEXT, 5)).astype(np.int32)
+        for k in range(5):
+            before = np.repeat(context[:, k : k + 1], n, 1)
+            p = np.exp(weights.log_probabilities(before, model.classes.owner) + weights.log_inside(before, np.arange(n), model.classes))
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+
     def test_better_than_base(self, spark):
         from lodestrata.llm.language_model import op11_language_model
 
