@@ -114,8 +114,9 @@ def _members(pattern: str | None, content: bool):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
 
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as z:
+            for path in batch.column("path").to_pylist():
+                files, at = _opened(path)
+                with files.open_input_file(at) as source, zipfile.ZipFile(source) as z:
                     for x in sorted(z.infolist(), key=lambda x: x.filename):
                         if x.is_dir() or pattern and not re.search(pattern, x.filename):
                             continue
@@ -131,9 +132,22 @@ def _members(pattern: str | None, content: bool):
     return run
 
 
+def _opened(path: str):
+    """The file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    if not path.startswith("file:") and ":/" in path:
+        return fs.FileSystem.from_uri(path)
+    at = path.removeprefix("file:")  # Spark writes file:/x or file:///x
+    return fs.LocalFileSystem(), "/" + at.lstrip("/") if at.startswith("//") else at
+
+
 def zip_members(spark: SparkSession, path: str, pattern: str | None = None, content: bool = True) -> DataFrame:
-    """Members of ZIP archives in order of name, one row each; archives are never unpacked to disk."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_members(pattern, content), ZIP_MEMBER)
+    """Members of ZIP archives in order of name, one row each; archives are never unpacked to disk.
+
+    A task seeks in an archive: it holds its directory and one member, never the archive, and reads just the directory without ``content``.
+    """
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(_members(pattern, content), ZIP_MEMBER)
 
 
 def zip_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -144,26 +158,41 @@ def zip_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
 
 
 def write_zips(members: DataFrame, folder: str) -> DataFrame:
-    """Writes ``members`` (archive, member, content) as one ZIP file for each archive below ``folder``, each by a task: archive, path, n_members."""
+    """Writes ``members`` (archive, member, content) as one ZIP file for each archive below ``folder``, each by a task: archive, path, n_members.
 
-    def write(key: tuple, rows: pa.Table) -> pa.Table:
-        import io
-        import zipfile
-
-        from pyarrow import fs
+    Members come to the task in order and go to the file one by one, so it holds a few of them and the directory.
+    """
 
-        name, held = key[0].as_py(), io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for member, content in sorted(zip(rows.column("member").to_pylist(), rows.column("content").to_pylist())):
-                z.writestr(zipfile.ZipInfo(member), content)
-        path = f"{folder}/{name}.zip"
-        files, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-        files.create_dir(at.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(at) as sink:
-            sink.write(held.getvalue())
-        return pa.table({"archive": [name], "path": [path], "n_members": pa.array([rows.num_rows], pa.int64())})
-
-    return members.select("archive", "member", "content").groupBy("archive").applyInArrow(write, "archive string, path string, n_members long")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zipfile
+        from contextlib import ExitStack
+
+        name, path, n, held = None, None, 0, ExitStack()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([path], pa.string()), pa.array([n], pa.int64())], ["archive", "path", "n_members"])
+
+        with ExitStack() as all_held:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = batch.column("archive")[k].as_py()
+                    if n == 0 or own != name:
+                        if n:
+                            held.close()
+                            yield told()
+                        name, path, n = own, f"{folder}/{own}.zip", 0
+                        files, at = _opened(path)
+                        files.create_dir(at.rpartition("/")[0], recursive=True)
+                        held = all_held.enter_context(ExitStack())
+                        z = held.enter_context(zipfile.ZipFile(held.enter_context(files.open_output_stream(at)), "w", zipfile.ZIP_DEFLATED))
+                    z.writestr(zipfile.ZipInfo(batch.column("member")[k].as_py()), batch.column("content")[k].as_py())
+                    n += 1
+            if n:
+                held.close()
+                yield told()
+
+    rows = members.select("archive", "member", "content").repartition("archive").sortWithinPartitions("archive", "member", "content")
+    return rows.mapInArrow(write, "archive string, path string, n_members long")
 
 
 def _suffix() -> Column:
