@@ -275,24 +275,21 @@ SELECT 'whole' AS archive, size, parts, '' AS errors FROM w UNION ALL SELECT 'ga
 UNION ALL SELECT 'wrong_hash', size, parts, '100000:wrong_md5' FROM w UNION ALL SELECT 'wrong_archive_hash', size, parts, '0:wrong_archive_md5' FROM w UNION ALL SELECT 'missing', size, parts, '0:missing_part' FROM w UNION ALL SELECT 'short', size + 1, parts, (parts - 1) * 100000 || ':wrong_end' FROM w"""
 )
 def archive_ranges(spark, d):
-    """The whole table as one file, cut into ranges and assembled: once whole, and with each fault."""
-    import hashlib
-
+    """The whole table as files that follow each other, cut into ranges and assembled: once whole, and with each fault."""
     from lodestrata.sources import ranges as G
 
     path = _folder(spark)
-    table(spark, d, "documents").where("text is not null").select(F.col("text").alias("value")).coalesce(1).write.option("lineSep", "\n").text(f"{path}/x")
-    file = spark.read.text(f"{path}/x").inputFiles()[0]
-    size = X._fs(spark, file)[1].getFileStatus(X._fs(spark, file)[0]).getLen()
-    G.cut(spark, file, size, 100_000, f"{path}/ranges").write.parquet(f"{path}/parts")
+    table(spark, d, "documents").where("text is not null").select(F.col("text").alias("value")).write.option("lineSep", "\n").text(f"{path}/x")
+    at, fs = X._fs(spark, f"{path}/x/part-*")
+    files = [(x.getPath().toString(), x.getLen()) for x in fs.globStatus(at)]  # in order of their names
+    size = sum(n for _, n in files)
+    G.cut(spark, files, size, 100_000, f"{path}/ranges").write.parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
-    digest = hashlib.md5(usedforsecurity=False)
-    for chunk in G._stream(file):
-        digest.update(chunk)
+    digest = G.whole_md5(spark, files)
     second = F.col("start") == 100_000
     more = parts.where(second).withColumn("start", F.lit(50_000).cast("long"))
     cases = {
-        "whole": (parts, size, digest.hexdigest()),
+        "whole": (parts, size, digest),
         "gap": (parts.where("start != 0"), size, None),
         "overlap": (parts.unionAll(more.withColumn("end", F.lit(149_999).cast("long"))), size, None),
         "wrong_hash": (parts.withColumn("md5", F.when(second, "0").otherwise(F.col("md5"))), size, None),
