@@ -11,12 +11,21 @@ def _told(tests: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()])))
 
 
+def _digest(value: Column) -> Column:
+    return F.sha2(value.cast("string"), 256)
+
+
 def _side(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
-    """key, and as ``name``: number of rows, and of the columns the value (of repeated rows one) and whether it differs among them."""
+    """key, and as ``name``: number of rows, and of the columns the digest of the value (of repeated rows the least) and whether it differs among them.
+
+    Values are shuffled once, to find the least; what is joined is their digests.
+    """
     values = [F.min(F.col(c).cast("string")).alias(c) for c in columns]
-    differs = [F.coalesce(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))) > 1, F.lit(False)).alias(f"{c}_differs") for c in columns]
+    told = {c: F.coalesce(_digest(F.col(c)), F.lit("")) for c in columns}
+    differs = [(F.min(x) != F.max(x)).alias(f"{c}_differs") for c, x in told.items()]
     counted = rows.groupBy(key).agg(F.count("*").alias("rows"), *values, *differs)
-    return counted.select(F.col(key).alias("key"), F.struct(*[F.col(c) for c in counted.columns if c != key]).alias(name))
+    kept = [_digest(F.col(c)).alias(c) if c in columns else F.col(c) for c in counted.columns if c != key]
+    return counted.select(F.col(key).alias("key"), F.struct(*kept).alias(name))
 
 
 def round_trip(versions: dict[str, DataFrame], key: str, columns: dict[str, list[str]]) -> DataFrame:
