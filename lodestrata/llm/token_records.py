@@ -181,7 +181,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in INDEX.split(", ")]
     for batch in batches:
         for k in range(batch.num_rows):
-            part, number = re.search(r"part-(\d+).*?-c(\d+)", batch.column("path")[k].as_py().rpartition("/")[2]).groups()
+            # between both is a UUID, of which a part may begin with c and a digit too
+            part, number = re.search(r"part-(\d+).*-c(\d+)[^-]*$", batch.column("path")[k].as_py().rpartition("/")[2]).groups()
             shard = (int(part) << 24) + int(number)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             rows, before = [], 0
