@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.functions.json_schema import errors_of, strings_of
+from lodestrata.functions.json_schema import ERRORS, errors_of, strings_of
+from lodestrata.functions.structures import once
 
 # Names and words that conforming texts use.
 RISK_LEVELS = ["low", "medium", "high", "critical", "unknown"]
@@ -82,19 +83,22 @@ def assessed() -> dict:
 
 def _unsafe(found: Column) -> Column:
     """One error for each pattern of unsafe guidance in a text's strings."""
-    whole = F.array_join(F.coalesce(found, F.array().cast("array<string>")), "\n")
-    one = lambda p: F.when(whole.rlike(f"(?i){p}"), F.struct(F.lit("<root>").alias("path"), F.lit("unsafe").alias("rule"), F.lit(p).alias("detail")))
-    return F.array_compact(F.array(*map(one, T.UNSAFE_GUIDANCE)))
+    text = F.array_join(F.coalesce(found, F.array().cast("array<string>")), "\n")
+    one = lambda whole, p: F.when(whole.rlike(f"(?i){p}"), F.struct(F.lit("<root>").alias("path"), F.lit("unsafe").alias("rule"), F.lit(p).alias("detail")))
+    every = lambda whole: F.array_compact(F.array(*[one(whole, p) for p in T.UNSAFE_GUIDANCE]))
+    # few texts have any; all patterns begin at a word's edge, which is looked for once
+    some = r"(?i)\b(?:" + "|".join(p.removeprefix(r"\b") for p in T.UNSAFE_GUIDANCE) + ")"
+    return once(text, lambda whole: F.when(whole.rlike(some), every(whole)).otherwise(F.array().cast(ERRORS)))
 
 
 def output_errors(raw: Column, schema: dict = OUTPUT) -> Column:
     """Errors of a model output: its contract, and unsafe guidance in any of its strings."""
-    return F.concat(errors_of(raw, schema), _unsafe(strings_of(raw)))
+    return once(raw, lambda text: F.concat(errors_of(text, schema), _unsafe(strings_of(text))))
 
 
 def record_errors(raw: Column, schema: dict) -> Column:
     """Errors of a canonical record: its contract, no payload, and no unsafe guidance in the expected output."""
-    payload = F.get_json_object(raw, "$.metadata.contains_executable_payload")
     entry = F.struct(F.lit("metadata.contains_executable_payload").alias("path"), F.lit("payload").alias("rule"), F.lit("").alias("detail"))
-    held = F.when(F.coalesce(~payload.isin("false", "0", "", "[]", "{}"), F.lit(False)), F.array(entry)).otherwise(F.array().cast("array<struct<path:string,rule:string,detail:string>>"))
-    return F.concat(errors_of(raw, schema), held, _unsafe(strings_of(F.get_json_object(raw, "$.expected_output"))))
+    held = lambda payload: F.when(F.coalesce(~payload.isin("false", "0", "", "[]", "{}"), F.lit(False)), F.array(entry)).otherwise(F.array().cast(ERRORS))
+    of = lambda text, path: F.get_json_object(text, path)
+    return once(raw, lambda text: F.concat(errors_of(text, schema), held(of(text, "$.metadata.contains_executable_payload")), _unsafe(once(of(text, "$.expected_output"), strings_of))))

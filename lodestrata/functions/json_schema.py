@@ -9,31 +9,30 @@ A path is keys and places from 0 on, joined by dots; that of the whole value is
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.functions.structures import is_json_object
+from lodestrata.functions.structures import is_json_object, once
 
 ERRORS = "array<struct<path:string,rule:string,detail:string>>"
 _KINDS = {"string": ["STRING"], "boolean": ["BOOLEAN"], "null": ["VOID"], "array": ["ARRAY"], "object": ["OBJECT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]}
 _KNOWN = {"type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "uniqueItems", "allOf", "if", "then", "else"}
+ROOT = "<root>"
 _NOTES = {"$schema", "$id", "title", "description"}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _none() -> Column:
     return F.array().cast(ERRORS)
 
 
-def _error(failed: Column, path: Column, rule: str, detail: Column | None = None) -> Column:
-    entry = F.struct(path.alias("path"), F.lit(rule).alias("rule"), (F.lit("") if detail is None else detail).alias("detail"))
+def _column(path: Column | str) -> Column:
+    return F.lit(path) if isinstance(path, str) else path
+
+
+def _error(failed: Column, path: Column | str, rule: str, detail: Column | None = None) -> Column:
+    entry = F.struct(_column(path).alias("path"), F.lit(rule).alias("rule"), (F.lit("") if detail is None else detail).alias("detail"))
     return F.when(F.coalesce(failed, F.lit(False)), F.array(entry)).otherwise(_none())
 
 
@@ -55,19 +54,24 @@ def _equals(kind: Column, value: Column, wanted: object) -> Column:
     return kind.isin(*_KINDS["number"]) & (_part(value, "double") == float(wanted))
 
 
-def _below(path: Column, part: Column) -> Column:
-    return F.when(path == "<root>", part).otherwise(F.concat(path, F.lit("."), part))
+def _below(path: Column | str, part: Column | str) -> Column | str:
+    """A path is a text until a place in an array is part of it."""
+    if isinstance(path, str) and path == ROOT:
+        return part
+    if isinstance(path, str) and isinstance(part, str):
+        return f"{path}.{part}"
+    return F.concat(_column(path), F.lit("."), _column(part))
 
 
-def _errors(schema: dict, value: Column, path: Column) -> Column:
+def _errors(schema: dict, value: Column, path: Column | str) -> Column:
     """Errors of a variant; null (an absent member) has none."""
     if unknown := schema.keys() - _KNOWN - _NOTES:
         raise ValueError(f"schema rules that are not known: {', '.join(sorted(unknown))}")
-    shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(value.isNull(), _none()).otherwise(_let(F.struct(value.alias("v"), shape.alias("kind")), lambda x: _rules(schema, x["v"], x["kind"], path)))
+    shape = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return once(value, lambda v: F.when(v.isNull(), _none()).otherwise(once(shape(v), lambda kind: _rules(schema, v, kind, path))))
 
 
-def _rules(schema: dict, value: Column, kind: Column, path: Column) -> Column:
+def _rules(schema: dict, value: Column, kind: Column, path: Column | str) -> Column:
     found: list[Column] = []
     add = lambda failed, rule, detail=None: found.append(_error(failed, path, rule, detail))
     every = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -93,16 +97,16 @@ def _rules(schema: dict, value: Column, kind: Column, path: Column) -> Column:
         add(is_number & (number > schema["maximum"]), "maximum")
 
     if {"items", "minItems", "maxItems", "uniqueItems"} & schema.keys():
-        found.append(F.when(kind == "ARRAY", _let(_part(value, "array<variant>"), lambda x: _item_rules(schema, x, path))).otherwise(_none()))
+        found.append(F.when(kind == "ARRAY", once(_part(value, "array<variant>"), lambda x: _item_rules(schema, x, path))).otherwise(_none()))
     for key in schema.get("required", []):
         add(is_object & F.try_variant_get(value, f"$['{key}']", "variant").isNull(), "required", F.lit(key))
     if schema.get("additionalProperties") is False:
         own = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
         extra = F.array_sort(F.array_except(F.map_keys(_part(value, "map<string,variant>")), own))
-        found.append(F.when(is_object, _let(extra, lambda x: _error(F.size(x) > 0, path, "additionalProperties", F.array_join(x, ",")))).otherwise(_none()))
+        found.append(F.when(is_object, once(extra, lambda x: _error(F.size(x) > 0, path, "additionalProperties", F.array_join(x, ",")))).otherwise(_none()))
     for key, rules in schema.get("properties", {}).items():
         member = F.when(is_object, F.try_variant_get(value, f"$['{key}']", "variant"))
-        found.append(_errors(rules, member, _below(path, F.lit(key))))
+        found.append(_errors(rules, member, _below(path, key)))
 
     for rules in [*schema.get("allOf", []), *([{k: schema[k] for k in ("if", "then", "else") if k in schema}] if "if" in schema else [])]:
         if "if" in rules:
@@ -114,7 +118,7 @@ def _rules(schema: dict, value: Column, kind: Column, path: Column) -> Column:
     return F.concat(*found) if found else _none()
 
 
-def _item_rules(schema: dict, items: Column, path: Column) -> Column:
+def _item_rules(schema: dict, items: Column, path: Column | str) -> Column:
     found = []
     if "minItems" in schema:
         found.append(_error(F.size(items) < schema["minItems"], path, "minItems"))
@@ -129,8 +133,9 @@ def _item_rules(schema: dict, items: Column, path: Column) -> Column:
 
 def errors_of(text: Column, schema: dict) -> Column:
     """Sorted errors (path, rule, detail) of a JSON object; one of rule ``parse`` if the text is none, null included."""
-    found = F.array_sort(F.array_distinct(_errors(schema, F.try_parse_json(text), F.lit("<root>"))))
-    return F.when(is_json_object(text), found).otherwise(_error(F.lit(True), F.lit("<root>"), "parse"))
+    found = lambda value: F.array_sort(F.array_distinct(_errors(schema, value, ROOT)))
+    parsed = lambda t, value: F.when(is_json_object(t, value), found(value)).otherwise(_error(F.lit(True), ROOT, "parse"))
+    return once(text, lambda t: once(F.try_parse_json(t), lambda value: parsed(t, value)))
 
 
 def conforms(text: Column, schema: dict) -> Column:
@@ -140,5 +145,5 @@ def conforms(text: Column, schema: dict) -> Column:
 def strings_of(text: Column) -> Column:
     """All strings that are values, at any depth of a JSON text, in its order; keys are none."""
     # keys are matched too, so that no match begins inside one; they end with their colon
-    quoted = F.filter(F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'), F.lit(0)), lambda x: x.endswith('"'))
+    quoted = F.filter(F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?'), F.lit(0)), lambda x: x.endswith('"'))
     return F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")

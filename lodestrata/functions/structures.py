@@ -12,15 +12,15 @@ from lodestrata.functions.text import UNICODE_INK
 REQUIRED_OUTPUT = ["summary", "behavior_explanation", "risk_level", "malware_like_behaviors", "attack_mapping", "recommendations", "limitations"]
 
 
-def is_json_object(text: Column) -> Column:
-    """Whether ``text`` is strictly one JSON object.
+def is_json_object(text: Column, parsed: Column | None = None) -> Column:
+    """Whether ``text`` is strictly one JSON object. ``parsed``: its variant, if that is at hand.
 
     The parsers stop after the first value and ignore what follows, so the text must also parse as the one
     element of an array and as a member of an object: no trailing text can close both.
     """
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}"))).isNotNull()
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).like("OBJECT%") & alone & member, F.lit(False))
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text) if parsed is None else parsed).like("OBJECT%") & alone & member, F.lit(False))
 
 
 def completeness(text: Column, required: list[str] = REQUIRED_OUTPUT) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import contracts as K
 from lodestrata.functions import text as T
 from lodestrata.functions.json_schema import errors_of
+from lodestrata.functions.structures import once
 from lodestrata.plans import cases as C
 from lodestrata.plans.registry import query, table
 
@@ -26,7 +27,7 @@ _LIMITATIONS = {10: '["",null,"l"]', 11: '["A Step-by-Step plan: \\"bypass EDR\\
 
 def _json_text(text: Column) -> Column:
     """A text as JSON."""
-    return F.substr(F.to_json(F.struct(text.alias("t"))), F.lit(6), F.length(F.to_json(F.struct(text.alias("t")))) - 6)
+    return once(F.to_json(F.struct(text.alias("t"))), lambda x: F.substr(x, F.lit(6), F.length(x) - 6))
 
 
 def _chosen(by: dict[int, str], otherwise: Column | str) -> Column:
