@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import UNICODE_INK
+from lodestrata.functions.text import UNICODE_INK, once
 
 REQUIRED_OUTPUT = ["summary", "behavior_explanation", "risk_level", "malware_like_behaviors", "attack_mapping", "recommendations", "limitations"]
 
@@ -157,11 +157,6 @@ def role_output_errors(output: Column, scope: Column, functions: Column) -> Colu
     return F.concat(wrong, none, F.flatten(F.transform(findings, of)))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named: inside a lambda it would be worked out for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def fixed_length(values: Column, n: int) -> Column:
     """Whether an array has ``n`` numbers and no null."""
     return F.coalesce((F.size(values) == n) & F.forall(values, lambda x: x.isNotNull()), F.lit(False))

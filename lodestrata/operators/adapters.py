@@ -58,11 +58,12 @@ def writeup_records(files: DataFrame, index: str, path: str, content: str, sourc
     """record: title, path and a redacted excerpt of a write-up; without a heading the file's name is the title."""
     text, at = F.col(content), F.col(path)
     stem = F.regexp_replace(F.substring_index(at, "/", -1), r"(?<=.)\.[^.]*$", "")
-    title = F.when(T.markdown_title(text) == "", stem).otherwise(T.markdown_title(text))
+    title = F.col("_title")
     context = F.concat(F.lit("Title: "), title, F.lit("\nRelative path: "), at, F.lit("\n\nRedacted excerpt:\n"), T.writeup_excerpt(text))
     signals = _signals(title=title, relative_path=at, content_sha256=F.sha2(text, 256), suspicious_signal_names=_hits(text), full_writeup_redacted_from_target="true")
     record = canonical(_id("writeup", F.col(index), F.concat(at, text)), F.lit(source), F.lit("summarize write-up metadata"), context, signals, T.risk_of(text), F.lit("train"))
-    return files.where(~T.is_blank(text)).select(F.col(index), record.alias("record"))
+    titled = files.where(~T.is_blank(text)).withColumn("_title", T.once(T.markdown_title(text), lambda x: F.when(x == "", stem).otherwise(x)))
+    return titled.select(F.col(index), record.alias("record"))
 
 
 def source_file_records(files: DataFrame, index: str, path: str, content: str, source: str) -> DataFrame:

@@ -85,15 +85,21 @@ def without_keys(signals: Column, forbidden: list[str]) -> Column:
 
 def canonical(record_id: Column, source: Column, task: Column, context: Column, signals: Column, risk: Column, split: Column) -> Column:
     """A canonical record: context redacted, cleaned and cut, in that order; redactions are counted among the signals."""
-    n = T.redactions(context)
-    marks = F.when(n > 0, F.map_concat(signals, F.create_map(F.lit("redacted_secret_like_assignments"), n.cast("string")))).otherwise(signals)
-    return F.struct(
-        record_id.alias("id"),
-        F.struct(source.alias("name"), F.lit(None).cast("string").alias("url")).alias("source"),
-        F.struct(task.alias("task"), T.truncated(T.cleaned(T.redacted(context)), MAX_CONTEXT).alias("context"), marks.alias("signals")).alias("input"),
-        F.struct(risk.alias("risk_level"), F.array().cast("array<string>").alias("attack_mapping")).alias("expected_output"),
-        F.struct(split.alias("split"), F.lit("redacted").alias("safety_level"), F.lit(False).alias("contains_executable_payload")).alias("metadata"),
-    )
+
+    def of(whole: Column) -> Column:
+        n = T.redactions(whole)
+        marks = F.when(n > 0, F.map_concat(signals, F.create_map(F.lit("redacted_secret_like_assignments"), n.cast("string")))).otherwise(signals)
+        cut = T.once(T.cleaned(T.redacted(whole)), lambda x: T.truncated(x, MAX_CONTEXT))
+        return F.struct(
+            record_id.alias("id"),
+            F.struct(source.alias("name"), F.lit(None).cast("string").alias("url")).alias("source"),
+            F.struct(task.alias("task"), cut.alias("context"), marks.alias("signals")).alias("input"),
+            F.struct(risk.alias("risk_level"), F.array().cast("array<string>").alias("attack_mapping")).alias("expected_output"),
+            F.struct(split.alias("split"), F.lit("redacted").alias("safety_level"), F.lit(False).alias("contains_executable_payload")).alias("metadata"),
+        )
+
+    # a plain struct would be taken apart, and its context worked out anew for each field that is read
+    return T.once(context, of)
 
 
 def instruction_to_canonical(instruction: Column, given: Column, output: Column, index: Column) -> Column:
