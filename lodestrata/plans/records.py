@@ -27,8 +27,8 @@ def catalog(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, d, "labels").select("doc_id", F.col("toxic").cast("string").alias("label"))
     rows = docs.join(labels, "doc_id", "left").select(
-        "doc_id", "lang", "source", F.coalesce("label", F.lit("unknown")).alias("label"), F.sha2("text", 256).alias("content"), F.sha2(T.near_normal(F.col("text"), r"[\s]"), 256).alias("near"),
-        F.col("text").rlike(T.SUSPICIOUS["dynamic_execution"]).alias("payload"), (F.length(F.trim("text")) > 0).alias("has_code"),
+        "doc_id", "lang", "source", F.coalesce("label", F.lit("unknown")).alias("label"), F.sha2("text", 256).alias("content"), F.sha2(T.near_normal(F.col("text"), T.ASCII_SPACE), 256).alias("near"),
+        T.has_hit(F.col("text"), "dynamic_execution").alias("payload"), (F.length(F.trim("text")) > 0).alias("has_code"),
     )
     rows = rows.persist()  # narrow rows that three plans below read; without it every text is hashed three times
     found = D.first_of(D.first_of(rows, "content", "doc_id", "exact", "label"), "near", "doc_id", "near", "label")
