@@ -1,9 +1,11 @@
 """Near-duplicate groups by the Jaccard similarity of word shingles.
 
 Texts are sets of hashed shingles of ``size`` words (lower case A-Z, split at white space; a shorter text is one
-shingle). Two texts are linked if their sets have a similarity of at least ``NUMERATOR / DENOMINATOR``: candidates
-share one of ``BANDS`` bands of ``ROWS`` minimum hashes, and every candidate pair is then compared exactly, on the
-whole sets. A pair at 0.8 meets in no band with a chance of (1 - 0.8^4)^24 = 3e-6, closer pairs with less.
+shingle). Two texts are linked if their sets have a similarity of at least ``NUMERATOR / DENOMINATOR``. Candidates come from
+the fingerprint search of :mod:`lodestrata.llm.near_dup` within ``RADIUS`` bits: what it connects is a bucket. Similar texts
+whose fingerprints are further apart share one of ``BANDS`` bands of ``ROWS`` minimum hashes, which are buckets too. Every
+candidate pair is then compared exactly, on the whole sets. A pair at 0.8 meets in no band with a chance of
+(1 - 0.8^4)^24 = 3e-6, closer pairs with less.
 
 Equal sets are one node, so copies cost nothing. Each bucket has a hub, the member whose buckets are largest: of a
 group of edited copies that is the text they come from. All members are compared with their hubs first, in parts of
@@ -33,12 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.llm import near_dup as N
 from lodestrata.llm import textkit as K
 from lodestrata.llm.components import components, least_places
 from lodestrata.llm.storage import join_checked, plain, stored
 
 SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
+#: Bits in which fingerprints of candidates differ at most.
+RADIUS = 6
 BANDS, ROWS = 24, 4
 #: Shingles whose minimum hashes are taken at once.
 CHUNK = 20_000
@@ -92,13 +97,13 @@ def _sketches(size: int):
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, buckets = [], [], []
+            keys, sizes, buckets, prints = [], [], [], [N.fingerprint(x.as_py()) for x in batch.column("text")]
             for found in shingle_sets(batch.column("text"), size):
                 keys.append(_keys(found))
                 sizes.append(len(found))
                 buckets.append(bands(found))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, buckets)]), pa.int32()), pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *[pa.array([x[k] for x in keys], pa.int64()) for k in (0, 1)], pa.array(sizes, pa.int64()), lists], ["doc_id", "h", "key", "check", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *[pa.array([x[k] for x in keys], pa.int64()) for k in (0, 1)], pa.array(sizes, pa.int64()), lists, pa.array(prints, pa.int64())], ["doc_id", "h", "key", "check", "n", "buckets", "fp"])
 
     return run
 
@@ -267,16 +272,23 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.min("check").alias("check"), F.max("check").alias("other"))
 
 
+def fingerprint_buckets(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """key, n, bucket: sets whose texts' fingerprints are connected within ``radius`` bits share a bucket. ``rows``: key, n, fp."""
+    prints = stored(rows.where("n > 0").select("key", "n", "fp").distinct(), "prints")
+    roots = components(N.near_links(stored(prints.select("fp").distinct(), "distinct"), radius)).withColumnRenamed("node", "fp")
+    return join_checked(prints, roots, "fp", "left").select("key", "n", F.xxhash64(F.coalesce("root", "fp")).alias("bucket")).distinct()
+
+
 def jaccard_groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, h (xxhash64 of the text), root of each row of ``docs``; rows of one group have the same root."""
     source = plain(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    kinds = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("h long, key long, check long, n long, buckets array<long>")])
+    kinds = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("h long, key long, check long, n long, buckets array<long>, fp long")])
     rows = stored(source.mapInArrow(_sketches(size), kinds), "sketches")
     nodes = stored(_nodes(rows), "nodes")
     if not nodes.where("other != check").isEmpty():  # two sets with one name, of 2^64
         rows = stored(rows.withColumn("key", F.xxhash64("key", "check")), "sketches")
         nodes = stored(_nodes(rows), "nodes")
-    filed = nodes.select("key", "n", F.explode("buckets").alias("bucket"))
+    filed = nodes.select("key", "n", F.explode("buckets").alias("bucket")).unionAll(fingerprint_buckets(rows))
     sizes = stored(filed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(join_checked(filed, sizes, "bucket"), "shared")
     edits = _hub_differences(shared, nodes, source.select("h", "text"), size)

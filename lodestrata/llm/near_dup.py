@@ -1,8 +1,8 @@
 """SimHash near-duplicates: generalised pigeonhole search for fingerprints that differ in few bits.
 
 Bits that correlate are grouped into partitions. By the generalised pigeonhole principle two fingerprints
-within ``RADIUS`` bits agree, in at least one partition, up to that partition's threshold, if the thresholds
-sum to ``RADIUS - partitions + 1`` (-1: the partition is not probed). The thresholds, and the number of
+within ``radius`` bits agree, in at least one partition, up to that partition's threshold, if the thresholds
+sum to ``radius - partitions + 1`` (-1: the partition is not probed). The thresholds, and the number of
 partitions, are chosen by dynamic programming over candidate counts estimated from the joint statistics of
 all pairs of bits over all distinct fingerprints. Each fingerprint is then filed under its partition values
 (with up to threshold bits masked), and those that meet in a bucket are compared.
@@ -10,7 +10,8 @@ all pairs of bits over all distinct fingerprints. Each fingerprint is then filed
 A bucket of more than ``BUCKET`` fingerprints is not compared pair by pair. Its members go to an exact way
 whose cost is linear: each is filed under itself and its 64 one-bit neighbours; two fingerprints meet there
 if and only if they differ in at most two bits, and no such group has over 65 members. ``BUCKET`` is where
-that begins to pay: a comparison takes a few nanoseconds, filing a row under 65 keys about 0.1 ms.
+that begins to pay: a comparison takes a few nanoseconds, filing a row under 65 keys about 0.1 ms. In a search
+within another number of bits the members of large buckets are compared in blocks that hold two parts of a bucket.
 
 Defined cases: a null or empty text has fingerprint zero, which is linked like any other. Equal texts have equal
 fingerprints, so ties and repeated rows fall in one component. A null ``doc_id`` links others but never
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from lodestrata.llm import textkit as K
 from lodestrata.llm.components import components, least_places
-from lodestrata.llm.storage import plain, stored, table
+from lodestrata.llm.storage import join_checked, plain, stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -117,8 +118,8 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def candidate_share(n: int, both: np.ndarray, bits: list[int]) -> np.ndarray:
-    """Estimated share of all pairs that differ in at most 0, 1, .. RADIUS of ``bits``.
+def candidate_share(n: int, both: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
+    """Estimated share of all pairs that differ in at most 0, 1, .. ``radius`` of ``bits``.
 
     Two random fingerprints agree in bit j with a chance that depends on whether they agree in the bit
     before it that is tied to it most (a tree of dependences).
@@ -134,29 +135,29 @@ def candidate_share(n: int, both: np.ndarray, bits: list[int]) -> np.ndarray:
     chances = [agree[bits[0]]]
     for k, j in enumerate(bits[1:], 1):
         chances.append(max(joint(i, j) / agree[i] for i in bits[:k]))
-    spread = np.zeros(RADIUS + 1)
+    spread = np.zeros(radius + 1)
     spread[0] = 1.0
     for c in chances:
         spread = spread * c + np.concatenate(([0.0], spread[:-1])) * (1 - c)
     return np.cumsum(spread)
 
 
-def allocate(n: int, both: np.ndarray) -> list[tuple[list[int], int]]:
+def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """The groups of bits to probe and their thresholds, of least estimated cost."""
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(1, MAX_PARTITIONS + 1):
         groups = group_bits(n, both, parts)
         plans: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by the sum of thresholds so far
         for group in groups:
-            share = candidate_share(n, both, group)
+            share = candidate_share(n, both, group, radius)
             grown: dict[int, tuple[float, list[int]]] = {}
             for total, (cost, taken) in plans.items():
-                for t in range(-1, RADIUS + 1):
+                for t in range(-1, radius + 1):
                     extra = 0.0 if t < 0 else n * comb(len(group), t) * KEY_COST + n * n / 2 * share[t]
                     if total + t not in grown or cost + extra < grown[total + t][0]:
                         grown[total + t] = (cost + extra, [*taken, t])
             plans = grown
-        cost, taken = plans.get(RADIUS - parts + 1, (float("inf"), []))
+        cost, taken = plans.get(radius - parts + 1, (float("inf"), []))
         if cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, taken) if t >= 0])
     return best[1]
@@ -172,83 +173,118 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
 
 
-def _links(run: np.ndarray, fp: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places (low, high) of all pairs within RADIUS bits in the same bucket; ``run``: ascending bucket numbers."""
+def _links(run: np.ndarray, fp: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
+    """Places (low, high) that connect all within ``radius`` bits in the same bucket; ``run``: ascending bucket numbers."""
     found = [np.zeros((2, 0), np.int64)]
     small = np.flatnonzero(size <= SMALL)
     r, f = run[small], fp[small]
     for d in range(1, min(int(size[small].max(initial=0)), len(small))):
-        at = np.flatnonzero((r[d:] == r[:-d]) & _near(f[d:], f[:-d]))
+        at = np.flatnonzero((r[d:] == r[:-d]) & _near(f[d:], f[:-d], radius))
         found.append(np.stack((small[at], small[at + d])))
     for bucket in np.unique(run[size > SMALL]):
         first, last = np.searchsorted(run, (bucket, bucket + 1))
-        for low in range(first, last, 256):  # 256 rows against all from them on
-            i, j = np.nonzero(_near(fp[low : min(low + 256, last), None], fp[None, low:last]))
-            found.append(np.stack((low + i, low + j))[:, i < j])
+        root = np.arange(last - first)
+        for low in range(0, last - first, 256):  # 256 rows against all from them on, less what is connected already
+            own, high = fp[first + low : last], min(256, last - first - low)
+            i, j = np.nonzero(_near(own[:high, None], own[None, :], radius) & (root[low : low + high, None] != root[None, low:]))
+            if len(i):
+                root = least_places(len(root), *np.sort((root[low + i], root[low + j]), axis=0))[root]
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        found.append(np.stack((first + root[moved], first + moved)))
     return np.concatenate(found, axis=1)
 
 
-@K.released
-def verify_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, v, fp) sorted by bucket (k, v) -> (a, b) that connect what is linked, and (fp, null) for members of large buckets.
+def verify_buckets(radius: int, most: float):
+    """Rows (k, v, fp) sorted by bucket (k, v) -> (a, b) that connect what is linked, and (fp, null) for members of buckets of more than ``most``.
 
-    Works on a stream: it holds one batch, and no more than BUCKET rows of the bucket that a batch ends in.
+    Works on a stream: it holds one batch, and no more than ``most`` rows of the bucket that a batch ends in.
     """
-    names = ["k", "v", "fp"]
-    held = [np.zeros(0, np.int64)] * 3
-    large: tuple[int, int] | None = None  # the large bucket that the stream is in
-
-    def emit(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())], ["a", "b"])
-
-    def settle(k: np.ndarray, v: np.ndarray, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, large
-        if large is not None and len(k):
-            inside = int(np.argmax(np.append((k != large[0]) | (v != large[1]), True)))
-            if inside:
-                yield emit(fp[:inside], None)
-                k, v, fp = k[inside:], v[inside:], fp[inside:]
-            if len(k):
-                large = None
-        if not len(k):
-            held = [k, v, fp]
-            return
-        run = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (v[1:] != v[:-1]))))
-        size = np.bincount(run)
-        open_run = -1 if last else run[-1]
-        big = size[run] > BUCKET
-        if big.any():
-            yield emit(fp[big], None)
-        if open_run >= 0 and size[open_run] > BUCKET:
-            large = (int(k[-1]), int(v[-1]))
-        keep = ~big & (run == open_run)
-        held = [x[keep] for x in (k, v, fp)]
-        todo = ~big & (run != open_run) & (size[run] > 1)
-        fp = fp[todo]
-        root = least_places(len(fp), *_links(run[todo], fp, size[run[todo]]))
-        moved = np.flatnonzero(root != np.arange(len(fp)))
-        if len(moved):
-            yield emit(fp[root[moved]], fp[moved])
 
-    for batch in batches:
-        yield from settle(*(np.concatenate((h, batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64))) for h, x in zip(held, names)), last=False)
-    yield from settle(*held, last=True)
+    @K.released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k", "v", "fp"]
+        held = [np.zeros(0, np.int64)] * 3
+        large: tuple[int, int] | None = None  # the large bucket that the stream is in
+
+        def emit(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())], ["a", "b"])
+
+        def settle(k: np.ndarray, v: np.ndarray, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, large
+            if large is not None and len(k):
+                inside = int(np.argmax(np.append((k != large[0]) | (v != large[1]), True)))
+                if inside:
+                    yield emit(fp[:inside], None)
+                    k, v, fp = k[inside:], v[inside:], fp[inside:]
+                if len(k):
+                    large = None
+            if not len(k):
+                held = [k, v, fp]
+                return
+            bucket = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (v[1:] != v[:-1]))))
+            size = np.bincount(bucket)
+            open_run = -1 if last else bucket[-1]
+            big = size[bucket] > most
+            if big.any():
+                yield emit(fp[big], None)
+            if open_run >= 0 and size[open_run] > most:
+                large = (int(k[-1]), int(v[-1]))
+            keep = ~big & (bucket == open_run)
+            held = [x[keep] for x in (k, v, fp)]
+            todo = ~big & (bucket != open_run) & (size[bucket] > 1)
+            fp = fp[todo]
+            root = least_places(len(fp), *_links(bucket[todo], fp, size[bucket[todo]], radius))
+            moved = np.flatnonzero(root != np.arange(len(fp)))
+            if len(moved):
+                yield emit(fp[root[moved]], fp[moved])
+
+        for batch in batches:
+            yield from settle(*(np.concatenate((h, batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64))) for h, x in zip(held, names)), last=False)
+        yield from settle(*held, last=True)
+
+    return run
+
+
+def _filed(distinct: DataFrame, keys: list[int]) -> DataFrame:
+    """k, v, fp: the fingerprints under the buckets of all masks."""
+    filed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(keys)])).alias("key"))
+    return filed.select(F.col("key.k").cast("long").alias("k"), "key.v", "fp")
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links a, b that connect all distinct fingerprints (column fp) within RADIUS bits of each other."""
-    keys = masks(allocate(*bit_statistics(distinct)))
-    filed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(keys)])).alias("key"))
-    buckets = filed.select(F.col("key.k").cast("long").alias("k"), "key.v", "fp").repartition("k", "v").sortWithinPartitions("k", "v")
-    found = stored(buckets.mapInArrow(verify_buckets, "a long, b long"), "buckets")
+def _verified(filed: DataFrame, radius: int, most: float) -> DataFrame:
+    buckets = filed.repartition("k", "v").sortWithinPartitions("k", "v")
+    return stored(buckets.mapInArrow(verify_buckets(radius, most), "a long, b long"), "buckets")
+
+
+def _around(dense: DataFrame) -> DataFrame:
+    """Links that connect all of ``dense`` (a) within two bits: a fingerprint and the least one that shares a one-bit neighbour with it."""
     around = F.array(F.col("a"), *[F.col("a").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(64)])
-    dense = found.where("b is null").select("a").distinct().select("a", F.explode(around).alias("key"))
+    dense = dense.select("a", F.explode(around).alias("key"))
     first = dense.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    return found.where("b is not null").unionAll(dense.join(first, "key").where("a != b").select("a", "b"))
+    return dense.join(first, "key").where("a != b").select("a", "b")
+
+
+def _in_blocks(dense: DataFrame, keys: list[int], radius: int) -> DataFrame:
+    """Links that connect all members of one large bucket within ``radius`` bits; each two of its parts meet in one block. ``dense``: a, all such members."""
+    filed = _filed(dense.select(F.col("a").alias("fp")), keys)
+    parts = filed.groupBy("k", "v").agg(F.ceil(4 * F.count("*") / BUCKET).cast("int").alias("parts")).where("parts > 4")
+    dealt = join_checked(filed, parts, ["k", "v"]).select("*", F.pmod(F.xxhash64("fp"), "parts").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = dealt.select("k", F.xxhash64("v", F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long"))).alias("v"), "fp")
+    return _verified(blocks, radius, float("inf"))
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links a, b that connect all distinct fingerprints (column fp) within ``radius`` bits of each other."""
+    keys = masks(allocate(*bit_statistics(distinct), radius))
+    found = _verified(_filed(distinct, keys), radius, BUCKET)
+    dense, links = found.where("b is null").select("a").distinct(), found.where("b is not null")
+    if radius == RADIUS:
+        return links.unionAll(_around(dense))
+    return links if dense.isEmpty() else links.unionAll(_in_blocks(stored(dense, "dense"), keys, radius))
 
 
 def _rooted(docs: DataFrame) -> DataFrame:
