@@ -37,6 +37,8 @@ END_ID = 0
 CHUNK_BYTES = 4_000_000
 #: Chunks of a shard at most, so about 256 MB: a shard is read back as one value.
 SHARD_CHUNKS = 64
+#: Bytes of texts that are encoded at once.
+ENCODE_BYTES = 8_000_000
 #: Records of a shard that are handed on at once when it is read.
 RECORDS = 20_000
 #: Pre-tokens whose ids a worker remembers, at about 300 bytes each; beyond that it starts anew.
@@ -46,6 +48,7 @@ _MASK_DELTA = 0xA282EAD8
 # The byte-level pattern over code points up to U+02C1, where "letter" and "number" are plain ranges. Texts with
 # other characters (or with the separators U+001C to U+001F) are encoded whole.
 _BEYOND = re.compile("[^\x00-\x1b\x20-ˁ]")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
@@ -55,7 +58,7 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as bytes.
 
     Byte-level models split a text into pre-tokens before they merge, so each distinct pre-token is encoded
-    once and remembered. Models of any other kind, and texts with special tokens, are encoded whole.
+    once and remembered, and each distinct piece of the texts at hand is put together once. Models of any other kind, and texts with special tokens, are encoded whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -92,20 +95,36 @@ class Encoder:
         for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.memo[w] = np.array(found.ids, self.dtype).tobytes()
 
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their pre-tokens. No pre-token reaches across a space before another character: each distinct piece between such places is looked up once."""
+        raw = [x.encode("utf-8") for x in texts]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths
+        if not len(data):
+            return [b""] * len(texts)
+        at, is_start = np.flatnonzero(data[:-1] == 0x20), np.zeros(len(data), bool)
+        is_start[starts[lengths > 0]] = True
+        after, wide = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        at = at[~(_SPACE[after] | (after == 0xC2) & ((wide == 0x85) | (wide == 0xA0)) | is_start[at + 1])]
+        is_start[at] = True
+        cuts = np.append(np.flatnonzero(is_start), len(data))
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        piece, words = coded.indices.to_numpy(), list(map(_PRE_TOKEN.findall, coded.dictionary.to_numpy(zero_copy_only=False)))
+        self._learn(list(set().union(*words) - self.memo.keys()))
+        ids = [b"".join(map(self.memo.__getitem__, x)) for x in words]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        n, first = sizes[piece], (np.cumsum(sizes) - sizes)[piece]
+        before = np.append(0, np.cumsum(n))
+        out = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        edges = before[np.searchsorted(cuts, np.append(starts, len(data)))]
+        return [out[low:high].tobytes() for low, high in zip(edges, edges[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
             self.memo.clear()
-        get = self.memo.get
-        split = [_PRE_TOKEN.findall(x) if self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) else None for x in texts]
-        known = [None if words is None else list(map(get, words)) for words in split]
-        gaps = [() if ids is None or None not in ids else [k for k, x in enumerate(ids) if x is None] for ids in known]
-        self._learn(list({words[k] for words, at in zip(split, gaps) for k in at}))
-        out = []
-        for text, words, ids, at in zip(texts, split, known, gaps):
-            for k in at:
-                ids[k] = get(words[k])
-            out.append(self._whole(text) if ids is None else b"".join(ids))
-        return out
+        split = [self.by_pre_token and not _BEYOND.search(x) and not any(mark in x for mark in self.special) for x in texts]
+        joined = iter(self._joined([x for x, known in zip(texts, split) if known]))
+        return [next(joined) if known else self._whole(x) for x, known in zip(texts, split)]
 
 
 @lru_cache(maxsize=1)
@@ -150,8 +169,8 @@ def _write(path: str, memo: int, chunk: int):
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low, high in K.slices(batch.column("text"), ENCODE_BYTES):
+                part = batch.slice(low, high - low)
                 for key, ids in zip(part.column("key").to_pylist(), encoder.encode([x or "" for x in part.column("text").to_pylist()])):
                     held.append(frame(key, ids + end, encoder.dtype.itemsize))
                     size += len(held[-1])
