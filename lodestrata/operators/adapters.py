@@ -94,9 +94,13 @@ def labelled_raw_rows(rows: DataFrame, index: str, dataset: str, code: str, targ
     return _catalog(rows, index, name, text, dataset=dataset, target=F.col(target), cwe=_text(F.col(cwe)), project=of, repository=of, commit_id=at, patch_group_id=_group(of, at), function_id=F.sha2(text, 256), label_confidence=F.when(F.col(target) == 1, "dataset_positive").otherwise("benchmark_negative"))
 
 
-def patch_raw_rows(rows: DataFrame, index: str, dataset: str, before: str, after: str, target: str, patch: str, cwe: str, project: str, commit: str, file: str) -> DataFrame:
-    """Catalog rows of patches: the state before, and that after if the pair is verified (a positive that a patch with a weakness changes)."""
-    old, new, at, of, kinds = (_text(F.col(c)) for c in (before, after, commit, project, cwe))
+def patch_raw_rows(rows: DataFrame, index: str, dataset: str, before: str, after: str, target: str, patch: str, cwe: str, project: str, commit: str, file: str, stripped: bool = False) -> DataFrame:
+    """Catalog rows of patches: the state before, and that after if the pair is verified (a positive that a patch with a weakness changes).
+
+    ``stripped``: both states are already as they are to be compared, and their ends stay as they are.
+    """
+    at, of, kinds = (_text(F.col(c)) for c in (commit, project, cwe))
+    old, new = (F.coalesce(F.col(c), F.lit("")) if stripped else _text(F.col(c)) for c in (before, after))
     verified = (F.col(target) == 1) & (old != "") & (new != "") & (old != new) & (_text(F.col(patch)) != "") & (kinds != "")
     sides = F.array(F.struct(F.lit(False).alias("fixed"), old.alias("code"), new.alias("other")), F.struct(F.lit(True).alias("fixed"), new.alias("code"), old.alias("other")))
     held = rows.select("*", F.coalesce(verified, F.lit(False)).alias("_ok"), F.explode(sides).alias("_s")).where(~F.col("_s.fixed") | F.col("_ok"))
